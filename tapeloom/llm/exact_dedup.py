@@ -133,5 +133,5 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that exact_dedup keeps, with all their columns."""
     found = exact_dedup(docs, id_col, text_col)
     dropped = materialise(found.filter("not kept").select("loc_file", "loc_row"), "dedup-dropped")
-    rows = located(docs, "*")
-    return rows.join(maybe_broadcast(dropped, dropped.count()), ["loc_file", "loc_row"], "left_anti").select(*docs.columns)
+    rows = located(docs, F.struct("*").alias("row"))
+    return rows.join(maybe_broadcast(dropped, dropped.count()), ["loc_file", "loc_row"], "left_anti").select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import pii, sharding
+from . import language, minhash, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -19,11 +19,27 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("loc_file", "loc_row")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir)).drop("loc_file", "loc_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op7_exact_dedup)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op5_quality, op6_toxicity, op7_exact_dedup, op10_language)}
 
 ORACLE = {
     "op2_sharding": """
