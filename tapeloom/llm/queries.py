@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import language, minhash, pii, quality, sharding, toxicity
+from . import flac, language, minhash, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("loc_file", "loc_row")
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,7 +43,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op5_quality, op6_toxicity, op7_exact_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op4_flac, op5_quality, op6_toxicity, op7_exact_dedup, op10_language)}
 
 ORACLE = {
     "op2_sharding": """
