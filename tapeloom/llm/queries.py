@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import flac, language, minhash, pii, quality, sharding, toxicity
+from . import bpe, flac, language, minhash, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -39,11 +39,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir)).drop("loc_file", "loc_row")
 
 
+def bpe_codec(spark: SparkSession, path: str | None = None) -> bpe.Codec:
+    """The codec of a rank file; by default the installed 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return bpe.Codec(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), bpe_codec(spark))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op4_flac, op5_quality, op6_toxicity, op7_exact_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op4_flac, op5_quality, op6_toxicity, op7_exact_dedup, op8_bpe, op10_language)}
 
 ORACLE = {
     "op2_sharding": """
