@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import bpe, flac, language, minhash, pii, quality, sharding, toxicity
+from . import bpe, flac, language, minhash, mixing, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -50,11 +50,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), bpe_codec(spark))
 
 
+#: Target weights of op9_mixing: the corpus's size, with four fifths of its tokens from the good domain.
+MIX_SHARES = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_SHARES)
+    return mixture.drop("loc_file", "loc_row")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op4_flac, op5_quality, op6_toxicity, op7_exact_dedup, op8_bpe, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_minhash, op4_flac, op5_quality, op6_toxicity, op7_exact_dedup, op8_bpe, op9_mixing, op10_language)}
 
 ORACLE = {
     "op2_sharding": """
