@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "d3_break_blocks"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .queries import intervals
+
+FLAGSHIP = "i1_merge"
+_MODULES = (intervals,)
+QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
