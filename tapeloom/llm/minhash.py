@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import located, materialise, maybe_broadcast
+from .common import located, materialise, maybe_broadcast, small_batches
 
 #: 32 bands of 8 coordinates: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 1 - 1e-8.
 BANDS, ROWS = 32, 8
@@ -115,16 +115,30 @@ def cell_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(run, "node long, cells array<int>")
 
 
+def _alike(x: str, y: str, threshold: float):
+    """Whether two columns of distinct cells have a Jaccard similarity of at least threshold.
+
+    Sizes bound the overlap, so sets of unlike sizes are told apart without a comparison.
+    """
+    small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    need = threshold / (1 + threshold) * (F.size(x) + F.size(y)) - 1e-9  # |A & B| >= t |A or B|, solved for |A & B|
+    return F.when(small < threshold * large - 1e-9, False).otherwise(F.size(F.array_intersect(x, y)) >= need)
+
+
 def similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity, from their whole cell sets, is at least threshold."""
     left = cells.select(F.col("node").alias("a"), F.col("cells").alias("ca"))
     right = cells.select(F.col("node").alias("b"), F.col("cells").alias("cb"))
-    shared = F.size(F.array_intersect("ca", "cb"))
-    # |A & B| >= t |A or B| without a division; a set bounds the overlap, so unlike sizes need no comparison
-    sizes = F.least(F.size("ca"), F.size("cb")) >= threshold * F.greatest(F.size("ca"), F.size("cb")) - 1e-9
-    joined = pairs.join(right, "b").join(left, "a").filter(sizes)
-    both = joined.select("a", "b", shared.alias("i"), (F.size("ca") + F.size("cb")).alias("t"))
-    return both.filter(F.col("i") >= threshold * (F.col("t") - F.col("i")) - 1e-9).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").filter(_alike("ca", "cb", threshold)).select("a", "b")
+
+
+def similar_across(mixed: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Links between nodes of one band key and different labels; pairs that are not alike leave the join unseen."""
+    rows = mixed.join(cells, "node")
+    left = rows.select("key", F.col("label").alias("lx"), F.col("node").alias("a"), F.col("cells").alias("ca"))
+    right = rows.select(F.col("key").alias("k2"), F.col("label").alias("ly"), F.col("node").alias("b"), F.col("cells").alias("cb"))
+    met = left.join(right, (F.col("key") == F.col("k2")) & (F.col("lx") < F.col("ly")) & _alike("ca", "cb", threshold))
+    return met.select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,18 +178,18 @@ def near_duplicates(
 
     1. Every whole text gets a DartMinHash signature; texts with the same words share a fingerprint
        and become one node, combined within tasks, so copies never meet pairwise.
-    2. Nodes that share a band are linked to the least node there, first with one link a node.
-       Linked pairs are checked on their whole cell sets, read again for these nodes alone.
-    3. Where a band still holds several components, its members are checked against the least
-       member of each other component, and then every pair across components that is left. So no
-       link between different texts is lost, and members of one component are never paired.
+    2. Each node is linked to the most-met node that it shares a band with. Linked pairs are
+       checked on their whole cell sets, read again for these nodes alone.
+    3. Where a band still holds several components, all its pairs across components are checked
+       within the join, which lets only links out. So no link between different texts is lost, and
+       members of one component are never paired.
 
     Null texts count as empty. Texts without words are near only if they are equal. Rows that
     repeat share a class and one of them stays. An empty table gives no rows. Other columns are
     not read. Columns: ``doc_id, class_id`` (the id that stays), ``group_size, kept, loc_file, loc_row``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    source = located(docs, F.col(id_col).alias("doc_id"), text).select("doc_id", "loc_file", "loc_row", F.xxhash64("text").alias("text_key"), "text")
+    source = located(small_batches(docs), F.col(id_col).alias("doc_id"), text).select("doc_id", "loc_file", "loc_row", F.xxhash64("text").alias("text_key"), "text")
     signed = materialise(signatures(source, bands, rows, width), "signatures")
 
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc_file", "loc_row", "text_key")
@@ -183,8 +197,12 @@ def near_duplicates(
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = materialise(keys.join(shared.select("key", "least"), "key"), "members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = materialise(keys.join(shared, "key"), "members")
+    # how often a node meets others: an original meets its copies more often than they meet each other
+    hubs = members.groupBy("node").agg(F.sum("members").alias("met"))
+    members = materialise(members.select("key", "node").join(hubs, "node").withColumn("hub", F.struct("met", "node")), "members")
+    leaders = members.groupBy("key").agg(F.max("hub").alias("lead"))
     involved = materialise(members.select("node").distinct().join(nodes.select("node", "stay"), "node"), "involved")
 
     wanted = involved.select("node", F.col("stay.loc_file").alias("loc_file"), F.col("stay.loc_row").alias("loc_row"))
@@ -200,19 +218,11 @@ def near_duplicates(
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    pairs = materialise(ordered(members.filter("node <> least").groupBy("node").agg(F.min("least").alias("y")).withColumnRenamed("node", "x")), "pairs")
+    led = members.join(leaders, "key").groupBy("node").agg(F.max("lead").alias("lead")).filter("node <> lead.node")
+    pairs = materialise(ordered(led.select(F.col("node").alias("x"), F.col("lead.node").alias("y"))), "pairs")
     edges = materialise(similar(pairs, cells, threshold), "links")
 
-    mixed = labelled(edges)
-    leaders = mixed.groupBy("key", "label").agg(F.min("node").alias("y")).select("key", F.col("label").alias("other"), "y")
-    across = mixed.join(leaders, "key").filter("label <> other").select(F.col("node").alias("x"), "y")
-    more = materialise(ordered(across).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    edges = materialise(edges.union(similar(more, cells, threshold)), "links")
-
-    mixed = labelled(edges)
-    left, right = mixed.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), mixed.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-    rest = ordered(left.join(right, "key").filter("lx < ly")).join(pairs.union(more), ["a", "b"], "left_anti")
-    edges = edges.union(similar(materialise(rest, "pairs"), cells, threshold))
+    edges = edges.union(similar_across(labelled(edges), cells, threshold))
 
     found = components(edges)
     in_class = nodes.join(found, "node", "left").select("fp", "n", "stay", F.coalesce("label", "node").alias("label"))
