@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import intervals
+from .queries import gaps, intervals, runs
 
 FLAGSHIP = "i1_merge"
-_MODULES = (intervals,)
+_MODULES = (intervals, gaps, runs)
 QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
