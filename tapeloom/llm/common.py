@@ -69,3 +69,15 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, seed: str) -> DataFrame:
     cut = int(rows / total * 2**31)
     key = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(2**31))
     return df.filter(key < cut)
+
+
+#: Rows of an Arrow batch in the operators that hold whole texts and what they make of them in Python.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold ARROW_ROWS rows at most, which bounds a Python worker's memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df

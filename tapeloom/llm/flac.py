@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK = 1024
-GROUP = 3072
+GROUP = 1536
 RATE = 8000
 LPC_ORDER, LPC_BITS = 4, 12
 
@@ -458,7 +460,7 @@ def features(payload: bytes) -> str:
     return f"n={len(x)};sum={x.sum()};energy={(x * x).sum()};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={np.abs(x).max()}"
 
 
-def _groups(items: list[bytes], limit: int = 2_500_000) -> Iterator[tuple[int, int]]:
+def _groups(items: list[bytes], limit: int = 1_200_000) -> Iterator[tuple[int, int]]:
     first = size = 0
     for i, b in enumerate(items):
         if i > first and size + len(b) > limit:
@@ -471,7 +473,7 @@ def _groups(items: list[bytes], limit: int = 2_500_000) -> Iterator[tuple[int, i
 
 def encode_column(df: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
     """df with a binary column of FLAC files for its binary payload column; null payloads give null."""
-    payload = F.col(payload_col)
+    payload, df = F.col(payload_col), small_batches(df)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -485,6 +487,7 @@ def encode_column(df: DataFrame, payload_col: str = "payload", media_col: str =
 
 def decode_column(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm") -> DataFrame:
     """df with the decoded unsigned samples of its FLAC column; null gives null, a damaged file raises."""
+    df = small_batches(df)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -521,20 +524,14 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each; null ids stay null; an empty table gives no rows; other columns are not read. Media are
     never kept for more than a batch.
     """
-    stored = encode_column(text_payload(docs, id_col, text_col)).select("doc_id", "n_bytes", "media")
-    read = decode_column(stored)
-
-    @F.pandas_udf("string")
-    def describe(payload: pd.Series) -> pd.Series:
-        return payload.map(features)
-
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("pcm").cast("long").alias("payload_bytes"),
-        F.sha2("pcm", 256).alias("payload_sha256"),
-        F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        describe("pcm").alias("feature"),
-    )
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, payloads = [], list(batch)
+            for lo, hi in _groups(payloads):
+                media = encode(payloads[lo:hi])
+                for m, p in zip(media, decode(media), strict=True):
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(p)))
+            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return text_payload(small_batches(docs), id_col, text_col).select("doc_id", "n_bytes", stored("payload").alias("s")).select("doc_id", "n_bytes", "s.*")
