@@ -113,7 +113,7 @@ def _merged(spark, sf):
 
 
 def t13_to_source(spark, sf):
-    outs = events(spark, sf).select("rec", "event_id", (F.col("t") * 0.3).alias("o"))
+    outs = events(spark, sf).select("rec", "event_id", (F.col("t") * 0.3123456789).alias("o"))
     return c.output_to_source(outs, _merged(spark, sf)).select("rec", "event_id", r("src"))
 
 
@@ -182,7 +182,7 @@ ORACLE = {
     "t13_to_output": f"""WITH {_KM}, j AS (SELECT ev.rec, event_id, t, s, e, o, final FROM ev ASOF LEFT JOIN ko ON ko.rec = ev.rec AND ev.t >= ko.s),
         x AS (SELECT *, CASE WHEN t < e OR (final AND t = e) THEN o + t - s END AS out FROM j)
         SELECT rec, event_id, round(out, 6) AS out, round(coalesce(out, o + e - s, 0), 6) AS seam FROM x""",
-    "t13_to_source": f"""WITH {_KM}, q AS (SELECT rec, event_id, t * 0.3 AS q FROM ev), j AS (SELECT q.rec, event_id, q, s, e, o FROM q ASOF LEFT JOIN ko ON ko.rec = q.rec AND q.q >= ko.o)
+    "t13_to_source": f"""WITH {_KM}, q AS (SELECT rec, event_id, t * 0.3123456789 AS q FROM ev), j AS (SELECT q.rec, event_id, q, s, e, o FROM q ASOF LEFT JOIN ko ON ko.rec = q.rec AND q.q >= ko.o)
         SELECT rec, event_id, round(CASE WHEN s + q - o <= e THEN s + q - o END, 6) AS src FROM j""",
     "t13_ranges": f"""WITH {_KM}, g AS (SELECT rec, event_id, t AS s, t + 50000 AS e FROM ev WHERE event_type = 'click')
         SELECT g.rec, event_id, round(greatest(g.s, ko.s) + o - ko.s, 6) AS start, round(least(g.e, ko.e) + o - ko.s, 6) AS "end" FROM g JOIN ko ON g.rec = ko.rec AND g.s < ko.e AND ko.s < g.e""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import clocks, gaps, intervals, runs
+from .queries import breaks, clocks, gaps, intervals, runs
 
-FLAGSHIP = "i1_merge"
-_MODULES = (intervals, gaps, runs, clocks)
+FLAGSHIP = "d3_break_blocks"
+_MODULES = (intervals, gaps, runs, clocks, breaks)
 QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
