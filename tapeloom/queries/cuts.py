@@ -86,7 +86,7 @@ def p9_size(spark, sf):
 
 def p10_weight(spark, sf):
     tracks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rec"), F.col("l_extendedprice").alias("rate"))
-    recs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rec"), F.col("o_totalprice").alias("video_rate"), F.when(F.col("o_orderstatus") == "F", 1.07).alias("share"))
+    recs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rec"), F.col("o_totalprice").alias("video_rate"), F.when(F.col("o_orderstatus") == "F", 1.0712345).alias("share"))
     return p.stream_weight(recs, tracks).select("rec", r("weight"))
 
 
@@ -182,7 +182,7 @@ ORACLE = {
     "p8_move": f"""WITH {_PT}, x AS (SELECT rg.*, d, rec % 2 = 0 AS vr, {_NEAR.format(t='rg.s', x='rg')} AS p1, {_NEAR.format(t='rg.e', x='rg')} AS p2 FROM rg JOIN vd USING (rec)),
         y AS (SELECT *, p1 + round((s - p1) / 1000.0) * 1000.0 AS g1, p2 + round((e - p2) / 1000.0) * 1000.0 AS g2 FROM x)
         SELECT rec, id, round(CASE WHEN NOT vr AND abs(s - g1) <= 120 AND s < d - 500 THEN g1 - 120 ELSE s END, 6) AS start, round(CASE WHEN NOT vr AND abs(e - g2) <= 120 AND e < d - 500 THEN g2 - 120 ELSE e END, 6) AS "end" FROM y""",
-    "p10_weight": """SELECT o_orderkey AS rec, round((o_totalprice + coalesce((SELECT sum(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey), 0) * 1.2) / 8 * CASE WHEN o_orderstatus = 'F' THEN 1.07 ELSE 1 END, 6) AS weight FROM orders""",
+    "p10_weight": """SELECT o_orderkey AS rec, round((o_totalprice + coalesce((SELECT sum(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey), 0) * 1.2) / 8 * CASE WHEN o_orderstatus = 'F' THEN 1.0712345 ELSE 1 END, 6) AS weight FROM orders""",
     "p11_timeline": f"""WITH {EV}, c AS (SELECT rec, event_id AS n, value * 10 AS len, event_type = 'view' AS ov, greatest(least(value / 10 - 4, 30.0), 0.0) AS d FROM ev),
         t AS (SELECT *, CASE WHEN lead(n) OVER (PARTITION BY rec ORDER BY n) IS NULL THEN 0 WHEN ov THEN d ELSE d / 2 END AS ta FROM c)
         SELECT rec, n, round(coalesce(lag(ta) OVER w, 0), 6) AS takes_before, round(ta, 6) AS takes_after, round(coalesce(sum(len - CASE WHEN ov THEN ta ELSE 0 END) OVER (PARTITION BY rec ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS out_start FROM t WINDOW w AS (PARTITION BY rec ORDER BY n)""",
