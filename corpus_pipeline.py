@@ -41,7 +41,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of each document, and whether they decode to its text."""
     codec = bpe_codec(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", text.alias("text"), codec.encode(text).alias("ids")).withColumn("decoded", codec.decode("ids"))
+    coded = docs.select("doc_id", text.alias("text"), codec.both(text).alias("c")).select("doc_id", "text", "c.*")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.encode("text", "UTF-8")).alias("lossless"))
 
 

@@ -16,10 +16,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Texts are handled in blocks of about so many characters (a longer text is a block of its own).
-BLOCK_CHARS = 4_000_000
-#: A worker's memo of encoded words is emptied when it holds so many.
-MEMO_WORDS = 400_000
+BLOCK_CHARS = 1_500_000
+#: A worker's memo of encoded words has two generations of so many words; words in use move to the younger one.
+MEMO_WORDS = 120_000
 #: Words of more bytes contract all places of their least pair in a step, not the leftmost alone.
 LONG_BYTES = 96
 
@@ -96,8 +98,9 @@ class Engine:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.any_words, self.latin_words = ranks, regex.compile(pattern), latin_pattern(pattern)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         left, right, whole = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -144,8 +147,11 @@ class Engine:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.learn(sorted(set(chain.from_iterable(split)) - self.memo.keys()))
+            self.older, self.memo = self.memo, {}
+        new = set(chain.from_iterable(split)) - self.memo.keys()
+        known = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in known)
+        self.learn(sorted(new - known))
         return [np.fromiter(chain.from_iterable(map(self.memo.__getitem__, s)), np.int32) for s in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -202,6 +208,22 @@ class Codec:
 
         return run(text)
 
+    def both(self, text: str | F.Column):
+        """struct<ids, decoded>: whole texts encoded, and their ids decoded again, in one pass of a worker."""
+        ranks, pattern, key = self.ranks, self.pattern, self.key
+
+        @F.pandas_udf("ids array<int>, decoded binary")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                engine = _engine(ranks.value, pattern, key)
+                texts, ids, raw = [t or "" for t in batch], [], []
+                for lo, hi in _blocks([len(t) for t in texts], BLOCK_CHARS):
+                    ids += engine.encode(texts[lo:hi])
+                    raw += engine.decode(ids[lo:hi])
+                yield pd.DataFrame({"ids": ids, "decoded": raw})
+
+        return run(text)
+
     def decode(self, ids: str | F.Column):
         """binary of the bytes of array<int> ids; null gives null, an id beyond the vocabulary gives nothing."""
         ranks, pattern, key = self.ranks, self.pattern, self.key
@@ -222,12 +244,13 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
 
     Rows that repeat and null ids give a row each; an empty table gives none; other columns are not read.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), codec.encode(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("ids"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), codec.encode(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("ids"))
 
 
 def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts encoded, and the ids decoded again."""
-    coded = encode_documents(docs, codec, id_col, text_col).withColumn("decoded", codec.decode("ids"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    coded = small_batches(docs).select(F.col(id_col).alias("doc_id"), codec.both(text).alias("c")).select("doc_id", "c.*")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
