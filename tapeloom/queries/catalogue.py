@@ -80,7 +80,7 @@ def m4_began(spark, sf):
     text = F.concat_ws("-", F.lit("2024"), (k % 14).cast("string"), (k % 33).cast("string"))
     text = F.concat(text, F.lit(" "), (k % 25).cast("string"), F.lit(":"), (k % 61).cast("string"), F.when(k % 2 == 0, ":5").otherwise(""))
     b = titles.parse_began(text)
-    return o.select("o_orderkey", *[b[c].alias(c) for c in ("month", "day", "hour", "minute", "second")])
+    return o.select("o_orderkey", *[F.coalesce(b[c], F.lit(-1)).alias(c) for c in ("month", "day", "hour", "minute", "second")])
 
 
 def _sections(spark, sf):
@@ -99,7 +99,7 @@ def m6_summary(spark, sf):
 
 def m6_events_at(spark, sf):
     s = events(spark, sf)
-    return cat.events_at(s.filter("event_type = 'click'").select("rec", F.col("event_id").alias("id"), "t"), s.filter("event_type = 'view'"), "rec").select("rec", "id", "event_id")
+    return cat.events_at(s.filter("event_type = 'click'").select("rec", F.col("event_id").alias("id"), "t"), s.filter("event_type = 'view'"), "rec").select("rec", "id", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
 
 
 def m6_own_schedule(spark, sf):
@@ -139,7 +139,7 @@ def _track_diffs(spark, sf):
 
 
 def m8_tracks(spark, sf):
-    return _track_diffs(spark, sf)
+    return _track_diffs(spark, sf).fillna(0, ["track"])
 
 
 def m9_actions(spark, sf):
@@ -285,15 +285,15 @@ ORACLE = {
         SELECT g AS "group", CASE WHEN own AND n = 1 THEN NULL WHEN own THEN NULL WHEN g % 3 = 1 THEN CASE WHEN kinds = 1 AND nums = 0 THEN 'Ｓｅａ' ELSE 'Ｓｅａ' END ELSE base END AS title FROM s""",
     "m3_channel": "SELECT p_partkey, (CASE WHEN p_partkey BETWEEN 100 AND 999 THEN p_partkey WHEN p_partkey >= 1000 AND p_size > 10 THEN p_size * 10 + (p_partkey & 7) + 1 ELSE 0 END)::BIGINT AS channel FROM part",
     "m4_began": """WITH x AS (SELECT o_orderkey, o_orderkey % 14 AS mo, o_orderkey % 33 AS d, o_orderkey % 25 AS h, o_orderkey % 61 AS mi, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 0 END AS s FROM orders), y AS (SELECT *, mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h < 24 AND mi < 60 AS ok FROM x)
-        SELECT o_orderkey, CASE WHEN ok THEN mo END::INTEGER AS month, CASE WHEN ok THEN d END::INTEGER AS day, CASE WHEN ok THEN h END::INTEGER AS hour, CASE WHEN ok THEN mi END::INTEGER AS minute, CASE WHEN ok THEN s END::INTEGER AS second FROM y""",
+        SELECT o_orderkey, CASE WHEN ok THEN mo ELSE -1 END::INTEGER AS month, CASE WHEN ok THEN d ELSE -1 END::INTEGER AS day, CASE WHEN ok THEN h ELSE -1 END::INTEGER AS hour, CASE WHEN ok THEN mi ELSE -1 END::INTEGER AS minute, CASE WHEN ok THEN s ELSE -1 END::INTEGER AS second FROM y""",
     "m5_latest_sections": f"""WITH {_SEC}, c AS (SELECT *, max(ver) OVER (PARTITION BY rec, table_id, service_id) AS lv FROM se WHERE cur)
         SELECT rec, table_id, service_id, section_no, event_id FROM (SELECT *, row_number() OVER (PARTITION BY rec, table_id, service_id, section_no ORDER BY t DESC) AS i FROM c WHERE ver = lv) WHERE i = 1""",
     "m6_summary": f"""WITH {EV} SELECT rec, arg_min(event_type, t) FILTER (value > 100 AND event_type NOT IN ('view', 'click')) AS name, arg_min(round(value, 2), t) FILTER (value > 300) AS number, arg_min(event_id, t) FILTER (value < 50) AS ran FROM ev GROUP BY rec""",
-    "m6_events_at": f"WITH {EV} SELECT c.rec, c.event_id AS id, v.event_id FROM (SELECT * FROM ev WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') v ON v.rec = c.rec AND c.t >= v.t",
+    "m6_events_at": f"WITH {EV} SELECT c.rec, c.event_id AS id, coalesce(v.event_id, -1) AS event_id FROM (SELECT * FROM ev WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') v ON v.rec = c.rec AND c.t >= v.t",
     "m6_own_schedule": f"WITH {_SEC} SELECT rec, event_id, table_id FROM se WHERE table_id BETWEEN 80 AND 95 AND service_id = 'view'",
     "m7_sound_names": f"""WITH {EV}, h AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY event_type <> 'purchase', event_id) AS i FROM ev WHERE (value > 250) = (rec % 2 = 0)) SELECT rec, event_id AS n, 'd' || event_id AS description FROM h WHERE i = 1""",
     "m8_conform": f"WITH {_DF} SELECT rec, what, master, theirs FROM df",
-    "m8_tracks": f"WITH {_TD} SELECT rec, track, what FROM td",
+    "m8_tracks": f"WITH {_TD} SELECT rec, coalesce(track, 0)::INTEGER AS track, what FROM td",
     "m9_actions": f"""WITH {_DF}, {_TD}, a AS (SELECT rec, list_sort(list(DISTINCT track)) AS l FROM td WHERE track IS NOT NULL GROUP BY rec), w AS (SELECT rec, bool_or(what <> 'scan') AS video FROM df GROUP BY rec)
         SELECT rec, coalesce(video, false) AS video, coalesce(len(l), 0)::INTEGER AS n_audio, coalesce(array_to_string(l, ','), '') AS audio FROM w FULL JOIN a USING (rec)""",
     "m10_container": f"""WITH x AS (SELECT {_sql_pick('l_partkey', CODECS)} AS codec, {_sql_pick('l_suppkey', FAMILIES)} AS family FROM lineitem)
