@@ -13,7 +13,7 @@ _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 #: Bytes of words: ASCII letters and digits, and every byte of a character beyond ASCII.
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 #: Texts are handled in blocks of about so many bytes (a longer text is a block of its own).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

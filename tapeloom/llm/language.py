@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder
+from .common import hash_sample, remainder, small_batches
 from .features import bags, mean_scores
 
 SIZES, BITS = (1, 2, 3), 16
@@ -110,5 +110,5 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             names = np.array([*langs, "und"], object)[np.where(known, best, len(langs))]
             yield pd.DataFrame({"lang_pred": names, "score": np.where(known, share, 0.0), "ambiguous": ~known | (lead < LEAD)})
 
-    found = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
+    found = small_batches(docs).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
     return found.select("doc_id", "held_out", "p.*")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Order of the kinds among spans that start at one place; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -125,7 +127,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t or "", cues)] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInPandas(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
@@ -154,5 +156,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts.append("".join([*parts, t[end:]]) if t is not None else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInPandas(run, source.schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder
+from .common import hash_sample, remainder, small_batches
 from .features import bags, mean_scores
 
 SIZES, BITS, DIM = (3, 4), 16, 12
@@ -81,7 +81,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     """
     spark = docs.sparkSession
     score = quality_score(spark, fit(spark, docs, labels, sample))
-    scored = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    scored = small_batches(docs).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
 
 
@@ -89,5 +89,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     """The rows of docs, with all their columns, whose score is KEEP or more."""
     spark = docs.sparkSession
     score = quality_score(spark, fit(spark, docs, labels, sample), "row.text")
-    scored = docs.select(F.struct("*").alias("row")).withColumn("score", score)
+    scored = small_batches(docs).select(F.struct("*").alias("row")).withColumn("score", score)
     return scored.filter(F.col("score") >= KEEP).select("row.*")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder
+from .common import hash_sample, remainder, small_batches
 from .hashing import blocks, mix, words
 
 BITS = 18
@@ -130,5 +130,5 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is an input of the score. An empty table gives no rows.
     """
     score = toxicity_score(docs.sparkSession, fit(docs, labels))
-    scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score.alias("score"))
+    scored = small_batches(docs).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
