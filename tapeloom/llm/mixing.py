@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, located, materialise, maybe_broadcast
 
-#: Word buckets of the classifier: the bound on the rows of its table, which is broadcast.
-BUCKETS = 65536
-#: The bound on labelled documents of each domain that the classifier counts, and on domains.
-SAMPLE, DOMAINS = 4000, 8
+#: Word buckets, and the bound on those that the classifier keeps; its table has as many rows and is broadcast.
+BUCKETS, FEATURES = 65536, 256
+#: The bound on labelled documents of each domain that are learnt, and on domains.
+SAMPLE, DOMAINS = 3000, 8
 #: Posteriors are kept in steps of 1/GRID, so that documents of equal posteriors share a row while rates are fitted.
 GRID = 64
-Z, TEMPER = 5.0, 1.0
+#: Deviations from a fair share that make a word a sign of a domain; rounds and weight decay of the regression.
+Z, STEPS, DECAY = 5.0, 30, 1e-4
 ROUNDS, TOLERANCE = 40, 1e-4
 
 
@@ -28,43 +29,77 @@ def _words(text: str):
     return F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def _bucket(word: str):
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int").alias("bucket")
+def _bucket(word):
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _summed(places: str, weights):
+    return F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+
+
+def _signs(rows: DataFrame, k: int) -> list[int]:
+    """The FEATURES buckets whose count in some domain is furthest from a fair share of all domains' words."""
+    counts = materialise(rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.sum((F.col("domain") == i).cast("double")).alias(f"n{i}") for i in range(k)]), "mix-counts")
+    sums = counts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]).first()
+    n = [float(sums[f"n{i}"] or 0.0) for i in range(k)]
+    total = sum(F.col(f"n{i}") for i in range(k))
+    fair = [total * (x / max(sum(n), 1.0)) for x in n]
+    z = [F.abs(F.col(f"n{i}") - f) / F.sqrt(F.greatest(f, F.lit(0.5))) for i, f in enumerate(fair)]
+    far = F.greatest(*z) if k > 1 else z[0]
+    best = counts.withColumn("z", far).filter((F.col("z") >= Z) & (total >= 5)).orderBy(F.desc("z"), "bucket").limit(FEATURES)
+    return sorted(r[0] for r in best.select("bucket").collect())
 
 
 def fit_domains(docs: DataFrame, known: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list[float]]:
-    """Naive Bayes over the words that tell domains apart: (bucket and a log share for each domain, log priors).
+    """Softmax regression over the words that tell domains apart: (bucket and a weight for each domain, biases).
 
-    Of each domain a hash sample of about `sample` labelled documents is counted. A bucket is kept
-    if for some domain its share of documents differs from that of the others by Z deviations.
+    Of each domain a hash sample of about `sample` labelled documents is learnt, each text once.
+    Spark sums the gradient over the sample in each of STEPS rounds, one row a feature; the driver
+    holds FEATURES weights a domain. Biases are set to the domains' shares among all labels.
     """
+    spark, k = docs.sparkSession, len(domains)
     parts = [hash_sample(known.filter(F.col("domain") == d), "doc_id", sample, "domains") for d in domains]
     ids = parts[0]
     for p in parts[1:]:
         ids = ids.union(p)
-    rows = docs.select("doc_id", F.array_distinct(_words("text")).alias("words")).join(F.broadcast(ids), "doc_id")
-    sizes = dict(rows.groupBy("domain").count().collect())
-    all_known = dict(known.groupBy("domain").count().collect())
-    n = [float(sizes.get(d, 0)) for d in domains]
-    seen = rows.select("domain", F.explode("words").alias("word")).select("domain", _bucket("word"))
-    counts = seen.groupBy("bucket").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"n{i}") for i, d in enumerate(domains)])
-    total = sum(F.col(f"n{i}") for i in range(len(domains)))
-    strong = F.lit(False)
-    for i in range(len(domains)):
-        own, rest = max(n[i], 1.0), max(sum(n) - n[i], 1.0)
-        pooled = total / max(sum(n), 1.0)
-        z = (F.col(f"n{i}") / own - (total - F.col(f"n{i}")) / rest) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-6)) * (1 / own + 1 / rest))
-        strong = strong | (F.abs(z) >= Z)
-    weights = counts.filter(strong & (total >= 5)).select("bucket", *[F.log((F.col(f"n{i}") + 0.5) / (n[i] + 1)).alias(f"w{i}") for i in range(len(domains))])
-    every = sum(all_known.get(d, 0) for d in domains)
-    priors = [float(np.log((all_known.get(d, 0) + 1) / (every + len(domains)))) for d in domains]
-    return materialise(weights, "mix-weights"), priors
+    number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")) - 1
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # copies of one text would vouch for each of its words, so that each text of the sample counts once
+    rows = rows.groupBy(F.xxhash64("text").alias("key"), number.cast("int").alias("domain")).agg(F.first("text").alias("text"))
+    rows = materialise(rows.select("domain", F.array_distinct(F.transform(_words("text"), _bucket)).alias("buckets")), "mix-sample")
+    known_rows = dict(known.groupBy("domain").count().collect())
+    share = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    total, features = sum(share.values()), _signs(rows, k)
+    every = sum(known_rows.get(d, 0) for d in domains)
+    prior = np.log([(known_rows.get(d, 0) + 1) / (every + k) for d in domains]) - np.log([(share.get(i, 0) + 1) / (total + k) for i in range(k)])
+    weight = np.zeros((k, len(features) + 1))
+    if features and total:
+        listed = F.expr(f"array({', '.join(map(str, features))})")
+        held = F.transform(F.array_intersect("buckets", listed), lambda x: F.array_position(listed, x).cast("int"))
+        train = materialise(rows.select("domain", F.concat(F.array(F.lit(0)), held).alias("f")), "mix-train")
+        first, second = np.zeros_like(weight), np.zeros_like(weight)
+        for step in range(1, STEPS + 1):
+            line = [F.expr("array(" + ", ".join(f"{x:.9f}D" for x in w) + ")") for w in weight]
+            z = [_summed("f", w) for w in line]
+            scored = train.select("domain", "f", *[x.alias(f"z{i}") for i, x in enumerate(z)])
+            top = F.greatest(*[F.col(f"z{i}") for i in range(k)]) if k > 1 else F.col("z0")
+            whole = sum(F.exp(F.col(f"z{i}") - top) for i in range(k))
+            off = [(F.exp(F.col(f"z{i}") - top) / whole - (F.col("domain") == i).cast("double")).alias(f"e{i}") for i in range(k)]
+            sums = scored.select(F.explode("f").alias("i"), *off).groupBy("i").agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(k)])
+            slope = DECAY * weight
+            for r in sums.collect():  # one row a feature
+                slope[:, r["i"]] += np.round([r[f"e{i}"] / total for i in range(k)], 12)
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            weight -= 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+    values = [f"({b}, {', '.join(f'{x:.9f}D' for x in weight[:, i + 1])})" for i, b in enumerate(features)] or [f"(-1, {', '.join(['0.0D'] * k)})"]
+    table = spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t(bucket, {', '.join(f'w{i}' for i in range(k))})")
+    return table, [float(x) for x in weight[:, 0] + prior]
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, loc_file, loc_row, n_tokens, p0, p1, ...`` for every row.
 
-    The words of each document meet the weight table (at most BUCKETS rows, broadcast) and are
+    The words of each document meet the weight table (at most FEATURES rows, broadcast) and are
     summed per document within tasks; a document's own row holds its place if no word is in the table.
     """
     k = len(priors)
@@ -74,7 +109,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col:
     each = words.select("doc_id", "loc_file", "loc_row", F.explode(F.array_distinct("words")).alias("word")).withColumn("bucket", _bucket("word"))
     told = each.join(F.broadcast(weights), "bucket").select("doc_id", "loc_file", "loc_row", F.lit(0).cast("long").alias("n_tokens"), *[f"w{i}" for i in range(k)])
     sums = own.unionByName(told).groupBy("loc_file", "loc_row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), *[F.round(F.sum(f"w{i}"), 6).alias(f"w{i}") for i in range(k)])
-    logit = [F.lit(TEMPER) * (F.col(f"w{i}") + F.lit(priors[i])) for i in range(k)]
+    logit = [F.col(f"w{i}") + F.lit(priors[i]) for i in range(k)]
     sums = sums.select("*", *[x.alias(f"z{i}") for i, x in enumerate(logit)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(k)]) if k > 1 else F.col("z0")
     sums = sums.select("*", *[F.exp(F.col(f"z{i}") - top).alias(f"e{i}") for i in range(k)])
@@ -143,7 +178,7 @@ def mix(
 ) -> DataFrame:
     """Rates at which to take documents so that expected domain tokens match target weights.
 
-    A naive Bayes classifier learnt from the labels table gives each document its posteriors over
+    A softmax regression learnt from the labels table gives each document its posteriors over
     the domains of `shares` (label_domains; tokens are words between white space). Rates r in
     [0, most] make sum(r * tokens * posterior) as near as can be to share * total for each domain;
     without `total` the first domain keeps all its tokens. ``copies`` is the rate rounded up or down by
