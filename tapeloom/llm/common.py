@@ -51,6 +51,15 @@ def located(df: DataFrame, *columns) -> DataFrame:
         return materialise(plain, "located").select("*", *locator)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df if it is a plain scan of files, so that its locators are the same in every plan; else a stored copy of it."""
+    try:
+        df.select(F.col("_metadata.row_index")).schema  # noqa: B018
+        return df
+    except AnalysisException:
+        return materialise(df, "stored")
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if its counted rows are within BROADCAST_ROWS; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

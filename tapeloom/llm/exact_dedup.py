@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, materialise, maybe_broadcast, shared_path
+from .common import located, materialise, maybe_broadcast, shared_path, stored
 
 #: Deletes what the equality of texts ignores: space and the control characters from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -101,7 +101,7 @@ def exact_dedup(
     are not read. digest_bits below 256 is for tests of the check on full bytes.
     Columns: ``doc_id, keep_id, group_size, kept, text_sha256, loc_file, loc_row``.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stored(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = shared_path(spark, "dedup-keys")
     content_keys(docs, id_col, text_col, digest_bits).write.parquet(path)
@@ -132,6 +132,7 @@ def exact_dedup(
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
+    docs = stored(docs)
     found = exact_dedup(docs, id_col, text_col)
     dropped = materialise(found.filter("not kept").select("loc_file", "loc_row"), "dedup-dropped")
     rows = located(docs, F.struct("*").alias("row"))

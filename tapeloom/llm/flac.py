@@ -366,7 +366,7 @@ def _residuals(r: _Reader, rows: np.ndarray, first: np.ndarray, samples: np.ndar
     due = np.unique(np.concatenate([first, *(np.arange(p, n, p) for p, n in set(zip(part.tolist(), samples.tolist(), strict=True)) if p)]))
     settled, low_shift, fast = int(first.max()), 63 - k, False
     one, top_half = np.uint64(1), np.uint64(32)
-    for i, n in enumerate(live[: len(out)]):
+    for i, n in enumerate(live[: int(samples[0])]):
         if len(due) and i == due[0]:
             due = due[1:]
             fresh = np.flatnonzero((i >= first) & ((i == first) | (i % part == 0)) & (i < samples))

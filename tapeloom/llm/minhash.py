@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import located, materialise, maybe_broadcast, small_batches
+from .common import located, materialise, maybe_broadcast, small_batches, stored
 
 #: 32 bands of 8 coordinates: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 1 - 1e-8.
 BANDS, ROWS = 32, 8
@@ -235,6 +235,7 @@ def near_duplicates(
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs of which near_duplicates keeps one for each class, with all their columns."""
+    docs = stored(docs)
     found = near_duplicates(docs, id_col, text_col, **options)
     dropped = materialise(found.filter("not kept").select("loc_file", "loc_row"), "near-dropped")
     rows = located(docs, F.struct("*").alias("row"))

@@ -203,7 +203,10 @@ def mix(
 
 
 def take_mixture(docs: DataFrame, mixture: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as mixture's copies say (0 drops it), with all their columns."""
+    """The rows of docs, each as often as mixture's copies say (0 drops it), with all their columns.
+
+    docs is the frame that mix() was given, as read from files (common.stored() makes any frame so).
+    """
     changed = materialise(mixture.filter("copies <> 1").select("loc_file", "loc_row", "copies"), "mix-copies")
     rows = located(docs, F.struct("*").alias("row")).join(maybe_broadcast(changed, changed.count()), ["loc_file", "loc_row"], "left")
     times = F.coalesce("copies", F.lit(1))
