@@ -65,7 +65,7 @@ def m1_series_title(spark, sf):
 
 
 def m2_shared_title(spark, sf):
-    c = table(spark, sf, "customer").select((F.col("c_custkey") % 200).alias("group"), F.col("c_custkey").alias("n"), F.concat(_pick(F.col("c_custkey") % 200, ("Sea", "Ｓｅａ", "Hill ")), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(""), F.when(F.col("c_custkey") % 200 < 5, F.col("c_name")).otherwise("")).alias("name"))
+    c = table(spark, sf, "customer").select((F.col("c_custkey") % 10).alias("group"), F.col("c_custkey").alias("n"), F.concat(_pick(F.col("c_custkey") % 10, ("Sea", "Ｓｅａ", "Hill ")), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(""), F.when(F.col("c_custkey") % 10 < 2, F.col("c_name")).otherwise("")).alias("name"))
     return cat.shared_title(c)
 
 
@@ -280,7 +280,7 @@ ORACLE = {
         x AS (SELECT *, bytes <= usable AS fits, CASE WHEN video_bytes > 0 THEN greatest(usable - (bytes - video_bytes), 0) / video_bytes ELSE 0 END AS raw FROM d)
         SELECT disc, name, bytes, video_bytes, usable, fits, round(CASE WHEN fits THEN 1 ELSE least(1, raw) END, 6) AS share, fits OR raw >= 0.35 AS reachable FROM x""",
     "m1_series_title": "SELECT c_custkey, replace(c_name, '#', ' No') AS title FROM customer",
-    "m2_shared_title": """WITH c AS (SELECT c_custkey % 200 AS g, c_custkey AS n, ['Sea', 'Sea', 'Hill'][(c_custkey % 200 % 3 + 1)::INTEGER] AS base, c_custkey % 200 < 5 AS own, c_custkey % 3 = 0 AS num, c_name FROM customer),
+    "m2_shared_title": """WITH c AS (SELECT c_custkey % 10 AS g, c_custkey AS n, ['Sea', 'Sea', 'Hill'][(c_custkey % 10 % 3 + 1)::INTEGER] AS base, c_custkey % 10 < 2 AS own, c_custkey % 3 = 0 AS num, c_name FROM customer),
         s AS (SELECT g, count(*) AS n, bool_or(own) AS own, count(DISTINCT CASE WHEN num THEN n ELSE -1 END) AS kinds, count(*) FILTER (num) AS nums, min(n) AS first, any_value(base) AS base, min(c_name) AS cn FROM c GROUP BY g)
         SELECT g AS "group", CASE WHEN own AND n = 1 THEN NULL WHEN own THEN NULL WHEN g % 3 = 1 THEN CASE WHEN kinds = 1 AND nums = 0 THEN 'Ｓｅａ' ELSE 'Ｓｅａ' END ELSE base END AS title FROM s""",
     "m3_channel": "SELECT p_partkey, (CASE WHEN p_partkey BETWEEN 100 AND 999 THEN p_partkey WHEN p_partkey >= 1000 AND p_size > 10 THEN p_size * 10 + (p_partkey & 7) + 1 ELSE 0 END)::BIGINT AS channel FROM part",
