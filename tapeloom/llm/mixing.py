@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,12 @@ from .common import hash_sample, located, materialise, maybe_broadcast
 BUCKETS, FEATURES = 65536, 256
 #: The bound on labelled documents of each domain that are learnt, and on domains.
 SAMPLE, DOMAINS = 3000, 8
-#: Posteriors are kept in steps of 1/GRID, so that documents of equal posteriors share a row while rates are fitted.
-GRID = 64
 #: Deviations from a fair share that make a word a sign of a domain; rounds and weight decay of the regression.
 Z, STEPS, DECAY = 5.0, 30, 1e-4
 ROUNDS, TOLERANCE = 40, 1e-4
 
+log = logging.getLogger(__name__)
+
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """``doc_id, domain`` of the labels table: toxic, or else good or poor."""
@@ -101,6 +103,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col:
 
     The words of each document meet the weight table (at most FEATURES rows, broadcast) and are
     summed per document within tasks; a document's own row holds its place if no word is in the table.
+    Weights have nine decimals, and so have their sums: rounding takes off no more than the order of adding.
     """
     k = len(priors)
     rows = located(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -108,41 +111,35 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col:
     own = words.select("doc_id", "loc_file", "loc_row", F.size("words").cast("long").alias("n_tokens"), *[F.lit(0.0).alias(f"w{i}") for i in range(k)])
     each = words.select("doc_id", "loc_file", "loc_row", F.explode(F.array_distinct("words")).alias("word")).withColumn("bucket", _bucket("word"))
     told = each.join(F.broadcast(weights), "bucket").select("doc_id", "loc_file", "loc_row", F.lit(0).cast("long").alias("n_tokens"), *[f"w{i}" for i in range(k)])
-    sums = own.unionByName(told).groupBy("loc_file", "loc_row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), *[F.round(F.sum(f"w{i}"), 6).alias(f"w{i}") for i in range(k)])
+    sums = own.unionByName(told).groupBy("loc_file", "loc_row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), *[F.round(F.sum(f"w{i}"), 9).alias(f"w{i}") for i in range(k)])
     logit = [F.col(f"w{i}") + F.lit(priors[i]) for i in range(k)]
     sums = sums.select("*", *[x.alias(f"z{i}") for i, x in enumerate(logit)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(k)]) if k > 1 else F.col("z0")
     sums = sums.select("*", *[F.exp(F.col(f"z{i}") - top).alias(f"e{i}") for i in range(k)])
     whole = sum(F.col(f"e{i}") for i in range(k))
-    steps = [F.floor(F.col(f"e{i}") / whole * GRID + 0.5) for i in range(k - 1)]
-    sums = sums.select("doc_id", "loc_file", "loc_row", "n_tokens", *[s.alias(f"g{i}") for i, s in enumerate(steps)])
-    last = F.greatest(F.lit(GRID) - sum((F.col(f"g{i}") for i in range(k - 1)), F.lit(0)), F.lit(0))
-    sums = sums.withColumn(f"g{k - 1}", last)
-    norm = sum(F.col(f"g{i}") for i in range(k))
-    return sums.select("doc_id", "loc_file", "loc_row", "n_tokens", *[(F.col(f"g{i}") / norm).alias(f"p{i}") for i in range(k)])
+    return sums.select("doc_id", "loc_file", "loc_row", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
 def rate_column(steps: list[list[float]], k: int, most: float):
     """The rate that projected steps give a row of posteriors, from rate 1: after each step it is cut to [0, most]."""
-    if not steps:
-        return F.least(F.lit(1.0), F.lit(float(most)))
-    lam = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda s: sum(F.col(f"p{i}") * s[i] for i in range(k))
-    return F.aggregate(lam, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move(s))))
+    rate = F.least(F.lit(1.0), F.lit(float(most)))
+    for step in steps:
+        move = sum(F.col(f"p{i}") * F.lit(float(step[i])) for i in range(k))
+        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate - move))
+    return rate
 
 
 def fit_rates(soft: DataFrame, k: int, targets: list[float] | None, shares: list[float], most: float) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps of projected-gradient least squares for rates r in [0, most] with sum(r * tokens * p) = targets.
 
     The gradient is scaled by each document's tokens and by the inverse of G = sum(tokens * p p');
-    so scaled, the objective's curvature is 1 at most and a step of 1 never overshoots. A step is
-    the same for documents of equal posteriors, so these share one row of a table of at most
-    (GRID + 1) ** (domains - 1) rows, over which Spark sums each round; the driver sees k numbers.
-    Without targets, `shares` are weighed so that the first domain keeps all its tokens.
+    so scaled, the objective's curvature is 1 at most and a step of 1 never overshoots. Each round
+    is a scan of soft (stored, four columns or so) that follows every row's rate through the steps
+    and sums within tasks; no row is shuffled and the driver sees k numbers. Without targets, `shares` are weighed so that the first domain keeps all its tokens.
     Returns (steps, targets, expected tokens at the end).
     """
     names = [f"p{i}" for i in range(k)]
-    cells = materialise(soft.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("t")), "mix-cells")
+    cells = soft.select(F.col("n_tokens").cast("double").alias("t"), *names)
     gram = cells.agg(*[F.sum(F.col("t") * F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names], *[F.sum(F.col("t") * F.col(a)).alias(f"have_{a}") for a in names]).first()
     g = np.array([[gram[f"{a}{b}"] or 0.0 for b in names] for a in names])
     have = np.array([gram[f"have_{a}"] or 0.0 for a in names])
@@ -155,9 +152,10 @@ def fit_rates(soft: DataFrame, k: int, targets: list[float] | None, shares: list
     for _ in range(ROUNDS):
         if np.abs(expected - goal).max() <= TOLERANCE * max(goal.sum(), 1.0):
             break
-        steps.append([round(float(x), 12) for x in inverse @ (expected - goal)])
+        steps.append([round(float(x), 9) for x in inverse @ (expected - goal)])
         rate = rate_column(steps, k, most)
-        row = cells.agg(*[F.sum(rate * F.col("t") * F.col(a)).alias(f"have_{a}") for a in names]).first()
+        taken = cells.select(*names, (rate * F.col("t")).alias("taken"))
+        row = taken.agg(*[F.sum(F.col("taken") * F.col(a)).alias(f"have_{a}") for a in names]).first()
         moved = np.array([row[f"have_{a}"] for a in names])
         if np.abs(moved - expected).max() <= 1e-5 * max(goal.sum(), 1.0):
             expected = moved
@@ -181,7 +179,8 @@ def mix(
     A softmax regression learnt from the labels table gives each document its posteriors over
     the domains of `shares` (label_domains; tokens are words between white space). Rates r in
     [0, most] make sum(r * tokens * posterior) as near as can be to share * total for each domain;
-    without `total` the first domain keeps all its tokens. ``copies`` is the rate rounded up or down by
+    without `total` the first domain keeps all its tokens. Expected totals and targets are logged, as
+    a warning where they differ (mix_totals gives them as rows). ``copies`` is the rate rounded up or down by
     a seeded hash of the row, with the rate as its mean.
 
     Null and empty texts have no tokens and the posteriors of the prior. Rows that repeat are rows of
@@ -193,7 +192,10 @@ def mix(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     weights, priors = fit_domains(plain, label_domains(labels).filter(F.col("domain").isin(domains)), domains)
     soft = materialise(posteriors(docs, weights, priors, id_col, text_col), "mix-posteriors")
-    steps, _, _ = fit_rates(soft, len(domains), None if total is None else [w * total for w in weight], weight, most)
+    steps, goal, expected = fit_rates(soft, len(domains), None if total is None else [w * total for w in weight], weight, most)
+    missed = max(abs(e - g) for e, g in zip(expected, goal, strict=True)) > TOLERANCE * max(sum(goal), 1.0)
+    told = ", ".join(f"{d} {e:.1f} of {g:.1f}" for d, e, g in zip(domains, expected, goal, strict=True))
+    log.log(logging.WARNING if missed else logging.INFO, "expected tokens of target after %d steps: %s", len(steps), told)
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "loc_file", "loc_row"), F.lit(1 << 30)) / float(1 << 30)
     rated = soft.withColumn("rate", rate_column(steps, len(domains), most))
     return rated.select(
@@ -202,6 +204,20 @@ def mix(
     )
 
 
+def mix_totals(mixture: DataFrame, shares: dict[str, float], total: float | None = None) -> DataFrame:
+    """``domain, target, expected, taken`` of what mix() gave for these shares and total.
+
+    ``expected`` sums the tokens by rate and posterior, ``taken`` by the copies that were drawn.
+    """
+    domains = list(shares)
+    weight = [float(shares[d]) / sum(shares.values()) for d in domains]
+    tokens = {"have": F.col("n_tokens"), "expected": F.col("rate") * F.col("n_tokens"), "taken": F.col("copies") * F.col("n_tokens")}
+    each = [F.coalesce(F.sum(n * F.col(f"p_{d}")), F.lit(0.0)).alias(f"{name}{i}") for name, n in tokens.items() for i, d in enumerate(domains)]
+    whole = F.col("have0") / weight[0] if total is None else F.lit(float(total))
+    row = lambda i, d: F.struct(F.lit(d).alias("domain"), (whole * weight[i]).alias("target"), F.col(f"expected{i}").alias("expected"), F.col(f"taken{i}").alias("taken"))
+    return mixture.agg(*each).select(F.inline(F.array(*[row(i, d) for i, d in enumerate(domains)])))
+
+
 def take_mixture(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     """The rows of docs, each as often as mixture's copies say (0 drops it), with all their columns.
 

@@ -304,6 +304,41 @@ def test_mixing_takes_effect(spark, odd, labels):
     assert taken.columns == odd.columns and taken.count() == mixture.agg(F.sum("copies")).first()[0]
 
 
+def test_faint_posteriors_count_in_full(spark):
+    """A domain that is faint everywhere (posteriors under 1/128) keeps its tokens, and its target is met."""
+    texts = ["a " * (i % 9 + 1) + "b " * (i % 4) + "c " * (i % 3) for i in range(400)]
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    logit = {"a": [0.5, 0.1, -0.4], "b": [-0.3, 0.9, 0.2], "c": [0.2, -0.6, 0.7]}
+    buckets = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in logit], "w string").select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
+    table = spark.createDataFrame([(buckets[w], *z) for w, z in logit.items()], "bucket int, w0 double, w1 double, w2 double")
+    priors = [0.0, -6.0, -1.0]
+    z = np.array([np.sum([logit[w] for w in set(t.split())], axis=0) + priors for t in texts])
+    want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = np.array([len(t.split()) for t in texts])
+    soft = mixing.materialise(mixing.posteriors(docs, table, priors), "test-soft")
+    rows = soft.orderBy("doc_id").toPandas()
+    p = rows[["p0", "p1", "p2"]].to_numpy()
+    assert want[:, 1].max() < 1 / 128 and p == pytest.approx(want, abs=1e-12) and (rows.n_tokens == n).all()
+    goal = list((n @ want) * [1.0, 1.3, 0.8])
+    steps, _, expected = mixing.fit_rates(soft, 3, goal, [], 8.0)
+    rates = np.array([r["rate"] for r in soft.orderBy("doc_id").select(mixing.rate_column(steps, 3, 8.0).alias("rate")).collect()])
+    assert rates * n @ want == pytest.approx(expected, rel=1e-9)
+    assert np.abs(rates * n @ want - goal).max() <= 1e-4 * sum(goal)
+    assert (rates * n @ want)[1] == pytest.approx(goal[1], rel=0.02)
+
+
+def test_mixture_reports_its_totals(spark, odd, labels, caplog):
+    shares = {"good": 0.5, "poor": 0.25, "toxic": 0.25}
+    caplog.set_level("INFO", logger="tapeloom.llm.mixing")
+    mixture = mixing.mix(stored(odd), labels, shares, total=1e9)
+    assert [r.levelname for r in caplog.records if r.name == "tapeloom.llm.mixing"] == ["WARNING"]  # out of reach at most 8 copies a row
+    rows, found = mixture.toPandas(), {r["domain"]: r for r in mixing.mix_totals(mixture, shares, 1e9).collect()}
+    for d in shares:
+        assert found[d]["target"] == 1e9 * shares[d]
+        assert found[d]["expected"] == pytest.approx((rows.rate * rows.n_tokens * rows[f"p_{d}"]).sum())
+        assert found[d]["taken"] == pytest.approx((rows.copies * rows.n_tokens * rows[f"p_{d}"]).sum())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
