@@ -14,7 +14,10 @@ def _hex(column, digits: int):
 
 
 def _streams(spark, sf):
-    """A file for each user: a packet for each event, with its id as the PID and its time as PCR and PTS."""
+    """A file for each user: a packet for each event, with its id as the PID and its time as PCR and PTS.
+
+    Every other event's stream id is FD, and two of three files of five packets or more begin mid-packet.
+    """
     ev = events(spark, sf).withColumn("pid", F.pmod("event_id", F.lit(8000))).withColumn("ticks", F.floor(F.col("t") * 1000))
     base = F.col("ticks")
     b4 = F.shiftright(base, 1)
@@ -22,15 +25,17 @@ def _streams(spark, sf):
     p = lambda c: c
     pts = [F.lit(0x21).bitwiseOR(F.shiftleft(F.shiftright(base, 30).bitwiseAND(7), 1)), F.shiftright(base, 22).bitwiseAND(255), F.shiftleft(F.shiftright(base, 15).bitwiseAND(127), 1).bitwiseOR(F.lit(1)), F.shiftright(base, 7).bitwiseAND(255), F.shiftleft(base.bitwiseAND(127), 1).bitwiseOR(F.lit(1))]
     unit = F.when(F.col("value") > 250, 0x40).otherwise(0)
-    parts = [F.lit("47"), _hex(unit.bitwiseOR(F.shiftright("pid", 8)), 2), _hex(F.col("pid").bitwiseAND(255), 2), F.lit("30"), F.lit("07"), F.lit("10"), _hex(p(b4), 8), _hex(last, 4), F.lit("000001E0000080800A"), *[_hex(x, 2) for x in pts]]
+    parts = [F.lit("47"), _hex(unit.bitwiseOR(F.shiftright("pid", 8)), 2), _hex(F.col("pid").bitwiseAND(255), 2), F.lit("30"), F.lit("07"), F.lit("10"), _hex(p(b4), 8), _hex(last, 4), F.when(F.col("event_id") % 2 == 0, "000001FD000080800A").otherwise("000001E0000080800A"), *[_hex(x, 2) for x in pts]]
     text = F.rpad(F.concat(*parts), 376, "0")
     rows = ev.withColumn("packet", text)
     joined = rows.groupBy("rec").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("event_id", "packet"))), lambda x: x["packet"])).alias("h"))
-    return joined.select("rec", F.unhex("h").alias("content"))
+    ahead = F.when(F.length("h") >= 5 * 376, F.pmod("rec", F.lit(3)) * 50).otherwise(0).cast("int")
+    return joined.select("rec", F.unhex(F.concat(F.repeat(F.lit("0B"), ahead), "h")).alias("content"))
 
 
 def s1_packets(spark, sf):
-    return a.packets_from_bytes(_streams(spark, sf)).select("rec", "seq", "pos", "pid", "unit_start", "pcr", F.coalesce("pts", F.lit(-1)).alias("pts"))
+    found = a.packets_from_bytes(_streams(spark, sf)).withColumn("pos", F.col("pos") - F.pmod("pos", F.lit(188)))  # less the bytes ahead
+    return found.select("rec", "seq", "pos", "pid", "unit_start", "pcr", F.coalesce("pts", F.lit(-1)).alias("pts"))
 
 
 def s2_mark_list(spark, sf):

@@ -155,3 +155,25 @@ def test_m2ts_stride_is_found(spark):
     files = spark.createDataFrame([("ts", bytearray(packet * 6)), ("m2ts", bytearray((b"\1\2\3\4" + packet) * 6)), ("none", bytearray(1000))], "rec string, content binary")
     found = archive.packets_from_bytes(files).groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("pid"), F.max("pos").alias("pos"))
     assert got(found, "rec") == [("m2ts", 6, 17, 960), ("ts", 6, 17, 940)]
+
+
+def test_packets_of_recordings_that_begin_mid_packet(spark):
+    def packet(n, stream):
+        return bytes([0x47, 0x40, n, 0x10, 0, 0, 1, stream, 0, 0, 0x80, 0x80, 5, 0x21, 0, 1, 0, 2 * n + 1]) + bytes(170)
+
+    def late(n, copy):
+        return bytes([copy, 0x47 if copy == 0x47 else 0, 0, n])
+
+    plain = b"".join(packet(n, 0xFD if n % 2 else 0xE0) for n in range(1, 9))
+    timed = b"".join(late(n, 0x00) + packet(n, 0xE0) for n in range(1, 9))
+    marked = b"".join(late(n, 0x47) + packet(n, 0xE0) for n in range(1, 9))
+    files = {"aligned": plain, "mid": bytes(100) + plain, "far": bytes(1400) + plain, "timed": timed, "timed_mid": bytes(77) + timed, "marked": marked, "marked_mid": bytes(77) + marked, "beyond": bytes(1504) + plain}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "rec string, content binary")
+    rows = {}
+    for r in archive.packets_from_bytes(df).orderBy("rec", "seq").collect():
+        rows.setdefault(r["rec"], []).append((r["pos"], r["pid"], r["pts"]))
+    ahead = {"aligned": 0, "mid": 100, "far": 1400, "timed": 0, "timed_mid": 77, "marked": 0, "marked_mid": 77}
+    size = {k: 188 if k in ("aligned", "mid", "far") else 192 for k in ahead}
+    assert rows == {k: [(at + size[k] * (n - 1), n, n) for n in range(1, 9)] for k, at in ahead.items()}
+    given = archive.packets_from_bytes(df.filter("rec IN ('mid', 'aligned')"), 188)
+    assert got(given.groupBy("rec").count(), "rec") == [("aligned", 8), ("mid", 8)]
