@@ -69,6 +69,22 @@ def as_of(left: DataFrame, right: DataFrame, key: Key, t: str = "t", at: str = "
     return both.withColumn("__found", found).filter("__left IS NOT NULL").select("__left.*", *[F.col("__found")[c].alias(c) for c in take])
 
 
+def anchored(df: DataFrame, points: DataFrame, key: Key, t: str, seams: DataFrame | None = None, slack: float = 0.0) -> DataFrame:
+    """df with ``anchor``, the last of points (t) at or before t, and ``following``.
+
+    With seams (time), a point before the last seam at or before t is no anchor, and ``following``
+    is the first point at or after t; times within `slack` count as equal. Without, ``following`` is null.
+    """
+    k = keys(key)
+    rows = as_of(df, points.select(*k, (F.col("t") - slack).alias("at"), F.col("t").cast("double").alias("anchor")), k, t, "at", ["anchor"])
+    if seams is None:
+        return rows.withColumn("following", F.lit(None).cast("double"))
+    rows = as_of(rows, seams.select(*k, (F.col("time") - slack).alias("at"), F.col("time").alias("__seam")), k, t, "at", ["__seam"])
+    rows = as_of(rows, points.select(*k, (F.col("t") + slack).alias("at"), F.col("t").cast("double").alias("following")), k, t, "at", ["following"], forward=True)
+    since = F.col("__seam").isNull() | (F.col("anchor") >= F.col("__seam") - slack)
+    return rows.withColumn("anchor", F.when(since, F.col("anchor"))).drop("__seam")
+
+
 def buckets(start: Column, end: Column, width: float) -> Column:
     """The numbers of all buckets of `width` seconds that [start, end] touches."""
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, as_of, before, from_here, islands, keys, middle, ordered, overlap_join, so_far, whole
+from ..functions.frames import Key, anchored, as_of, before, from_here, islands, keys, middle, ordered, overlap_join, so_far, whole
 from ..functions.timecode import HZ, WRAP
 from .gaps import systematic
 
@@ -128,12 +128,14 @@ def byte_to_time(df: DataFrame, points: DataFrame, key: Key = "rec", pos: str =
     return rows.select(*df.columns, t.alias("t"))
 
 
-def grid_from_points(df: DataFrame, points: DataFrame, frame: float, key: Key = "rec", t: str = "t") -> DataFrame:
-    """T on the frame grid that runs from the nearest point at or before it (t itself without one)."""
-    k = keys(key)
-    rows = as_of(df, points.select(*k, F.col("t").alias("at"), F.col("t").alias("anchor")), k, t, "at", ["anchor"])
+def grid_from_points(df: DataFrame, points: DataFrame, frame: float, key: Key = "rec", t: str = "t", seams: DataFrame | None = None) -> DataFrame:
+    """T on the frame grid that runs from the nearest point at or before it (t itself without one).
+
+    With seams (time) the point must not be before the last seam; without such a point, the next one is the time.
+    """
+    rows = anchored(df, points, key, t, seams, 0.0 if seams is None else frame / 100)
     grid = F.col("anchor") + F.floor((F.col(t) - F.col("anchor")) / frame + 0.25) * frame
-    return rows.select(*df.columns, F.coalesce(grid, F.col(t)).alias("grid"))
+    return rows.select(*df.columns, F.coalesce(grid, F.col("following"), F.col(t)).alias("grid"))
 
 
 def keep_offsets(keeps: DataFrame, key: Key = "rec") -> DataFrame:

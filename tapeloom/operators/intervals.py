@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, as_of, before, islands, keys, ordered, overlap_join, so_far
+from ..functions.frames import Key, anchored, as_of, before, islands, keys, ordered, overlap_join, so_far
 
 #: The default bucket of interval joins, in seconds; about the length of the longer intervals.
 BUCKET = 3600.0
@@ -87,19 +87,25 @@ def grid_before(t: Column, anchor: Column, frame: Column, early: float = 0.0) ->
     return anchor + F.floor((t + early - anchor) / frame + 1e-9) * frame
 
 
-def snap_intervals(cuts: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000, early: float = 512 / 90000) -> DataFrame:
+def snap_intervals(cuts: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000, early: float = 512 / 90000, seams: DataFrame | None = None) -> DataFrame:
     """I8: start up to the next picture (within `early` of one counts as on it), end down to the current one; then merged.
 
-    The picture grid runs from the nearest point at or before the bound; without one the bound stays.
+    The picture grid runs from the nearest point at or before the bound; without one the bound stays. With seams
+    (time) it runs from the nearest point since the last seam, and a bound ahead of every point of its stretch
+    goes to the first point on; one at 0 or below stays, and intervals that come out empty are dropped.
     """
     k = keys(key)
-    pts = points.select(*k, F.col("t").alias("at"), F.col("t").alias("anchor"))
+    slack = 0.0 if seams is None else frame / 100
     fd = F.lit(float(frame))
-    rows = as_of(cuts.select(*k, "start", "end"), pts, k, "start", "at", ["anchor"]).withColumnRenamed("anchor", "sa")
-    rows = as_of(rows, pts, k, "end", "at", ["anchor"]).withColumnRenamed("anchor", "ea")
-    up = F.col("sa") + F.ceil((F.col("start") - early - F.col("sa")) / fd - 1e-9) * fd
-    snapped = rows.select(*k, F.coalesce(up, F.col("start")).alias("start"), F.coalesce(grid_before(F.col("end"), F.col("ea"), fd), F.col("end")).alias("end"))
-    return merge_intervals(snapped, k)
+    rows = anchored(cuts.select(*k, "start", "end"), points, k, "start", seams, slack).withColumnsRenamed({"anchor": "sa", "following": "sf"})
+    rows = anchored(rows, points, k, "end", seams, slack).withColumnsRenamed({"anchor": "ea", "following": "ef"})
+    steps = F.ceil((F.col("start") - early - slack - F.col("sa")) / fd - 1e-9)
+    up = F.col("sa") + (steps if seams is None else F.greatest(steps, F.lit(0))) * fd
+    down = grid_before(F.col("end"), F.col("ea"), fd, slack)
+    if seams is not None:
+        up, down = F.when(F.col("start") > 0, F.coalesce(up, "sf")), F.when(F.col("end") > 0, F.coalesce(F.greatest(down, F.col("ea")), "ef"))
+    snapped = rows.select(*k, F.coalesce(up, F.col("start")).alias("start"), F.coalesce(down, F.col("end")).alias("end"))
+    return merge_intervals(snapped if seams is None else snapped.filter("end > start"), k)
 
 
 def clip_cues(cues: DataFrame, windows: DataFrame, key: Key = "rec", bucket: float = BUCKET) -> DataFrame:

@@ -107,11 +107,13 @@ def marker_alignment(expected: DataFrame, got: DataFrame, keeps: DataFrame, key:
     return rows.groupBy(*k).agg(F.count(F.lit(1)).alias("markers"), F.sum(F.col("off").isNull().cast("long")).alias("missing"), F.when(F.count("off") > 0, worst["o"]).alias("worst"))
 
 
-def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Key = "rec", spread: float = 0.001, bucket: float = 3600.0) -> DataFrame:
+def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Key = "rec", spread: float = 0.001, bucket: float = 3600.0, look_back: float = 30.0) -> DataFrame:
     """V9: per kept range: rows inside, those that arrive unchanged in order, and whether one offset moves them all.
 
     keeps carry `range`; out rows carry the range they came from. Rows before the first that matches
-    the range's first row are look-back rows and don't count.
+    the range's first row are look-back rows: four at most, each of the size of a source row in the
+    `look_back` seconds ahead of the range. Further rows than the range holds do not pass; a range that
+    holds none is there only if rows came out for it.
     """
     k = keys(key)
     r = keeps.select(*k, "range", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
@@ -125,7 +127,15 @@ def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Ke
     b = place(b.join(start, [*k, "range"]).filter("t >= t1")).select(*k, "range", "i", F.col("t").alias("ot"), F.col("hash").alias("oh"), F.col("size").alias("os"))
     met = a.join(b, [*k, "range", "i"], "left").withColumn("ok", F.coalesce((F.col("oh") == F.col("hash")) & (F.col("os") == F.col("size")), F.lit(False))).withColumn("move", F.when(F.col("ok"), F.col("ot") - F.col("t")))
     facts = met.groupBy(*k, "range").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("ok").cast("long")).alias("arrived"), (F.max("move") - F.min("move")).alias("drift"))
-    return facts.withColumn("passed", (F.col("rows") == F.col("arrived")) & (F.coalesce("drift", F.lit(0.0)) < spread))
+    before_it = keeps.select(*k, "range", (F.col("start") - look_back).alias("b_start"), F.col("start").alias("b_end"))
+    sizes = overlap_join(own, before_it, k, bucket).select(*k, "range", "size", F.lit(True).alias("known")).distinct()
+    early = out.select(*k, "range", "t", "size").join(start, [*k, "range"], "left").withColumn("early", F.coalesce(F.col("t") < F.col("t1"), F.lit(False)))
+    early = early.join(sizes, [*k, "range", "size"], "left")
+    counts = early.groupBy(*k, "range").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("early").cast("long")).alias("ahead"), F.sum((F.col("early") & F.col("known").isNull()).cast("long")).alias("strange"))
+    rows = facts.join(counts, [*k, "range"], "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "arrived", "total", "ahead", "strange")})
+    whole = (F.col("ahead") <= 4) & (F.col("strange") == 0) & (F.col("total") == F.col("rows") + F.col("ahead"))
+    passed = (F.col("rows") == F.col("arrived")) & (F.coalesce("drift", F.lit(0.0)) < spread) & whole
+    return rows.withColumn("passed", passed).drop("total", "ahead", "strange")
 
 
 def fade_envelope_check(levels: DataFrame, seams: DataFrame, key: Key = "rec", quiet: float = -40.0, burst: float = -12.0, near: float = 0.06, outside: float = 1.0, bucket: float = 60.0) -> DataFrame:

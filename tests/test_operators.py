@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import timecode, titles
 from tapeloom.functions.easing import CURVES, MODES, easing
-from tapeloom.operators import breaks, clocks, gaps, intervals, runs
+from tapeloom.operators import breaks, clocks, gaps, intervals, runs, verify
 from tapeloom.plans import cuts
 from tapeloom.sources import archive
 
@@ -177,3 +177,23 @@ def test_packets_of_recordings_that_begin_mid_packet(spark):
     assert rows == {k: [(at + size[k] * (n - 1), n, n) for n in range(1, 9)] for k, at in ahead.items()}
     given = archive.packets_from_bytes(df.filter("rec IN ('mid', 'aligned')"), 188)
     assert got(given.groupBy("rec").count(), "rec") == [("aligned", 8), ("mid", 8)]
+
+
+def test_grids_begin_anew_at_seams(spark):
+    points = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 11.5)], "rec string, t double")
+    seams = spark.createDataFrame([("a", 10.0)], "rec string, time double")
+    cuts_ = spark.createDataFrame([("a", 0.5, 3.5), ("a", 6.2, 7.9), ("a", 10.5, 14.2)], "rec string, start double, end double")
+    assert got(intervals.snap_intervals(cuts_, points, frame=1.0, early=0.0, seams=seams), "start") == [("a", 1.0, 3.0), ("a", 11.5, 13.5)]
+    times = spark.createDataFrame([("a", 0.5), ("a", 6.2), ("a", 10.4), ("a", 13.0)], "rec string, t double")
+    assert got(clocks.grid_from_points(times, points, 1.0, seams=seams), "t") == [("a", 0.5, 1.0), ("a", 6.2, 6.0), ("a", 10.4, 11.5), ("a", 13.0, 12.5)]
+
+
+def test_carried_rows_are_all_accounted_for(spark):
+    src = spark.createDataFrame([("a", float(t), t, t % 7) for t in range(100)], "rec string, t double, hash int, size int")
+    keeps = spark.createDataFrame([("a", n, 40.0, 43.0) for n in range(5)] + [("a", 5, 40.2, 40.8)], "rec string, range int, start double, end double")
+    good = [(float(t), t, t % 7) for t in (40, 41, 42)]
+    extra = {0: [(39.0, 7, 3)], 1: [(39.0 - i / 9, 7, 3) for i in range(5)], 2: [(39.0, 7, 99)], 3: [(50.0, 50, 1)], 4: []}
+    rows = [("a", n, *r) for n, e in extra.items() for r in good + e] + [("a", 5, 40.5, 1, 1)]
+    out = spark.createDataFrame(rows, "rec string, range int, t double, hash int, size int")
+    found = {r["range"]: (r["rows"], r["arrived"], r["passed"]) for r in verify.carried_rows_check(src, out, keeps).collect()}
+    assert found == {0: (3, 3, True), 1: (3, 3, False), 2: (3, 3, False), 3: (3, 3, False), 4: (3, 3, True), 5: (0, 0, False)}
