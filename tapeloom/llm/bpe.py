@@ -6,24 +6,27 @@ import base64
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: Texts are handled in blocks of about so many characters (a longer text is a block of its own).
 BLOCK_CHARS = 1_500_000
-#: A worker's memo of encoded words has two generations of so many words; words in use move to the younger one.
-MEMO_WORDS = 120_000
-#: Words of more bytes contract all places of their least pair in a step, not the leftmost alone.
-LONG_BYTES = 96
+#: A task's memo of encoded words has two generations of so many words; words in use move to the younger one.
+MEMO_WORDS = 200_000
+#: Words of more bytes take several contractions in a step, the others one.
+LONG_BYTES = 400
+#: Words of one query: so many bytes of states at most (LEFTMOST keeps each word's states until its fixpoint).
+QUERY_BYTES = 40_000_000
 
 #: One step: the token pairs of each word meet the merge table; its leftmost pair of least rank becomes one token.
 LEFTMOST = """
@@ -39,31 +42,40 @@ WITH RECURSIVE state(word, toks) AS (
 )
 SELECT word, arg_min(toks, len(toks)) AS toks FROM state GROUP BY word ORDER BY word
 """
-#: The same for long words: every place of the least pair, from the left and without overlap. A merged token's own
-#: pairs rank after it in a vocabulary made by merges, so the leftmost rule would contract the same places next.
-ALL_PLACES = """
+#: The same contractions, several in a step: all places of the least pair from the left, without overlap, up to the
+#: first whose new neighbours make a pair of lower rank, as the leftmost rule would turn to that pair next.
+SEVERAL = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM fresh
     UNION
     SELECT word, list(tok ORDER BY pos) FROM (
-        SELECT word, pos, CASE WHEN chosen THEN best ELSE tok END AS tok, best, lag(chosen, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-            SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, chain ORDER BY pos) % 2 = 1 AS chosen FROM (
-                SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS chain FROM (
-                    SELECT *, coalesce(rank = best, false) AS hit FROM (
-                        SELECT p.*, m.tok AS rank, min(m.tok) OVER (PARTITION BY p.word) AS best
-                        FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:] || [-1]) AS nxt, generate_subscripts(toks, 1) AS pos FROM state) p
-                        LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
-                    )
-                )
+        SELECT word, pos, CASE WHEN taken THEN best ELSE tok END AS tok, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
+            SELECT *, chosen AND pos <= coalesce(min(pos) FILTER (chosen AND lower) OVER (PARTITION BY word), pos) AS taken FROM (
+                SELECT c.*, least(coalesce(a.tok, c.best), coalesce(b.tok, c.best)) < c.best AS lower FROM (
+                    SELECT *, lead(tok, 2) OVER w AS after, CASE WHEN lag(chosen, 2, false) OVER w THEN best ELSE lag(tok) OVER w END AS ahead FROM (
+                        SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, chain ORDER BY pos) % 2 = 1 AS chosen FROM (
+                            SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS chain FROM (
+                                SELECT *, coalesce(rank = best, false) AS hit FROM (
+                                    SELECT p.*, m.tok AS rank, min(m.tok) OVER (PARTITION BY p.word) AS best
+                                    FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:] || [-1]) AS nxt, generate_subscripts(toks, 1) AS pos FROM state) p
+                                    LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
+                                ) WHERE best IS NOT NULL
+                            )
+                        )
+                    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+                ) c
+                LEFT JOIN merges a ON c.chosen AND a.l = c.ahead AND a.r = c.best
+                LEFT JOIN merges b ON c.chosen AND b.l = c.best AND b.r = c.after
             )
         )
-    ) WHERE NOT gone AND best IS NOT NULL GROUP BY word
+    ) WHERE NOT gone GROUP BY word
 )
 SELECT word, toks FROM state ORDER BY word
 """
-#: Decoding: token positions meet the vocabulary; an ordered aggregate puts the bytes of each text together.
-DECODE = """
-SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS piece FROM tokens t JOIN vocab v ON t.tok = v.tok GROUP BY t.doc ORDER BY t.doc
+#: Decoding: token positions meet the vocabulary; ordered aggregates put the bytes of stretches of tokens together.
+STRETCH = 4096
+DECODE = f"""
+SELECT string_agg(v.piece, '' ORDER BY t.pos) AS piece FROM tokens t JOIN vocab v ON t.tok = v.tok GROUP BY t.pos // {STRETCH} ORDER BY t.pos // {STRETCH}
 """
 
 _engines: dict = {}
@@ -92,14 +104,26 @@ def latin_pattern(pattern: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] .. start[i] + size[i] - 1 of all i in a row."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+
+
+def _offsets(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
 class Engine:
-    """A DuckDB with the merge table and the vocabulary, and a memo of words already encoded."""
+    """A DuckDB with the merge table and the vocabulary, and a memo of words already encoded (ids as int32 bytes)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.any_words, self.latin_words = ranks, regex.compile(pattern), latin_pattern(pattern)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         left, right, whole = [], [], []
         for token, rank in ranks.items():
@@ -115,14 +139,18 @@ class Engine:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _contract(self, raw: list[bytes], query: str) -> list[tuple[int, ...]]:
+    def forget(self) -> None:
+        """Empty the memo: a worker process keeps the tables alone between tasks."""
+        self.memo, self.older = {}, {}
+
+    def _contract(self, raw: list[bytes], query: str) -> list[bytes]:
         ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
         toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(raw), np.uint8)]))
         self.db.register("fresh", pa.table({"word": pa.array(np.arange(len(raw), dtype=np.int32)), "toks": toks}))
         found = self.db.sql(query).to_arrow_table().column("toks").combine_chunks()
         self.db.unregister("fresh")
-        flat, cuts = found.values.to_numpy().tolist(), found.offsets.to_numpy().tolist()
-        return [tuple(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        flat, cuts = found.values.to_numpy().astype(np.int32).tobytes(), (found.offsets.to_numpy() * 4).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of new words in the memo."""
@@ -130,12 +158,12 @@ class Engine:
         for w in new:
             raw = w.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(raw)) is not None:
-                self.memo[w] = (whole,)
+                self.memo[w] = np.int32(whole).tobytes()
             else:
                 (short if len(raw) <= LONG_BYTES else long_).append((w, raw))
-        for part, query in ((short, LEFTMOST), (long_, ALL_PLACES)):
-            if part:
-                self.memo.update(zip((w for w, _ in part), self._contract([r for _, r in part], query), strict=True))
+        for part, query, held in ((short, LEFTMOST, lambda n: 2 * n * n), (long_, SEVERAL, lambda n: 100 * n)):
+            for lo, hi in _blocks([held(len(raw)) for _, raw in part], QUERY_BYTES):
+                self.memo.update(zip((w for w, _ in part[lo:hi]), self._contract([raw for _, raw in part[lo:hi]], query), strict=True))
 
     def words(self, text: str) -> list[str]:
         try:
@@ -144,35 +172,75 @@ class Engine:
             return self.any_words.findall(text)
         return self.latin_words.findall(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts as words: (distinct words' ids in a row, their counts, the distinct word of each place, words of each text).
+
+        The ids of a block's distinct words are looked up or learnt once; texts only refer to them.
+        """
         split = [self.words(t) for t in texts]
+        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > MEMO_WORDS:
             self.older, self.memo = self.memo, {}
-        new = set(chain.from_iterable(split)) - self.memo.keys()
-        known = new & self.older.keys()
-        self.memo.update((w, self.older[w]) for w in known)
-        self.learn(sorted(new - known))
-        return [np.fromiter(chain.from_iterable(map(self.memo.__getitem__, s)), np.int32) for s in split]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        size = np.array([len(i) for i in ids])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        tok = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
-        self.db.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-        found = self.db.sql(DECODE).to_arrow_table()
+        new = []
+        for w in distinct:
+            if w not in self.memo:
+                if (known := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.memo[w] = known
+        self.learn(new)
+        ids = [self.memo[w] for w in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), np.int32), size, coded.indices.to_numpy(), np.array([len(s) for s in split], np.int64)
+
+    def decode_runs(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        """large_binary of the bytes of each run of ids; ids beyond the vocabulary give nothing."""
+        self.db.register("tokens", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "tok": ids.astype(np.int32)}))
+        found = self.db.sql(DECODE).to_arrow_table().column("piece").to_pylist()
         self.db.unregister("tokens")
-        out = [b""] * len(ids)
-        for d, piece in zip(found.column("doc").to_pylist(), found.column("piece").to_pylist(), strict=True):
-            out[d] = piece.encode("latin-1")
-        return out
+        known = (ids >= 0) & (ids < len(self.length))
+        ends = _offsets(np.where(known, self.length[np.where(known, ids, 0)], 0))[_offsets(size)]
+        return _cut("".join(found).encode("latin-1"), ends)
+
+    def encode(self, texts: list[str]) -> pa.Array:
+        """list<int32> of the ids of each text."""
+        return _listed(*self.encode_words(texts))
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """large_binary of the bytes of each list of ids."""
+        size = np.diff(ids.offsets.to_numpy())
+        return self.decode_runs(ids.flatten().to_numpy(zero_copy_only=False), size)
 
+    def both(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Ids of each text, and the bytes that they decode to: distinct words' ids are decoded once and put together."""
+        ids, size, place, words = self.encode_words(texts)
+        pieces = self.decode_runs(ids, size).take(pa.array(place))
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(place) + 1][_offsets(words)]
+        return _listed(ids, size, place, words), _cut(pieces.buffers()[2] or b"", ends)
 
-def _engine(ranks: dict[bytes, int], pattern: str, key: int) -> Engine:
-    """One engine a worker process, kept between tasks."""
+
+def _cut(data, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(data)])
+
+
+def _listed(ids: np.ndarray, size: np.ndarray, place: np.ndarray, words: np.ndarray) -> pa.Array:
+    each = size[place]
+    flat = ids[_spread((np.cumsum(size) - size)[place], each)]
+    return pa.ListArray.from_arrays(pa.array(_offsets(each)[_offsets(words)].astype(np.int32)), pa.array(flat))
+
+
+@contextmanager
+def _engine(ranks: dict[bytes, int], pattern: str, key: int) -> Iterator[Engine]:
+    """The worker process's engine for one task; between tasks it keeps its tables and no words."""
     if key not in _engines:
         _engines.clear()
         _engines[key] = Engine(ranks, pattern)
-    return _engines[key]
+    try:
+        yield _engines[key]
+    finally:
+        _engines[key].forget()
+        give_back()
 
 
 def _blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -195,16 +263,15 @@ class Codec:
         self.ranks, self.pattern = spark.sparkContext.broadcast(ranks), pattern
 
     def encode(self, text: str | F.Column):
-        """array<int> of ids for whole texts: each match of the pattern alone, no special tokens; null gives null."""
+        """array<int> of ids for whole texts: each match of the pattern alone, no special tokens; null counts as empty."""
         ranks, pattern, key = self.ranks, self.pattern, self.key
 
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                engine = _engine(ranks.value, pattern, key)
-                texts = [t or "" for t in batch]
-                ids = [i for lo, hi in _blocks([len(t) for t in texts], BLOCK_CHARS) for i in engine.encode(texts[lo:hi])]
-                yield pd.Series([None if t is None else i for t, i in zip(batch, ids, strict=True)], dtype=object)
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            with _engine(ranks.value, pattern, key) as engine:
+                for batch in batches:
+                    texts = [t or "" for t in batch.to_pylist()]
+                    yield _joined([engine.encode(texts[lo:hi]) for lo, hi in _blocks([len(t) for t in texts], BLOCK_CHARS)], pa.list_(pa.int32()))
 
         return run(text)
 
@@ -212,15 +279,14 @@ class Codec:
         """struct<ids, decoded>: whole texts encoded, and their ids decoded again, in one pass of a worker."""
         ranks, pattern, key = self.ranks, self.pattern, self.key
 
-        @F.pandas_udf("ids array<int>, decoded binary")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                engine = _engine(ranks.value, pattern, key)
-                texts, ids, raw = [t or "" for t in batch], [], []
-                for lo, hi in _blocks([len(t) for t in texts], BLOCK_CHARS):
-                    ids += engine.encode(texts[lo:hi])
-                    raw += engine.decode(ids[lo:hi])
-                yield pd.DataFrame({"ids": ids, "decoded": raw})
+        @F.arrow_udf("ids array<int>, decoded binary")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            with _engine(ranks.value, pattern, key) as engine:
+                for batch in batches:
+                    texts = [t or "" for t in batch.to_pylist()]
+                    done = [engine.both(texts[lo:hi]) for lo, hi in _blocks([len(t) for t in texts], BLOCK_CHARS)]
+                    ids, decoded = _joined([d[0] for d in done], pa.list_(pa.int32())), _joined([d[1] for d in done], pa.large_binary())
+                    yield pa.StructArray.from_arrays([ids, decoded.cast(pa.binary())], ["ids", "decoded"])
 
         return run(text)
 
@@ -228,17 +294,23 @@ class Codec:
         """binary of the bytes of array<int> ids; null gives null, an id beyond the vocabulary gives nothing."""
         ranks, pattern, key = self.ranks, self.pattern, self.key
 
-        @F.pandas_udf("binary")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                engine = _engine(ranks.value, pattern, key)
-                some = [np.asarray(i if i is not None else (), np.int32) for i in batch]
-                raw = [r for lo, hi in _blocks([len(i) for i in some], BLOCK_CHARS // 4) for r in engine.decode(some[lo:hi])]
-                yield pd.Series([None if i is None else r for i, r in zip(batch, raw, strict=True)], dtype=object)
+        @F.arrow_udf("binary")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            with _engine(ranks.value, pattern, key) as engine:
+                for batch in batches:
+                    some = batch.fill_null(pa.scalar([], batch.type)) if batch.null_count else batch
+                    size = pc.list_value_length(some).to_pylist()
+                    raw = [engine.decode(some.slice(lo, hi - lo)) for lo, hi in _blocks(size, BLOCK_CHARS // 4)]
+                    out = _joined(raw, pa.large_binary()).cast(pa.binary())
+                    yield pc.if_else(batch.is_null(), pa.scalar(None, pa.binary()), out)
 
         return run(ids)
 
 
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: token ids of every whole text; a null text counts as empty and has none.
 

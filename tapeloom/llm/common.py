@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +17,14 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
+    """A new path in the folder that all executors share, which the session names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in local tests, a temporary folder takes its place.
+    Only a session in one process may leave it unset; a temporary folder takes its place there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -90,3 +95,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system, so that what a task held isn't kept beside the next stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which gives memory back in its own way
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, a function of a task's batches, which gives freed memory back when the task's batches are done."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
