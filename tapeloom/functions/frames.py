@@ -90,25 +90,29 @@ def buckets(start: Column, end: Column, width: float) -> Column:
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: Key, width: float, ls: str = "start", le: str = "end", rs: str = "b_start", re_: str = "b_end", how: str = "inner", closed: bool = False) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: Key, width: float, ls: str = "start", le: str = "end", rs: str = "b_start", re_: str = "b_end", closed: bool = False) -> DataFrame:
     """Left rows with right rows whose half-open intervals overlap, by an equi-join on time buckets.
 
     A pair meets in every bucket that both touch and is kept in the first of these alone. `closed`
-    counts shared end points. how: inner, left_semi or left_anti.
+    counts shared end points.
     """
     k = keys(key)
     rcols = [c for c in right.columns if c not in k]
     lb = left.withColumn("__first", F.floor(F.col(ls) / width)).withColumn("__b", F.explode(buckets(F.col(ls), F.col(le), width)))
     rb = right.select(*k, *rcols, F.floor(F.col(rs) / width).alias("__rfirst"), F.explode(buckets(F.col(rs), F.col(re_), width)).alias("__b"))
     meet = (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) if closed else (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
-    if how == "inner":
-        return lb.join(rb, [*k, "__b"]).filter(meet & (F.col("__b") == F.greatest("__first", "__rfirst"))).drop("__b", "__first", "__rfirst")
-    # whether a left row has a partner is counted with the row itself, so no row id has to be stable
-    partners = rb.groupBy(*k, "__b").agg(F.collect_list(F.struct(rs, re_)).alias("__right"))
-    there = F.exists("__right", lambda x: (F.col(ls) <= x[re_]) & (x[rs] <= F.col(le)) if closed else (F.col(ls) < x[re_]) & (x[rs] < F.col(le)))
-    spans = buckets(F.col(ls), F.col(le), width)
-    own = left.withColumn("__n", F.size(spans)).withColumn("__row", F.struct(*left.columns)).withColumn("__b", F.explode(spans))
-    seen = own.join(partners, [*k, "__b"], "left").withColumn("__hit", F.coalesce(there, F.lit(False)))
-    each = seen.groupBy("__row", "__n").agg(F.max("__hit").alias("__any"), F.count(F.lit(1)).alias("__rows"))
-    kept = each.filter("__any" if how == "left_semi" else "NOT __any")
-    return kept.select(F.explode(F.sequence(F.lit(1), F.expr("cast(__rows div __n as int)"))), "__row").select("__row.*")
+    return lb.join(rb, [*k, "__b"]).filter(meet & (F.col("__b") == F.greatest("__first", "__rfirst"))).drop("__b", "__first", "__rfirst")
+
+
+def overlaps_any(left: DataFrame, right: DataFrame, key: Key, ls: str = "start", le: str = "end", rs: str = "b_start", re_: str = "b_end", name: str = "met") -> DataFrame:
+    """Left rows with whether a right row's half-open interval overlaps theirs, in one window.
+
+    Among the right rows that begin before a left row ends, the furthest end tells: one overlaps exactly
+    if that lies past the left row's start.
+    """
+    k = keys(key)
+    lrow = left.select(*k, F.col(le).cast("double").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("double").alias("__end"), F.struct(*left.columns).alias("__left"))
+    rrow = right.select(*k, F.col(rs).cast("double").alias("__t"), F.lit(1).alias("__side"), F.col(re_).cast("double").alias("__end"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"))
+    reach = F.max("__end").over(so_far(k, "__t", "__side"))
+    both = lrow.unionByName(rrow).withColumn("__reach", reach).filter("__left IS NOT NULL")
+    return both.select("__left.*", F.coalesce(F.col("__reach") > F.col(f"__left.{ls}"), F.lit(False)).alias(name))

@@ -18,48 +18,48 @@ def grid_slack(a: str = "dur", b: str = "b_dur", unit: float = UNIT):
     return F.least((F.col(a) + F.col(b)) / 2, F.lit(0.04 * unit)) + 0.01 * unit
 
 
-def next_on_grid(silences: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 8) -> DataFrame:
-    """Each silence's nearest later one that stands on the grid from it: (key, a, b), by their centres."""
+def grid_pairs(silences: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 8) -> DataFrame:
+    """Pairs (key, a, b) of silences, a the earlier one, that stand on the grid from each other, by their centres."""
     k = keys(key)
     rows = silences.select(*k, "time", "dur", F.col("time").alias("start"), (F.col("time") + unit * most + 0.05 * unit).alias("end"))
     right = silences.select(*k, F.col("time").alias("b_start"), (F.col("time") + 1e-9).alias("b_end"), F.col("dur").alias("b_dur"))
     met = overlap_join(rows, right, k, unit * (most + 1)).filter("b_start > time")
     held = met.filter(on_grid(F.col("b_start") - F.col("time"), grid_slack(unit=unit), unit, most))
-    return held.groupBy(*k, F.col("time").alias("a")).agg(F.min("b_start").alias("b"))
+    return held.select(*k, F.col("time").alias("a"), F.col("b_start").alias("b"))
 
 
-def previous_on_grid(silences: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 8) -> DataFrame:
-    """The same backwards: each silence's nearest earlier one on the grid."""
-    return next_on_grid(silences.withColumn("time", -F.col("time")), key, unit, most).select(*keys(key), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+def next_on_grid(silences: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 8) -> DataFrame:
+    """Each silence's nearest later one that stands on the grid from it: (key, a, b)."""
+    return grid_pairs(silences, key, unit, most).groupBy(*keys(key), "a").agg(F.min("b").alias("b"))
 
 
-def chain_lengths(hops: DataFrame, key: Key = "rec", rounds: int = 20) -> DataFrame:
+def chain_lengths(hops: DataFrame, key: Key = "rec") -> DataFrame:
     """Hops from each row `a` along its pointers to the end of the chain, by pointer doubling.
 
     Each round joins the table with itself and doubles the distance covered; it is written to the
-    checkpoint folder, and the rounds end when no pointer is left.
+    checkpoint folder, and the rounds end when no pointer is left. A chain must not come back to itself.
     """
     k = keys(key)
     state = materialise(hops.select(*k, "a", "b", F.lit(1).cast("long").alias("n")))
-    for _ in range(rounds):
+    while True:
         there = state.select(*k, F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
         state = materialise(state.join(there, [*k, "b"], "left").select(*k, "a", F.col("c").alias("b"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
         if state.filter("b IS NOT NULL").isEmpty():
-            break
-    return state.select(*k, "a", "n")
+            return state.select(*k, "a", "n")
 
 
 def break_candidates(silences: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 8) -> DataFrame:
     """Silences (time, dur, ...) with the length of the on-grid chain through them and their score.
 
-    A hop goes to the next silence on the grid, over those off it; run counts both directions.
+    A hop goes to the nearest silence on the grid, over those off it; run counts both directions, whose
+    chains are followed together.
     """
     k = keys(key)
-    ahead = chain_lengths(next_on_grid(silences, k, unit, most), k).select(*k, F.col("a").alias("time"), F.col("n").alias("fw"))
-    behind = chain_lengths(previous_on_grid(silences, k, unit, most), k).select(*k, F.col("a").alias("time"), F.col("n").alias("bw"))
-    rows = silences.join(ahead, [*k, "time"], "left").join(behind, [*k, "time"], "left")
-    run = F.coalesce("fw", F.lit(0)) + F.coalesce("bw", F.lit(0)) + 1
-    rows = rows.withColumn("run", run).drop("fw", "bw")
+    pairs = materialise(grid_pairs(silences, k, unit, most))
+    ahead = pairs.groupBy(*k, "a").agg(F.min("b").alias("b")).select(*k, F.lit(1).alias("way"), "a", "b")
+    behind = pairs.groupBy(*k, F.col("b").alias("a")).agg(F.max("a").alias("b")).select(*k, F.lit(-1).alias("way"), "a", "b")
+    hops = chain_lengths(ahead.unionByName(behind), [*k, "way"]).groupBy(*k, F.col("a").alias("time")).agg(F.sum("n").alias("hops"))
+    rows = silences.join(hops, [*k, "time"], "left").withColumn("run", F.coalesce("hops", F.lit(0)) + 1).drop("hops")
     score = 0.5 * F.least(F.col("dur"), F.lit(1.0)) + 0.5 * F.least((F.col("run") - 1) / 4, F.lit(1.0))
     return rows.withColumn("score", score)
 
@@ -84,13 +84,14 @@ def break_blocks(candidates: DataFrame, key: Key = "rec", unit: float = UNIT, mo
 def blocks_from_resets(marks: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, most: int = 12, slack: float = 0.35) -> DataFrame:
     """Chains of marks on the grid as blocks of score 1; a lone mark near an end makes a block of 0.9 to it.
 
-    A block inside another one is dropped.
+    A duration before the mark is none. A block inside another one is dropped.
     """
     k = keys(key)
     w = ordered(k, "t")
     rows = islands(marks.select(*k, "t"), ~on_grid(F.col("t") - F.lag("t").over(w), F.lit(slack), unit, most), k, "t")
     chains = rows.groupBy(*k, "island").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).join(bounds.select(*k, "duration"), k)
-    lone_head, lone_tail = (F.col("n") == 1) & (F.col("a") <= unit), (F.col("n") == 1) & (F.col("duration") - F.col("a") <= unit)
+    left = F.col("duration") - F.col("a")
+    lone_head, lone_tail = (F.col("n") == 1) & (F.col("a") <= unit), (F.col("n") == 1) & left.between(0, unit)
     start = F.when(lone_head, 0.0).otherwise(F.col("a"))
     end = F.when(lone_head, F.col("a")).when(lone_tail, F.col("duration")).otherwise(F.col("b"))
     blocks = chains.filter((F.col("n") >= 2) | lone_head | lone_tail).select(*k, start.alias("start"), end.alias("end"), F.col("n").alias("junctions"), F.when(F.col("n") >= 2, 1.0).otherwise(0.9).alias("score"))
@@ -144,10 +145,10 @@ def blocks_from_absence(candidates: DataFrame, absences: DataFrame, changes: Dat
     return blocks.filter(F.col("end") - F.col("start") >= F.when(F.col("edge"), 1.0).otherwise(5.0))
 
 
-def insert_blocks(brief: DataFrame, silences: DataFrame, blocks: DataFrame, key: Key = "rec", least: float = 0.7, bucket: float = 600.0) -> DataFrame:
+def insert_blocks(brief: DataFrame, silences: DataFrame, blocks: DataFrame, key: Key = "rec", least: float = 0.7) -> DataFrame:
     """Blocks, and the brief absences that overlap a silence of `least` seconds and no block (score 0.8)."""
     long = silences.filter(F.col("end") - F.col("start") >= least)
-    held = iv.overlap_anti(iv.overlap_semi(brief, long, key, bucket), blocks, key, bucket)
+    held = iv.overlap_anti(iv.overlap_semi(brief, long, key), blocks, key)
     rows = held.select(*keys(key), "start", "end", F.lit(0.8).alias("score"))
     return blocks.select(*rows.columns).unionByName(rows)
 
@@ -165,27 +166,35 @@ def refine_boundaries(blocks: DataFrame, changes: DataFrame, bounds: DataFrame,
     return rows.select(*k, start.alias("start"), F.greatest(end, start).alias("end"), *rest)
 
 
-def detect_breaks(marks: DataFrame, silences: DataFrame, scores: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, **hysteresis) -> DataFrame:
+def detect_breaks(marks: DataFrame, silences: DataFrame, scores: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, resets: dict | None = None, absences: dict | None = None, silent: dict | None = None, refine: dict | None = None, split: dict | None = None, inserts: bool = False, **hysteresis) -> DataFrame:
     """Blocks per recording by the first method that applies, with its name; edges refined by D8.
 
-    Resets on every junction speak for themselves; else absences of the corner mark with silences;
-    a mark that never leaves means no break; without a mark, silences alone. Work of a later
-    method is done only for recordings that an earlier one did not settle (anti joins on keys).
+    The dicts give options of D4 and D5, D6, D3, D8 and R7 that differ from theirs.
+
+    Resets on every junction speak for themselves; else long absences of the corner mark with silences,
+    and with `inserts` its brief ones too; a mark that never leaves means no break; without a mark,
+    silences alone. Work of a later method is done only for recordings that an earlier one did not
+    settle (anti joins on keys).
     """
     from . import runs
 
     k = keys(key)
-    by_reset = marks_every_junction(marks, k, unit).filter("every_junction").select(*k)
-    one = blocks_from_resets(marks.join(by_reset, k, "left_semi"), bounds, k, unit).select(*k, "start", "end", "score", F.lit("resets").alias("method"))
-    candidates = break_candidates(silences.join(by_reset, k, "left_anti"), k, unit)
+    resets = resets or {}
+    by_reset = materialise(marks_every_junction(marks, k, unit, **resets).filter("every_junction").select(*k))
+    one = blocks_from_resets(marks.join(by_reset, k, "left_semi"), bounds, k, unit, slack=resets.get("slack", 0.35)).select(*k, "start", "end", "score", F.lit("resets").alias("method"))
+    candidates = materialise(break_candidates(silences.join(by_reset, k, "left_anti"), k, unit))
     scored = scores.join(by_reset, k, "left_anti")
-    gone = runs.hysteresis_intervals(scored, key=k, **hysteresis)
-    two = blocks_from_absence(candidates, gone, changes, bounds, k, unit).select(*k, "start", "end", "score", F.lit("mark").alias("method"))
-    three = break_blocks(candidates.join(scored.select(*k).distinct(), k, "left_anti"), k, unit).select(*k, "start", "end", "score", F.lit("silence").alias("method"))
-    return refine_boundaries(one.unionByName(two).unionByName(three), changes, bounds, k)
+    gone = runs.split_absences(runs.hysteresis_intervals(scored, key=k, **hysteresis), **(split or {}))
+    two = blocks_from_absence(candidates, gone.filter("kind = 'long'"), changes, bounds, k, unit, **(absences or {})).select(*k, "start", "end", "score", F.lit("mark").alias("method"))
+    if inserts:
+        quiet = silences.select(*k, (F.col("time") - F.col("dur") / 2).alias("start"), (F.col("time") + F.col("dur") / 2).alias("end"))
+        both = insert_blocks(gone.filter("kind = 'brief'").select(*k, "start", "end"), quiet, two.select(*k, "start", "end", "score"), k)
+        two = both.withColumn("method", F.lit("mark"))
+    three = break_blocks(candidates.join(scored.select(*k).distinct(), k, "left_anti"), k, unit, **(silent or {})).select(*k, "start", "end", "score", F.lit("silence").alias("method"))
+    return refine_boundaries(one.unionByName(two).unionByName(three), changes, bounds, k, **(refine or {}))
 
 
-def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, bucket: float = 600.0) -> DataFrame:
+def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT) -> DataFrame:
     """Seconds of programme cut and of break left, blocks wholly in programme, breaks missed, odd lengths.
 
     truth rows with `grey` count neither way.
@@ -196,8 +205,8 @@ def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Ke
     mine = blocks.select(*k, "start", "end")
     over = total(iv.subtract(iv.subtract(mine, real, k), grey, k), "over")
     under = total(iv.subtract(iv.subtract(real, mine, k), grey, k), "under")
-    lone = iv.overlap_anti(mine, truth.select(*k, "start", "end"), k, bucket).groupBy(*k).agg(F.count(F.lit(1)).alias("false_blocks"))
-    missed = iv.overlap_anti(real, mine, k, bucket).groupBy(*k).agg(F.count(F.lit(1)).alias("missed"))
+    lone = iv.overlap_anti(mine, truth.select(*k, "start", "end"), k).groupBy(*k).agg(F.count(F.lit(1)).alias("false_blocks"))
+    missed = iv.overlap_anti(real, mine, k).groupBy(*k).agg(F.count(F.lit(1)).alias("missed"))
     length = F.col("end") - F.col("start")
     inner = mine.join(bounds.select(*k, "duration"), k).filter((F.col("start") > 0) & (F.col("end") < F.col("duration")) & (length >= 2 * unit))
     odd = inner.filter(F.abs(length - F.rint(length / unit) * unit) > 0.25).groupBy(*k).agg(F.count(F.lit(1)).alias("odd"))

@@ -15,36 +15,65 @@ TABLES_DISC, TABLES_FILE = 104 * 192, 1.007
 INDEX_RATE, INDEX_BASE, PADDING, DISC_BASE = 10, 4096, 98304, 1048576
 MARGIN, LEAST_SHARE = 0.01, 0.35
 #: Our own table of bits a second that a codec is worth for each channel, where a track states no rate.
-CODEC_RATES = {"aac": 96000, "aac_latm": 96000, "ac3": 96000, "eac3": 96000, "mp2": 128000, "mp3": 96000, "opus": 64000, "vorbis": 64000, "dts": 256000, "flac": 400000}
+CODEC_RATES = {"aac": 96000, "aac_latm": 96000, "ac3": 96000, "eac3": 96000, "mp2": 128000, "mp3": 96000, "opus": 64000, "vorbis": 64000, "dts": 256000, "truehd": 700000, "mlp": 700000, "flac": 400000}
 
 
-def audio_rate(codec: Column, rate: Column, channels: Column, sample_rate: Column, bits: Column) -> Column:
-    """The stated rate of a track if plausible (8 kbit/s or more a track); PCM's is its samples; else the codec's."""
+def _worth(codec: Column, channels: Column) -> Column:
+    """Bits a second that CODEC_RATES gives a codec for so many channels; 0 where it isn't listed."""
     table = F.create_map(*[F.lit(x) for pair in CODEC_RATES.items() for x in pair])
-    pcm = codec.startswith("pcm_") | (codec == "lpcm")
-    own = F.coalesce(F.try_element_at(table, codec), F.lit(96000)) * channels
-    return F.when(pcm, sample_rate * channels * F.greatest(bits, F.lit(16))).when(rate >= 8000, rate).otherwise(own).cast("double")
+    return F.coalesce(F.try_element_at(table, codec), F.lit(0)) * channels
+
+
+def audio_rate(codec: Column, rate: Column, channels: Column, sample_rate: Column, bits: Column, clock: Column | None = None) -> Column:
+    """The stated rate of a track, if above 0; else the codec's for its channels; else the samples' own.
+
+    A stated AAC rate that was read off frames (LATM, or a track on a 90 kHz clock) and is below half of
+    the codec's own isn't believed.
+    """
+    worth = _worth(codec, channels)
+    probed = (codec == "aac_latm") | (codec.startswith("aac") & F.coalesce(clock == 90000, F.lit(False))) if clock is not None else codec == "aac_latm"
+    least = F.when(probed, F.floor(worth / 2)).otherwise(0)
+    return F.when((rate > 0) & (rate >= least), rate).when(worth > 0, worth).otherwise(sample_rate * channels * F.greatest(bits, F.lit(16))).cast("double")
+
+
+def _own_rate(tracks: DataFrame) -> Column:
+    c = F.col
+    return audio_rate(c("codec"), c("rate"), c("channels"), c("sample_rate"), c("bits"), c("clock") if "clock" in tracks.columns else None)
 
 
 def rates(recordings: DataFrame, tracks: DataFrame, key: Key = "rec") -> DataFrame:
-    """Video and audio bits a second of each recording; without a measured picture rate, nine tenths of the file's."""
+    """Video and audio bits a second of each recording; without a measured picture rate, nine tenths of the file's.
+
+    tracks: codec, rate, channels, sample_rate, bits and, where known, clock (ticks a second).
+    """
     k = keys(key)
-    sound = tracks.groupBy(*k).agg(F.sum(audio_rate(F.col("codec"), F.col("rate"), F.col("channels"), F.col("sample_rate"), F.col("bits"))).alias("audio"))
+    sound = tracks.groupBy(*k).agg(F.sum(_own_rate(tracks)).alias("audio"))
     video = F.when(F.col("video_rate") > 0, F.col("video_rate")).otherwise(F.col("file_rate") * 0.9)
     return recordings.join(sound, k, "left").select(*k, video.alias("video"), F.coalesce("audio", F.lit(0.0)).alias("audio"), (F.col("codec") == "mpeg2video").alias("can_shrink"))
 
 
-def rates_as_written(tracks: DataFrame, key: Key = "rec") -> DataFrame:
+def rates_as_written(tracks: DataFrame, key: Key = "rec", to_ts: bool = False) -> DataFrame:
     """Audio bits a second as written: dropped tracks count nothing, rewritten ones their target's rate.
 
-    Columns drop, to_codec, to_rate, to_channels (NULL keeps the track's own) tell what is done.
+    Columns drop, to_codec, to_rate, to_channels, to_sample_rate, to_bits (NULL keeps the track's own) tell
+    what is asked. DTS, TrueHD and MLP are carried whole unless a codec is named. Into a transport stream
+    linear PCM goes in pairs of channels, and a DVD's at 16 or 24 bits.
     """
-    channels = F.coalesce("to_channels", "channels")
-    own = audio_rate(F.col("codec"), F.col("rate"), F.col("channels"), F.col("sample_rate"), F.col("bits"))
-    recoded = audio_rate(F.col("to_codec"), F.col("to_rate"), channels, F.col("sample_rate"), F.col("bits"))
-    folded = F.greatest(own * channels / F.col("channels"), F.lit(128000.0))
-    price = F.when(F.col("drop"), 0.0).when(F.col("to_codec").isNotNull() & (F.col("to_codec") != F.col("codec")), recoded)
-    price = price.when(F.col("to_rate").isNotNull(), F.col("to_rate").cast("double")).when(channels != F.col("channels"), folded).otherwise(own)
+    c = F.col
+    own, channels, target = _own_rate(tracks), F.coalesce("to_channels", "channels"), F.coalesce("to_codec", "codec")
+    pcm = (target == "lpcm") | target.startswith("pcm_")
+    whole = c("codec").isin("dts", "truehd", "mlp") & c("to_codec").isNull()
+    asked = lambda wish, own: F.coalesce(c(wish) != c(own), F.lit(False))
+    rewritten = ~whole & ((target != c("codec")) | (channels != c("channels")) | asked("to_sample_rate", "sample_rate") | c("to_rate").isNotNull() | (pcm & asked("to_bits", "bits")))
+    paired = lambda n: n + n % 2 if to_ts else n
+    samples = F.coalesce("to_sample_rate", "sample_rate") * paired(channels) * F.greatest(F.coalesce("to_bits", "bits"), F.lit(16))
+    worth = _worth(target, channels)
+    folded = F.when((c("channels") > 0) & (channels != c("channels")), F.greatest(own * channels / c("channels"), F.lit(128000.0))).otherwise(own)
+    carried = own
+    if to_ts:
+        carried = F.when((c("codec") == "pcm_dvd") & (c("channels") > 0) & (c("sample_rate") > 0), c("sample_rate") * paired(c("channels")) * F.when(c("bits") > 16, 24).otherwise(16)).otherwise(own)
+    recoded = F.when(pcm, samples).when(c("to_rate").isNotNull(), c("to_rate")).when(target != c("codec"), F.when(worth > 0, worth).otherwise(own)).otherwise(folded)
+    price = F.when(c("drop"), 0.0).when(rewritten, recoded).otherwise(carried).cast("double")
     return tracks.groupBy(*keys(key)).agg(F.sum(price).alias("audio"))
 
 

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import titles
 from ..functions.frames import Key, as_of, islands, keys, ordered, whole
+from ..functions.greedy import keep_apart
 
-#: What each family of containers holds (allow) or refuses.
+#: What each family of containers holds (allow) or refuses; sound allows any picture and the listed sound.
 CONTAINERS = {
     "ts": ("allow", ("mpeg1video", "mpeg2video", "mpeg4", "h264", "hevc", "vvc", "vc1", "aac", "aac_latm", "ac3", "eac3", "dts", "truehd", "mlp", "mp1", "mp2", "mp3", "opus", "pcm_bluray", "pcm_dvd")),
     "mp4": ("refuse", ("vp8", "aac_latm", "mlp", "pcm_u8", "pcm_s8", "prores", "hap", "dnxhd", "cfhd", "dvvideo", "v210", "ffv1", "utvideo", "huffyuv", "qtrle", "rawvideo", "h263", "flv1", "msmpeg4v2", "msmpeg4v3", "wmv1", "wmv2", "theora", "wavpack")),
-    "ps": ("allow", ("mp1", "mp2", "mp3", "ac3", "dts", "pcm_s16be")),
+    "ps": ("sound", ("mp1", "mp2", "mp3", "ac3", "dts", "pcm_s16be")),
     "mov": ("refuse", ("vp8", "vp9", "av1", "truehd", "mlp", "flac", "opus", "wavpack")),
     "webm": ("allow", ("vp8", "vp9", "av1", "opus", "vorbis")),
     "mkv": ("refuse", ("pcm_s8", "rawvideo", "qtrle", "pcm_f64be")),
+    # the sound that has a WAVE format tag
+    "avi": ("sound", ("aac", "aac_latm", "ac3", "adpcm_g722", "adpcm_g726", "adpcm_ima_wav", "adpcm_ms", "adpcm_yamaha", "amr_nb", "amr_wb", "atrac3", "dts", "flac", "g723_1", "g729", "gsm_ms", "mp2", "mp3", "pcm_alaw", "pcm_f32le", "pcm_f64le", "pcm_mulaw", "pcm_s16le", "pcm_s24le", "pcm_s32le", "pcm_s64le", "pcm_u8", "truespeech", "vorbis", "wmalossless", "wmapro", "wmav1", "wmav2", "wmavoice")),
 }
+#: Names of sound codecs, besides those that begin with pcm_ or adpcm_.
+SOUND = ("aac", "aac_latm", "ac3", "ac4", "alac", "amr_nb", "amr_wb", "ape", "atrac3", "atrac9", "cook", "dolby_e", "dts", "eac3", "flac", "g723_1", "g729", "gsm", "gsm_ms", "lpcm", "mlp", "mp1", "mp2", "mp3", "musepack7", "musepack8", "nellymoser", "opus", "qcelp", "ra_144", "ra_288", "s302m", "shorten", "sipr", "speex", "tak", "truehd", "truespeech", "tta", "vorbis", "wavpack", "wmalossless", "wmapro", "wmav1", "wmav2", "wmavoice")
 
 
 def shared_title(df: DataFrame, group: Key = "group", name: str = "name", order: str = "n") -> DataFrame:
@@ -104,27 +109,31 @@ def conform_actions(diffs: DataFrame, track_diffs: DataFrame, clip: str = "rec",
 
 
 def container_holds(df: DataFrame, codec: str = "codec", family: str = "family") -> DataFrame:
-    """Rows with whether the container family takes the codec (unknown families do not)."""
-    holds = F.lit(False)
+    """Rows with whether the container family takes the codec; a family without a rule takes all."""
+    sound = F.col(codec).isin(*SOUND) | F.col(codec).startswith("pcm_") | F.col(codec).startswith("adpcm_")
+    holds = F.lit(True)
     for name, (rule, codecs) in CONTAINERS.items():
         inside = F.col(codec).isin(*codecs)
-        holds = F.when(F.col(family) == name, inside if rule == "allow" else ~inside).otherwise(holds)
+        holds = F.when(F.col(family) == name, {"allow": inside, "refuse": ~inside, "sound": ~sound | inside}[rule]).otherwise(holds)
     return df.withColumn("holds", holds)
 
 
-def default_selection(df: DataFrame, key: Key = "rec", length: str = "length", order: str = "n", least: float = 300.0) -> DataFrame:
-    """`chosen`: titles of `least` seconds or more, or else the longest (the first of equals)."""
+def default_selection(df: DataFrame, key: Key = "rec", length: str = "length", order: str = "n", least: float = 300.0, recorded: str | None = None) -> DataFrame:
+    """`chosen`: titles of `least` seconds or more, or else the longest (the last of equals).
+
+    `recorded` names a flag of discs of recordings, of which all titles are chosen.
+    """
     k = keys(key)
     any_long = F.max(F.col(length) >= least).over(whole(k))
-    rank = F.row_number().over(ordered(k, F.desc(length), order))
-    return df.withColumn("chosen", F.when(any_long, F.col(length) >= least).otherwise(rank == 1))
+    rank = F.row_number().over(ordered(k, F.desc(length), F.desc(order)))
+    chosen = F.when(any_long, F.col(length) >= least).otherwise(rank == 1)
+    return df.withColumn("chosen", F.coalesce(F.col(recorded), F.lit(False)) | chosen if recorded else chosen)
 
 
 def place_marks(marks: DataFrame, items: DataFrame, key: Key = "rec", slack: float = 0.001) -> DataFrame:
-    """Marks of play items within the item (and slack), rebased to its start; near repeats of the row before drop."""
+    """Marks of play items within the item (and slack), rebased to its start; those nearer than slack to the last kept drop."""
     k = keys(key)
     met = marks.join(items, [*k, "item"]).filter((F.col("t") >= F.col("start") - slack) & (F.col("t") <= F.col("end") + slack))
     rows = met.select(*k, "item", (F.col("t") - F.col("start")).alias("at"))
-    prev = F.lag("at").over(ordered([*k, "item"], "at"))
-    return rows.withColumn("__p", prev).filter(F.col("__p").isNull() | (F.col("at") - F.col("__p") > slack)).drop("__p")
+    return keep_apart(rows, [*k, "item"], "at", F.col("at") + slack)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, as_of, keys, middle, ordered, overlap_join, whole
+from ..functions.greedy import keep_apart
 
 
 def gaps(df: DataFrame, key: Key = "rec", t: str = "t", *order: str) -> DataFrame:
@@ -24,16 +25,16 @@ def closest_gap(df: DataFrame, key: Key = "rec", t: str = "t") -> DataFrame:
 
 
 def is_variable_rate(df: DataFrame, frame: float, key: Key = "rec", t: str = "t") -> DataFrame:
-    """With 32 gaps or more, 4 dense ones, or more than 1 % held over 1.75 times the usual gap."""
+    """With 32 gaps above 0 or more, 4 dense ones, or more than 1 % held over 1.75 times the usual gap."""
     k = keys(key)
-    g = gaps(df, k, t).filter("gap IS NOT NULL")
+    g = gaps(df, k, t).filter("gap > 0")
     usual = middle(g, k, "gap", lower=True).select(*k, F.least(F.lit(float(frame)), "median").alias("usual"))
     counts = g.join(usual, k).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col("gap") > 1.75 * F.col("usual")).cast("long")).alias("held"),
         F.sum((F.col("gap") < frame / 2).cast("long")).alias("dense"),
     )
-    variable = (F.col("n") >= 32) & ((F.col("dense") >= 4) | (F.col("held") > 0.01 * F.col("n")))
+    variable = (F.col("n") >= 32) & ((F.col("dense") >= 4) | (F.col("held") * 100 > F.col("n"))) & F.lit(frame > 0)
     return counts.select(*k, "n", "held", "dense", variable.alias("variable"))
 
 
@@ -83,30 +84,38 @@ def sampled_bit_rate(points: DataFrame, packets: DataFrame, key: Key = "rec", n:
 
 
 def pid_rates(packets: DataFrame, key: Key = ("rec", "pid"), clock: str = "clock", wrap: int = 2**33, hz: float = 90000.0, packet: int = 188) -> DataFrame:
-    """Bits per second of each stream: packets times their size over the clock run, which may wrap once."""
+    """Bits per second of each stream: packets times their size over the run from its first to its last stated clock.
+
+    The clock may wrap once; most packets state none. A stream that states under two has no rate.
+    """
     k = keys(key)
-    ends = packets.groupBy(*k).agg(F.min(F.struct("seq", clock)).alias("a"), F.max(F.struct("seq", clock)).alias("b"), F.count(F.lit(1)).alias("n"))
+    stated = F.when(F.col(clock).isNotNull(), F.struct("seq", clock))
+    ends = packets.groupBy(*k).agg(F.min(stated).alias("a"), F.max(stated).alias("b"), F.count(F.lit(1)).alias("n"))
     run = F.pmod(F.col(f"b.{clock}") - F.col(f"a.{clock}"), F.lit(wrap)) / hz
     return ends.select(*k, "n", F.when(run > 0, F.col("n") * packet * 8 / run).alias("bit_rate"))
 
 
-def byte_profile(points: DataFrame, key: Key = "rec", t: str = "t", pos: str = "pos") -> DataFrame:
-    """Stretches (start, end, bytes) between consecutive points whose time and place both rise."""
-    w = ordered(key, t, pos)
-    return (
-        points.select(*keys(key), F.col(t).alias("start"), F.lead(t).over(w).alias("end"), (F.lead(pos).over(w) - F.col(pos)).alias("bytes"))
-        .filter("end > start AND bytes > 0")
-    )
+def byte_profile(points: DataFrame, key: Key = "rec", t: str = "t", pos: str = "pos", order: str = "n") -> DataFrame:
+    """Stretches (start, end, bytes) between points next to each other in `order` whose time rises and whose place doesn't fall.
+
+    Of stretches that overlap, as where two files run on one clock, the first in time is kept. Points
+    without a place count for nothing.
+    """
+    k = keys(key)
+    w = ordered(k, order)
+    placed = points.filter(F.col(pos) >= 0)
+    pairs = placed.select(*k, F.col(t).alias("start"), F.lead(t).over(w).alias("end"), (F.lead(pos).over(w) - F.col(pos)).alias("bytes"), F.col(order).alias("__n"))
+    return keep_apart(pairs.filter("end > start AND bytes >= 0"), k, "start", F.col("end"), "__n").drop("__n")
 
 
 def busier(profile: DataFrame, keeps: DataFrame, key: Key = "rec", least: float = 10.0, framing: float = 1.056, bucket: float = 3600.0) -> DataFrame:
-    """Bytes by which kept ranges exceed the profile's average rate (0 for profiles under `least` seconds)."""
+    """Bytes by which kept ranges exceed the profile's average rate (0 for profiles under `least` seconds or without bytes)."""
     k = keys(key)
     average = profile.groupBy(*k).agg(F.sum("bytes").alias("b"), F.sum(F.col("end") - F.col("start")).alias("s")).select(*k, (F.col("b") / F.col("s")).alias("average"), F.col("s").alias("profiled"))
     rows = profile.select(*k, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "bytes")
     met = overlap_join(keeps.select(*k, "start", "end"), rows, k, bucket).join(average, k)
     held = F.least("end", "b_end") - F.greatest("start", "b_start")
-    over = met.groupBy(*k).agg(F.sum(F.when(F.col("profiled") >= least, held * (F.col("bytes") / (F.col("b_end") - F.col("b_start")) - F.col("average"))).otherwise(0.0)).alias("over"))
+    over = met.groupBy(*k).agg(F.sum(F.when((F.col("profiled") >= least) & (F.col("average") > 0), held * (F.col("bytes") / (F.col("b_end") - F.col("b_start")) - F.col("average"))).otherwise(0.0)).alias("over"))
     return average.join(over, k, "left").select(*k, "average", (F.coalesce("over", F.lit(0.0)) / framing).alias("busier"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, anchored, as_of, before, islands, keys, ordered, overlap_join, so_far
+from ..functions.frames import Key, anchored, as_of, before, islands, keys, ordered, overlap_join, overlaps_any, so_far
 
 #: The default bucket of interval joins, in seconds; about the length of the longer intervals.
 BUCKET = 3600.0
@@ -59,16 +59,16 @@ def covered_seconds(spans: DataFrame, others: DataFrame, key: Key = "rec", bucke
     return out.select(*k, "start", "end", covered.alias("covered"), (F.col("end") - F.col("start") - covered).alias("uncovered"))
 
 
-def overlap_semi(df: DataFrame, others: DataFrame, key: Key = "rec", bucket: float = BUCKET) -> DataFrame:
+def overlap_semi(df: DataFrame, others: DataFrame, key: Key = "rec") -> DataFrame:
     """Rows whose interval overlaps one of others."""
     right = others.select(*keys(key), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return overlap_join(df, right, key, bucket, how="left_semi")
+    return overlaps_any(df, right, key, name="__met").filter("__met").drop("__met")
 
 
-def overlap_anti(df: DataFrame, others: DataFrame, key: Key = "rec", bucket: float = BUCKET) -> DataFrame:
+def overlap_anti(df: DataFrame, others: DataFrame, key: Key = "rec") -> DataFrame:
     """Rows whose interval overlaps none of others."""
     right = others.select(*keys(key), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return overlap_join(df, right, key, bucket, how="left_anti")
+    return overlaps_any(df, right, key, name="__met").filter("NOT __met").drop("__met")
 
 
 def kept_seconds(df: DataFrame, key: Key = "rec") -> DataFrame:
@@ -77,9 +77,22 @@ def kept_seconds(df: DataFrame, key: Key = "rec") -> DataFrame:
 
 
 def unplayed(plays: DataFrame, bounds: DataFrame, key: Key = "rec", least: float = 0.1) -> DataFrame:
-    """Stretches of [start of pictures, duration) in no play, each `least` seconds or more."""
-    span = bounds.select(*keys(key), F.greatest("head", "first_picture").alias("lo"), F.col("duration").alias("hi"))
-    return complement(plays, span, key).filter(F.col("end") - F.col("start") >= least)
+    """Stretches of [0, duration) that no play holds, each `least` seconds or more; none without plays.
+
+    bounds: duration, and head, the first picture's time. The stretch ahead of the first play begins at 0,
+    but is one only if that play begins `least` or more after the head.
+    """
+    k = keys(key)
+    w = ordered(k, "start")
+    rows = merge_intervals(plays, k)
+    rows = rows.withColumn("__ahead", F.lag("end").over(w)).withColumn("__next", F.lead("start").over(w))
+    ahead = F.col("__ahead")
+    late = F.coalesce(F.col("start") - F.greatest("head", F.lit(0.0)) >= least, F.col("start") >= least)
+    ahead_gap = F.struct(F.when(ahead.isNotNull(), ahead).when(late, F.lit(0.0)).alias("start"), F.col("start").alias("end"))
+    tail_gap = F.struct(F.when(F.col("__next").isNull(), F.col("end")).alias("start"), F.col("duration").alias("end"))
+    found = rows.join(bounds.select(*k, "head", "duration"), k).select(*k, "duration", F.explode(F.array(ahead_gap, tail_gap)).alias("g")).filter("g.start IS NOT NULL AND duration > 0")
+    clipped = found.select(*k, F.greatest(F.col("g.start"), F.lit(0.0)).alias("start"), F.least("g.end", "duration").alias("end"))
+    return clipped.filter(F.col("end") - F.col("start") >= least)
 
 
 def grid_before(t: Column, anchor: Column, frame: Column, early: float = 0.0) -> Column:
@@ -124,11 +137,13 @@ def place_cues(cues: DataFrame, own: str = "own", arrival: str = "arrival", behi
 
 
 def clock_per_written(holes: DataFrame, bounds: DataFrame, key: Key = "rec") -> DataFrame:
-    """Duration over the written part of it, 1 where nothing is written."""
+    """Duration over the part of it outside of holes, which count within [0, duration]; 1 where all or none is written."""
     k = keys(key)
-    lost = kept_seconds(merge_intervals(holes, k), k)
+    inside = holes.join(bounds.select(*k, "duration"), k).select(*k, F.greatest(F.col("start"), F.lit(0.0)).alias("start"), F.least("end", "duration").alias("end"))
+    lost = kept_seconds(merge_intervals(inside, k), k)
     written = F.col("duration") - F.coalesce("kept", F.lit(0.0))
-    return bounds.join(lost, k, "left").select(*k, F.when(written > 0, F.col("duration") / written).otherwise(F.lit(1.0)).alias("ratio"))
+    ratio = F.when((F.col("duration") > 0) & (written > 0), F.col("duration") / written).otherwise(F.lit(1.0))
+    return bounds.join(lost, k, "left").select(*k, ratio.alias("ratio"))
 
 
 def split_at_seams(ranges: DataFrame, seams: DataFrame, points: DataFrame, key: Key = "rec", bucket: float = BUCKET) -> DataFrame:
@@ -149,6 +164,19 @@ def split_at_seams(ranges: DataFrame, seams: DataFrame, points: DataFrame, key:
     return found.select(*k, F.when(F.col("past_seam"), F.col("first_point")).otherwise(F.col("at")).alias("start"), "end")
 
 
+def unwritten(seams: DataFrame, points: DataFrame, frame: float, key: Key = "rec") -> DataFrame:
+    """Stretches that no cut writes: from where pictures stop at a seam (time, ends) to the first point past it.
+
+    A point half a frame ahead of the seam is past it; without one the stretch ends at the seam. Stretches
+    of half a frame or less are none.
+    """
+    k = keys(key)
+    eps = frame / 2
+    rows = seams.select(*k, "time", F.least("ends", "time").alias("start"), (F.col("time") - eps).alias("__past"))
+    rows = as_of(rows, points.select(*k, F.col("t").alias("at"), F.col("t").cast("double").alias("__point")), k, "__past", "at", ["__point"], forward=True)
+    return rows.select(*k, "start", F.coalesce("__point", "time").alias("end")).filter(F.col("end") - F.col("start") > eps)
+
+
 def mend_seams(seams: DataFrame, stretch_ends: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000) -> tuple[DataFrame, DataFrame]:
     """(seams, points). A seam's `ends` moves back to the end of its stretch's last picture when that is more
     than a quarter frame earlier; points from there up to the seam, which no picture follows, are dropped."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, before, islands, keys, middle, ordered, so_far, whole
+from ..functions.greedy import keep_apart
 from .gaps import median_gap
 from .graph import components
 
@@ -68,19 +69,10 @@ def monotone_only(df: DataFrame, key: Key = "rec", t: str = "t", *order: str) ->
     return df.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col(t) > F.col("__r"))).drop("__r")
 
 
-def _every(key: Key, df: DataFrame, t: str, gap: Column) -> DataFrame:
-    """Times kept greedily: each at least `gap` after the last kept; one array a key, meant for marks."""
-    marks = df.groupBy(*keys(key)).agg(F.sort_array(F.collect_list(t)).alias("__ts"), F.first(gap).alias("__gap"))
-    empty = F.slice("__ts", 1, 0)
-    late = lambda a, x: F.coalesce(x >= F.try_element_at(a, F.lit(-1)) + F.col("__gap"), F.lit(True))
-    kept = F.aggregate("__ts", empty, lambda a, x: F.when(late(a, x), F.concat(a, F.array(x))).otherwise(a))
-    return marks.select(*keys(key), kept.alias("kept"))
-
-
 def debounce(df: DataFrame, key: Key = "rec", t: str = "t", gap: float = 2.0, fewest: int = 3) -> DataFrame:
     """Marks at least `gap` after the last kept one; none of a key that keeps under `fewest`."""
-    kept = _every(key, df, t, F.lit(float(gap)))
-    return kept.filter(F.size("kept") >= fewest).select(*keys(key), F.explode("kept").alias(t))
+    kept = keep_apart(df.select(*keys(key), t), key, t, F.col(t) + gap)
+    return kept.withColumn("__n", F.count(F.lit(1)).over(whole(key))).filter(F.col("__n") >= fewest).drop("__n")
 
 
 def dedup_adjacent(df: DataFrame, key: Key = "rec", t: str = "t", eps: float = 1.0, order: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +84,7 @@ def dedup_adjacent(df: DataFrame, key: Key = "rec", t: str = "t", eps: float = 1
 def thin_by_interval(df: DataFrame, key: Key = "rec", t: str = "t", interval: float | Column = 1.0) -> DataFrame:
     """The first row, then each next row at least `interval` (a number or a column of the key) after the last kept."""
     gap = interval if isinstance(interval, Column) else F.lit(float(interval))
-    return _every(key, df, t, gap).select(*keys(key), F.explode("kept").alias(t))
+    return keep_apart(df, key, t, F.col(t) + gap).select(*keys(key), t)
 
 
 def byte_interval(df: DataFrame, key: Key = "rec", t: str = "t", size: str = "size", budget: int = 256 << 20) -> DataFrame:
@@ -175,7 +167,7 @@ def change_score(df: DataFrame, key: Key = "rec", t: str = "t", sig: str = "sig"
 
 
 def scene_marks(df: DataFrame, bounds: DataFrame, key: Key = "rec", t: str = "t", diff: str = "diff", floor: float = 0.055, over: float = 3.0, spacing: float = 3.0) -> DataFrame:
-    """Rows that differ by more than `over` typical differences and the floor; one in `spacing` seconds at most.
+    """Rows that differ by `over` typical differences and the floor or more; one in `spacing` seconds at most.
 
     Where more rows pass than the recording's length allows, the threshold is the difference that
     as many rows reach.
@@ -184,7 +176,7 @@ def scene_marks(df: DataFrame, bounds: DataFrame, key: Key = "rec", t: str = "t"
     typical = middle(df, k, diff)
     rows = df.join(typical, k).join(bounds.select(*k, "duration"), k).withColumn("__cut", F.greatest(over * F.col("median"), F.lit(floor)))
     cap = F.greatest(F.lit(1), F.floor(F.col("duration") / spacing))
-    passed = rows.filter(F.col(diff) > F.col("__cut")).withColumn("__n", F.count(F.lit(1)).over(whole(k))).withColumn("__i", F.row_number().over(ordered(k, F.desc(diff), t)))
+    passed = rows.filter(F.col(diff) >= F.col("__cut")).withColumn("__n", F.count(F.lit(1)).over(whole(k))).withColumn("__i", F.row_number().over(ordered(k, F.desc(diff), t)))
     limit = F.max(F.when(F.col("__i") == cap, F.col(diff))).over(whole(k))
     kept = passed.withColumn("__limit", F.when(F.col("__n") > cap, limit)).filter(F.col("__limit").isNull() | (F.col(diff) >= F.col("__limit")))
     return kept.select(*k, t, diff)

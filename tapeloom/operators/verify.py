@@ -69,23 +69,26 @@ def track_length_off(tracks: DataFrame, allowed: float = 0.0, slack: float = 0.5
 
 
 def kept_fits(out: DataFrame, kept: DataFrame, key: Key = "rec", slack: float = 0.5) -> DataFrame:
-    """V6: whether an output's seconds and holes fit what was kept (from, to, holes)."""
+    """V6: whether an output's seconds and holes fit what was kept (from, to, holes); holes that aren't known fit."""
     k = keys(key)
     rows = out.join(kept, k)
-    return rows.select(*k, (F.col("seconds").between(F.col("from") - slack, F.col("to") + slack) & (F.col("holes") <= F.col("source_holes") + slack)).alias("fits"))
+    return rows.select(*k, (F.col("seconds").between(F.col("from") - slack, F.col("to") + slack) & F.coalesce(F.col("holes") <= F.col("source_holes") + slack, F.lit(True))).alias("fits"))
 
 
 def best_lag(a: DataFrame, b: DataFrame, key: Key = "rec", pos: str = "bucket", value: str = "level", search: int = 20) -> DataFrame:
-    """V7: the lag of b with the highest normalised correlation of both centred series, over the places that meet."""
+    """V7: where a sits in b: the lag of the largest product of both centred series (of equals the least), and their
+    correlation over the places that meet there, with those places' own means and norms."""
     k = keys(key)
     centred = lambda df, n: df.join(df.groupBy(*k).agg(F.avg(value).alias("__m")), k).select(*k, F.col(pos).alias("__p"), (F.col(value) - F.col("__m")).alias(n))
     x, y = centred(a, "x"), centred(b, "y")
-    norm = lambda df, n: df.groupBy(*k).agg(F.sum(F.col(n) * F.col(n)).alias(f"n{n}"))
     tried = x.withColumn("lag", F.explode(F.sequence(F.lit(-search), F.lit(search)))).withColumn("__p", F.col("__p") + F.col("lag"))
-    dots = tried.join(y, [*k, "__p"]).groupBy(*k, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    rows = dots.join(norm(x, "x"), k).join(norm(y, "y"), k).withColumn("corr", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("dot") / F.sqrt(F.col("nx") * F.col("ny"))).otherwise(0.0))
-    best = rows.groupBy(*k).agg(F.min(F.struct((-F.round("corr", 9)).alias("c"), F.abs("lag").alias("d"), "lag")).alias("m"))
-    return best.select(*k, F.col("m.lag").alias("lag"), (-F.col("m.c")).alias("corr"))
+    sums = [F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in ("xy", "xx", "yy")]
+    rows = tried.join(y, [*k, "__p"]).groupBy(*k, "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), *sums)
+    dot = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    norm = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    corr = F.when(norm > 1e-12, dot / F.sqrt(F.when(norm > 1e-12, norm))).otherwise(0.0)
+    best = rows.groupBy(*k).agg(F.min(F.struct((-F.round("sxy", 6)).alias("c"), F.abs("lag").alias("d"), "lag", corr.alias("corr"))).alias("m"))
+    return best.select(*k, F.col("m.lag").alias("lag"), F.col("m.corr").alias("corr"))
 
 
 def marker_alignment(expected: DataFrame, got: DataFrame, keeps: DataFrame, key: Key = "rec", guard: float = 0.05, reach: float = 0.05, bucket: float = 60.0) -> DataFrame:

@@ -132,10 +132,10 @@ ORACLE = {
     "s4_ttml": f"""WITH {EV} SELECT event_id, floor(value) + 0.25 AS "begin", event_id % 700 + 0.25::DOUBLE AS "end" FROM ev WHERE event_id % 700 > floor(value)""",
     "s5_write_marks": "SELECT event_id::VARCHAR AS value FROM events WHERE event_type = 'error'",
     "s6_new_files": "SELECT '/' || source || '/' || doc_id AS path, n_chars AS length, doc_id * 10 AS modified FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0",
-    "s7_retention": """WITH d AS (SELECT source AS store, doc_id::VARCHAR AS path, n_chars AS bytes, doc_id * 7919 % 100003 AS modified, doc_id % 11 = 0 AS spare, doc_id % 13 = 0 AND doc_id % 2 = 0 AS stale FROM documents),
-        l AS (SELECT * FROM d WHERE NOT stale), s AS (SELECT store, count(*) FILTER (spare) AS sn, coalesce(sum(bytes) FILTER (spare), 0) AS sb FROM l GROUP BY store),
+    "s7_retention": """WITH d AS (SELECT source AS store, doc_id::VARCHAR AS path, n_chars AS bytes, doc_id * 7919 % 100003 AS modified, doc_id % 11 = 0 AS spare, doc_id % 13 = 0 AS half, doc_id % 2 = 1 AS young FROM documents),
+        l AS (SELECT * FROM d WHERE NOT half), s AS (SELECT store, count(*) FILTER (spare) AS sn, coalesce(sum(bytes) FILTER (spare), 0) AS sb FROM l GROUP BY store),
         w AS (SELECT l.*, sn, sb, row_number() OVER (PARTITION BY l.store, spare ORDER BY modified DESC, path) AS n, sum(bytes) OVER (PARTITION BY l.store, spare ORDER BY modified DESC, path ROWS UNBOUNDED PRECEDING) AS b FROM l JOIN s ON s.store IS NOT DISTINCT FROM l.store)
-        SELECT store, path, spare OR n = 1 OR (n + sn <= 20 AND b + sb <= 40000) AS kept FROM w UNION ALL SELECT store, path, false FROM d WHERE stale""",
+        SELECT store, path, spare OR n = 1 OR (n + sn <= 20 AND b + sb <= 40000) AS kept FROM w UNION ALL SELECT store, path, young FROM d WHERE half""",
     "s8_append": """WITH o AS (SELECT o_orderkey AS path, o_orderstatus AS state, o_custkey * 10 AS edited FROM orders WHERE o_orderkey % 3 < 2) SELECT * FROM o UNION ALL
         SELECT o_orderkey, o_orderpriority, o_orderkey % 15000 + 5 FROM orders WHERE o_orderkey % 3 = 2""",
     "s8_merge": """WITH b AS (SELECT o_orderkey AS path, o_orderstatus AS state, o_custkey * 10 AS edited, 0 AS n FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, o_orderpriority, o_orderkey % 15000 + 5, 1 FROM orders WHERE o_orderkey % 3 > 0)

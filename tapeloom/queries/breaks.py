@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import breaks as b
 from ..operators import intervals as iv
 from .common import EV, events, r
+from .runs import _absences as absences_sql
+from .runs import _states as states_sql
 
 UNIT = 20000.0
 D = UNIT / 30
@@ -52,7 +54,9 @@ def _resets(spark, sf):
 
 
 def d4_reset_blocks(spark, sf):
-    return b.blocks_from_resets(_resets(spark, sf), _bounds(spark, sf), unit=UNIT, slack=2 * D).select("rec", r("start"), r("end"), "junctions", "score")
+    # a fifth of the recordings states no length
+    bounds = _bounds(spark, sf).withColumn("duration", F.when(F.col("rec") % 5 == 0, 0.0).otherwise(F.col("duration")))
+    return b.blocks_from_resets(_resets(spark, sf), bounds, unit=UNIT, slack=2 * D).select("rec", r("start"), r("end"), "junctions", "score")
 
 
 def d5_every_junction(spark, sf):
@@ -77,7 +81,7 @@ def _quiet(spark, sf):
 
 
 def d7_insert_blocks(spark, sf):
-    return b.insert_blocks(_brief(spark, sf), _quiet(spark, sf), _blocks(spark, sf), least=500.0, bucket=50000.0).select("rec", r("start"), r("end"), r("score"))
+    return b.insert_blocks(_brief(spark, sf), _quiet(spark, sf), _blocks(spark, sf), least=500.0).select("rec", r("start"), r("end"), r("score"))
 
 
 def d8_refine(spark, sf):
@@ -85,10 +89,17 @@ def d8_refine(spark, sf):
 
 
 def d9_detect(spark, sf):
+    """All three methods, told by the data: resets of any recording, and corner scores of those with a dear signup."""
     ev = events(spark, sf)
-    marked = ev.filter(F.pmod("rec", F.lit(3)) == 1).select("rec", "t", (F.col("value") / 500).alias("score"))
-    marks = ev.filter(F.pmod("rec", F.lit(3)) == 0).select("rec", (F.floor(F.col("t") / UNIT) * UNIT).alias("t")).distinct()
-    return b.detect_breaks(marks, _silences(spark, sf), marked, _changes(spark, sf), _bounds(spark, sf), unit=UNIT, present=F.lit(0.4), absent=F.lit(0.15), min_present=20000.0, window=30000.0).select("rec", r("start"), r("end"), r("score"), "method")
+    cornered = ev.filter("event_type = 'signup' AND value > 300").select("rec").distinct()
+    scores = ev.join(cornered, "rec", "left_semi").select("rec", "t", (F.col("value") / 500).alias("score"))
+    found = b.detect_breaks(
+        _resets(spark, sf), _silences(spark, sf), scores, _changes(spark, sf), _bounds(spark, sf), unit=UNIT,
+        resets=dict(slack=3 * D, fewest=3), absences=dict(snap=6000.0, change=0.3, near=9000.0), silent=dict(min_score=0.6, min_fill=0.3, fewest=2),
+        refine=dict(window=4000.0, floor=0.85), split=dict(long=60000.0, edge_long=10000.0, brief=50000.0),
+        present=F.lit(0.4), absent=F.lit(0.15), min_present=20000.0, window=30000.0,
+    )
+    return found.select("rec", r("start"), r("end"), r("score"), "method")
 
 
 def _truth(spark, sf):
@@ -98,7 +109,7 @@ def _truth(spark, sf):
 
 def d10_score(spark, sf):
     mine = iv.merge_intervals(_blocks(spark, sf)).select("rec", "start", "end")
-    return b.score_breaks(mine, _truth(spark, sf), _bounds(spark, sf), unit=UNIT, bucket=50000.0).select("rec", r("over"), r("under"), "false_blocks", "missed", "odd")
+    return b.score_breaks(mine, _truth(spark, sf), _bounds(spark, sf), unit=UNIT).select("rec", r("over"), r("under"), "false_blocks", "missed", "odd")
 
 
 def d11_coverage(spark, sf):
@@ -132,10 +143,10 @@ ORACLE = {
     "d1_on_grid": f"WITH {_SIL} SELECT rec, round(a, 6) AS a, round(b, 6) AS b FROM nx",
     "d2_candidates": f"WITH RECURSIVE {_CAND} SELECT rec, round(time, 6) AS time, run, round(score, 6) AS score, row_number() OVER (PARTITION BY rec ORDER BY score DESC, time)::INTEGER AS rank FROM cd",
     "d3_break_blocks": f"WITH RECURSIVE {_BLK} SELECT rec, round(s, 6) AS start, round(e, 6) AS \"end\", junctions, round(score, 6) AS score FROM blk",
-    "d4_reset_blocks": f"""WITH {_RS}, {_BD}, g AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND {_GAP.format(g='gap', most=12, slack=2 * D)} THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM m),
+    "d4_reset_blocks": f"""WITH {_RS}, bd AS (SELECT rec, CASE WHEN rec % 5 = 0 THEN 0 ELSE max(t) END AS d FROM ev GROUP BY rec), g AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND {_GAP.format(g='gap', most=12, slack=2 * D)} THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM m),
         c AS (SELECT rec, min(t) AS a, max(t) AS b, count(*) AS n FROM g GROUP BY rec, g),
-        k AS (SELECT rec, CASE WHEN n = 1 AND a <= 20000 THEN 0 ELSE a END AS s, CASE WHEN n = 1 AND a <= 20000 THEN a WHEN n = 1 AND d - a <= 20000 THEN d ELSE b END AS e, n, CASE WHEN n >= 2 THEN 1.0 ELSE 0.9 END AS score
-            FROM c JOIN bd USING (rec) WHERE n >= 2 OR a <= 20000 OR d - a <= 20000),
+        k AS (SELECT rec, CASE WHEN n = 1 AND a <= 20000 THEN 0 ELSE a END AS s, CASE WHEN n = 1 AND a <= 20000 THEN a WHEN n = 1 AND d - a BETWEEN 0 AND 20000 THEN d ELSE b END AS e, n, CASE WHEN n >= 2 THEN 1.0 ELSE 0.9 END AS score
+            FROM c JOIN bd USING (rec) WHERE n >= 2 OR a <= 20000 OR d - a BETWEEN 0 AND 20000),
         z AS (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k)
         SELECT rec, round(s, 6) AS start, round(e, 6) AS "end", n AS junctions, score::DOUBLE AS score FROM z WHERE reach IS NULL OR e > reach""",
     "d5_every_junction": f"WITH {_RS} SELECT rec, count(*) FILTER (abs(gap - 20000.0) <= {3 * D}) >= 2 AS every_junction FROM m GROUP BY rec",
@@ -175,3 +186,27 @@ ORACLE["d10_score"] = f"""WITH RECURSIVE {_BLK}, {_BD}, {_MINE}, tr AS (SELECT r
         od AS (SELECT mi.rec, count(*) AS n FROM mi JOIN bd USING (rec) WHERE s > 0 AND e < d AND e - s >= 40000 AND abs(e - s - round_even((e - s) / 20000.0, 0) * 20000.0) > 0.25 GROUP BY mi.rec)
         SELECT bd.rec, round(coalesce(ov.kept, 0), 6) AS over, round(coalesce(un.kept, 0), 6) AS under, coalesce(fb.n, 0) AS false_blocks, coalesce(ms.n, 0) AS missed, coalesce(od.n, 0) AS odd
         FROM bd LEFT JOIN ov USING (rec) LEFT JOIN un USING (rec) LEFT JOIN fb USING (rec) LEFT JOIN ms USING (rec) LEFT JOIN od USING (rec)"""
+
+ORACLE["d9_detect"] = f"""WITH RECURSIVE {_CAND}, {_BD}, m AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS gap FROM ev WHERE event_type IN ('error', 'click')),
+        ej AS (SELECT rec FROM m GROUP BY rec HAVING count(*) FILTER (abs(gap - 20000.0) <= {3 * D}) >= 3),
+        g4 AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND {_GAP.format(g='gap', most=12, slack=3 * D)} THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM m WHERE rec IN (SELECT rec FROM ej)),
+        c4 AS (SELECT rec, min(t) AS a, max(t) AS b, count(*) AS n FROM g4 GROUP BY rec, g),
+        k4 AS (SELECT rec, CASE WHEN n = 1 AND a <= 20000 THEN 0 ELSE a END AS s, CASE WHEN n = 1 AND a <= 20000 THEN a WHEN n = 1 AND d - a BETWEEN 0 AND 20000 THEN d ELSE b END AS e, CASE WHEN n >= 2 THEN 1.0 ELSE 0.9 END::DOUBLE AS score
+            FROM c4 JOIN bd USING (rec) WHERE n >= 2 OR a <= 20000 OR d - a BETWEEN 0 AND 20000),
+        one AS (SELECT rec, s, e, score, 'resets' AS method FROM (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k4) WHERE reach IS NULL OR e > reach),
+        sc AS (SELECT rec, event_id, t, value / 500 AS score FROM ev WHERE rec NOT IN (SELECT rec FROM ej) AND rec IN (SELECT rec FROM ev WHERE event_type = 'signup' AND value > 300)),
+        {states_sql('sc', 'rec', '0.4', '0.15', 20000.0)}, {absences_sql('rec', 30000.0)},
+        big3 AS (SELECT rec, t FROM ev WHERE value / 500 >= 0.3), jn AS (SELECT rec, time AS t, EXISTS (SELECT 1 FROM big3 WHERE big3.rec = cd.rec AND abs(big3.t - cd.time) <= 9000) AS shown FROM cd WHERE score >= 0.6),
+        st AS (SELECT jn.rec, jn.t + n * 20000.0 AS t FROM jn JOIN bd USING (rec), range(9) r(n) WHERE jn.t + n * 20000.0 <= d),
+        x AS (SELECT ab.rec, ab.s AS a, ab.e AS b, edge, d FROM ab JOIN bd USING (rec) WHERE ab.e - ab.s >= CASE WHEN edge THEN 10000 ELSE 60000 END),
+        y AS (SELECT x.*, {_nearest('x.a', 'jn', 12000.0, 'q.shown')} AS s, {_nearest('x.b', 'st', 6000.0)} AS e FROM x),
+        z9 AS (SELECT rec, CASE WHEN edge AND a <= 1.5 THEN 0 ELSE coalesce(s, a) END AS s, CASE WHEN edge AND b >= d - 1e-6 THEN d ELSE coalesce(e, b) END AS e,
+            CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN 1.0 ELSE 0.7 END::DOUBLE AS score, (edge AND a <= 1.5) OR (edge AND b >= d - 1e-6) AS edge FROM y),
+        two AS (SELECT rec, s, e, score, 'mark' AS method FROM z9 WHERE e - s >= CASE WHEN edge THEN 1 ELSE 5 END),
+        s1 AS (SELECT *, lag(dur) OVER w AS pd, time - lag(time) OVER w AS gap FROM cd WHERE score >= 0.6 AND rec NOT IN (SELECT rec FROM ej) AND rec NOT IN (SELECT rec FROM sc) WINDOW w AS (PARTITION BY rec ORDER BY time)),
+        s2 AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND {_GAP.format(g='gap', most=8, slack='least((dur + pd) / 2, 800.0) + 200.0')} THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY time ROWS UNBOUNDED PRECEDING) AS g FROM s1),
+        three AS (SELECT rec, s, e, score, 'silence' AS method FROM (SELECT rec, min(time) AS s, max(time) AS e, count(*) AS junctions, avg(score) AS score FROM s2 GROUP BY rec, g) WHERE junctions >= 2 AND junctions / (greatest(round((e - s) / 20000.0), 1) + 1) >= 0.3),
+        every AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three), big AS (SELECT rec, t FROM ev WHERE value / 500 >= 0.85),
+        yy AS (SELECT x.*, d, {_nearest('x.s', 'big', 4000.0)} AS ns, {_nearest('x.e', 'big', 4000.0)} AS ne FROM every x JOIN bd ON bd.rec = x.rec),
+        zz AS (SELECT rec, CASE WHEN s = 0 THEN 0 ELSE coalesce(ns, s) END AS s, CASE WHEN e >= d THEN e ELSE coalesce(ne, e) END AS e, score, method FROM yy)
+        SELECT rec, round(s, 6) AS start, round(greatest(e, s), 6) AS "end", round(score, 6) AS score, method FROM zz"""

@@ -12,8 +12,9 @@ from ..operators.intervals import merge_intervals
 from .common import EV, events, r, table
 
 #: Codecs and families stand for return flags and brands, so that tables of codes have rows to meet.
-CODECS = ("mpeg2video", "h264", "aac", "ac3", "flac", "vp9", "pcm_s8")
-FAMILIES = ("ts", "mp4", "ps", "mov", "webm", "mkv")
+CODECS = ("mpeg2video", "h264", "aac", "ac3", "flac", "vp9", "pcm_s8", "pcm_s16le", "pcm_s16be", "alac", "opus")
+FAMILIES = ("ts", "mp4", "ps", "mov", "webm", "mkv", "avi", "ogm")
+TRACK_CODECS = ("aac", "ac3", "mp2", "pcm_s16be", "flac", "dts", "aac_latm", "pcm_dvd", "atrac9")
 
 
 def _pick(column, values):
@@ -26,12 +27,18 @@ def _sql_pick(column: str, values) -> str:
 
 def _tracks(spark, sf):
     li = table(spark, sf, "lineitem")
-    codec = _pick(F.col("l_partkey"), ("aac", "ac3", "mp2", "pcm_s16be", "flac"))
-    return li.select(F.col("l_orderkey").alias("rec"), codec.alias("codec"), F.when(F.col("l_quantity") > 20, F.col("l_quantity") * 4000).alias("rate"), (F.col("l_linenumber") % 2 + 1).alias("channels"), F.lit(48000).alias("sample_rate"), F.lit(16).alias("bits"), (F.col("l_returnflag") == "R").alias("drop"), F.when(F.col("l_returnflag") == "A", "aac").alias("to_codec"), F.when(F.col("l_suppkey") % 3 == 0, 192000).alias("to_rate"), F.when(F.col("l_suppkey") % 4 == 0, 1).alias("to_channels"))
+    codec = _pick(F.col("l_partkey"), TRACK_CODECS)
+    sk = F.col("l_suppkey")
+    return li.select(
+        F.col("l_orderkey").alias("rec"), codec.alias("codec"), F.when(F.col("l_quantity") > 10, (F.col("l_quantity") - 12) * 4000).alias("rate"), (F.col("l_linenumber") % 3 + 1).alias("channels"),
+        F.lit(48000).alias("sample_rate"), _pick(F.col("l_linenumber"), (8, 16, 20, 24)).alias("bits"), F.when(F.col("l_linenumber") % 2 == 0, 90000).alias("clock"),
+        (F.col("l_returnflag") == "R").alias("drop"), F.when(F.col("l_returnflag") == "A", _pick(sk, ("aac", "lpcm", "ac3"))).alias("to_codec"), F.when(sk % 5 == 0, 192000).alias("to_rate"),
+        F.when(sk % 4 == 0, 1).alias("to_channels"), F.when(sk % 7 == 0, 44100).alias("to_sample_rate"), F.when(sk % 6 == 0, 24).alias("to_bits"),
+    )
 
 
 def c1_rates(spark, sf):
-    recs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rec"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("video_rate"), (F.col("o_totalprice") * 2).alias("file_rate"), F.lit("mpeg2video").alias("codec"))
+    recs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rec"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("video_rate"), (F.col("o_totalprice") * 2).alias("file_rate"), _pick(F.col("o_custkey"), ("mpeg2video", "h264")).alias("codec"))
     return cap.rates(recs, _tracks(spark, sf)).select("rec", r("video"), r("audio"), "can_shrink")
 
 
@@ -39,8 +46,12 @@ def c1_as_written(spark, sf):
     return cap.rates_as_written(_tracks(spark, sf)).select("rec", r("audio"))
 
 
+def c1_as_written_ts(spark, sf):
+    return cap.rates_as_written(_tracks(spark, sf), to_ts=True).select("rec", r("audio"))
+
+
 def _estimates(spark, sf, disc=True):
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("disc"), (F.col("o_totalprice") / 50).alias("seconds"), F.lit(6000000.0).alias("video"), F.lit(192000.0).alias("audio"), F.when(F.col("o_orderstatus") == "F", 1000000.0).alias("busier"), (F.col("o_orderpriority") < "3").alias("can_shrink"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 600).alias("disc"), (F.col("o_totalprice") / 50).alias("seconds"), F.lit(6000000.0).alias("video"), F.lit(192000.0).alias("audio"), F.when(F.col("o_orderstatus") == "F", 1000000.0).alias("busier"), (F.col("o_orderpriority") < "3").alias("can_shrink"))
     return cap.estimate_size(o, disc)
 
 
@@ -56,6 +67,13 @@ def c3_fit(spark, sf):
     return cap.fit_discs(_estimates(spark, sf)).select("disc", "name", "bytes", "video_bytes", "usable", "fits", r("share"), "reachable")
 
 
+def c3_disc_holds(spark, sf):
+    """Parts as discs: some are written as overwritable images, which hold less."""
+    p = table(spark, sf, "part")
+    capacity = (F.col("p_retailprice") * 1000000).cast("long")
+    return p.select("p_partkey", cap.disc_holds(capacity, F.col("p_size") % 2 == 0, 1200000000, 1350000000, 1500000000).alias("holds"))
+
+
 def m1_series_title(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -153,8 +171,8 @@ def m10_container(spark, sf):
 
 
 def m11_selection(spark, sf):
-    rows = events(spark, sf).select("rec", F.col("event_id").alias("n"), (F.col("value") * F.when(F.col("rec") % 2 == 0, 1.0).otherwise(0.5)).alias("length"))
-    return cat.default_selection(rows).select("rec", "n", "chosen")
+    rows = events(spark, sf).select("rec", F.col("event_id").alias("n"), (F.floor(F.col("value") / 50) * F.when(F.col("rec") % 2 == 0, 60.0).otherwise(20.0)).alias("length"), (F.col("rec") % 7 == 0).alias("recorded"))
+    return cat.default_selection(rows, recorded="recorded").select("rec", "n", "chosen")
 
 
 def m12_marks(spark, sf):
@@ -175,8 +193,8 @@ def v1_align(spark, sf):
 
 def _pairs(spark, sf):
     ev = events(spark, sf)
-    out = F.when(F.col("value") > 450, None).when(F.col("value") > 400, "x").otherwise(F.col("event_type"))
-    return ev.select("rec", F.col("event_id").alias("pos"), F.when(F.col("event_type") == "view", "copy").otherwise("reencode").alias("kind"), F.col("event_type").alias("src_hash"), out.alias("out_hash"), F.when(F.col("event_type") != "view", 20 + F.col("value") / 10).alias("psnr"), (F.pmod("event_id", F.lit(17)) == 0).alias("damaged"))
+    out = F.when(F.col("value") > 300, None).when(F.col("value") > 200, "x").otherwise(F.col("event_type"))
+    return ev.select("rec", F.col("event_id").alias("pos"), F.when(F.col("event_type") == "view", "copy").otherwise("reencode").alias("kind"), F.col("event_type").alias("src_hash"), out.alias("out_hash"), F.when(F.col("event_type") != "view", 25 + F.col("value") / 10 - F.when(F.col("event_id") % 100 == 0, 20).otherwise(0)).alias("psnr"), (F.pmod("event_id", F.lit(17)) == 0).alias("damaged"))
 
 
 def v2_report(spark, sf):
@@ -201,15 +219,17 @@ def v5_track_length(spark, sf):
 
 def v6_kept_fits(spark, sf):
     ev = events(spark, sf)
-    out = ev.groupBy("rec").agg(F.sum("value").alias("seconds"), F.min("value").alias("holes"))
-    kept = ev.groupBy("rec").agg((F.sum("value") - F.col("rec") % 5 * 200 + 300).alias("to"), F.lit(0.0).alias("from"), (F.max("value") / 100).alias("source_holes"))
+    # one recording of four tells no holes of its output, one of six none of its source
+    out = ev.groupBy("rec").agg(F.sum("value").alias("seconds"), F.when(F.col("rec") % 4 > 0, F.min("value")).alias("holes"))
+    kept = ev.groupBy("rec").agg((F.sum("value") - F.col("rec") % 5 * 200 + 300).alias("to"), F.lit(0.0).alias("from"), F.when(F.col("rec") % 6 > 0, F.max("value") / 2000).alias("source_holes"))
     return v.kept_fits(out, kept)
 
 
 def v7_best_lag(spark, sf):
     ev = events(spark, sf).groupBy("rec", F.floor(F.col("t") / 86400).alias("bucket")).agg(F.max("value").alias("level"))
-    moved = ev.withColumn("bucket", F.col("bucket") + F.pmod("rec", F.lit(5)) - 2)
-    return v.best_lag(ev, moved, search=4).select("rec", F.col("lag").cast("long").alias("lag"), r("corr"))
+    # a middle part of each series is looked for in the whole one, moved and a little changed
+    moved = ev.select("rec", (F.col("bucket") + F.pmod("rec", F.lit(5)) - 2).alias("bucket"), (F.col("level") * (1 + F.pmod("bucket", F.lit(3)) / 10)).alias("level"))
+    return v.best_lag(ev.filter("bucket BETWEEN 8 AND 20"), moved, search=4).select("rec", F.col("lag").cast("long").alias("lag"), r("corr"))
 
 
 def _wide(spark, sf):
@@ -232,6 +252,10 @@ def v9_carried(spark, sf):
     return v.carried_rows_check(ev, out, keeps, bucket=100000.0).select("rec", r("range"), "rows", "arrived", r("drift"), "passed")
 
 
+def v10_quietest(spark, sf):
+    return v.quietest_step(events(spark, sf).select("rec", "t", (-F.floor("value")).alias("db"))).select("rec", r("t"))
+
+
 def v10_fade(spark, sf):
     ev = events(spark, sf)
     levels = ev.select("rec", "t", (-F.col("value") / 10).alias("db"))
@@ -239,11 +263,27 @@ def v10_fade(spark, sf):
     return v.fade_envelope_check(levels, seams, quiet=-30.0, burst=-5.0, near=20000.0, outside=18.0, bucket=130000.0).select("rec", r("seam"), r("at_seam"), r("loudest"), r("away"), "passed")
 
 
-QUERIES = [c1_rates, c1_as_written, c2_estimate_disc, c2_estimate_file, c3_fit, m1_series_title, m2_shared_title, m3_channel, m4_began, m5_latest_sections, m6_summary, m6_events_at, m6_own_schedule, m7_sound_names, m8_conform, m8_tracks, m9_actions, m10_container, m11_selection, m12_marks, v1_align, v2_report, v3_psnr, v4_after_damage, v5_track_length, v6_kept_fits, v7_best_lag, v8_markers, v9_carried, v10_fade]
+QUERIES = [c1_rates, c1_as_written, c1_as_written_ts, c2_estimate_disc, c2_estimate_file, c3_fit, c3_disc_holds, m1_series_title, m2_shared_title, m3_channel, m4_began, m5_latest_sections, m6_summary, m6_events_at, m6_own_schedule, m7_sound_names, m8_conform, m8_tracks, m9_actions, m10_container, m11_selection, m12_marks, v1_align, v2_report, v3_psnr, v4_after_damage, v5_track_length, v6_kept_fits, v7_best_lag, v8_markers, v9_carried, v10_fade, v10_quietest]
+
+def _per(codec: str) -> str:
+    return f"CASE {codec} WHEN 'aac' THEN 96000 WHEN 'aac_latm' THEN 96000 WHEN 'ac3' THEN 96000 WHEN 'mp2' THEN 128000 WHEN 'flac' THEN 400000 WHEN 'dts' THEN 256000 ELSE 0 END"
+
+
+# a stated rate above 0 counts, unless it is an AAC rate read off frames and under half of the codec's; then the codec's; then the samples'
+_TR = f"""t0 AS (SELECT l_orderkey AS rec, l_suppkey AS sk, l_linenumber AS ln, l_returnflag AS fl, {_sql_pick('l_partkey', TRACK_CODECS)} AS codec, CASE WHEN l_quantity > 10 THEN (l_quantity - 12) * 4000 END AS rate,
+        l_linenumber % 3 + 1 AS ch, [8, 16, 20, 24][l_linenumber % 4 + 1] AS bits FROM lineitem),
+    t1 AS (SELECT *, {_per('codec')} * ch AS worth, codec = 'aac_latm' OR (codec = 'aac' AND ln % 2 = 0) AS probed FROM t0),
+    tr AS (SELECT *, CASE WHEN rate > 0 AND NOT (probed AND rate < worth // 2) THEN rate WHEN worth > 0 THEN worth ELSE 48000 * ch * greatest(bits, 16) END::DOUBLE AS own FROM t1)"""
+
 
-_PER = "CASE codec WHEN 'aac' THEN 96000 WHEN 'ac3' THEN 96000 WHEN 'mp2' THEN 128000 WHEN 'flac' THEN 400000 ELSE 96000 END"
-_TR = f"""tr AS (SELECT *, CASE WHEN codec = 'pcm_s16be' THEN 48000 * ch * 16 WHEN rate >= 8000 THEN rate ELSE {_PER} * ch END::DOUBLE AS own FROM (
-    SELECT l_orderkey AS rec, l_suppkey AS sk, l_returnflag AS fl, {_sql_pick('l_partkey', ('aac', 'ac3', 'mp2', 'pcm_s16be', 'flac'))} AS codec, CASE WHEN l_quantity > 20 THEN l_quantity * 4000 END AS rate, l_linenumber % 2 + 1 AS ch FROM lineitem))"""
+def _written(ts: bool) -> str:
+    pair = lambda n: f"({n} + {n} % 2)" if ts else f"({n})"
+    dvd = f"WHEN codec = 'pcm_dvd' THEN 48000 * {pair('ch')} * CASE WHEN bits > 16 THEN 24 ELSE 16 END" if ts else ""
+    return f"""WITH {_TR}, w AS (SELECT *, CASE WHEN fl = 'A' THEN ['aac', 'lpcm', 'ac3'][(sk % 3 + 1)::INTEGER] END AS tc, CASE WHEN sk % 5 = 0 THEN 192000 END AS rt, CASE WHEN sk % 4 = 0 THEN 1 ELSE ch END AS nc, CASE WHEN sk % 7 = 0 THEN 44100 ELSE 48000 END AS sr, CASE WHEN sk % 6 = 0 THEN 24 ELSE bits END AS nb FROM tr),
+        x AS (SELECT *, coalesce(tc, codec) AS target, coalesce(tc, codec) = 'lpcm' OR coalesce(tc, codec) LIKE 'pcm%' AS pcm FROM w),
+        y AS (SELECT *, NOT (codec = 'dts' AND tc IS NULL) AND (target <> codec OR nc <> ch OR sr <> 48000 OR rt IS NOT NULL OR (pcm AND nb <> bits)) AS again FROM x)
+        SELECT rec, round(sum(CASE WHEN fl = 'R' THEN 0 WHEN NOT again THEN CASE {dvd} WHEN true THEN own END WHEN pcm THEN sr * {pair('nc')} * greatest(nb, 16) WHEN rt IS NOT NULL THEN rt
+            WHEN target <> codec THEN {_per('target')} * nc WHEN nc <> ch THEN greatest(own * nc / ch, 128000) ELSE own END::DOUBLE), 6) AS audio FROM y GROUP BY rec"""
 
 
 def _est(disc: bool) -> str:
@@ -251,7 +291,7 @@ def _est(disc: bool) -> str:
     snd = 1.2 if disc else 1.4 * 188 / 192
     whole = f"floor(px * {fr!r} + 192000.0 / 8 * s * {snd!r} + 19968 * s)::BIGINT + floor(s * 10)::BIGINT + 4096 + 98304" if disc else f"floor((px * {fr!r} + 192000.0 / 8 * s * {snd!r}) * 1.007)::BIGINT"
     return f"""es AS (SELECT *, {whole} AS bytes, floor(px * {fr!r})::BIGINT AS video_bytes FROM (
-        SELECT o_orderkey, o_custkey % 100 AS disc, o_totalprice / 50 AS s, 6000000.0::DOUBLE / 8 * (o_totalprice / 50) + CASE WHEN o_orderstatus = 'F' THEN 1000000.0 ELSE 0 END AS px, o_orderpriority < '3' AS sh FROM orders))"""
+        SELECT o_orderkey, o_custkey % 600 AS disc, o_totalprice / 50 AS s, 6000000.0::DOUBLE / 8 * (o_totalprice / 50) + CASE WHEN o_orderstatus = 'F' THEN 1000000.0 ELSE 0 END AS px, o_orderpriority < '3' AS sh FROM orders))"""
 
 
 _DISCS = ", ".join(f"('{n}', {b})" for n, b in cap.DISCS)
@@ -263,16 +303,19 @@ _TD = """tk AS (SELECT l_orderkey // 8 AS g, l_orderkey AS rec, l_linenumber AS
     td AS (SELECT c.rec, c.track::INTEGER AS track, 'codec' AS what FROM tk c JOIN mt m USING (g, track) WHERE c.codec <> m.codec UNION ALL SELECT c.rec, c.track, 'channels' FROM tk c JOIN mt m USING (g, track) WHERE c.channels <> m.channels
         UNION ALL SELECT c.rec, NULL, 'tracks' FROM cn c JOIN (SELECT g, count(*) AS n FROM mt GROUP BY g) m USING (g) WHERE c.n <> m.n)"""
 _SEC = EV + ", se AS (SELECT rec, 78 + event_id % 4 AS table_id, event_type AS service_id, t, event_id, value > 40 AS cur, floor(t / 900000)::BIGINT AS ver, event_id % 3 AS section_no FROM ev)"
-_PR = EV + ", pr AS (SELECT rec, event_id AS pos, event_type = 'view' AS cp, event_type AS s, CASE WHEN value > 450 THEN NULL WHEN value > 400 THEN 'x' ELSE event_type END AS o, CASE WHEN event_type <> 'view' THEN 20 + value / 10 END AS psnr, event_id % 17 = 0 AS dmg FROM ev)"
+_PR = EV + ", pr AS (SELECT rec, event_id AS pos, event_type = 'view' AS cp, event_type AS s, CASE WHEN value > 300 THEN NULL WHEN value > 200 THEN 'x' ELSE event_type END AS o, CASE WHEN event_type <> 'view' THEN 25 + value / 10 - CASE WHEN event_id % 100 = 0 THEN 20 ELSE 0 END END AS psnr, event_id % 17 = 0 AS dmg FROM ev)"
 _KW = EV + """, wd AS (SELECT rec, t AS s, t + 80000 AS e FROM ev WHERE event_type = 'purchase'), km AS (SELECT rec, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
         SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wd)) GROUP BY rec, g),
     ko AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY rec ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, lead(s) OVER (PARTITION BY rec ORDER BY s) IS NULL AS final FROM km)"""
 
 ORACLE = {
-    "c1_rates": f"""WITH {_TR} SELECT o_orderkey AS rec, round(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 0 THEN o_totalprice ELSE o_totalprice * 2 * 0.9 END, 6) AS video, round(coalesce(a, 0), 6) AS audio, true AS can_shrink
+    "c1_rates": f"""WITH {_TR} SELECT o_orderkey AS rec, round(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 0 THEN o_totalprice ELSE o_totalprice * 2 * 0.9 END, 6) AS video, round(coalesce(a, 0), 6) AS audio, o_custkey % 2 = 0 AS can_shrink
         FROM orders LEFT JOIN (SELECT rec, sum(own) AS a FROM tr GROUP BY rec) x ON x.rec = o_orderkey""",
-    "c1_as_written": f"""WITH {_TR}, w AS (SELECT *, CASE WHEN fl = 'A' THEN 'aac' END AS tc, CASE WHEN sk % 3 = 0 THEN 192000 END AS rt, CASE WHEN sk % 4 = 0 THEN 1 ELSE ch END AS nc FROM tr)
-        SELECT rec, round(sum(CASE WHEN fl = 'R' THEN 0 WHEN tc IS NOT NULL AND tc <> codec THEN CASE WHEN rt >= 8000 THEN rt ELSE 96000 * nc END WHEN rt IS NOT NULL THEN rt WHEN nc <> ch THEN greatest(own * nc / ch, 128000) ELSE own END::DOUBLE), 6) AS audio FROM w GROUP BY rec""",
+    "c1_as_written": _written(False),
+    "c1_as_written_ts": _written(True),
+    "c3_disc_holds": """WITH p AS (SELECT p_partkey, floor(p_retailprice * 1000000)::BIGINT AS c, p_size % 2 = 0 AS image FROM part)
+        SELECT p_partkey, CASE WHEN NOT image THEN c WHEN c >= 1500000000 THEN 1350000000 ELSE least(c, 1200000000) END AS holds FROM p""",
+    "v10_quietest": f"WITH {EV} SELECT rec, round(min(t), 6) AS t FROM (SELECT *, floor(value) = max(floor(value)) OVER (PARTITION BY rec) AS least FROM ev) WHERE least GROUP BY rec",
     "c2_estimate_disc": f"WITH {_est(True)} SELECT o_orderkey, bytes, video_bytes FROM es",
     "c2_estimate_file": f"WITH {_est(False)} SELECT o_orderkey, bytes, video_bytes FROM es",
     "c3_fit": f"""WITH {_est(True)}, s AS (SELECT disc, (sum(bytes) + 1048576)::BIGINT AS bytes, coalesce(sum(video_bytes) FILTER (sh), 0)::BIGINT AS video_bytes FROM es GROUP BY disc),
@@ -297,11 +340,13 @@ ORACLE = {
     "m9_actions": f"""WITH {_DF}, {_TD}, a AS (SELECT rec, list_sort(list(DISTINCT track)) AS l FROM td WHERE track IS NOT NULL GROUP BY rec), w AS (SELECT rec, bool_or(what <> 'scan') AS video FROM df GROUP BY rec)
         SELECT rec, coalesce(video, false) AS video, coalesce(len(l), 0)::INTEGER AS n_audio, coalesce(array_to_string(l, ','), '') AS audio FROM w FULL JOIN a USING (rec)""",
     "m10_container": f"""WITH x AS (SELECT {_sql_pick('l_partkey', CODECS)} AS codec, {_sql_pick('l_suppkey', FAMILIES)} AS family FROM lineitem)
-        SELECT codec, family, CASE family WHEN 'ts' THEN codec IN ('mpeg2video', 'h264', 'aac', 'ac3') WHEN 'mp4' THEN codec <> 'pcm_s8' WHEN 'ps' THEN codec = 'ac3' WHEN 'mov' THEN codec NOT IN ('flac', 'vp9') WHEN 'webm' THEN codec = 'vp9' ELSE codec <> 'pcm_s8' END AS holds, count(*) AS n FROM x GROUP BY ALL""",
-    "m11_selection": f"""WITH {EV}, x AS (SELECT rec, event_id AS n, value * CASE WHEN rec % 2 = 0 THEN 1.0 ELSE 0.5 END AS len FROM ev)
-        SELECT rec, n, CASE WHEN max(len) OVER (PARTITION BY rec) >= 300 THEN len >= 300 ELSE row_number() OVER (PARTITION BY rec ORDER BY len DESC, n) = 1 END AS chosen FROM x""",
-    "m12_marks": f"""WITH {EV}, it AS (SELECT rec, event_id % 4 AS item, min(t) AS s, max(t) - 200000 AS e FROM ev GROUP BY rec, item), m AS (SELECT ev.rec, event_id % 4 AS item, floor(t) - s AS x0 FROM ev JOIN it ON it.rec = ev.rec AND it.item = event_id % 4 WHERE floor(t) >= s - 5000 AND floor(t) <= e + 5000),
-        p AS (SELECT *, lag(x0) OVER (PARTITION BY rec, item ORDER BY x0) AS p FROM m) SELECT rec, item, round(x0, 6) AS "at" FROM p WHERE p IS NULL OR x0 - p > 5000""",
+        SELECT codec, family, CASE family WHEN 'ts' THEN codec IN ('mpeg2video', 'h264', 'aac', 'ac3', 'opus') WHEN 'mp4' THEN codec <> 'pcm_s8' WHEN 'ps' THEN codec IN ('mpeg2video', 'h264', 'vp9', 'ac3', 'pcm_s16be') WHEN 'mov' THEN codec NOT IN ('flac', 'vp9', 'opus')
+            WHEN 'webm' THEN codec IN ('vp9', 'opus') WHEN 'mkv' THEN codec <> 'pcm_s8' WHEN 'avi' THEN codec NOT IN ('pcm_s8', 'pcm_s16be', 'alac', 'opus') ELSE true END AS holds, count(*) AS n FROM x GROUP BY ALL""",
+    "m11_selection": f"""WITH {EV}, x AS (SELECT rec, event_id AS n, floor(value / 50) * CASE WHEN rec % 2 = 0 THEN 60.0 ELSE 20.0 END AS len FROM ev)
+        SELECT rec, n, rec % 7 = 0 OR CASE WHEN max(len) OVER (PARTITION BY rec) >= 300 THEN len >= 300 ELSE n = arg_max(n, (len, n)) OVER (PARTITION BY rec) END AS chosen FROM x""",
+    "m12_marks": f"""WITH RECURSIVE {EV}, it AS (SELECT rec, event_id % 4 AS item, min(t) AS s, max(t) - 200000 AS e FROM ev GROUP BY rec, item), m AS (SELECT ev.rec, event_id % 4 AS item, floor(t) - s AS x0 FROM ev JOIN it ON it.rec = ev.rec AND it.item = event_id % 4 WHERE floor(t) >= s - 5000 AND floor(t) <= e + 5000),
+        k AS (SELECT rec, item, min(x0) AS x0 FROM m GROUP BY rec, item UNION ALL SELECT m.rec, m.item, min(m.x0) FROM k JOIN m ON m.rec = k.rec AND m.item = k.item AND m.x0 >= k.x0 + 5000 GROUP BY m.rec, m.item, k.x0)
+        SELECT rec, item, round(x0, 6) AS "at" FROM k""",
     "v1_align": """WITH a AS (SELECT conv_id AS rec, turn AS pos, md5(coalesce(text, '')) AS h FROM conversations), b AS (SELECT conv_id AS rec, turn + conv_id % 4 AS pos, md5(coalesce(text, '')) AS h FROM conversations WHERE (turn + conv_id % 4) % 7 < 6),
         c AS (SELECT a.rec, b.pos - a.pos AS offset_, count(*) AS n FROM a JOIN b ON a.rec = b.rec AND a.h = b.h AND b.pos - a.pos BETWEEN -5 AND 5 GROUP BY a.rec, offset_), w AS (SELECT rec, arg_min(offset_, (-n, offset_)) AS o, max(n) AS n FROM c GROUP BY rec),
         na AS (SELECT rec, count(*) AS na FROM a GROUP BY rec), nb AS (SELECT rec, count(*) AS nb FROM b GROUP BY rec)
@@ -314,11 +359,11 @@ ORACLE = {
     "v4_after_damage": f"WITH {_PR} SELECT rec, pos, coalesce(last_value(CASE WHEN dmg THEN true WHEN s = o THEN false END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS excused FROM pr",
     "v5_track_length": """WITH x AS (SELECT l_orderkey, l_quantity / 10 AS len, l_discount * 40 AS st FROM lineitem), y AS (SELECT l_orderkey, CASE WHEN len > 3.0 THEN 'long' WHEN len < 1.5 THEN 'short' WHEN st > 3.0 THEN 'late' END AS off FROM x)
         SELECT l_orderkey, off, count(*) AS n FROM y WHERE off IS NOT NULL GROUP BY l_orderkey, off""",
-    "v6_kept_fits": f"WITH {EV} SELECT rec, sum(value) BETWEEN -0.5 AND sum(value) - rec % 5 * 200 + 300 + 0.5 AND min(value) <= max(value) / 100 + 0.5 AS fits FROM ev GROUP BY rec",
-    "v7_best_lag": f"""WITH {EV}, l AS (SELECT rec, floor(t / 86400)::BIGINT AS b, max(value) AS v FROM ev GROUP BY rec, b), c AS (SELECT rec, b, v - avg(v) OVER (PARTITION BY rec) AS x FROM l),
-        d AS (SELECT a.rec, (z.b + a.rec % 5 - 2 - a.b)::BIGINT AS lag, sum(a.x * z.x) AS dot FROM c a JOIN c z ON z.rec = a.rec AND z.b + a.rec % 5 - 2 - a.b BETWEEN -4 AND 4 GROUP BY a.rec, lag), n AS (SELECT rec, sum(x * x) AS nn FROM c GROUP BY rec),
-        q AS (SELECT rec, lag, round(CASE WHEN nn > 0 THEN dot / sqrt(nn * nn) ELSE 0 END, 9) AS corr FROM d JOIN n USING (rec))
-        SELECT rec, arg_min(lag, (-corr, abs(lag), lag)) AS lag, round(max(corr), 6) AS corr FROM q GROUP BY rec""",
+    "v6_kept_fits": f"WITH {EV} SELECT rec, sum(value) BETWEEN -0.5 AND sum(value) - rec % 5 * 200 + 300 + 0.5 AND (rec % 4 = 0 OR rec % 6 = 0 OR min(value) <= max(value) / 2000 + 0.5) AS fits FROM ev GROUP BY rec",
+    "v7_best_lag": f"""WITH {EV}, l AS (SELECT rec, floor(t / 86400)::BIGINT AS b, max(value) AS v FROM ev GROUP BY rec, b), x AS (SELECT rec, b, v, v - avg(v) OVER (PARTITION BY rec) AS c FROM l WHERE b BETWEEN 8 AND 20),
+        y AS (SELECT rec, b, v, v - avg(v) OVER (PARTITION BY rec) AS c FROM (SELECT rec, b + rec % 5 - 2 AS b, v * (1 + b % 3 / 10) AS v FROM l)),
+        q AS (SELECT x.rec, (y.b - x.b)::BIGINT AS lag, sum(x.c * y.c) AS dot, corr(x.v, y.v) AS cr FROM x JOIN y ON y.rec = x.rec AND y.b - x.b BETWEEN -4 AND 4 GROUP BY x.rec, lag)
+        SELECT rec, arg_min(lag, (-round(dot, 6), abs(lag), lag)) AS lag, round(arg_min(CASE WHEN isnan(cr) OR cr IS NULL THEN 0 ELSE cr END, (-round(dot, 6), abs(lag), lag)), 6) AS corr FROM q GROUP BY rec""",
     "v8_markers": f"""WITH {_KW}, mp AS (SELECT ev.rec, event_id, t, s, e, o + t - s AS out FROM ev ASOF JOIN ko ON ko.rec = ev.rec AND ev.t >= ko.s WHERE event_type = 'view' AND (t < e OR (final AND t = e))),
         g AS (SELECT rec, out + event_id % 3 * 4.0 AS t FROM mp WHERE event_id % 5 > 0), w AS (SELECT * FROM mp WHERE t < e - 500 AND s + 500 < t + 1e-9),
         n AS (SELECT rec, out, (SELECT arg_min(g.t - w.out, (abs(g.t - w.out), g.t)) FROM g WHERE g.rec = w.rec) AS d FROM w), f AS (SELECT rec, CASE WHEN abs(d) <= 6 THEN d END AS d FROM n)

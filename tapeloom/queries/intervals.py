@@ -41,12 +41,12 @@ def i4_covered(spark, sf):
 
 def i5_semi(spark, sf):
     s = spans(events(spark, sf))
-    return iv.overlap_semi(_kind(s, "purchase"), _kind(s, "error"), bucket=BUCKET).select("rec", "event_id", r("start"))
+    return iv.overlap_semi(_kind(s, "purchase"), _kind(s, "error")).select("rec", "event_id", r("start"))
 
 
 def i5_anti(spark, sf):
     s = spans(events(spark, sf))
-    return iv.overlap_anti(_kind(s, "purchase"), _kind(s, "error"), bucket=BUCKET).select("rec", "event_id", r("start"))
+    return iv.overlap_anti(_kind(s, "purchase"), _kind(s, "error")).select("rec", "event_id", r("start"))
 
 
 def i6_kept(spark, sf):
@@ -55,9 +55,10 @@ def i6_kept(spark, sf):
 
 def i7_unplayed(spark, sf):
     ev = events(spark, sf)
-    head = _kind(ev, "view").groupBy("rec").agg(F.min("t").alias("first_picture"))
-    b = ev.groupBy("rec").agg(F.min("t").alias("head"), F.max("t").alias("duration")).join(head, "rec")
-    return iv.unplayed(spans(ev), b, least=3600.0).select("rec", r("start"), r("end"))
+    # every fifth recording has no plays; some begin with the first play, and some end within the last one
+    head = F.when(F.col("rec") % 2 == 0, F.min("t")).otherwise(F.min("t") / 2)
+    b = ev.groupBy("rec").agg(head.alias("head"), (F.max("t") + F.col("rec") % 3 * 20000 - 20000).alias("duration"))
+    return iv.unplayed(spans(ev).filter("rec % 5 > 0"), b, least=3600.0).select("rec", r("start"), r("end"))
 
 
 def i8_snap(spark, sf):
@@ -80,8 +81,10 @@ def i9_place(spark, sf):
 
 def i10_clock(spark, sf):
     ev = events(spark, sf)
-    b = ev.groupBy("rec").agg(F.max("t").alias("duration"))
-    return iv.clock_per_written(spans(ev), b).select("rec", r("ratio", 6))
+    # holes begin before 0 or run past the end; in one recording of seven they cover all of it, in another there are none
+    b = ev.groupBy("rec").agg(F.when(F.col("rec") % 7 == 0, 10.0).otherwise(F.max("t") / 2).alias("duration"))
+    holes = spans(ev).filter("rec % 7 <> 1").withColumn("start", F.when(F.col("rec") % 7 == 0, -5.0).otherwise(F.col("start") - 300000))
+    return iv.clock_per_written(holes.withColumn("end", F.when(F.col("rec") % 7 > 0, F.col("end") - 300000).otherwise(F.col("end"))), b).select("rec", r("ratio", 6))
 
 
 def i11_seams(spark, sf):
@@ -90,6 +93,12 @@ def i11_seams(spark, sf):
     return iv.split_at_seams(_kind(spans(ev), "purchase"), seams, _kind(ev, "view"), bucket=BUCKET).select("rec", r("start"), r("end"))
 
 
+def i11_unwritten(spark, sf):
+    ev = events(spark, sf)
+    seams = _kind(ev, "error").select("rec", F.col("t").alias("time"), (F.col("t") + F.col("value") * 40 - 12000).alias("ends"))
+    return iv.unwritten(seams, _kind(ev, "view"), frame=8000.0).select("rec", r("start"), r("end"))
+
+
 def i12_mend(spark, sf):
     ev = events(spark, sf)
     seams = _kind(ev, "error").select("rec", F.col("event_id").alias("seam"), F.col("t").alias("time"), (F.col("t") - 5).alias("ends"))
@@ -98,7 +107,7 @@ def i12_mend(spark, sf):
     return mended.select("rec", F.lit("seam").alias("what"), F.col("seam").alias("id"), r("ends")).unionByName(points.select("rec", F.lit("point").alias("what"), F.col("event_id").alias("id"), r("t").alias("ends")))
 
 
-QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i9_clip, i9_place, i10_clock, i11_seams, i12_mend]
+QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i9_clip, i9_place, i10_clock, i11_seams, i11_unwritten, i12_mend]
 
 _KEEPS = "SELECT rec, s, e FROM iv WHERE event_type IN ('view', 'click', 'signup')"
 _DEPTH = f"""st AS (
@@ -131,8 +140,13 @@ ORACLE = {
     "i5_anti": f"""WITH {IV} SELECT rec, event_id, round(s, 6) AS start FROM iv a WHERE event_type = 'purchase'
         AND NOT EXISTS (SELECT 1 FROM iv o WHERE o.event_type = 'error' AND {_OVER})""",
     "i6_kept": f"WITH {IV}, {merged('m', 'iv')} SELECT rec, round(sum(e - s), 6) AS kept FROM m GROUP BY rec",
-    "i7_unplayed": f"""WITH {IV}, {merged('m', 'iv')}, b AS (SELECT rec, greatest(min(t), min(t) FILTER (event_type = 'view')) AS lo, max(t) AS hi FROM ev GROUP BY rec
-        HAVING count(*) FILTER (event_type = 'view') > 0), {_gaps('lo', 3599.9999999)}""",
+    "i7_unplayed": f"""WITH {IV}, pl AS (SELECT * FROM iv WHERE rec % 5 > 0), {merged('m', 'pl')},
+        b AS (SELECT rec, greatest(0, CASE WHEN rec % 2 = 0 THEN min(t) ELSE min(t) / 2 END) AS head, max(t) + rec % 3 * 20000 - 20000 AS d FROM ev GROUP BY rec),
+        z AS (SELECT rec, min(s) AS first, max(e) AS last FROM m GROUP BY rec),
+        g AS (SELECT rec, 0 AS s, first AS e FROM z JOIN b USING (rec) WHERE first - head >= 3600 UNION ALL
+            SELECT rec, e, lead(s) OVER (PARTITION BY rec ORDER BY s) FROM m UNION ALL SELECT rec, last, d FROM z JOIN b USING (rec)),
+        c AS (SELECT g.rec, greatest(g.s, 0) AS s, least(g.e, d) AS e FROM g JOIN b USING (rec) WHERE g.e IS NOT NULL AND d > 0)
+        SELECT rec, round(s, 6) AS start, round(e, 6) AS "end" FROM c WHERE e - s >= 3600""",
     "i8_snap": f"""WITH {IV}, p AS (SELECT rec, t FROM ev WHERE event_type = 'view'), c AS (SELECT rec, s, e FROM iv WHERE event_type = 'purchase'),
         n AS (SELECT c.*, (SELECT max(t) FROM p WHERE p.rec = c.rec AND t <= c.s) AS sa, (SELECT max(t) FROM p WHERE p.rec = c.rec AND t <= c.e) AS ea FROM c),
         sn AS (SELECT rec, coalesce(sa + ceil((s - 5 - sa) / 1000 - 1e-9) * 1000, s) AS s, coalesce(ea + floor((e - ea) / 1000 + 1e-9) * 1000, e) AS e FROM n),
@@ -141,8 +155,12 @@ ORACLE = {
         FROM iv a JOIN iv o ON {_OVER} WHERE a.event_type = 'view' AND o.event_type = 'purchase'""",
     "i9_place": f"""WITH {EV}, c AS (SELECT rec, event_id, t, t + (value - 200) / 5 AS own FROM ev)
         SELECT rec, event_id, round(CASE WHEN own < t - 1 OR own > t + 30 THEN t ELSE own END, 6) AS placed FROM c""",
-    "i10_clock": f"""WITH {IV}, {merged('m', 'iv')}, l AS (SELECT rec, sum(e - s) AS lost FROM m GROUP BY rec), b AS (SELECT rec, max(t) AS d FROM ev GROUP BY rec)
-        SELECT rec, round(CASE WHEN d - coalesce(lost, 0) > 0 THEN d / (d - coalesce(lost, 0)) ELSE 1 END, 6) AS ratio FROM b LEFT JOIN l USING (rec)""",
+    "i10_clock": f"""WITH {IV}, b AS (SELECT rec, CASE WHEN rec % 7 = 0 THEN 10.0 ELSE max(t) / 2 END AS d FROM ev GROUP BY rec),
+        h AS (SELECT rec, greatest(CASE WHEN rec % 7 = 0 THEN -5.0 ELSE s - 300000 END, 0) AS s, least(CASE WHEN rec % 7 > 0 THEN e - 300000 ELSE e END, d) AS e FROM iv JOIN b USING (rec) WHERE rec % 7 <> 1),
+        {merged('m', 'h')}, l AS (SELECT rec, sum(e - s) AS lost FROM m GROUP BY rec)
+        SELECT rec, round(CASE WHEN lost > 0 AND d - lost > 0 THEN d / (d - lost) ELSE 1 END, 6) AS ratio FROM b LEFT JOIN l USING (rec)""",
+    "i11_unwritten": f"""WITH {EV}, x AS (SELECT rec, t AS time, least(t, t + value * 40 - 12000) AS s, (SELECT min(v.t) FROM ev v WHERE v.rec = e.rec AND v.event_type = 'view' AND v.t >= e.t - 4000) AS p FROM ev e WHERE event_type = 'error')
+        SELECT rec, round(s, 6) AS start, round(coalesce(p, time), 6) AS "end" FROM x WHERE coalesce(p, time) - s > 4000""",
     "i11_seams": f"""WITH {IV}, a AS (SELECT rec, s, e FROM iv WHERE event_type = 'purchase'), sm AS (SELECT rec, t FROM ev WHERE event_type = 'error'),
         p AS (SELECT rec, t FROM ev WHERE event_type = 'view'),
         mk AS (SELECT a.rec, a.s, a.e, sm.t AS x0, sm.t - 10 AS ends FROM a JOIN sm ON a.rec = sm.rec AND sm.t > a.s AND sm.t < a.e UNION ALL SELECT rec, s, e, s, NULL FROM a),

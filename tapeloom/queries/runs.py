@@ -15,7 +15,7 @@ def _scores(spark, sf):
 
 
 def _hyst():
-    return dict(present=F.lit(0.4), absent=F.lit(0.15), min_present=30000.0, window=50000.0)
+    return dict(present=F.lit(0.08), absent=F.lit(0.03), min_present=5000.0, window=50000.0)
 
 
 def _vectors(spark, sf):
@@ -33,9 +33,10 @@ def r1_flat_runs(spark, sf):
 
 
 def r2_classify_flat(spark, sf):
-    luma = F.transform("embedding", lambda v: F.when(v > 0, F.least(F.floor(v * 400), F.lit(235))).otherwise(16).cast("int"))
+    # a brightness of the picture's own, so that dark, bright and mixed pictures occur
+    luma = F.transform("embedding", lambda v: F.greatest(F.lit(16), F.least(F.lit(235), F.floor(v * 300 + F.pmod("vec_id", F.lit(5)) * 50 - 20))).cast("int"))
     rows = table(spark, sf, "embeddings").select("vec_id", luma.alias("luma"))
-    return rn.classify_flat(rows, black=0.1, white=0.3, share=0.6).select("vec_id", "shade")
+    return rn.classify_flat(rows, black=0.1, white=0.5, share=0.6).select("vec_id", "shade")
 
 
 def r3_silence(spark, sf):
@@ -62,7 +63,7 @@ def r6_hysteresis(spark, sf):
 
 
 def r6_transitions(spark, sf):
-    return rn.transitions(_scores(spark, sf), F.lit(0.4), F.lit(0.15), 30000.0, order=("event_id",))
+    return rn.transitions(_scores(spark, sf), F.lit(0.08), F.lit(0.03), 5000.0, order=("event_id",))
 
 
 def r7_split_absences(spark, sf):
@@ -140,7 +141,7 @@ def _absences(k: str, window: float) -> str:
 
 
 _SC = EV + ", sc AS (SELECT rec, event_id, t, value / 500 AS score FROM ev)"
-_R6 = f"WITH {_SC}, {_states('sc', 'rec', '0.4', '0.15', 30000.0)}, {_absences('rec', 50000.0)}"
+_R6 = f"WITH {_SC}, {_states('sc', 'rec', '0.08', '0.03', 5000.0)}, {_absences('rec', 50000.0)}"
 _GREEDY = """m AS (SELECT rec, t, gap FROM {src}), k AS (
         SELECT rec, min(t) AS t FROM m GROUP BY rec
         UNION ALL SELECT m.rec, min(m.t) FROM k JOIN m ON m.rec = k.rec AND m.t >= k.t + m.gap AND m.t > k.t GROUP BY m.rec, k.t)"""
@@ -155,8 +156,8 @@ ORACLE = {
         FROM ev WINDOW w AS (PARTITION BY rec ORDER BY t, event_id)), b AS (SELECT *, sum(st) OVER (PARTITION BY rec ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a),
         c AS (SELECT rec, island, event_type AS state, min(t) AS s, max(coalesce(nxt, t + coalesce(gap, 0))) AS e, max(t) AS last, count(*) AS pictures FROM b GROUP BY rec, island, event_type)
         SELECT rec, state, round(s, 6) AS start, round(e, 6) AS "end", round(last, 6) AS last, pictures FROM c WHERE pictures >= 2 AND e - s + 1e-9 >= 1000""",
-    "r2_classify_flat": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0 THEN least(floor(v * 400), 235)::INTEGER ELSE 16 END) AS luma FROM embeddings)
-        SELECT vec_id, CASE WHEN len(list_filter(luma, lambda v: v <= 37)) / 64 >= 0.6 THEN 'black' WHEN len(list_filter(luma, lambda v: v >= 81)) / 64 >= 0.6 THEN 'white' END AS shade FROM l""",
+    "r2_classify_flat": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(16, least(235, floor(v::DOUBLE * 300 + vec_id % 5 * 50 - 20)))::INTEGER) AS luma FROM embeddings)
+        SELECT vec_id, CASE WHEN len(list_filter(luma, lambda v: v <= 37)) / 64 >= 0.6 THEN 'black' WHEN len(list_filter(luma, lambda v: v >= 125)) / 64 >= 0.6 THEN 'white' END AS shade FROM l""",
     "r3_silence": f"""WITH {EV}, l AS (SELECT rec, t + 1 AS f, t + 4 AS z FROM ev WHERE value >= 150 UNION ALL SELECT rec, max(t + 10), NULL FROM ev GROUP BY rec),
         s AS (SELECT rec, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE lag(z) OVER w END AS s, f AS e FROM l WINDOW w AS (PARTITION BY rec ORDER BY f, z NULLS LAST))
         SELECT rec, round(s, 6) AS start, round(e, 6) AS "end" FROM s WHERE e - s + 1e-9 >= 90000""",
@@ -178,7 +179,7 @@ ORACLE = {
         SELECT rec, t, CASE WHEN b IS NOT NULL THEN round(list_sum(list_transform(range(1, 65), lambda i: abs(a[i]::DOUBLE - b[i]::DOUBLE))) / 64, 6) END AS diff FROM v""",
     "r11_scenes": f"""WITH {EV}, d AS (SELECT rec, t, value / 500 AS diff FROM ev), md AS (SELECT rec, diff AS m FROM (SELECT rec, diff, row_number() OVER (PARTITION BY rec ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY rec) AS n FROM d) WHERE i = n // 2),
         p AS (SELECT d.*, greatest(1, floor((SELECT max(t) FROM ev e WHERE e.rec = d.rec) / 300000)) AS cap, count(*) OVER (PARTITION BY rec) AS n, row_number() OVER (PARTITION BY rec ORDER BY diff DESC, t) AS i
-            FROM d JOIN md USING (rec) WHERE diff > greatest(1.5 * m, 0.055)),
+            FROM d JOIN md USING (rec) WHERE diff >= greatest(1.5 * m, 0.055)),
         q AS (SELECT *, CASE WHEN n > cap THEN max(CASE WHEN i = cap THEN diff END) OVER (PARTITION BY rec) END AS lim FROM p)
         SELECT rec, round(t, 6) AS t, round(diff, 6) AS diff FROM q WHERE lim IS NULL OR diff >= lim""",
     "r12_template": f"WITH {_TPL} SELECT rec, i::INTEGER AS i, round(m, 6) + 0.0 AS v FROM c",

@@ -152,18 +152,18 @@ def retention_prune(df: DataFrame, keep: int, budget: int, key: Key = "store") -
     """`kept`: newest first, spared rows counted ahead; the newest unspared one always stays.
 
     Others stay while their count and running bytes, dropped rows included, are within limits.
-    Half-written rows over a day old (half, age in seconds) never stay.
+    Half-written rows (half, age in seconds) count for nothing: over a day old they go, younger ones stay.
     """
     k = keys(key)
-    rows = df.withColumn("__stale", F.col("half") & (F.col("age") > 86400))
-    live = rows.filter("NOT __stale")
+    rows = df.withColumn("__half", F.coalesce("half", F.lit(False)))
+    live = rows.filter("NOT __half")
     spared = live.groupBy(*k).agg(F.sum(F.when(F.col("spare"), 1).otherwise(0)).alias("sn"), F.sum(F.when(F.col("spare"), F.col("bytes")).otherwise(0)).alias("sb"))
     w = ordered([*k, "spare"], F.desc("modified"), "path")
     run = so_far([*k, "spare"], F.desc("modified"), "path")
     ranked = live.withColumn("__n", F.row_number().over(w)).withColumn("__b", F.sum("bytes").over(run)).join(spared, k)
     fits = (F.col("__n") + F.col("sn") <= keep) & (F.col("__b") + F.col("sb") <= budget)
     out = ranked.withColumn("kept", F.col("spare") | (F.col("__n") == 1) | fits).select(*df.columns, "kept")
-    return out.unionByName(rows.filter("__stale").select(*df.columns, F.lit(False).alias("kept")))
+    return out.unionByName(rows.filter("__half").select(*df.columns, (F.col("age") <= 86400).alias("kept")))
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: Key = "path") -> DataFrame:
