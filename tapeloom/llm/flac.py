@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 BLOCK = 1024
 GROUP = 1536
@@ -476,6 +476,7 @@ def encode_column(df: DataFrame, payload_col: str = "payload", media_col: str =
     payload, df = F.col(payload_col), small_batches(df)
 
     @F.pandas_udf("binary")
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             some = [b for b in batch if b is not None]
@@ -490,6 +491,7 @@ def decode_column(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm")
     df = small_batches(df)
 
     @F.pandas_udf("binary")
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             some = [b for b in batch if b is not None]
@@ -525,6 +527,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never kept for more than a batch.
     """
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @trimmed
     def stored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, payloads = [], list(batch)

@@ -26,12 +26,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
+    """The first n powers of the base and of its inverse, modulo 2**64; those of a block are kept, longer ones are not."""
     if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(2 * n, b, np.uint64)
+        found = []
+        for b in (_BASE, _INVERSE):
+            x = np.full(max(n, min(2 * n, 2 * BLOCK_BYTES)), b, np.uint64)
             x[0] = 1
-            _powers[i] = np.cumprod(x, dtype=np.uint64)
+            found.append(np.cumprod(x, dtype=np.uint64))
+        if n > 2 * BLOCK_BYTES:
+            return found[0], found[1]
+        _powers[:] = found
     return _powers[0][:n], _powers[1][:n]
 
 

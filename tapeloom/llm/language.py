@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder, small_batches
+from .common import hash_sample, remainder, small_batches, trimmed
 from .features import bags, mean_scores
 
 SIZES, BITS = (1, 2, 3), 16
@@ -99,6 +99,7 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     shared = spark.sparkContext.broadcast(w)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @trimmed
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch]

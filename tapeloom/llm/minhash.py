@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import located, materialise, maybe_broadcast, small_batches, stored
+from .common import located, materialise, maybe_broadcast, small_batches, stored, trimmed
 
 #: 32 bands of 8 coordinates: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 1 - 1e-8.
 BANDS, ROWS = 32, 8
@@ -83,6 +83,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """``fp, cells, bands`` beside the id and the locator for each row of (doc_id, loc_file, loc_row, text_key, text)."""
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = list(pdf["text"])
@@ -102,6 +103,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 def cell_sets(texts: DataFrame, width: int) -> DataFrame:
     """``node, cells array<int>`` for rows of (node, text): the cells' hashes cut to 32 bits, distinct."""
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             part_of = list(pdf["text"])

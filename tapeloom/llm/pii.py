@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 #: Order of the kinds among spans that start at one place; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -121,6 +121,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives none. Other columns are neither read nor returned. Memory is one Arrow batch.
     """
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cues = automaton()
         for pdf in batches:
@@ -143,6 +144,7 @@ def span_digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` with each span replaced by its kind in angle brackets; overlapping spans merge."""
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cues = automaton()
         for pdf in batches:

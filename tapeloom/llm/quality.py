@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder, small_batches
+from .common import hash_sample, remainder, small_batches, trimmed
 from .features import bags, mean_scores
 
 SIZES, BITS, DIM = (3, 4), 16, 12
@@ -63,6 +63,7 @@ def quality_score(spark: SparkSession, model: tuple[np.ndarray, float], text_col
     shared, bias = spark.sparkContext.broadcast(model[0]), model[1]
 
     @F.pandas_udf("double")
+    @trimmed
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             z = mean_scores(list(texts), shared.value, SIZES, BITS) + bias

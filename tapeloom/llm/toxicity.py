@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder, small_batches
+from .common import hash_sample, remainder, small_batches, trimmed
 from .hashing import blocks, mix, words
 
 BITS = 18
@@ -110,6 +110,7 @@ def toxicity_score(spark: SparkSession, model: tuple[np.ndarray, float], text_co
     shared, bias = spark.sparkContext.broadcast(model[0]), model[1]
 
     @F.pandas_udf("double")
+    @trimmed
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts, z = list(batch), []
