@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bpe, exact_dedup, minhash, mixing, quality
-from tapeloom.llm.common import documents, materialise
+from tapeloom.llm.common import documents, materialise, small_batches
 from tapeloom.llm.queries import bpe_codec
 
 #: Target weights of the mixture. A document is taken once at most, and the first domain keeps all its tokens.
@@ -41,7 +41,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of each document, and whether they decode to its text."""
     codec = bpe_codec(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", text.alias("text"), codec.both(text).alias("c")).select("doc_id", "text", "c.*")
+    coded = small_batches(docs).select("doc_id", text.alias("text"), codec.both(text).alias("c")).select("doc_id", "text", "c.*")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.encode("text", "UTF-8")).alias("lossless"))
 
 
