@@ -37,10 +37,10 @@ def dedup_stream(keys: DataFrame):
     A streaming aggregation without watermark: its keyed state never expires. Tasks combine rows of
     one digest before the shuffle, so that a digest with a third of all rows is one row a task.
     """
-    stay = F.struct("chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("loc_file").cast("decimal(20,0)")).alias("neg_file"), (-F.col("loc_row")).alias("neg_row"), "doc_id", "loc_file", "loc_row")
+    stay = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc_file", "loc_row")
     return keys.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(stay).alias("stay"),
+        F.min(stay).alias("stay"),
         F.min(F.struct("loc_file", "loc_row")).alias("locator"),
     )
 
@@ -72,7 +72,7 @@ def run_stream(spark: SparkSession, keys_path: str, schema, batches: int) -> Dat
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = dedup_stream(spark.createDataFrame([], schema)).schema
     changed = spark.read.schema(state).option("basePath", out).parquet(f"{out}/batch=*") if files else spark.createDataFrame([], state)
-    return changed.groupBy("digest").agg(F.max(F.struct("n", "stay", "locator")).alias("s")).select("digest", "s.*")
+    return changed.groupBy("digest").agg(F.max_by(F.struct("n", "stay", "locator"), "n").alias("s")).select("digest", "s.*")
 
 
 def exact_dedup(
@@ -96,7 +96,7 @@ def exact_dedup(
     4. Keys meet the final state by digest; a hot digest is split by adaptive skew joins, as the
        state has a row for each digest.
 
-    Null texts count as empty, and all empty texts are equal. Rows that repeat, even with one id,
+    Ids are of any type that sorts. Null texts count as empty, and all empty texts are equal. Rows that repeat, even with one id,
     are copies of each other and one of them stays. An empty table gives no rows. Other columns
     are not read. digest_bits below 256 is for tests of the check on full bytes.
     Columns: ``doc_id, keep_id, group_size, kept, text_sha256, loc_file, loc_row``.
@@ -110,10 +110,11 @@ def exact_dedup(
     state = run_stream(spark, path, schema, batches)
     state = materialise(state, "dedup-final")
 
-    hits = state.filter("n > 1").select("digest")
+    # 8 bytes of a digest suffice to find its texts; what else they find is a group of one
+    hits = state.filter("n > 1").select(F.xxhash64("digest").alias("short")).distinct()
     texts = located(docs, F.col(id_col).alias("doc_id"), text.alias("__text")).withColumn("norm", F.regexp_replace("__text", BLANKS, ""))
-    texts = texts.withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_bits // 4))
-    hit_texts = texts.join(maybe_broadcast(hits, hits.count()), "digest", "left_semi")
+    texts = texts.withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_bits // 4)).withColumn("short", F.xxhash64("digest"))
+    hit_texts = texts.join(maybe_broadcast(hits, hits.count()), "short", "left_semi")
     differing = hit_texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("digest")
     differing = materialise(differing, "dedup-differing")
     n_differing = differing.count()
@@ -131,7 +132,11 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Of rows with null or empty texts one stays, of repeated rows too; ties go by exact_dedup's rule. An
+    empty table stays empty, and columns of any name are carried along in a struct.
+    """
     docs = stored(docs)
     found = exact_dedup(docs, id_col, text_col)
     dropped = materialise(found.filter("not kept").select("loc_file", "loc_row"), "dedup-dropped")
