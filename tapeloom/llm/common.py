@@ -30,10 +30,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +85,20 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, seed: str) -> DataFrame:
     return df.filter(key < cut)
 
 
+def bounded_rows(rows: DataFrame, group: str, counts: dict, sample: int, seed: str):
+    """About `sample` rows of each group (all, if it has fewer) as a pandas frame, from one scan of rows.
+
+    counts are the groups' rows. A row is chosen by a seeded hash of all its columns, so that rows that
+    share an id, or have none, are told apart; copies in every column count once.
+    """
+    key = F.pmod(F.xxhash64(F.lit(seed), *[c for c in rows.columns]), F.lit(2**31))
+    cuts = {v: int(min(1.0, sample / n) * 2**31) for v, n in counts.items() if n > sample}
+    if cuts:
+        table = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        rows = rows.filter(key < F.coalesce(F.try_element_at(table, F.col(group)), F.lit(2**31)))
+    return rows.distinct().toPandas()
+
+
 #: Rows of an Arrow batch in the operators that hold whole texts and what they make of them in Python.
 ARROW_ROWS = 1000
 

@@ -52,13 +52,21 @@ def segment_sums(values: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Columns of a table that are looked up at once, which bounds what a block of texts takes.
+COLUMNS = 8
+
+
 def mean_scores(texts: list[str | None], table: np.ndarray, sizes: tuple[int, ...], bits: int, words: bool = True) -> np.ndarray:
     """The mean over all features of each text of the rows of `table`; zeros where a text has none."""
     parts = []
     for lo, hi in blocks(texts):
-        total, count = 0.0, 0
+        total, count = np.zeros((hi - lo, *table.shape[1:])), 0
         for ids, offset in gram_ids(texts[lo:hi], sizes, bits, words):
-            total = total + segment_sums(table[ids], offset)
+            if table.ndim == 1:
+                total += segment_sums(table[ids], offset)
+            else:
+                for c in range(0, table.shape[1], COLUMNS):
+                    total[:, c : c + COLUMNS] += segment_sums(table[ids, c : c + COLUMNS], offset)
             count = count + np.diff(offset)
         parts.append(total / np.maximum(count, 1).reshape(-1, *[1] * (table.ndim - 1)))
     return np.concatenate(parts) if parts else np.zeros((0, *table.shape[1:]))

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder, small_batches, trimmed
+from .common import bounded_rows, remainder, small_batches, trimmed
 from .features import bags, mean_scores
 
 SIZES, BITS = (1, 2, 3), 16
-#: The bound on labelled documents of each language that are collected for training, and on languages.
-SAMPLE, LANGUAGES = 800, 200
+#: The bound on labelled documents of each language that are collected for training.
+SAMPLE = 800
 #: A lead of the best language's loss over the next below which a row is flagged as ambiguous.
 LEAD = 0.5
 
@@ -70,14 +70,15 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, 1 / share.sum(axis=1), lead
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE):
+def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """(languages, codewords, weights, biases) from text and lang of rows whose crc32(doc_id) mod 3 is not 1."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 3) != 1)).select("doc_id", "text", "lang")
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, 3) != 1))
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return langs, np.ones((0, 1)), np.zeros((2**BITS, 1), np.float32), np.zeros(1)
-    parts = [hash_sample(known.filter(F.col("lang") == v), "doc_id", sample, "language").toPandas() for v in langs]
-    rows = pd.concat(parts).sort_values(["doc_id", "text"])
+    rows = bounded_rows(known, "lang", counts, sample, "language").sort_values(["doc_id", "text"])
     code = codewords(len(langs))
     if not code.shape[1]:
         return langs, np.ones((1, 1)), np.zeros((2**BITS, 1), np.float32), np.ones(1)
@@ -86,16 +87,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     return langs, code, w, bias
 
 
-def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify_language(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` for every row of docs.
 
     A null text, or one without a letter, is ``und`` with score 0 (and ambiguous); so is every row
     if no row has a language to learn. With one language to learn, every text with a letter gets
-    it. The LANGUAGES most frequent languages are learnt. Repeated rows are predicted each; an empty
-    table gives no rows. Only text is an input of the prediction.
+    it. All languages are learnt, each from about `sample` documents. Repeated rows are predicted each; an
+    empty table gives no rows; null ids are learnt from and not held out. Other columns are not read. Only
+    text is an input of the prediction.
     """
     spark: SparkSession = docs.sparkSession
-    langs, code, w, bias = fit(docs, sample)
+    langs, code, w, bias = fit(docs, sample, id_col, text_col, lang_col)
     shared = spark.sparkContext.broadcast(w)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -111,5 +113,5 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             names = np.array([*langs, "und"], object)[np.where(known, best, len(langs))]
             yield pd.DataFrame({"lang_pred": names, "score": np.where(known, share, 0.0), "ambiguous": ~known | (lead < LEAD)})
 
-    found = small_batches(docs).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
+    found = small_batches(docs).select(F.col(id_col).alias("doc_id"), (remainder(id_col, 3) == 1).alias("held_out"), predict(F.col(text_col).cast("string")).alias("p"))
     return found.select("doc_id", "held_out", "p.*")
