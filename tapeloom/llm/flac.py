@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trimmed
+from .common import materialise, small_batches, trimmed
 
 BLOCK = 1024
 GROUP = 1536
@@ -422,16 +421,18 @@ def _restore(out: np.ndarray, rows: np.ndarray, linear: np.ndarray, order: np.nd
             out[own] = x
 
 
-def decode(media: list[bytes]) -> list[bytes]:
-    """The payloads of FLAC files with full seek tables: samples + 128; raises ValueError if one is damaged."""
+def decode_blocks(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """For each FLAC file with a full seek table its PCM blocks (sample offset, samples + 128), one a frame.
+
+    Raises ValueError if a frame or the whole is damaged.
+    """
     heads = [read_header(m) for m in media]
-    owner, frames, samples = [], [], []
-    for i, (m, h) in enumerate(zip(media, heads, strict=True)):
+    frames, samples = [], []
+    for m, h in zip(media, heads, strict=True):
         ends = [p[1] for p in h["seek"][1:]] + [len(m) - h["frames"]]
         if sum(p[2] for p in h["seek"]) != h["samples"]:
             raise ValueError("the seek table does not list every frame")
         for (_, offset, count), end in zip(h["seek"], ends, strict=False):
-            owner.append(i)
             frames.append(m[h["frames"] + offset : h["frames"] + end])
             samples.append(count)
     blocks: list[bytes] = []
@@ -440,18 +441,20 @@ def decode(media: list[bytes]) -> list[bytes]:
         x = (decode_frames(frames[lo : lo + GROUP], count) + 128).astype(np.uint8)
         blocks += [row[:n].tobytes() for row, n in zip(x, count, strict=True)]
     out, at = [], 0
-    for i, h in enumerate(heads):
-        own = []
-        while at < len(frames) and owner[at] == i:
-            own.append(blocks[at])
-            at += 1
-        payload = b"".join(own)
-        if hashlib.md5(_signed(payload)).digest() != h["md5"]:
+    for h in heads:
+        own = [(p[0], b) for p, b in zip(h["seek"], blocks[at : at + len(h["seek"])], strict=True)]
+        at += len(h["seek"])
+        if hashlib.md5(_signed(b"".join(b for _, b in own))).digest() != h["md5"]:
             raise ValueError("the samples' digest is wrong")
-        out.append(payload)
+        out.append(own)
     return out
 
 
+def decode(media: list[bytes]) -> list[bytes]:
+    """The payloads of FLAC files with full seek tables; raises ValueError if one is damaged."""
+    return [b"".join(b for _, b in own) for own in decode_blocks(media)]
+
+
 def features(payload: bytes) -> str:
     """Facts of the samples: mean, mean square, crossings of 0 and peak, as exact integers where sums."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -471,43 +474,69 @@ def _groups(items: list[bytes], limit: int = 1_200_000) -> Iterator[tuple[int, i
         yield first, len(items)
 
 
+BLOCKS = "array<struct<sample_offset:bigint,pcm_block:binary>>"
+
+
+def _block_lists(found: list[list[tuple[int, bytes]] | None]) -> pa.Array:
+    """Arrow lists of blocks, null for None."""
+    flat = [x for own in found for x in own or ()]
+    blocks = pa.StructArray.from_arrays([pa.array([o for o, _ in flat], pa.int64()), pa.array([b for _, b in flat], pa.binary())], ["sample_offset", "pcm_block"])
+    ends = np.cumsum([0, *(len(own or ()) for own in found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks, mask=pa.array([own is None for own in found]))
+
+
 def encode_column(df: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
     """df with a binary column of FLAC files for its binary payload column; null payloads give null."""
     payload, df = F.col(payload_col), small_batches(df)
 
-    @F.pandas_udf("binary")
+    @F.arrow_udf("binary")
     @trimmed
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            some = [b for b in batch if b is not None]
+            rows = batch.to_pylist()
+            some = [b for b in rows if b is not None]
             done = iter([m for lo, hi in _groups(some) for m in encode(some[lo:hi])])
-            yield pd.Series([None if b is None else next(done) for b in batch], dtype=object)
+            yield pa.array([None if b is None else next(done) for b in rows], pa.binary())
 
     return df.withColumn(media_col, run(payload))
 
 
-def decode_column(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm") -> DataFrame:
-    """df with the decoded unsigned samples of its FLAC column; null gives null, a damaged file raises."""
+def decode_column(df: DataFrame, media_col: str = "media", blocks_col: str = "blocks") -> DataFrame:
+    """df with its FLAC column decoded to PCM blocks, each with its sample offset; null gives null, a damaged file raises."""
     df = small_batches(df)
 
-    @F.pandas_udf("binary")
+    @F.arrow_udf(BLOCKS)
     @trimmed
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            some = [b for b in batch if b is not None]
-            done = iter([p for lo, hi in _groups(some) for p in decode(some[lo:hi])])
-            yield pd.Series([None if b is None else next(done) for b in batch], dtype=object)
+            rows = batch.to_pylist()
+            some = [b for b in rows if b is not None]
+            done = iter([p for lo, hi in _groups(some) for p in decode_blocks(some[lo:hi])])
+            yield _block_lists([None if b is None else next(done) for b in rows])
+
+    return df.withColumn(blocks_col, run(F.col(media_col)))
+
+
+def pcm_blocks(df: DataFrame, blocks_col: str = "blocks") -> DataFrame:
+    """A row for each PCM block: df's other columns, ``block, sample_offset, pcm_block``; null and empty lists give none.
 
-    return df.withColumn(pcm_col, run(F.col(media_col)))
+    Repeated rows give their blocks each; an empty table gives no rows. df has no columns of these names.
+    """
+    rest = [c for c in df.columns if c != blocks_col]
+    return df.select(*rest, F.posexplode(blocks_col).alias("block", "b")).select(*rest, "block", "b.*")
+
+
+def joined(blocks: str | F.Column) -> F.Column:
+    """All samples of a column of blocks as one binary."""
+    text = F.transform(blocks, lambda b: F.decode(b["pcm_block"], "ISO-8859-1"))
+    return F.encode(F.array_join(text, ""), "ISO-8859-1")
 
 
-def pcm_blocks(df: DataFrame, pcm_col: str = "pcm", block: int = BLOCK) -> DataFrame:
-    """A row for each block of samples: df's columns but the samples, ``block, sample_offset, pcm_block``."""
-    count = F.ceil(F.octet_length(pcm_col) / block)
-    out = df.withColumn("block", F.explode(F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    offset = (F.col("block").cast("long") * block).alias("sample_offset")
-    rest = [c for c in df.columns if c != pcm_col]
-    return out.select(*rest, "block", offset, F.substring(pcm_col, F.col("block") * block + 1, F.lit(block)).alias("pcm_block"))
+def samples_at(blocks: str | F.Column, start: F.Column, count: int) -> F.Column:
+    """`count` samples from a sample offset on, found by the blocks' offsets; they must lie in one block."""
+    inside = F.filter(blocks, lambda b: (b["sample_offset"] <= start) & (b["sample_offset"] + F.octet_length(b["pcm_block"]) > start))
+    block = F.get(inside, 0)
+    return F.substring(block["pcm_block"], (start - block["sample_offset"]).cast("int") + 1, F.lit(count))
 
 
 def text_payload(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -522,19 +551,31 @@ def text_payload(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored as FLAC, read back and digested; rows in, rows out.
 
+    A worker encodes and decodes a group of texts and hands on PCM blocks with sample offsets. They are
+    written to the shared folder and digested as read back: the whole from all blocks in order, the
+    tail from the block that holds its sample offset. A block has 64 samples' multiples, so the tail lies in one.
+
     Null texts count as empty, and an empty text is 64 zero bytes. Rows that repeat get equal values
-    each; null ids stay null; an empty table gives no rows; other columns are not read. Media are
-    never kept for more than a batch.
+    each; null ids stay null; an empty table gives no rows; other columns are not read.
     """
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.arrow_udf(f"media_bytes long, media_sha256 string, feature string, blocks {BLOCKS}")
     @trimmed
-    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows, payloads = [], list(batch)
+            payloads = batch.to_pylist()
+            size, sha, feature, blocks = [], [], [], []
             for lo, hi in _groups(payloads):
                 media = encode(payloads[lo:hi])
-                for m, p in zip(media, decode(media), strict=True):
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(p)))
-            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return text_payload(small_batches(docs), id_col, text_col).select("doc_id", "n_bytes", stored("payload").alias("s")).select("doc_id", "n_bytes", "s.*")
+                for m, own in zip(media, decode_blocks(media), strict=True):
+                    size.append(len(m))
+                    sha.append(hashlib.sha256(m).hexdigest())
+                    feature.append(features(b"".join(b for _, b in own)))
+                    blocks.append(own)
+            columns = [pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(feature, pa.string()), _block_lists(blocks)]
+            yield pa.StructArray.from_arrays(columns, ["media_bytes", "media_sha256", "feature", "blocks"])
+
+    rows = text_payload(small_batches(docs), id_col, text_col).select("doc_id", "n_bytes", stored("payload").alias("s")).select("doc_id", "n_bytes", "s.*")
+    rows = materialise(rows, "pcm", compression="zstd")
+    rows = rows.withColumn("payload_bytes", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b["pcm_block"])))
+    tail = F.crc32(samples_at("blocks", F.col("payload_bytes") - 64, 64))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", F.sha2(joined("blocks"), 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
