@@ -236,7 +236,11 @@ def near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs of which near_duplicates keeps one for each class, with all their columns."""
+    """The rows of docs of which near_duplicates keeps one for each class, with all their columns.
+
+    Null texts count as empty; of equal texts without words, and of repeated rows, one stays; ties go by
+    near_duplicates' rule. An empty table stays empty, and columns of any name are carried along in a struct.
+    """
     docs = stored(docs)
     found = near_duplicates(docs, id_col, text_col, **options)
     dropped = materialise(found.filter("not kept").select("loc_file", "loc_row"), "near-dropped")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample, remainder, small_batches, trimmed
@@ -46,19 +46,24 @@ def train_embeddings(texts: list[str], labels: np.ndarray, epochs: int = 6, rate
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Train on at most about `sample` documents of each label, from rows whose crc32(doc_id) mod 4 is not 2."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
+    """Train on at most about `sample` documents of each label, from rows whose crc32(doc_id) mod 4 is not 2.
+
+    The texts of an id that repeats are told apart and bounded too. labels: doc_id, quality.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & (remainder("doc_id", 4) != 2)).select("doc_id", "quality").distinct()
     chosen = [hash_sample(known.filter(F.col("quality") == k), "doc_id", sample, "quality") for k in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most about 2 * sample rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").toPandas()
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = own.join(ids, "doc_id").dropDuplicates(["doc_id", "text", "quality"])
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "quality").orderBy("text"))).filter("__i <= 4").drop("__i").toPandas()
     if rows["quality"].nunique() < 2:
         return np.zeros(2**BITS, np.float32), float(rows["quality"].mean() * 10 - 5) if len(rows) else 5.0
     rows = rows.sort_values(["doc_id", "text"])
     return train_embeddings(list(rows["text"]), rows["quality"].to_numpy())
 
 
-def quality_score(spark: SparkSession, model: tuple[np.ndarray, float], text_col: str = "text"):
+def quality_score(spark: SparkSession, model: tuple[np.ndarray, float], text_col: str | F.Column = "text"):
     """A column of probabilities that a text is good, from whole texts; the model is of fixed size."""
     shared, bias = spark.sparkContext.broadcast(model[0]), model[1]
 
@@ -69,10 +74,11 @@ def quality_score(spark: SparkSession, model: tuple[np.ndarray, float], text_col
             z = mean_scores(list(texts), shared.value, SIZES, BITS) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return score(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of docs.
 
     A null text counts as empty; a text without features gets the score of the bias alone. Rows
@@ -81,14 +87,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     is an input of the score. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    score = quality_score(spark, fit(spark, docs, labels, sample))
-    scored = small_batches(docs).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    score = quality_score(spark, fit(spark, docs, labels, sample, text_col, id_col), text_col)
+    scored = small_batches(docs).select(F.col(id_col).alias("doc_id"), (remainder(id_col, 4) == 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is KEEP or more."""
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is KEEP or more.
+
+    Null and empty texts count as empty and get the score of the bias alone; repeated rows stay or go
+    together; ids that are null or repeat don't matter. Without labels every row stays, with labels of one
+    class all stay or all go. An empty table stays empty, and columns of any name are carried along in a struct.
+    """
     spark = docs.sparkSession
-    score = quality_score(spark, fit(spark, docs, labels, sample), "row.text")
+    score = quality_score(spark, fit(spark, docs, labels, sample, text_col), F.col("row").getField(text_col))
     scored = small_batches(docs).select(F.struct("*").alias("row")).withColumn("score", score)
     return scored.filter(F.col("score") >= KEEP).select("row.*")

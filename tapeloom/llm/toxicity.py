@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder, small_batches, trimmed
+from .common import bounded_rows, hash_sample, remainder, small_batches, trimmed
 from .hashing import blocks, mix, words
 
 BITS = 18
@@ -81,7 +81,7 @@ def train_nnpu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, ra
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text"):
     """(weight of each bucket, bias), learnt from rows whose crc32(doc_id) mod 5 is not 0.
 
     The confirmed positives are labels' toxic rows; the class prior is their share among the
@@ -91,9 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     known = labels.filter(remainder("doc_id", 5) != 0).select("doc_id", "toxic").distinct()
     prior = known.select(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     ids = F.broadcast(hash_sample(known.filter("toxic = 1").select("doc_id"), "doc_id", positives, "toxic"))  # at most about `positives` rows
-    texts = docs.filter(remainder("doc_id", 5) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    p = texts.join(ids, "doc_id").orderBy("doc_id").toPandas()
-    u = hash_sample(texts, "doc_id", unlabelled, "unlabelled").toPandas().sort_values(["doc_id", "text"])
+    texts = docs.filter(remainder(id_col, 5) != 0).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    one = Window.partitionBy("doc_id").orderBy("text")  # of an id that repeats four texts at most
+    p = texts.join(ids, "doc_id").distinct().withColumn("__i", F.row_number().over(one)).filter("__i <= 4").orderBy("doc_id", "text").toPandas()
+    u = bounded_rows(texts.withColumn("all", F.lit(0)), "all", {0: texts.count()}, unlabelled, "unlabelled").sort_values(["doc_id", "text"])
     if not len(p) or not len(u) or not prior:
         return table, -5.0
     prior = min(max(prior, 1e-3), 0.9)
@@ -107,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def toxicity_score(spark: SparkSession, model: tuple[np.ndarray, float], text_col: str = "text"):
+    """A column of probabilities that a text is toxic, from whole texts; the model is of fixed size."""
     shared, bias = spark.sparkContext.broadcast(model[0]), model[1]
 
     @F.pandas_udf("double")
@@ -123,13 +125,13 @@ def toxicity_score(spark: SparkSession, model: tuple[np.ndarray, float], text_co
     return score(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of docs.
 
     A null text counts as empty and gets the score of the bias alone. Rows that repeat are scored
     each; null ids count as held out. Without confirmed toxic rows every score is near 0. Only text
     is an input of the score. An empty table gives no rows.
     """
-    score = toxicity_score(docs.sparkSession, fit(docs, labels))
-    scored = small_batches(docs).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score.alias("score"))
+    score = toxicity_score(docs.sparkSession, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
+    scored = small_batches(docs).select(F.col(id_col).alias("doc_id"), (remainder(id_col, 5) == 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
