@@ -18,27 +18,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty.
+    """
     return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each equal text."""
+    """One document of each equal text: the one of most code points, then of the least id (null last), then stored first.
+
+    Null and empty texts are equal; an empty table stays empty.
+    """
     return exact_dedup.keep_first_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: that of the least id (null last), then stored first.
+
+    Texts without words are near only if equal; an empty table stays empty.
+    """
     return minhash.keep_representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the rates that bring the domains' tokens to MIXTURE."""
+    """Documents at the rates that bring the domains' tokens to MIXTURE; each is taken once or not at all.
+
+    Texts without words have the posteriors of the prior; repeated rows are drawn each; an empty table stays empty.
+    """
     return mixing.take_mixture(docs, mixing.mix(docs, _labels(spark, sf_dir), MIXTURE, most=1.0))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text.
+
+    A null text has no ids; repeated rows and null ids give a row each; an empty table gives none.
+    Only doc_id and text are read, whatever other columns are called.
+    """
     codec = bpe_codec(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     coded = small_batches(docs).select("doc_id", text.alias("text"), codec.both(text).alias("c")).select("doc_id", "text", "c.*")
@@ -53,7 +69,7 @@ STAGES = [
     ("bpe", encode_stage),
 ]
 
-#: The classifiers, the signatures and the fitted rates are beyond SQL; tests hold run() against a brute-force version.
+#: The classifiers, the signatures and the fitted rates are beyond SQL; a test holds run()'s rows against plain loops over its stages.
 ORACLE_SQL = None
 
 
