@@ -40,7 +40,9 @@ def t2_rebase(spark, sf):
 
 
 def t3_unwrap(spark, sf):
-    rows = _seconds(spark, sf).withColumn("clock", F.pmod("s", F.lit(10 * DAY)))
+    # every ninth clock is a little behind, which is no wrap
+    late = F.when(F.col("event_id") % 9 == 0, 100000).otherwise(0)
+    rows = _seconds(spark, sf).withColumn("clock", F.pmod(F.col("s") - late, F.lit(10 * DAY)))
     return c.unwrap_clock(rows, order="event_id", wrap=10 * DAY).select("rec", "event_id", "unwrapped", "back")
 
 
@@ -50,8 +52,9 @@ def t4_unwrap_mark(spark, sf):
 
 
 def t5_restarts(spark, sf):
-    ev = events(spark, sf)
-    return c.clock_restarts(ev, pos="event_id", fall=900000.0, leap=900000.0).select("rec", "event_id", r("t"), r("latest"))
+    # one place in fifty is far behind; some gaps are leaps
+    ev = events(spark, sf).withColumn("t", F.col("t") - F.when(F.col("event_id") % 50 == 0, 300000.0).otherwise(0.0))
+    return c.clock_restarts(ev, pos="event_id", fall=100000.0, leap=180000.0).select("rec", "event_id", r("t"), r("latest"))
 
 
 def t6_pieces(spark, sf):
@@ -84,7 +87,7 @@ def t10_paced(spark, sf):
 
 
 def t10_choose_step(spark, sf):
-    return c.choose_step(_anchors(spark, sf), [0.5, 5.0, 25.0, 100.0, 400.0], 2600000.0)
+    return c.choose_step(_anchors(spark, sf), [0.5, 25.0, 100.0, 150.0, 200.0, 250.0, 400.0], 200.0)
 
 
 def t11_byte_to_time(spark, sf):
@@ -151,12 +154,12 @@ ORACLE = {
     "t1_timecode": f"""WITH {EV}, x AS (SELECT event_id, t, CASE event_id % 5 WHEN 0 THEN floor(t / 60) * 60 + event_id % 10 + 0.25 WHEN 1 THEN 3720 + floor(value) WHEN 4 THEN floor(value) END AS p, round(t * 1000)::BIGINT AS ms FROM ev)
         SELECT event_id, round(p, 6) AS parsed, concat(ms // 3600000, ':', lpad((ms // 60000 % 60)::VARCHAR, 2, '0'), ':', lpad((ms // 1000 % 60)::VARCHAR, 2, '0'), '.', lpad((ms % 1000)::VARCHAR, 3, '0')) AS formatted FROM x""",
     "t2_rebase": f"WITH {EV} SELECT rec, event_id, round(floor(t) * 0.5 - min(floor(t) * 0.5) OVER (PARTITION BY rec), 6) AS t FROM ev",
-    "t3_unwrap": f"""WITH {EV}, c AS (SELECT rec, event_id, floor(t)::BIGINT % 864000 AS clock FROM ev), d AS (SELECT *, clock - lag(clock) OVER (PARTITION BY rec ORDER BY event_id) AS step FROM c)
+    "t3_unwrap": f"""WITH {EV}, c AS (SELECT rec, event_id, ((floor(t)::BIGINT - CASE WHEN event_id % 9 = 0 THEN 100000 ELSE 0 END) % 864000 + 864000) % 864000 AS clock FROM ev), d AS (SELECT *, clock - lag(clock) OVER (PARTITION BY rec ORDER BY event_id) AS step FROM c)
         SELECT rec, event_id, clock + 864000 * (sum(CASE WHEN step < -432000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS unwrapped, coalesce(step < 0 AND step >= -432000, false) AS back FROM d""",
     "t4_unwrap_mark": f"""WITH {EV}, x AS (SELECT event_id, t - 1500000 AS t FROM ev), y AS (SELECT *, t + ceil(-t / 95443.7) * 95443.7 AS m FROM x)
         SELECT event_id, round(CASE WHEN t >= 0 THEN t WHEN m <= 60001 THEN m END, 6) AS mark FROM y""",
-    "t5_restarts": f"""WITH {EV}, m AS (SELECT *, max(t) OVER (PARTITION BY rec ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ev)
-        SELECT rec, event_id, round(t, 6) AS t, round(latest, 6) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY event_id) AS i FROM m WHERE t < latest - 900000 OR t > latest + 900000) WHERE i = 1""",
+    "t5_restarts": f"""WITH {EV}, b AS (SELECT rec, event_id, t - CASE WHEN event_id % 50 = 0 THEN 300000.0 ELSE 0.0 END AS t FROM ev), m AS (SELECT *, max(t) OVER (PARTITION BY rec ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM b)
+        SELECT rec, event_id, round(t, 6) AS t, round(latest, 6) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY event_id) AS i FROM m WHERE t < latest - 100000 OR t > latest + 180000) WHERE i = 1""",
     "t6_pieces": f"""WITH {EV}, p AS (SELECT rec, event_id AS pos, t, event_id // 2500 * 2500 AS x0 FROM ev),
         f AS (SELECT rec, x0, min(pos) AS p0, max(pos) AS p1, arg_min(t, pos) AS t0, arg_max(t, pos) AS t1 FROM p GROUP BY rec, x0),
         g AS (SELECT *, (p1 - p0)::DOUBLE AS b, t1 - t0 AS s FROM f),
@@ -172,8 +175,8 @@ ORACLE = {
         s AS (SELECT e.rec, e.i, x.i AS i0, x.c AS c0, coalesce(y.i, x.i) AS i1, coalesce(y.c, x.c) AS c1 FROM e JOIN a x ON x.rec = e.rec AND x.n = e.n LEFT JOIN a y ON y.rec = e.rec AND y.n = e.n + 1)
         SELECT rec, i, c0 + CASE WHEN i1 = i0 THEN 0 ELSE ((i - i0) * (c1 - c0) - ((i - i0) * (c1 - c0)) % (i1 - i0)) // (i1 - i0) END AS clock FROM s""",
     "t10_paced": f"WITH {_AN} SELECT rec, packet, round({_PACE.format(s='25.0', g='')}, 3) AS paced FROM an",
-    "t10_choose_step": f"""WITH {_AN}, tr AS (SELECT *, unnest([0.5, 5, 25, 100, 400])::DOUBLE AS step FROM an), mv AS (SELECT rec, step, max(x0 - p) AS move FROM (SELECT *, {_PACE.format(s='step', g=', step')} AS p FROM tr) GROUP BY rec, step)
-        SELECT rec, max(step) FILTER (move <= 2600000) AS step FROM mv GROUP BY rec""",
+    "t10_choose_step": f"""WITH {_AN}, tr AS (SELECT *, unnest([0.5, 25, 100, 150, 200, 250, 400])::DOUBLE AS step FROM an), mv AS (SELECT rec, step, max(x0 - p) AS move FROM (SELECT *, {_PACE.format(s='step', g=', step')} AS p FROM tr) GROUP BY rec, step)
+        SELECT rec, max(step) FILTER (move <= 200) AS step FROM mv GROUP BY rec""",
     "t11_byte_to_time": f"""WITH {EV}, p AS (SELECT rec, event_id AS pos, t, lead(event_id) OVER w AS np, lead(t) OVER w AS nt FROM ev WHERE event_type = 'view' WINDOW w AS (PARTITION BY rec ORDER BY event_id)),
         f AS (SELECT rec, arg_min(t, pos) AS first FROM p GROUP BY rec), j AS (SELECT ev.rec, event_id AS pos, p.pos AS pp, p.t, np, nt, first FROM ev JOIN f USING (rec) ASOF LEFT JOIN p ON p.rec = ev.rec AND ev.event_id >= p.pos)
         SELECT rec, pos, round(CASE WHEN pp IS NULL THEN first WHEN nt - t > 0 AND nt - t <= 500000 THEN t + (nt - t) * (pos - pp) / (np - pp) ELSE t END, 6) AS t FROM j""",

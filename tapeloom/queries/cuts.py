@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import easing as ez
@@ -32,7 +33,9 @@ def _keeps(spark, sf):
 
 def p1_access_points(spark, sf):
     ev = events(spark, sf)
-    packets = ev.select("rec", F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("key"), F.col("t").alias("pts"), (F.col("value") > 100).alias("reference"), F.when(F.col("value") > 50, F.col("value") > 300).alias("unreferenced"), (F.col("event_id") * 188).alias("pos"))
+    # every third picture is shown ahead of its place in decode order, often before the key picture itself
+    shown = F.col("t") - F.when((F.col("event_type") != "purchase") & (F.col("event_id") % 3 == 0), 90000.0).otherwise(0.0)
+    packets = ev.select("rec", F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("key"), shown.alias("pts"), (F.col("value") > 60).alias("reference"), F.when(F.col("value") > 30, F.col("value") > 90).alias("unreferenced"), (F.col("event_id") * 188).alias("pos"))
     return p.access_points(packets).select("rec", r("time"), r("lead_start"), F.size("lead_indices").alias("leads"), F.aggregate("lead_indices", F.lit(0), lambda a, x: a + x).alias("index_sum"), "droppable", "pos")
 
 
@@ -122,7 +125,20 @@ def p15_straddling(spark, sf):
     return p.straddling_rows(frames, edges, bucket=20000.0)
 
 
-QUERIES = [p1_access_points, p2_entries, p3_plan, p4_reencode, p5_frames, p6_totals, p7_clean_join, p8_move, p9_parts, p9_size, p10_weight, p11_timeline, p12_easing, p13_chapters, p14_live_marks, p15_straddling]
+def p12_fades(spark, sf):
+    """Fades that parts ask for, on ranges as long as their size tells; the first and last of a brand lie at the output's ends."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 3.0).alias("length"), (F.col("p_retailprice") / 20).alias("a"), (F.col("p_retailprice") / 40 - 23).alias("b"), (F.row_number().over(w) == 1).alias("first"), F.lead("p_partkey").over(w).isNull().alias("last"))
+    up, down = ez.fades_for(F.col("length"), F.col("a"), F.col("b"), F.col("first"), F.col("last"))
+    return rows.select("p_partkey", r(up).alias("fade_in"), r(down).alias("fade_out"))
+
+
+def p15_audible(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x / 200).alias("samples"), F.pmod("vec_id", F.lit(20)).alias("keep_from"), (F.lit(64) - F.pmod("vec_id", F.lit(13))).alias("keep_to"))
+    return p.audible_outside(e).select("vec_id", "audible")
+
+
+QUERIES = [p1_access_points, p2_entries, p3_plan, p4_reencode, p5_frames, p6_totals, p7_clean_join, p8_move, p9_parts, p9_size, p10_weight, p11_timeline, p12_easing, p12_fades, p13_chapters, p14_live_marks, p15_straddling, p15_audible]
 
 _PT = EV + """, pt AS (SELECT rec, t, t - value * 5 AS ls, value > 250 AS op, value > 400 AS dr, event_id % 2 = 0 AS ss, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM ev WHERE event_type = 'view'),
     vd AS (SELECT rec, max(t) AS d FROM ev GROUP BY rec), fp AS (SELECT rec, min(t) AS f FROM pt GROUP BY rec),
@@ -166,9 +182,9 @@ def _eased() -> str:
 
 ORACLE = {
     "p1_access_points": f"""WITH {EV}, g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS gop FROM ev),
-        h AS (SELECT *, first_value(t) OVER w AS head, row_number() OVER w - 1 AS i FROM g WHERE gop > 0 WINDOW w AS (PARTITION BY rec, gop ORDER BY event_id)), c AS (SELECT *, i > 0 AND t < head AS lead FROM h)
+        h AS (SELECT * EXCLUDE t, t - CASE WHEN event_type <> 'purchase' AND event_id % 3 = 0 THEN 90000.0 ELSE 0 END AS t, first_value(t) OVER w AS head, row_number() OVER w - 1 AS i FROM g WHERE gop > 0 WINDOW w AS (PARTITION BY rec, gop ORDER BY event_id)), c AS (SELECT *, i > 0 AND t < head AS lead FROM h)
         SELECT rec, round(head, 6) AS time, round(coalesce(min(t) FILTER (lead), head), 6) AS lead_start, count(*) FILTER (lead)::INTEGER AS leads, coalesce(sum(i) FILTER (lead), 0)::INTEGER AS index_sum,
-            coalesce(bool_and(value <= 100 OR value > 300) FILTER (lead), true) AS droppable, min(event_id) * 188 AS pos FROM c GROUP BY rec, gop, head""",
+            coalesce(bool_and(value <= 60 OR value > 90) FILTER (lead), true) AS droppable, min(event_id) * 188 AS pos FROM c GROUP BY rec, gop, head""",
     "p2_entries": f"""WITH {_PT} SELECT rec, event_id, round((SELECT max(t) FROM pt WHERE pt.rec = x.rec AND pt.t <= x.t + 500), 6) AS entry, round((SELECT arg_min(q.t, (abs(q.t - x.t), q.t)) FROM pt q WHERE q.rec = x.rec), 6) AS nearest,
         round((SELECT min(t) FROM pt WHERE pt.rec = x.rec AND pt.t > x.t + 0.001), 6) AS after, round((SELECT max(t) FROM pt WHERE pt.rec = x.rec AND pt.t < x.t - 0.001), 6) AS before FROM ev x""",
     "p3_plan": f"WITH {_PLAN} SELECT rec, id, kind, round(s, 6) AS start, round(e, 6) AS \"end\", round(cu, 6) AS copy_until, round(CASE WHEN kind = 'copy' THEN s ELSE {_SEEK.format(x='pl')} END, 6) AS seek_from, frames FROM pl",
@@ -189,6 +205,9 @@ ORACLE = {
     "p12_easing": f"""WITH x AS (SELECT p_partkey, p_size / 50 AS t, p_partkey % 48 AS w FROM part)
         SELECT p_partkey, round({_eased()}, 6) + 0.0 AS eased, round(greatest(0, least(1, t / 0.25, (1 - t) / 0.25)), 6) AS showing,
             round(least(0.5 - 0.5 * cos(pi() * greatest(0, least(1, t * 10 / 4))), 0.5 - 0.5 * cos(pi() * greatest(0, least(1, (10 - t * 10) / 7)))), 6) AS gain FROM x""",
+    "p12_fades": """WITH x AS (SELECT p_partkey, p_size * 3.0 AS len, p_retailprice / 20 AS a, p_retailprice / 40 - 23 AS b, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS first, p_partkey = max(p_partkey) OVER (PARTITION BY p_brand) AS last FROM part)
+        SELECT p_partkey, round(CASE WHEN first THEN 0 ELSE greatest(0, least(a, len / 2, 60)) END, 6) AS fade_in, round(CASE WHEN last THEN 0 ELSE greatest(0, least(b, len / 2, 60)) END, 6) AS fade_out FROM x""",
+    "p15_audible": """SELECT vec_id, len(list_filter(range(0, 64), lambda i: abs(embedding[i + 1]::DOUBLE / 200) > 0.001 AND (i < vec_id % 20 OR i >= 64 - vec_id % 13))) > 0 AS audible FROM embeddings""",
     "p13_chapters": f"""WITH {_PT}, {_KO}, m AS (SELECT ev.rec, o + t - s AS t FROM ev ASOF JOIN ko ON ko.rec = ev.rec AND ev.t >= ko.s WHERE event_type = 'signup' AND (t < e OR (final AND t = e))),
         c AS (SELECT rec, o::DOUBLE AS t FROM ko UNION SELECT rec, t FROM m) SELECT rec, round(t, 6) AS t, row_number() OVER (PARTITION BY rec ORDER BY t)::INTEGER AS chapter FROM c""",
     "p14_live_marks": f"""WITH {_PT}, {_KO}, m AS (SELECT ev.rec, event_id, t, o + t - s AS out FROM ev ASOF JOIN ko ON ko.rec = ev.rec AND ev.t >= ko.s WHERE event_type IN ('signup', 'error', 'click') AND (t < e OR (final AND t = e))),

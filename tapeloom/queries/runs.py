@@ -46,6 +46,11 @@ def r3_silence(spark, sf):
     return rn.silent_stretches(frames, min_seconds=90000.0).select("rec", r("start"), r("end"))
 
 
+def r3_loud_bounds(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") * 2.0).alias("t"), F.lit(100).alias("rate"), F.transform("embedding", lambda x: x * F.pmod("vec_id", F.lit(3)) / 60).alias("samples"))
+    return rn.loud_bounds(e).select("vec_id", r("loud_first"), r("loud_last"))
+
+
 def r4_monotone(spark, sf):
     return rn.monotone_only(events(spark, sf), "rec", "t", "event_id").select("rec", "event_id", r("t"))
 
@@ -118,7 +123,7 @@ def r16_corner(spark, sf):
     return rn.choose_corner(rows, fewest=5, least_break=30.0, min_present=1000.0, window=100000.0).select("rec", "corner", "transitions", r("share"))
 
 
-QUERIES = [r1_flat_runs, r2_classify_flat, r3_silence, r4_monotone, r5_debounce, r5b_dedup_adjacent, r6_hysteresis, r6_transitions, r7_split_absences, r8_outline, r9_thin, r10_change, r11_scenes, r12_template, r13_highpass, r14_cluster, r15_score, r15_ring, r16_corner]
+QUERIES = [r1_flat_runs, r2_classify_flat, r3_silence, r3_loud_bounds, r4_monotone, r5_debounce, r5b_dedup_adjacent, r6_hysteresis, r6_transitions, r7_split_absences, r8_outline, r9_thin, r10_change, r11_scenes, r12_template, r13_highpass, r14_cluster, r15_score, r15_ring, r16_corner]
 
 
 def _states(src: str, k: str, present: str, absent: str, min_present: float) -> str:
@@ -161,6 +166,8 @@ ORACLE = {
     "r3_silence": f"""WITH {EV}, l AS (SELECT rec, t + 1 AS f, t + 4 AS z FROM ev WHERE value >= 150 UNION ALL SELECT rec, max(t + 10), NULL FROM ev GROUP BY rec),
         s AS (SELECT rec, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE lag(z) OVER w END AS s, f AS e FROM l WINDOW w AS (PARTITION BY rec ORDER BY f, z NULLS LAST))
         SELECT rec, round(s, 6) AS start, round(e, 6) AS "end" FROM s WHERE e - s + 1e-9 >= 90000""",
+    "r3_loud_bounds": f"""WITH l AS (SELECT vec_id, list_filter(range(0, 64), lambda i: abs((embedding[i + 1] * (vec_id % 3) / 60)::DOUBLE) > {10 ** -2.5!r}) AS p FROM embeddings)
+        SELECT vec_id, round(vec_id * 2.0 + p[1] / 100, 6) AS loud_first, round(vec_id * 2.0 + (p[len(p)] + 1) / 100, 6) AS loud_last FROM l""",
     "r4_monotone": f"""WITH {EV} SELECT rec, event_id, round(t, 6) AS t FROM (SELECT *, max(t) OVER (PARTITION BY rec ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ev)
         WHERE reach IS NULL OR t > reach""",
     "r5_debounce": f"""WITH RECURSIVE {EV}, src AS (SELECT rec, t, 100000.0 AS gap FROM ev WHERE event_type = 'error'), {_GREEDY.format(src='src')}
