@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, as_of, before, keys, ordered, overlap_join, so_far, whole
+from ..functions.greedy import keep_apart
 from ..operators.clocks import keep_offsets, source_to_output
 
 
@@ -180,13 +181,35 @@ def move_to_pictures(ranges: DataFrame, points: DataFrame, video: DataFrame, key
     return rows.select(*k, *rest, moved("start").alias("start"), moved("end").alias("end"))
 
 
+def division_problems(keeps: DataFrame, key: Key = "rec", parts: int | None = None, every: float | None = None, size: float | None = None, rate: str = "rate", frame: float = 1 / 30, most: int = 999) -> DataFrame:
+    """Recordings that divide_ranges leaves whole, with the reason: nothing, frame, weight, second or many.
+
+    Nothing is left to divide; parts would be a frame or less; the weight isn't known; parts of that
+    size would be under a second; there would be more than `most` parts.
+    """
+    k = keys(key)
+    rows = keeps.groupBy(*k).agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0.0))).alias("total"), (F.max(rate) if size is not None else F.lit(None).cast("double")).alias("rate"))
+    total, weight = F.col("total"), F.col("rate")
+    reason = F.when(total <= 2 * frame, "nothing")
+    if parts is not None:
+        reason = reason.when(total / parts <= frame, "frame")
+    elif every is not None:
+        reason = reason.when(F.ceil(total / every) > most, "many")
+    else:
+        length = F.lit(float(size)) / weight
+        reason = reason.when(weight.isNull() | F.isnan(weight) | (weight <= 0), "weight").when(length < 1, "second").when(F.ceil(total / length) > most, "many")
+    return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select(*k, "reason")
+
+
 def divide_ranges(keeps: DataFrame, points: DataFrame, key: Key = "rec", parts: int | None = None, every: float | None = None, size: float | None = None, rate: str = "rate", frame: float = 1 / 30, head: float = 0.0, on_points: bool = True, most: int = 999) -> DataFrame:
     """Cuts (n, out, src, on_point) that divide kept ranges, laid end to end, by parts, seconds or bytes.
 
     A cut goes to the nearest clean place, a point or a join, within half a part; by size to the last
     one at or before the target. Without one it goes to the frame grid from `head`. Cuts rise by
-    half a frame at least. Arrays of one recording's keeps and points meet in one row, as marks do.
-    For size, keeps carry the rate of bytes a second. Parameters out of range raise ValueError.
+    half a frame at least. Each cut is measured from the one before it, so that one recording's keeps and
+    clean places meet in one row: their number follows from its length. For size, keeps carry the rate of
+    bytes a second. Parameters out of range raise ValueError; recordings that cannot be divided have no
+    cuts, and division_problems tells them and why.
     """
     if sum(x is not None for x in (parts, every, size)) != 1 or (parts is not None and not 2 <= parts <= most) or (every is not None and every < 1):
         raise ValueError("divide into 2 to 999 parts, or by seconds of one or more, or by bytes")
@@ -197,12 +220,12 @@ def divide_ranges(keeps: DataFrame, points: DataFrame, key: Key = "rec", parts:
     inner = points.select(*k, F.col("t").alias("b_start"), (F.col("t") + 1e-9).alias("b_end"))
     on = overlap_join(offs, inner, k, 3600.0).filter((F.col("b_start") > F.col("start") + frame / 2) & (F.col("b_start") < F.col("end") - frame / 2))
     places = on.select(*k, (F.col("out_start") + F.col("b_start") - F.col("start")).alias("c")).unionByName(offs.filter("out_start > 0").select(*k, F.col("out_start").alias("c")))
-    w = ordered(k, "c")
-    places = places.withColumn("__p", F.lag("c").over(w)).filter(F.col("__p").isNull() | (F.col("c") - F.col("__p") >= frame / 2)).groupBy(*k).agg(F.sort_array(F.collect_list("c")).alias("clean"))
+    places = keep_apart(places, k, "c", F.col("c") + frame / 2).groupBy(*k).agg(F.sort_array(F.collect_list("c")).alias("clean"))
     rows = offs.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("out_start", "start", "end"))).alias("line"), F.max(F.col("out_start") + F.col("end") - F.col("start")).alias("total"), *([F.max("__rate").alias("__rate")] if size is not None else []))
-    rows = rows.join(places, k, "left").withColumn("clean", F.coalesce("clean", F.array().cast("array<double>"))).filter(F.col("total") > 2 * frame)
+    rows = rows.join(places, k, "left").withColumn("clean", F.coalesce("clean", F.array().cast("array<double>")))
+    rows = rows.join(division_problems(keeps, k, parts, every, size, rate, frame, most).select(*k), k, "left_anti")
     step = F.col("total") / parts if parts else F.lit(float(every)) if every else F.lit(float(size)) / F.col("__rate")
-    rows = rows.withColumn("step", step).filter(F.col("step") > frame).filter(F.ceil(F.col("total") / F.col("step")) <= most).withColumn("last", F.col("total") - frame)
+    rows = rows.withColumn("step", step).withColumn("last", F.col("total") - frame)
     count = F.lit(parts - 1) if parts else F.floor(F.col("last") / F.col("step")).cast("int") if every else (F.ceil(F.col("total") / F.col("step")) * 2).cast("int")
     rows = rows.withColumn("turns", F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda n: n <= count))
     down = size is not None

@@ -87,6 +87,13 @@ def p9_size(spark, sf):
     return p.divide_ranges(keeps, _points(spark, sf).select("rec", "t"), size=900000.0, frame=FD).select("rec", "n", r("out"), r("src"), "on_point")
 
 
+def p9_problems(spark, sf):
+    """Recordings by what keeps them from being divided into parts of a size: weights and lengths follow the user."""
+    rate = F.when(F.col("rec") % 7 == 1, 0.0).when(F.col("rec") % 7 == 2, 9.0e6).when(F.col("rec") % 7 > 2, 300.0 * (F.col("rec") % 7))
+    keeps = _keeps(spark, sf).withColumn("rate", rate).withColumn("end", F.when(F.col("rec") % 11 == 0, F.col("start") + 10).otherwise(F.col("end")))
+    return p.division_problems(keeps, size=3000000.0, frame=FD)
+
+
 def p10_weight(spark, sf):
     tracks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rec"), F.col("l_extendedprice").alias("rate"))
     recs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rec"), F.col("o_totalprice").alias("video_rate"), F.when(F.col("o_orderstatus") == "F", 1.0712345).alias("share"))
@@ -138,7 +145,7 @@ def p15_audible(spark, sf):
     return p.audible_outside(e).select("vec_id", "audible")
 
 
-QUERIES = [p1_access_points, p2_entries, p3_plan, p4_reencode, p5_frames, p6_totals, p7_clean_join, p8_move, p9_parts, p9_size, p10_weight, p11_timeline, p12_easing, p12_fades, p13_chapters, p14_live_marks, p15_straddling, p15_audible]
+QUERIES = [p1_access_points, p2_entries, p3_plan, p4_reencode, p5_frames, p6_totals, p7_clean_join, p8_move, p9_parts, p9_size, p9_problems, p10_weight, p11_timeline, p12_easing, p12_fades, p13_chapters, p14_live_marks, p15_straddling, p15_audible]
 
 _PT = EV + """, pt AS (SELECT rec, t, t - value * 5 AS ls, value > 250 AS op, value > 400 AS dr, event_id % 2 = 0 AS ss, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM ev WHERE event_type = 'view'),
     vd AS (SELECT rec, max(t) AS d FROM ev GROUP BY rec), fp AS (SELECT rec, min(t) AS f FROM pt GROUP BY rec),
@@ -198,6 +205,9 @@ ORACLE = {
     "p8_move": f"""WITH {_PT}, x AS (SELECT rg.*, d, rec % 2 = 0 AS vr, {_NEAR.format(t='rg.s', x='rg')} AS p1, {_NEAR.format(t='rg.e', x='rg')} AS p2 FROM rg JOIN vd USING (rec)),
         y AS (SELECT *, p1 + round((s - p1) / 1000.0) * 1000.0 AS g1, p2 + round((e - p2) / 1000.0) * 1000.0 AS g2 FROM x)
         SELECT rec, id, round(CASE WHEN NOT vr AND abs(s - g1) <= 120 AND s < d - 500 THEN g1 - 120 ELSE s END, 6) AS start, round(CASE WHEN NOT vr AND abs(e - g2) <= 120 AND e < d - 500 THEN g2 - 120 ELSE e END, 6) AS "end" FROM y""",
+    "p9_problems": f"""WITH {_PT}, {_KO}, t AS (SELECT rec, sum(CASE WHEN rec % 11 = 0 THEN 10 ELSE e - s END) AS total, CASE rec % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 9e6 ELSE 300 * (rec % 7) END AS w FROM km GROUP BY rec),
+        x AS (SELECT rec, CASE WHEN total <= 2000 THEN 'nothing' WHEN w IS NULL OR w <= 0 THEN 'weight' WHEN 3e6 / w < 1 THEN 'second' WHEN ceil(total / (3e6 / w)) > 999 THEN 'many' END AS reason FROM t)
+        SELECT rec, reason FROM x WHERE reason IS NOT NULL""",
     "p10_weight": """SELECT o_orderkey AS rec, round((o_totalprice + coalesce((SELECT sum(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey), 0) * 1.2) / 8 * CASE WHEN o_orderstatus = 'F' THEN 1.0712345 ELSE 1 END, 6) AS weight FROM orders""",
     "p11_timeline": f"""WITH {EV}, c AS (SELECT rec, event_id AS n, value * 10 AS len, event_type = 'view' AS ov, greatest(least(value / 10 - 4, 30.0), 0.0) AS d FROM ev),
         t AS (SELECT *, CASE WHEN lead(n) OVER (PARTITION BY rec ORDER BY n) IS NULL THEN 0 WHEN ov THEN d ELSE d / 2 END AS ta FROM c)

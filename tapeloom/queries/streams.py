@@ -11,15 +11,20 @@ from .breaks import ORACLE as BREAKS
 from .common import EPOCH_US, EV, r, table
 
 
+#: Rows of a wave for each of its files.
+FILE_ROWS = 500_000
+
+
 def _feed(spark: SparkSession, sf: str, df: DataFrame, order: str, waves: int = 4) -> DataFrame:
-    """df as a stream of files that arrive one after another in the given order, each a micro-batch."""
+    """df as a stream whose files arrive in waves of the given order, each wave a micro-batch of as many files as its rows need."""
     path = shared_folder(spark, "feed")
     at = F.col(order).cast("double")
+    files = 1 + df.count() // waves // FILE_ROWS
     cuts = df.select(at.alias("o")).approxQuantile("o", [i / waves for i in range(1, waves)], 0.001)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         wave = df.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
-        wave.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        wave.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _events(spark, sf):

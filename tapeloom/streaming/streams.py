@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,29 @@ def stream_runs(stream: DataFrame, key: str = "rec", t: str = "t", state: str =
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         name, start, last, n = held.get if held.exists else (None, 0.0, 0.0, 0)
-        done = []
-        for row_t, row_state in _ordered(parts, t)[[t, state]].itertuples(index=False):
-            if n and row_state == name:
-                last, n = row_t, n + 1
-                continue
-            if n:
-                done.append((k[0], name, start, row_t, last, n))
-            name, start, last, n = row_state, row_t, row_t, 1
-            if row_state == end or row_state is None:
-                n = 0
-        held.update((name, start, last, n))
-        yield pd.DataFrame(done, columns=[key, "state", "start", "end", "last", "pictures"])
+        rows = _ordered(parts, t)
+        times, names = rows[t].to_numpy(), rows[state].to_numpy(object)
+        fresh = np.ones(len(names), bool)
+        fresh[1:] = names[1:] != names[:-1]
+        fresh[0] = not (n and names[0] == name)
+        first = np.flatnonzero(fresh)  # where the batch's own runs begin; the rows before belong to the run held
+        ahead = int(first[0]) if len(first) else len(times)
+        if ahead:
+            last, n = float(times[ahead - 1]), n + ahead
+        if not len(first):
+            held.update((name, start, last, n))
+            return
+        ends = np.append(first[1:], len(times))
+        runs = pd.DataFrame({key: k[0], "state": names[first], "start": times[first], "end": np.append(times[first[1:]], np.nan), "last": times[ends - 1], "pictures": ends - first})
+        done = runs.iloc[:-1]
+        if n:
+            done = pd.concat([pd.DataFrame([(k[0], name, start, float(times[ahead]), last, n)], columns=runs.columns), done])
+        open_ = runs.iloc[-1]
+        closed = open_["state"] is None or open_["state"] == end
+        held.update((open_["state"], float(open_["start"]), float(open_["last"]), 0 if closed else int(open_["pictures"])))
+        done = done[done["state"].notna() & (done["state"] != end)]
+        if len(done):
+            yield done
 
     kind = stream.schema[key].dataType.simpleString()
     return _stateful(stream.select(key, t, state), key, step, f"{key} {kind}, state string, start double, end double, last double, pictures long", "state string, start double, last double, n long")
@@ -67,15 +79,15 @@ def stream_debounce(stream: DataFrame, key: str = "rec", t: str = "t", gap: floa
     """Marks at least `gap` after the last kept one, which is the state."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = held.get[0] if held.exists else None
+        times = _ordered(parts, t)[t].to_numpy()
+        at = int(np.searchsorted(times, held.get[0] + gap)) if held.exists else 0
         kept = []
-        for x in _ordered(parts, t)[t]:
-            if last is None or x >= last + gap:
-                kept.append(x)
-                last = x
-        if last is not None:
-            held.update((float(last),))
-        yield pd.DataFrame({key: [k[0]] * len(kept), t: kept})
+        while at < len(times):  # one turn a kept mark
+            kept.append(float(times[at]))
+            at = max(int(np.searchsorted(times, times[at] + gap)), at + 1)
+        if kept:
+            held.update((kept[-1],))
+            yield pd.DataFrame({key: k[0], t: kept})
 
     kind = stream.schema[key].dataType.simpleString()
     return _stateful(stream.select(key, t), key, step, f"{key} {kind}, {t} double", "last double")
@@ -89,7 +101,9 @@ def stream_monotone(stream: DataFrame, key: str = "rec", t: str = "t", order: st
         rows = _ordered(parts, order)
         reach = rows[t].cummax().shift(fill_value=float("-inf")).clip(lower=latest)
         held.update((float(max(latest, rows[t].max())),))
-        yield rows[rows[t] > reach][[key, order, t]]
+        later = rows[rows[t] > reach][[key, order, t]]
+        if len(later):
+            yield later
 
     kind, seq = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
     return _stateful(stream.select(key, order, t), key, step, f"{key} {kind}, {order} {seq}, {t} double", "latest double")
