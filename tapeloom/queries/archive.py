@@ -109,10 +109,14 @@ def s8_merge(spark, sf):
 
 
 def s9_sections(spark, sf):
-    """Two sections an event, the second cut off by the packet's end and carried on in the next packet."""
+    """Two sections an event, the second cut off by the packet's end and carried on in the next packet.
+
+    Every fourth event's first section is of a table whose checksums count, and has a wrong one.
+    """
     ev = events(spark, sf)
-    body = lambda n, c: F.concat(F.lit("80B0"), F.lit(f"{n:02X}"), F.rpad(_hex(c, 8), 2 * n, "A"))
-    one, two = body(20, F.col("event_id")), body(180, F.col("event_id") + 100000)
+    body = lambda table_id, n, c: F.concat(_hex(table_id, 2), F.lit("B0"), F.lit(f"{n:02X}"), F.rpad(_hex(c, 8), 2 * n, "A"))
+    one = body(F.when(F.col("event_id") % 4 == 0, 0x40).otherwise(0x80), 20, F.col("event_id"))
+    two = body(F.lit(0x81) + F.col("event_id") % 3, 180, F.col("event_id") + 100000)
     start = F.rpad(F.concat(F.lit("00"), one, two), 368, "F")
     rest = F.rpad(F.substring(F.concat(F.lit("00"), one, two), 369, 400), 368, "F")
     first = ev.select("rec", (F.col("event_id") * 2).alias("seq"), F.lit(17).alias("pid"), F.lit(True).alias("unit_start"), F.unhex(start).alias("payload"))
@@ -140,5 +144,5 @@ ORACLE = {
         SELECT o_orderkey, o_orderpriority, o_orderkey % 15000 + 5 FROM orders WHERE o_orderkey % 3 = 2""",
     "s8_merge": """WITH b AS (SELECT o_orderkey AS path, o_orderstatus AS state, o_custkey * 10 AS edited, 0 AS n FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, o_orderpriority, o_orderkey % 15000 + 5, 1 FROM orders WHERE o_orderkey % 3 > 0)
         SELECT path, state, edited FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY edited DESC, n DESC) AS i FROM b) WHERE i = 1""",
-    "s9_sections": f"WITH {EV} SELECT rec, event_id * 2 AS seq, 128::BIGINT AS table_id, 23::INTEGER AS size, event_id AS id FROM ev UNION ALL SELECT rec, event_id * 2, 128, 183, event_id + 100000 FROM ev",
+    "s9_sections": f"WITH {EV} SELECT rec, event_id * 2 AS seq, 128::BIGINT AS table_id, 23::INTEGER AS size, event_id AS id FROM ev WHERE event_id % 4 > 0 UNION ALL SELECT rec, event_id * 2, 129 + event_id % 3, 183, event_id + 100000 FROM ev",
 }

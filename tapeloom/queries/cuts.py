@@ -84,7 +84,8 @@ def p9_parts(spark, sf):
 
 def p9_size(spark, sf):
     keeps = _keeps(spark, sf).withColumn("rate", F.lit(3.0))
-    return p.divide_ranges(keeps, _points(spark, sf).select("rec", "t"), size=900000.0, frame=FD).select("rec", "n", r("out"), r("src"), "on_point")
+    few = _points(spark, sf).filter("t - lead_start > 400").select("rec", "t")
+    return p.divide_ranges(keeps, few, size=900000.0, frame=FD).select("rec", "n", r("out"), r("src"), "on_point")
 
 
 def p9_problems(spark, sf):
@@ -187,6 +188,28 @@ def _eased() -> str:
     return "CASE w " + " ".join(whens) + " END"
 
 
+def _divided(rule: str) -> str:
+    """Cuts one after another: the place near enough to the target, or else the frame grid; frames are 1000 s, the grid begins at 0."""
+    down = rule == "size"
+    start = "total > 2000 AND ceil(total / 300000.0) <= 999" if down else "total > 2000 AND total / 5 > 1000"
+    more = "prev + 300000.0 < total - 1e-9" if down else "n < 4"
+    target = "least(r.prev + 300000.0, r.total - 1000)" if down else "(r.n + 1) * r.total / 5"
+    reach = "150000.0" if down else "r.total / 10"
+    near = f"c.c > r.prev + 500 AND c.c <= q.t + 1e-9 AND c.c >= q.t - {reach}" if down else f"c.c > r.prev + 500 AND c.c < r.total - 1000 AND abs(c.c - q.t) <= {reach}"
+    step = "floor(s / 1000 + 1e-6)" if down else "round(s / 1000)"
+    # a place off the points: the grid time, held within its kept range
+    exact = f"""SELECT CASE WHEN g < a THEN o WHEN g > b - 1e-9 THEN o + b - a ELSE q.t + g - s END AS x, (g < a AND o > 0) OR g > b - 1e-9 AS j
+        FROM (SELECT *, {step} * 1000 AS g FROM (SELECT ko.s AS a, ko.e AS b, o, ko.s + q.t - o AS s FROM ko WHERE ko.rec = r.rec AND o <= q.t ORDER BY o DESC LIMIT 1))"""
+    found = f"""SELECT r.rec, r.total, r.n + 1 AS n, CASE WHEN near.c IS NOT NULL OR good THEN coalesce(near.c, x) ELSE r.prev END AS prev, near.c IS NOT NULL OR good AS cut, near.c IS NOT NULL OR j AS onp
+        FROM r, LATERAL (SELECT {target} AS t) q, LATERAL (SELECT arg_min(c.c, (abs(c.c - q.t), c.c)) AS c FROM cl c WHERE c.rec = r.rec AND {near}) near, LATERAL ({exact}) ex, LATERAL (SELECT x > r.prev + 500 AND x < r.total - 500 AS good) gd
+        WHERE r.{more.replace("total", "r.total") if down else more}{" AND (r.n = 0 OR r.cut)" if down else ""}"""
+    return f"""WITH RECURSIVE {_PT}, {_KO}, pl AS (SELECT ko.rec, o + t - s AS c FROM ko JOIN pt ON pt.rec = ko.rec AND t > s + 500 AND t < e - 500{" AND t - ls > 400" if down else ""} UNION ALL SELECT rec, o FROM ko WHERE o > 0),
+        cl AS (SELECT rec, min(c) AS c FROM pl GROUP BY rec UNION ALL SELECT pl.rec, min(pl.c) FROM cl JOIN pl ON pl.rec = cl.rec AND pl.c >= cl.c + 500 GROUP BY pl.rec, cl.c),
+        r AS (SELECT rec, total, 0 AS n, 0.0::DOUBLE AS prev, false AS cut, false AS onp FROM (SELECT rec, sum(e - s) AS total FROM ko GROUP BY rec) WHERE {start} UNION ALL {found}),
+        f AS (SELECT rec, prev AS c, onp, row_number() OVER (PARTITION BY rec ORDER BY n) AS n FROM r WHERE cut)
+        SELECT f.rec, f.n::INTEGER AS n, round(c, 6) AS out, round(ko.s + c - o, 6) AS src, onp AS on_point FROM f ASOF JOIN ko ON ko.rec = f.rec AND f.c >= ko.o"""
+
+
 ORACLE = {
     "p1_access_points": f"""WITH {EV}, g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS gop FROM ev),
         h AS (SELECT * EXCLUDE t, t - CASE WHEN event_type <> 'purchase' AND event_id % 3 = 0 THEN 90000.0 ELSE 0 END AS t, first_value(t) OVER w AS head, row_number() OVER w - 1 AS i FROM g WHERE gop > 0 WINDOW w AS (PARTITION BY rec, gop ORDER BY event_id)), c AS (SELECT *, i > 0 AND t < head AS lead FROM h)
@@ -205,6 +228,8 @@ ORACLE = {
     "p8_move": f"""WITH {_PT}, x AS (SELECT rg.*, d, rec % 2 = 0 AS vr, {_NEAR.format(t='rg.s', x='rg')} AS p1, {_NEAR.format(t='rg.e', x='rg')} AS p2 FROM rg JOIN vd USING (rec)),
         y AS (SELECT *, p1 + round((s - p1) / 1000.0) * 1000.0 AS g1, p2 + round((e - p2) / 1000.0) * 1000.0 AS g2 FROM x)
         SELECT rec, id, round(CASE WHEN NOT vr AND abs(s - g1) <= 120 AND s < d - 500 THEN g1 - 120 ELSE s END, 6) AS start, round(CASE WHEN NOT vr AND abs(e - g2) <= 120 AND e < d - 500 THEN g2 - 120 ELSE e END, 6) AS "end" FROM y""",
+    "p9_parts": _divided("parts"),
+    "p9_size": _divided("size"),
     "p9_problems": f"""WITH {_PT}, {_KO}, t AS (SELECT rec, sum(CASE WHEN rec % 11 = 0 THEN 10 ELSE e - s END) AS total, CASE rec % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 9e6 ELSE 300 * (rec % 7) END AS w FROM km GROUP BY rec),
         x AS (SELECT rec, CASE WHEN total <= 2000 THEN 'nothing' WHEN w IS NULL OR w <= 0 THEN 'weight' WHEN 3e6 / w < 1 THEN 'second' WHEN ceil(total / (3e6 / w)) > 999 THEN 'many' END AS reason FROM t)
         SELECT rec, reason FROM x WHERE reason IS NOT NULL""",
