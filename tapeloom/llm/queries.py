@@ -72,13 +72,14 @@ ORACLE = {
                 lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS crc
         ), r AS (
             SELECT doc_id, coalesce('s' || source, '') AS stratum, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-                   md5('interleave:' || coalesce(doc_id::VARCHAR, '')) AS h,
                    list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                        lambda x: ('0x' || x)::UBIGINT)),
                        lambda c, b: xor(c // 256, crc[(xor(c, b) % 256)::INTEGER + 1])) AS c
             FROM documents, t
+        ), hs AS (
+            SELECT *, md5('interleave:' || coalesce(doc_id::VARCHAR, '') || ':' || xor(c, 4294967295::UBIGINT) || ':' || (size - 16)) AS h FROM r
         ), k AS (
-            SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM r
+            SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM hs
         ), p AS (
             SELECT *, row_number() OVER (ORDER BY (2 * rank + 1)::DOUBLE / (2 * n)::DOUBLE, stratum, h, doc_id) - 1 AS pos, count(*) OVER () AS total FROM k
         ), s AS (SELECT *, (pos * 40) // total AS shard FROM p)
