@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, before, islands, keys, ordered, overlap_join
+from ..functions.frames import Key, before, islands, keys, ordered, overlap_join, whole
 from ..functions.storage import materialise
 from ..functions.timecode import on_grid
 from . import intervals as iv
@@ -120,29 +120,36 @@ def nearest_within(df: DataFrame, marks: DataFrame, reach: float, key: Key = "re
     return df.join(best.select(*k, *row, t, F.col("m.at").alias("nearest")), [*k, *row, t], "left")
 
 
-def blocks_from_absence(candidates: DataFrame, absences: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, snap: float = 3.0, strong: float = 0.6, change: float = 0.08, near: float = 0.5) -> DataFrame:
+def blocks_from_absence(candidates: DataFrame, absences: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, snap: float = 3.0, strong: float = 0.6, change: float = 0.08, near: float = 0.5, edge: float = 1.5) -> DataFrame:
     """Absences of a mark as blocks whose edges are drawn to junctions.
 
     The start goes to the nearest strong junction within twice `snap`, one with a picture change
-    close by before any other; the end to the nearest place within `snap` that is a junction or 1
-    to 8 units after one. Edges near the recording's ends go there; blocks shorter than 5 s (1 s
-    at an end) are dropped.
+    close by before any other. An absence's own junctions lie from its start to `snap` past its end;
+    the end goes to the nearest within `snap` of them and of the 8 units on from the last, none past the
+    recording. Two own junctions up to the end make a score of 1, else it is 0.7. Bounds within `edge` of
+    the recording's ends go there; blocks shorter than 5 s (1 s at an end) are dropped.
     """
     k = keys(key)
     junctions = candidates.filter(F.col("score") >= strong).select(*k, F.col("time").alias("t"))
     big = changes.filter(F.col("diff") >= change).select(*k, "t")
     seen = nearest_within(junctions, big, near, k).withColumn("shown", F.col("nearest").isNotNull())
-    rows = absences.join(bounds.select(*k, "duration"), k).withColumnRenamed("start", "a_start").withColumnRenamed("end", "a_end")
-    rows = nearest_within(rows, seen, 2 * snap, k, "a_start", "shown", ("a_end",)).withColumnRenamed("nearest", "s")
-    stops = junctions.join(bounds.select(*k, "duration"), k).select(*k, F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: F.col("t") + n * unit)).alias("t"), "duration").filter("t <= duration")
-    rows = nearest_within(rows, stops.select(*k, "t"), snap, k, "a_end", None, ("a_start",)).withColumnRenamed("nearest", "e")
-    head = F.col("edge") & (F.col("a_start") <= 1.5)
-    tail = F.col("edge") & (F.col("a_end") >= F.col("duration") - 1e-6)
-    start = F.when(head, 0.0).otherwise(F.coalesce("s", "a_start"))
-    end = F.when(tail, F.col("duration")).otherwise(F.coalesce("e", "a_end"))
-    snapped = F.col("s").isNotNull().cast("int") + F.col("e").isNotNull().cast("int")
-    blocks = rows.select(*k, start.alias("start"), end.alias("end"), F.when(snapped >= 2, 1.0).otherwise(0.7).alias("score"), (head | tail).alias("edge"))
-    return blocks.filter(F.col("end") - F.col("start") >= F.when(F.col("edge"), 1.0).otherwise(5.0))
+    rows = absences.join(bounds.select(*k, "duration"), k).select(*k, "duration", F.col("start").alias("a"), F.col("end").alias("b"))
+    rows = nearest_within(rows, seen, 2 * snap, k, "a", "shown", ("b",)).withColumn("s", F.coalesce("nearest", "a")).drop("nearest")
+    ident = [*k, "a", "b"]
+    reach = rows.select(*ident, "duration", (F.col("s") - 0.1).alias("start"), (F.col("b") + snap).alias("end"))
+    mine = overlap_join(reach, junctions.select(*k, F.col("t").alias("b_start"), F.col("t").alias("b_end")), k, 8 * unit, closed=True).withColumnRenamed("b_start", "t")
+    within = lambda t: (F.abs(t - F.col("b")) <= snap) & ((F.col("duration") <= 0) | (t <= F.col("duration")))
+    place = lambda t, order: F.struct(F.abs(t - F.col("b")).alias("off"), F.lit(order).alias("order"), t.alias("t"))
+    mine = mine.withColumn("last", F.max("t").over(whole(ident))).withColumn("own", F.min(F.when(within(F.col("t")), place(F.col("t"), 0))).over(whole(ident)))
+    on = F.array_min(F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.col("last") + n * unit), within), lambda t: place(t, 1)))
+    mine = mine.withColumn("e", F.coalesce(F.array_min(F.array_compact(F.array("own", on)))["t"], F.col("b")))
+    facts = mine.groupBy(*ident).agg(F.first("e").alias("e"), F.sum((F.col("t") <= F.col("e") + 0.1).cast("int")).alias("inside"))
+    rows = rows.join(facts, ident, "left")
+    start = F.when(F.col("a") <= edge, 0.0).otherwise(F.col("s"))
+    end = F.when((F.col("duration") > 0) & (F.col("b") >= F.col("duration") - edge), F.col("duration")).otherwise(F.coalesce("e", "b"))
+    blocks = rows.select(*k, start.alias("start"), F.greatest(end, start).alias("end"), F.when(F.col("inside") >= 2, 1.0).otherwise(0.7).alias("score"), "duration")
+    at_edge = (F.col("start") <= edge) | (F.col("end") >= F.col("duration") - edge)
+    return blocks.select(*k, "start", "end", "score", at_edge.alias("edge")).filter(F.col("end") - F.col("start") >= F.when(F.col("edge"), 1.0).otherwise(5.0))
 
 
 def insert_blocks(brief: DataFrame, silences: DataFrame, blocks: DataFrame, key: Key = "rec", least: float = 0.7) -> DataFrame:

@@ -33,7 +33,7 @@ def clock_restarts(points: DataFrame, key: Key = "rec", pos: str = "pos", t: str
     """T5: the first point, in byte order, that falls back behind the latest time so far or leaps ahead of it."""
     k = keys(key)
     latest = F.max(t).over(before(k, pos))
-    odd = points.withColumn("latest", latest).filter((F.col(t) < F.col("latest") - fall) | (F.col(t) > F.col("latest") + leap))
+    odd = points.filter(F.col(pos) >= 0).withColumn("latest", latest).filter((F.col(t) < F.col("latest") - fall) | (F.col(t) > F.col("latest") + leap))
     first = odd.groupBy(*k).agg(F.min(F.struct(pos, t, "latest")).alias("f"))
     return first.select(*k, "f.*")
 

@@ -65,7 +65,9 @@ def d5_every_junction(spark, sf):
 
 def _absences(spark, sf):
     s = events(spark, sf).filter("event_type = 'purchase'")
-    return s.select("rec", F.col("t").alias("start"), (F.col("t") + F.col("value") * 100).alias("end"), (F.col("event_id") % 3 == 0).alias("edge"))
+    # every tenth runs from the recording's head
+    start = F.when(F.col("event_id") % 10 == 0, 1.0).otherwise(F.col("t"))
+    return s.select("rec", start.alias("start"), (F.col("t") + F.col("value") * 400).alias("end"))
 
 
 def d6_absence_blocks(spark, sf):
@@ -139,6 +141,16 @@ def _nearest(t: str, marks: str, reach: float, good: str = "true") -> str:
     return f"(SELECT arg_min(q.t, ((NOT {good})::INT, abs(q.t - {t}), q.t)) FROM {marks} q WHERE q.rec = x.rec AND abs(q.t - {t}) <= {reach})"
 
 
+#: Absences x(rec, a, b, d) drawn to junctions jn: the start; own junctions up to past the end; the end among them and 8 units on.
+_ABSENT = f"""y0 AS (SELECT x.*, coalesce({_nearest('x.a', 'jn', 12000.0, 'q.shown')}, a) AS s FROM x),
+        my AS (SELECT y0.rec, a, b, d, s, q.t FROM y0 JOIN jn q ON q.rec = y0.rec AND q.t BETWEEN s - 0.1 AND b + 6000.0),
+        gr AS (SELECT rec, a, b, d, t, 0 AS k FROM my UNION ALL SELECT rec, a, b, d, max(t) + n * 20000.0, 1 FROM my, range(1, 9) r(n) GROUP BY rec, a, b, d, n),
+        en AS (SELECT rec, a, b, arg_min(t, (abs(t - b), k, t)) AS e FROM gr WHERE abs(t - b) <= 6000.0 AND (d <= 0 OR t <= d) GROUP BY rec, a, b),
+        y1 AS (SELECT y0.*, coalesce(en.e, y0.b) AS e FROM y0 LEFT JOIN en USING (rec, a, b)),
+        y2 AS (SELECT y1.*, (SELECT count(*) FROM my WHERE my.rec = y1.rec AND my.a = y1.a AND my.b = y1.b AND my.t <= y1.e + 0.1) AS n FROM y1),
+        y3 AS (SELECT rec, d, CASE WHEN a <= 1.5 THEN 0 ELSE s END AS s, CASE WHEN d > 0 AND b >= d - 1.5 THEN d ELSE e END AS e, CASE WHEN n >= 2 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM y2),
+        z9 AS (SELECT * FROM (SELECT rec, s, greatest(e, s) AS e, score, s <= 1.5 OR greatest(e, s) >= d - 1.5 AS edge FROM y3) WHERE e - s >= CASE WHEN edge THEN 1 ELSE 5 END)"""
+
 ORACLE = {
     "d1_on_grid": f"WITH {_SIL} SELECT rec, round(a, 6) AS a, round(b, 6) AS b FROM nx",
     "d2_candidates": f"WITH RECURSIVE {_CAND} SELECT rec, round(time, 6) AS time, run, round(score, 6) AS score, row_number() OVER (PARTITION BY rec ORDER BY score DESC, time)::INTEGER AS rank FROM cd",
@@ -152,12 +164,8 @@ ORACLE = {
     "d5_every_junction": f"WITH {_RS} SELECT rec, count(*) FILTER (abs(gap - 20000.0) <= {3 * D}) >= 2 AS every_junction FROM m GROUP BY rec",
     "d6_absence_blocks": f"""WITH RECURSIVE {_CAND}, {_BD}, big AS (SELECT rec, t FROM ev WHERE value / 500 >= 0.3),
         jn AS (SELECT rec, time AS t, EXISTS (SELECT 1 FROM big WHERE big.rec = cd.rec AND abs(big.t - cd.time) <= 9000) AS shown FROM cd WHERE score >= 0.6),
-        st AS (SELECT jn.rec, jn.t + n * 20000.0 AS t FROM jn JOIN bd USING (rec), range(9) r(n) WHERE jn.t + n * 20000.0 <= d),
-        x AS (SELECT ev.rec, t AS a, t + value * 100 AS b, event_id % 3 = 0 AS edge, d FROM ev JOIN bd USING (rec) WHERE event_type = 'purchase'),
-        y AS (SELECT x.*, {_nearest('x.a', 'jn', 12000.0, 'q.shown')} AS s, {_nearest('x.b', 'st', 6000.0)} AS e FROM x),
-        z AS (SELECT rec, CASE WHEN edge AND a <= 1.5 THEN 0 ELSE coalesce(s, a) END AS s, CASE WHEN edge AND b >= d - 1e-6 THEN d ELSE coalesce(e, b) END AS e,
-            CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN 1.0 ELSE 0.7 END AS score, (edge AND a <= 1.5) OR (edge AND b >= d - 1e-6) AS edge FROM y)
-        SELECT rec, round(s, 6) AS start, round(e, 6) AS "end", score::DOUBLE AS score, edge FROM z WHERE e - s >= CASE WHEN edge THEN 1 ELSE 5 END""",
+        x AS (SELECT ev.rec, CASE WHEN event_id % 10 = 0 THEN 1.0 ELSE t END AS a, t + value * 400 AS b, d FROM ev JOIN bd USING (rec) WHERE event_type = 'purchase'), {_ABSENT}
+        SELECT rec, round(s, 6) AS start, round(e, 6) AS "end", score, edge FROM z9""",
     "d7_insert_blocks": f"""WITH RECURSIVE {_BLK}, br AS (SELECT rec, t AS s, t + 20000 AS e FROM ev WHERE event_type = 'signup'), q AS (SELECT rec, time - dur / 2 AS s, time + dur / 2 AS e FROM sil)
         SELECT rec, round(s, 6) AS start, round(e, 6) AS "end", round(score, 6) AS score FROM blk UNION ALL
         SELECT rec, round(s, 6), round(e, 6), 0.8 FROM br WHERE EXISTS (SELECT 1 FROM q WHERE q.rec = br.rec AND q.e - q.s >= 500 AND q.s < br.e AND br.s < q.e) AND NOT EXISTS (SELECT 1 FROM blk k WHERE k.rec = br.rec AND k.s < br.e AND br.s < k.e)""",
@@ -197,12 +205,8 @@ ORACLE["d9_detect"] = f"""WITH RECURSIVE {_CAND}, {_BD}, m AS (SELECT rec, t, t
         sc AS (SELECT rec, event_id, t, value / 500 AS score FROM ev WHERE rec NOT IN (SELECT rec FROM ej) AND rec IN (SELECT rec FROM ev WHERE event_type = 'signup' AND value > 300)),
         {states_sql('sc', 'rec', '0.4', '0.15', 20000.0)}, {absences_sql('rec', 30000.0)},
         big3 AS (SELECT rec, t FROM ev WHERE value / 500 >= 0.3), jn AS (SELECT rec, time AS t, EXISTS (SELECT 1 FROM big3 WHERE big3.rec = cd.rec AND abs(big3.t - cd.time) <= 9000) AS shown FROM cd WHERE score >= 0.6),
-        st AS (SELECT jn.rec, jn.t + n * 20000.0 AS t FROM jn JOIN bd USING (rec), range(9) r(n) WHERE jn.t + n * 20000.0 <= d),
-        x AS (SELECT ab.rec, ab.s AS a, ab.e AS b, edge, d FROM ab JOIN bd USING (rec) WHERE ab.e - ab.s >= CASE WHEN edge THEN 10000 ELSE 60000 END),
-        y AS (SELECT x.*, {_nearest('x.a', 'jn', 12000.0, 'q.shown')} AS s, {_nearest('x.b', 'st', 6000.0)} AS e FROM x),
-        z9 AS (SELECT rec, CASE WHEN edge AND a <= 1.5 THEN 0 ELSE coalesce(s, a) END AS s, CASE WHEN edge AND b >= d - 1e-6 THEN d ELSE coalesce(e, b) END AS e,
-            CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN 1.0 ELSE 0.7 END::DOUBLE AS score, (edge AND a <= 1.5) OR (edge AND b >= d - 1e-6) AS edge FROM y),
-        two AS (SELECT rec, s, e, score, 'mark' AS method FROM z9 WHERE e - s >= CASE WHEN edge THEN 1 ELSE 5 END),
+        x AS (SELECT ab.rec, ab.s AS a, ab.e AS b, d FROM ab JOIN bd USING (rec) WHERE ab.e - ab.s >= CASE WHEN edge THEN 10000 ELSE 60000 END), {_ABSENT},
+        two AS (SELECT rec, s, e, score, 'mark' AS method FROM z9),
         s1 AS (SELECT *, lag(dur) OVER w AS pd, time - lag(time) OVER w AS gap FROM cd WHERE score >= 0.6 AND rec NOT IN (SELECT rec FROM ej) AND rec NOT IN (SELECT rec FROM sc) WINDOW w AS (PARTITION BY rec ORDER BY time)),
         s2 AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND {_GAP.format(g='gap', most=8, slack='least((dur + pd) / 2, 800.0) + 200.0')} THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY time ROWS UNBOUNDED PRECEDING) AS g FROM s1),
         three AS (SELECT rec, s, e, score, 'silence' AS method FROM (SELECT rec, min(time) AS s, max(time) AS e, count(*) AS junctions, avg(score) AS score FROM s2 GROUP BY rec, g) WHERE junctions >= 2 AND junctions / (greatest(round((e - s) / 20000.0), 1) + 1) >= 0.3),
