@@ -190,8 +190,8 @@ def detect_breaks(marks: DataFrame, silences: DataFrame, scores: DataFrame, chan
     by_reset = materialise(marks_every_junction(marks, k, unit, **resets).filter("every_junction").select(*k))
     one = blocks_from_resets(marks.join(by_reset, k, "left_semi"), bounds, k, unit, slack=resets.get("slack", 0.35)).select(*k, "start", "end", "score", F.lit("resets").alias("method"))
     candidates = materialise(break_candidates(silences.join(by_reset, k, "left_anti"), k, unit))
-    scored = scores.join(by_reset, k, "left_anti")
-    gone = runs.split_absences(runs.hysteresis_intervals(scored, key=k, **hysteresis), **(split or {}))
+    scored = scores.join(by_reset, k, "left_anti").join(bounds.select(*k, F.col("duration").alias("__end")), k, "left")
+    gone = runs.split_absences(runs.hysteresis_intervals(scored, key=k, end="__end", **hysteresis), **(split or {}))
     two = blocks_from_absence(candidates, gone.filter("kind = 'long'"), changes, bounds, k, unit, **(absences or {})).select(*k, "start", "end", "score", F.lit("mark").alias("method"))
     if inserts:
         quiet = silences.select(*k, (F.col("time") - F.col("dur") / 2).alias("start"), (F.col("time") + F.col("dur") / 2).alias("end"))

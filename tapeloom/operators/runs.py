@@ -107,26 +107,27 @@ def hysteresis_states(df: DataFrame, present: Column, absent: Column, min_presen
     return rows.withColumn("was", was).withColumn("changed", ~F.col("state").eqNullSafe(was))
 
 
-def hysteresis_intervals(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, window: float = 5.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = ()) -> DataFrame:
+def hysteresis_intervals(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, window: float = 5.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = (), end: str | None = None) -> DataFrame:
     """Absences (start, end, edge) of a score, with hysteresis.
 
     One begins when the score falls below `absent`, set back to where it fell below `present` but by
     `window` at most (on the first row as an edge), and ends where the score rose to `present` once
     it has stayed there for min_present. At the tail a rise before the last row counts; else the
-    absence runs to the last row, as an edge.
+    absence runs to the last row, or to the recording's end where a column `end` tells it and it is later, as an edge.
     """
     k = keys(key)
     rows = hysteresis_states(df, present, absent, min_present, k, t, score, order)
-    final = rows.groupBy(*k).agg(F.max(F.struct(t, *order, "__up", "since")).alias("z")).select(*k, F.col(f"z.{t}").alias("last"), F.col("z.__up").alias("last_up"), F.col("z.since").alias("last_since"))
+    until = F.max(end).cast("double") if end else F.lit(None).cast("double")
+    final = rows.groupBy(*k).agg(F.max(F.struct(t, *order, "__up", "since")).alias("z"), until.alias("until")).select(*k, "until", F.col(f"z.{t}").alias("last"), F.col("z.__up").alias("last_up"), F.col("z.since").alias("last_since"))
     head = F.col("was").isNull()
     began = F.when(head, F.col(t)).otherwise(F.greatest(F.col("since"), F.col(t) - window))
     marks = rows.filter("changed").select(*k, t, "state", F.col("since").alias("back"), began.alias("start"), head.alias("head"))
     w = ordered(k, t)
     pairs = marks.withColumn("ended", F.lead("back").over(w)).filter("state = 'A'").join(final, k)
     tail = F.when(F.col("last_up") & (F.col("last_since") < F.col("last")), F.col("last_since"))
-    end = F.coalesce("ended", tail, F.col("last"))
+    stop = F.coalesce("ended", tail, F.greatest("last", "until"))
     edge = F.col("head") | (F.col("ended").isNull() & tail.isNull())
-    return pairs.select(*k, "start", end.alias("end"), edge.alias("edge"))
+    return pairs.select(*k, "start", stop.alias("end"), edge.alias("edge"))
 
 
 def transitions(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = ()) -> DataFrame:

@@ -18,6 +18,12 @@ def _hyst():
     return dict(present=F.lit(0.08), absent=F.lit(0.03), min_present=5000.0, window=50000.0)
 
 
+def _gone(spark, sf):
+    """Absences of recordings half of which end some time after their last score."""
+    ends = events(spark, sf).groupBy("rec").agg((F.max("t") + F.when(F.col("rec") % 2 == 0, 30000.0).otherwise(-5.0)).alias("stop"))
+    return rn.hysteresis_intervals(_scores(spark, sf).join(ends, "rec"), **_hyst(), order=("event_id",), end="stop")
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("label").alias("rec"), F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("vec"))
 
@@ -64,7 +70,7 @@ def r5b_dedup_adjacent(spark, sf):
 
 
 def r6_hysteresis(spark, sf):
-    return rn.hysteresis_intervals(_scores(spark, sf), **_hyst(), order=("event_id",)).select("rec", r("start"), r("end"), "edge")
+    return _gone(spark, sf).select("rec", r("start"), r("end"), "edge")
 
 
 def r6_transitions(spark, sf):
@@ -72,8 +78,7 @@ def r6_transitions(spark, sf):
 
 
 def r7_split_absences(spark, sf):
-    gone = rn.hysteresis_intervals(_scores(spark, sf), **_hyst(), order=("event_id",))
-    return rn.split_absences(gone, long=200000.0, edge_long=10000.0, brief=50000.0).select("rec", r("start"), "edge", "kind")
+    return rn.split_absences(_gone(spark, sf), long=200000.0, edge_long=10000.0, brief=50000.0).select("rec", r("start"), "edge", "kind")
 
 
 def r8_outline(spark, sf):
@@ -136,17 +141,17 @@ def _states(src: str, k: str, present: str, absent: str, min_present: float) ->
         h6 AS (SELECT *, lag(state) OVER (PARTITION BY {k} ORDER BY t, event_id) AS was FROM h5)"""
 
 
-def _absences(k: str, window: float) -> str:
+def _absences(k: str, window: float, end: str = "last") -> str:
     cols = k.split(", ")
     return f"""z AS (SELECT {k}, max(t) AS last, arg_max(up, (t, event_id)) AS last_up, arg_max(since, (t, event_id)) AS last_since FROM h6 GROUP BY {k}),
         mk AS (SELECT *, lead(since) OVER (PARTITION BY {k} ORDER BY t) AS ended FROM h6 WHERE was IS NULL OR state <> was),
         ab AS (SELECT {', '.join('mk.' + c for c in cols)}, CASE WHEN was IS NULL THEN t ELSE greatest(since, t - {window}) END AS s,
-            coalesce(ended, CASE WHEN last_up AND last_since < last THEN last_since END, last) AS e,
+            coalesce(ended, CASE WHEN last_up AND last_since < last THEN last_since END, {end}) AS e,
             was IS NULL OR (ended IS NULL AND NOT (last_up AND last_since < last)) AS edge FROM mk JOIN z ON {' AND '.join(f'mk.{c} = z.{c}' for c in cols)} WHERE state = 'A')"""
 
 
 _SC = EV + ", sc AS (SELECT rec, event_id, t, value / 500 AS score FROM ev)"
-_R6 = f"WITH {_SC}, {_states('sc', 'rec', '0.08', '0.03', 5000.0)}, {_absences('rec', 50000.0)}"
+_R6 = f"WITH {_SC}, {_states('sc', 'rec', '0.08', '0.03', 5000.0)}, {_absences('rec', 50000.0, 'greatest(last, last + CASE WHEN mk.rec % 2 = 0 THEN 30000 ELSE -5 END)')}"
 _GREEDY = """m AS (SELECT rec, t, gap FROM {src}), k AS (
         SELECT rec, min(t) AS t FROM m GROUP BY rec
         UNION ALL SELECT m.rec, min(m.t) FROM k JOIN m ON m.rec = k.rec AND m.t >= k.t + m.gap AND m.t > k.t GROUP BY m.rec, k.t)"""
