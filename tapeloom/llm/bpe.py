@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import give_back, small_batches
 
 #: Texts are handled in blocks of about so many characters (a longer text is a block of its own).
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 600_000
 #: A task's memo of encoded words has two generations of so many words; words in use move to the younger one.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 80_000
 #: Words of more bytes take several contractions in a step, the others one.
 LONG_BYTES = 400
 #: Words of one query: so many bytes of states at most (LEFTMOST keeps each word's states until its fixpoint).
@@ -276,7 +276,7 @@ class Codec:
         return run(text)
 
     def both(self, text: str | F.Column):
-        """struct<ids, decoded>: whole texts encoded, and their ids decoded again, in one pass of a worker."""
+        """struct<ids, decoded>: whole texts encoded, and their ids decoded again, in one pass of a worker; null counts as empty."""
         ranks, pattern, key = self.ranks, self.pattern, self.key
 
         @F.arrow_udf("ids array<int>, decoded binary")
@@ -320,7 +320,11 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
 
 
 def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts encoded, and the ids decoded again."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts encoded, and the ids decoded again.
+
+    A null text counts as empty and has no tokens. Rows that repeat and null ids give a row each; an
+    empty table gives none; other columns are not read.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     coded = small_batches(docs).select(F.col(id_col).alias("doc_id"), codec.both(text).alias("c")).select("doc_id", "c.*")
     return coded.select(
