@@ -16,8 +16,9 @@ BUCKETS, FEATURES = 65536, 256
 SAMPLE = 3000
 #: Deviations from a fair share that make a word a sign of a domain; rounds and weight decay of the regression.
 Z, STEPS, DECAY = 5.0, 30, 1e-4
-#: The share of all tokens by which expected totals may miss their targets, and steps followed in one expression.
-TOLERANCE, CHUNK = 1e-4, 25
+#: The share of all tokens by which expected totals may miss their targets; the least gain of a round where they
+#: are out of reach; steps followed in one expression.
+TOLERANCE, GAIN, CHUNK = 1e-4, 1e-5, 25
 
 log = logging.getLogger(__name__)
 
@@ -140,13 +141,13 @@ def rate_column(steps: list[list[float]], k: int, most: float, rate: F.Column |
 def fit_rates(soft: DataFrame, k: int, targets: list[float] | None, shares: list[float], most: float) -> tuple[DataFrame, list[float], list[float]]:
     """Projected-gradient least squares for rates r in [0, most] with sum(r * tokens * p) = targets.
 
-    The gradient is scaled by each document's tokens and by the inverse of G = sum(tokens * p p') over
-    the rows whose rate is within (0, most), which the step moves; where that overshoots, by the inverse
-    of G over all rows, with which the objective's curvature is 1 at most and a step of 1 never does. Each
-    round is a scan of soft (stored, four columns or so) that follows every row's rate through the steps
-    and sums within tasks; no row is shuffled and the driver sees k numbers and G. Rounds go on until
-    the targets are met or the totals stand still; each CHUNK of steps is stored, so that plans stay
-    short. Without targets, `shares` are weighed so that the first domain keeps all its tokens.
+    The gradient of the squared misses is scaled by each document's tokens. With G = sum(tokens * p p') it is
+    scaled further by the inverse of G over the rows whose rate is within (0, most), which the step moves;
+    where that brings little, by one over the largest eigenvalue of G over all rows, with which a step
+    never overshoots, times a length that doubles while it helps. Each round is a scan of soft (stored, four columns or so)
+    that follows every row's rate through the steps and sums within tasks; no row is shuffled and the
+    driver sees k numbers and G. Rounds go on until the targets are met, or until one brings them nearer
+    by less than GAIN of their own size (targets out of reach); each CHUNK of steps is stored, so that plans stay short. Without targets, `shares` are weighed so that the first domain keeps all its tokens.
     Returns (soft with ``rate``, targets, expected tokens at the end).
     """
     names, t = [f"p{i}" for i in range(k)], F.col("n_tokens").cast("double")
@@ -171,20 +172,27 @@ def fit_rates(soft: DataFrame, k: int, targets: list[float] | None, shares: list
     goal = np.array([have[0] / shares[0] * s for s in shares] if targets is None else targets, float)
     if not have.sum():
         return cells, list(goal), [0.0] * k
-    inverse = np.linalg.pinv(every)
-    apart = lambda x: float((x - goal) @ inverse @ (x - goal))
-    steps: list[list[float]] = []
+    plain = np.eye(k) / np.linalg.eigvalsh(every).max()
+    apart = lambda x: float((x - goal) @ (x - goal))
+    size, steps, direct, length, turn = float(goal @ goal), [], True, 1.0, 0
     while np.abs(expected - goal).max() > TOLERANCE * max(goal.sum(), 1.0):
-        for scale in (np.linalg.pinv(free, rcond=1e-9), inverse):
+        turn += 1
+        tries = [("free", np.linalg.pinv(free, rcond=1e-9))] * direct + [("long", length * plain)] * (length > 1) + [("plain", plain)]
+        for kind, scale in tries:
             step = [round(float(x), 9) for x in scale @ (expected - goal)]
             moved, _, between = scan([*steps, step])
-            if apart(moved) < 0.9 * apart(expected) or scale is inverse:
+            if kind == "plain" or apart(moved) < (0.9 if kind == "free" else 1.0) * apart(expected):
                 break
         steps.append(step)
-        still = np.abs(moved - expected).max() <= 1e-5 * max(goal.sum(), 1.0)
+        gain = apart(expected) - apart(moved)
         expected, free = moved, between
-        if still:
+        if kind != "free" and gain <= GAIN * size:
             break
+        direct = kind == "free" or turn % 4 == 0
+        if kind == "long" or kind == "plain" and length == 1:
+            length *= 2
+        elif kind == "plain":
+            length = max(1.0, length / 4)
         if len(steps) == CHUNK:
             cells, steps = materialise(cells.withColumn("rate", rate_column(steps, k, most, F.col("rate"))), "mix-rates"), []
     return cells.withColumn("rate", rate_column(steps, k, most, F.col("rate"))), list(goal), list(expected)
