@@ -100,3 +100,8 @@ def shingle_cells(word: np.ndarray, offset: np.ndarray, width: int = 5) -> tuple
     first = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0)) if len(text) else np.zeros(0, np.int64)
     again = (np.arange(len(text)) - first).astype(np.uint64)
     return text, mix(value + again * np.uint64(0xD6E8FEB86659FD93))
+
+
+def byte_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes data[start:end] for each range, wherever it lies."""
+    return _ranges(_BYTES[data], start, end)
