@@ -35,52 +35,60 @@ def _events(spark, sf):
 def _collect(spark, out: DataFrame) -> DataFrame:
     """All rows of a finite stream, from the sink's files."""
     path, checkpoint = shared_folder(spark, "out"), shared_folder(spark, "checkpoint")
-    st.stream_take_new(out, path, checkpoint).start().awaitTermination()
+    with st.state_store(spark):
+        st.stream_take_new(out, path, checkpoint).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _closed(spark, sf, df: DataFrame) -> DataFrame:
-    """df with a row years later for a key of its own, so that the watermark closes every window."""
-    last = df.groupBy().agg(F.max("ts").alias("m")).select(F.lit(-1).cast("long").alias("rec"), (F.col("m") + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
-    return df.select("rec", "ts", "value").unionByName(last)
+def _closed(df: DataFrame) -> DataFrame:
+    """df with a row years later for a key of its own, so that the watermark passes every row."""
+    last = df.groupBy().agg(F.max("ts").alias("m")).select(F.lit(-1).cast("long").alias("rec"), (F.col("m") + F.expr("INTERVAL 900 DAYS")).alias("ts"))
+    return df.unionByName(last, allowMissingColumns=True)
+
+
+#: Seconds by which rows of the out-of-order streams come late, and the lateness that these allow.
+LATE, ALLOWED = 432_000, "6 days"
+
+
+def _shuffled(df: DataFrame, *by: str) -> DataFrame:
+    """df with the time at which each row arrives, up to LATE seconds after its event time, so that waves hold rows of earlier ones' times."""
+    return _closed(df).withColumn("arrives", F.col("ts").cast("double") + F.pmod(F.xxhash64(*by), F.lit(LATE)))
 
 
 def w1_outline(spark, sf):
-    feed = _feed(spark, sf, _closed(spark, sf, _events(spark, sf)).withColumn("level", F.col("value") / 500), "ts")
+    feed = _feed(spark, sf, _closed(_events(spark, sf).select("rec", "ts", (F.col("value") / 500).alias("level"))), "ts")
     return _collect(spark, st.stream_level_outline(feed, step="1 day", late="1 hour")).filter("rec >= 0").select("rec", F.unix_micros("start").alias("start_us"), "peak", "rms")
 
 
 def w2_moving_mean(spark, sf):
-    feed = _feed(spark, sf, _closed(spark, sf, _events(spark, sf)), "ts")
+    feed = _feed(spark, sf, _closed(_events(spark, sf).select("rec", "ts", "value")), "ts")
     return _collect(spark, st.stream_moving_mean(feed, length="2 days", slide="1 day", late="1 hour")).filter("rec >= 0").select("rec", F.unix_micros("start").alias("start_us"), r("mean"), "n")
 
 
 def w3_runs(spark, sf):
-    feed = _feed(spark, sf, _events(spark, sf).select("rec", "t", F.col("event_type").alias("state")), "t")
-    return _collect(spark, st.stream_runs(feed)).select("rec", "state", r("start"), r("end"), r("last"), "pictures")
+    feed = _feed(spark, sf, _shuffled(_events(spark, sf).select("rec", "ts", "t", F.col("event_type").alias("state")), "t"), "arrives")
+    return _collect(spark, st.stream_runs(feed, late=ALLOWED, idle=400 * 86400.0)).select("rec", "state", r("start"), r("end"), r("last"), "pictures")
 
 
 def w4_break_chain(spark, sf):
-    """Blocks of each closed session of silences; equal to the batch blocks, as no chain leaves a session."""
+    """Blocks of chained silences that come out of order; equal to the batch blocks."""
     from .breaks import UNIT
 
     quiet = _events(spark, sf).filter("value < 350").groupBy("rec", "ts", F.col("t").alias("time")).agg(F.max(F.col("value") * 8).alias("dur"))
-    last = quiet.groupBy().agg(F.max("ts").alias("m")).select(F.lit(-1).cast("long").alias("rec"), (F.col("m") + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit(0.0).alias("time"), F.lit(0.0).alias("dur"))
-    path = shared_folder(spark, "blocks")
-    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
-    writer = st.stream_break_chain(_feed(spark, sf, quiet.unionByName(last), "ts", 2), sink, unit=UNIT, late="1 hour", min_score=0.6, min_fill=0.3, fewest=2)
-    writer.option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("rec", r("start"), r("end"), "junctions", r("score"))
+    found = st.stream_break_chain(_feed(spark, sf, _shuffled(quiet, "time"), "arrives"), unit=UNIT, late=ALLOWED, min_score=0.6, min_fill=0.3, fewest=2)
+    return _collect(spark, found).select("rec", r("start"), r("end"), "junctions", r("score"))
 
 
 def w5_debounce(spark, sf):
-    feed = _feed(spark, sf, _events(spark, sf).filter("event_type = 'error'").select("rec", "t"), "t")
-    return _collect(spark, st.stream_debounce(feed, gap=100000.0)).select("rec", r("t"))
+    feed = _feed(spark, sf, _shuffled(_events(spark, sf).filter("event_type = 'error'").select("rec", "ts", "t"), "t"), "arrives")
+    return _collect(spark, st.stream_debounce(feed, gap=100000.0, late=ALLOWED)).select("rec", r("t"))
 
 
 def w6_monotone(spark, sf):
-    feed = _feed(spark, sf, _events(spark, sf).select("rec", F.col("event_id").alias("seq"), "t"), "seq")
-    return _collect(spark, st.stream_monotone(feed)).select("rec", "seq", r("t"))
+    """Rows in the order of their ids, which as milliseconds are event times (past 0, where watermarks begin); they come up to 1000 ids late."""
+    rows = _closed(_events(spark, sf).select("rec", F.col("event_id").alias("seq"), "t", F.timestamp_millis(F.col("event_id") + 1000).alias("ts")))
+    feed = _feed(spark, sf, rows.withColumn("arrives", F.coalesce(F.col("seq") + F.pmod(F.xxhash64("t"), F.lit(1000)), F.lit(2**62))), "arrives")
+    return _collect(spark, st.stream_monotone(feed, late="2 seconds", idle=400 * 86400.0)).select("rec", "seq", r("t"))
 
 
 def w7_take_new(spark, sf):

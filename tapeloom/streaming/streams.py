@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
+from math import floor
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.frames import Key, keys
-from ..operators import breaks
 from ..operators.runs import level_byte
 from ..sources.archive import file_identity, new_or_changed
 
@@ -30,100 +29,241 @@ def stream_moving_mean(stream: DataFrame, ts: str = "ts", value: str = "value",
     return rows.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).select(*keys(key), F.col("w.start").alias("start"), "mean", "n")
 
 
-def _ordered(parts: Iterator[pd.DataFrame], t: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(t, kind="stable")
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session's streams keep state in RocksDB meanwhile, which list states, timers and large states need."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    was = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
-def _stateful(stream: DataFrame, key: Key, step: Callable, out: str | StructType, state: str) -> DataFrame:
-    return stream.groupBy(*keys(key)).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+class Ordered(StatefulProcessor):
+    """Rows of a key wait in a list until the watermark has passed them by `lag` seconds, then go on in order of time.
 
+    A row is (us, ...) with its event time in microseconds. One timer of a key stands at the time at which its earliest row may
+    go on; when it fires, `passed` gets the rows in order. A key that has no rows left and has been silent for `idle` seconds
+    is forgotten, or sooner where `passed` says so. Rows that come when the watermark has passed them are dropped, as elsewhere in Spark.
+    """
 
-def stream_runs(stream: DataFrame, key: str = "rec", t: str = "t", state: str = "state", end: str = "__end__") -> DataFrame:
-    """Runs of one state as the next row closes them; a row of the state `end` closes the last run.
-
-    A recording's open run (state, start, last, rows) is kept between batches. Rows come in time
-    order from batch to batch; within a batch they are sorted.
+    rows_schema, held_schema = "", ""
+
+    def __init__(self, idle: float, lag: float = 0.0) -> None:
+        self.idle, self.lag = int(idle * 1_000_000), int(lag * 1_000_000)
+
+    def passed(self, key: tuple, rows: list[tuple], later: list[tuple], held: tuple | None) -> tuple[list[Row], tuple | None, int | None]:
+        """What rows and what is held give, and what to hold; later rows wait on. The third value is until when to hold it, if not for `idle`."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows, self.held, self.due = handle.getListState("rows", self.rows_schema), handle.getValueState("held", self.held_schema), handle.getValueState("due", "at long")
+
+    def _wake(self, us: int) -> None:
+        """Let the key's timer fire once the watermark is past us, unless it fires sooner."""
+        at = us // 1000 + 1
+        if self.due.exists():
+            due = self.due.get()[0]
+            if due <= at:
+                return
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [tuple(r)[len(key) + 1 :] for r in rows]  # the key and the event time lead
+        fresh = [r for r in fresh if r[0] > mark]
+        if fresh:
+            self.rows.appendList(fresh)
+            self._wake(min(r[0] for r in fresh) + self.lag)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        waiting = sorted(self.rows.get())
+        ready = [r for r in waiting if r[0] + self.lag <= mark]
+        later = waiting[len(ready) :]
+        held = self.held.get() if self.held.exists() else None
+        out, held, until = self.passed(key, ready, later, held)
+        if later:
+            self.rows.put(later)
+            self._wake(later[0][0] + self.lag)
+        else:
+            self.rows.clear()
+        if held is not None and not later:
+            until = held[0] + self.idle if until is None else until
+            if until <= mark:
+                held = None
+            else:
+                self._wake(until)
+        self.held.update(held) if held is not None else self.held.clear()
+        return iter(out)
+
+
+def _in_order(stream: DataFrame, processor: Ordered, key: str, ts: str, late: str, columns: list[Column | str], out: str) -> DataFrame:
+    """The processor's rows; a row of the stream leads with the key and its event time, which carries the watermark."""
+    rows = stream.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("us"), *columns)
+    return rows.groupBy(key).transformWithState(processor, f"{key} {stream.schema[key].dataType.simpleString()}, {out}", "append", "eventTime")
+
+
+class _Runs(Ordered):
+    rows_schema, held_schema = "us long, t double, state string", "us long, state string, start double, last double, n long"
+
+    def __init__(self, key: str, end: str, idle: float) -> None:
+        super().__init__(idle)
+        self.key, self.end = key, end
+
+    def passed(self, key, rows, later, held):
+        out = []
+        for name, group in groupby(rows, key=lambda r: r[2]):
+            own = list(group)
+            if held and held[1] == name:
+                held = (own[-1][0], name, held[2], own[-1][1], held[4] + len(own))
+                continue
+            if held:
+                out.append(Row(**{self.key: key[0], "state": held[1], "start": held[2], "end": own[0][1], "last": held[3], "pictures": held[4]}))
+            held = None if name is None or name == self.end else (own[-1][0], name, own[0][1], own[-1][1], len(own))
+        return out, held, None
+
+
+def stream_runs(stream: DataFrame, key: str = "rec", ts: str = "ts", t: str = "t", state: str = "state", end: str = "__end__", late: str = "1 minute", idle: float = 86400.0) -> DataFrame:
+    """Runs of one state as the next row closes them; a row of the state `end`, or of none, closes the last run.
+
+    Rows may come in any order as long as the watermark (`late` behind the latest event time ts) has not passed them. The open run
+    of a key that is silent for `idle` seconds of event time is let go without an end.
     """
+    return _in_order(stream, _Runs(key, end, idle), key, ts, late, [F.col(t).cast("double").alias("t"), F.col(state).cast("string").alias("state")], "state string, start double, end double, last double, pictures long")
+
+
+class _Apart(Ordered):
+    rows_schema, held_schema = "us long, t double", "us long, last double"
+
+    def __init__(self, key: str, t: str, gap: float) -> None:
+        super().__init__(0)
+        self.key, self.t, self.gap = key, t, gap
+
+    def passed(self, key, rows, later, held):
+        out = []
+        for us, t in rows:
+            if held is None or t >= held[1] + self.gap:
+                held = (us, t)
+                out.append(Row(**{self.key: key[0], self.t: t}))
+        # a mark after the gap is kept whatever came before
+        return out, held, held and held[0] + int(self.gap * 1_000_000) + 1
+
+
+def stream_debounce(stream: DataFrame, key: str = "rec", ts: str = "ts", t: str = "t", gap: float = 2.0, late: str = "1 minute") -> DataFrame:
+    """Marks at least `gap` seconds after the last kept one.
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        name, start, last, n = held.get if held.exists else (None, 0.0, 0.0, 0)
-        rows = _ordered(parts, t)
-        times, names = rows[t].to_numpy(), rows[state].to_numpy(object)
-        fresh = np.ones(len(names), bool)
-        fresh[1:] = names[1:] != names[:-1]
-        fresh[0] = not (n and names[0] == name)
-        first = np.flatnonzero(fresh)  # where the batch's own runs begin; the rows before belong to the run held
-        ahead = int(first[0]) if len(first) else len(times)
-        if ahead:
-            last, n = float(times[ahead - 1]), n + ahead
-        if not len(first):
-            held.update((name, start, last, n))
-            return
-        ends = np.append(first[1:], len(times))
-        runs = pd.DataFrame({key: k[0], "state": names[first], "start": times[first], "end": np.append(times[first[1:]], np.nan), "last": times[ends - 1], "pictures": ends - first})
-        done = runs.iloc[:-1]
-        if n:
-            done = pd.concat([pd.DataFrame([(k[0], name, start, float(times[ahead]), last, n)], columns=runs.columns), done])
-        open_ = runs.iloc[-1]
-        closed = open_["state"] is None or open_["state"] == end
-        held.update((open_["state"], float(open_["start"]), float(open_["last"]), 0 if closed else int(open_["pictures"])))
-        done = done[done["state"].notna() & (done["state"] != end)]
-        if len(done):
-            yield done
-
-    kind = stream.schema[key].dataType.simpleString()
-    return _stateful(stream.select(key, t, state), key, step, f"{key} {kind}, state string, start double, end double, last double, pictures long", "state string, start double, last double, n long")
-
-
-def stream_debounce(stream: DataFrame, key: str = "rec", t: str = "t", gap: float = 2.0) -> DataFrame:
-    """Marks at least `gap` after the last kept one, which is the state."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        times = _ordered(parts, t)[t].to_numpy()
-        at = int(np.searchsorted(times, held.get[0] + gap)) if held.exists else 0
-        kept = []
-        while at < len(times):  # one turn a kept mark
-            kept.append(float(times[at]))
-            at = max(int(np.searchsorted(times, times[at] + gap)), at + 1)
-        if kept:
-            held.update((kept[-1],))
-            yield pd.DataFrame({key: k[0], t: kept})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return _stateful(stream.select(key, t), key, step, f"{key} {kind}, {t} double", "last double")
-
-
-def stream_monotone(stream: DataFrame, key: str = "rec", t: str = "t", order: str = "seq") -> DataFrame:
-    """Rows later than all rows before them; any step back is dropped, however small."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        latest = held.get[0] if held.exists else float("-inf")
-        rows = _ordered(parts, order)
-        reach = rows[t].cummax().shift(fill_value=float("-inf")).clip(lower=latest)
-        held.update((float(max(latest, rows[t].max())),))
-        later = rows[rows[t] > reach][[key, order, t]]
-        if len(later):
-            yield later
-
-    kind, seq = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
-    return _stateful(stream.select(key, order, t), key, step, f"{key} {kind}, {order} {seq}, {t} double", "latest double")
-
-
-def stream_break_chain(stream: DataFrame, sink: Callable[[DataFrame, int], None], ts: str = "ts", key: str = "rec", unit: float = 15.0, late: str = "1 minute", **blocks):
-    """A writer that finds blocks in each closed session of silences; hops are shorter than a session's gap.
-
-    stream: key, ts, time and dur of silences. A session ends when none came for 8 units and a bit,
-    so that it holds every chain whole; its silences then go through the batch operators.
+    Rows may come in any order ahead of the watermark; ts is t as an event time. The last kept mark is held until the watermark is
+    `gap` past it, from when on it can't keep a mark out.
     """
-    gap = f"{int(unit * 8 + 0.06 * unit) + 1} seconds"
-    sessions = stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.collect_list(F.struct("time", "dur")).alias("silences"))
+    return _in_order(stream, _Apart(key, t, gap), key, ts, late, [F.col(t).cast("double").alias("t")], f"{t} double")
 
-    def closed(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.struct(key, F.col("w.start")).alias("session"), F.explode("silences").alias("s")).select("session", "s.*")
-        found = breaks.break_blocks(breaks.break_candidates(rows, "session", unit), "session", unit, **blocks)
-        sink(found.select(f"session.{key}", "start", "end", "junctions", "score"), number)
 
-    return sessions.writeStream.outputMode("append").foreachBatch(closed)
+class _Rising(Ordered):
+    held_schema = "us long, latest double"
+
+    def __init__(self, key: str, t: str, order: str, kind: str, idle: float) -> None:
+        super().__init__(idle)
+        self.key, self.t, self.order = key, t, order
+        self.rows_schema = f"us long, seq {kind}, t double"
+
+    def passed(self, key, rows, later, held):
+        out = []
+        for us, seq, t in rows:
+            if held is None or t > held[1]:
+                held = (us, t)
+                out.append(Row(**{self.key: key[0], self.order: seq, self.t: t}))
+            else:
+                held = (us, held[1])
+        return out, held, None
+
+
+def stream_monotone(stream: DataFrame, key: str = "rec", ts: str = "ts", t: str = "t", order: str = "seq", late: str = "1 minute", idle: float = 86400.0) -> DataFrame:
+    """Rows later than all rows before them; any step back is dropped, however small.
+
+    Rows go in the order of ts, their arrival as an event time, and then of `order`; they may come in any order ahead of the
+    watermark. A key that is silent for `idle` seconds of event time is forgotten with its latest time.
+    """
+    kind = stream.schema[order].dataType.simpleString()
+    return _in_order(stream, _Rising(key, t, order, kind, idle), key, ts, late, [F.col(order).alias("seq"), F.col(t).cast("double").alias("t")], f"{order} {kind}, {t} double")
+
+
+class _Chain(Ordered):
+    """Silences wait until all that could lie within four hops have come; what is held is the open block, and the last silences that a hop may start from."""
+
+    #: Hops on either side beyond which a score doesn't grow.
+    HOPS = 4
+    rows_schema = "us long, time double, dur double"
+    held_schema = "us long, recent array<struct<time:double,dur:double,back:int>>, start double, end double, dur double, junctions long, total double"
+
+    def __init__(self, key: str, unit: float, most: int, min_score: float, min_fill: float, fewest: int) -> None:
+        self.reach = (most + 0.05) * unit
+        super().__init__(0, self.HOPS * self.reach)
+        self.key, self.unit, self.most, self.min_score, self.min_fill, self.fewest = key, unit, most, min_score, min_fill, fewest
+
+    def on_grid(self, a: tuple, b: tuple) -> bool:
+        """D1 of two silences (time, dur, ...), a the earlier one."""
+        gap, slack = b[0] - a[0], min((a[1] + b[1]) / 2, 0.04 * self.unit) + 0.01 * self.unit
+        n = floor(gap / self.unit + 0.5)
+        return 1 <= n <= self.most and abs(gap - n * self.unit) <= slack
+
+    def ahead(self, at: int, rows: list[tuple]) -> int:
+        hops = 0
+        while hops < self.HOPS:
+            near = (j for j in range(at + 1, len(rows)) if rows[j][0] - rows[at][0] <= self.reach)
+            found = next((j for j in near if self.on_grid(rows[at], rows[j])), None)
+            if found is None:
+                return hops
+            at, hops = found, hops + 1
+        return hops
+
+    def block(self, key: tuple, held: tuple) -> list[Row]:
+        _, _, start, end, _, n, total = held
+        slots = max(floor((end - start) / self.unit + 0.5), 1) + 1
+        return [Row(**{self.key: key[0], "start": start, "end": end, "junctions": n, "score": total / n})] if n >= self.fewest and n / slots >= self.min_fill else []
+
+    def passed(self, key, rows, later, held):
+        out = []
+        _, recent, *open_ = held or (0, [], None, None, None, 0, 0.0)
+        recent = [tuple(x) for x in recent]
+        silences = [r[1:] for r in rows + later]
+        for i, (us, time, dur) in enumerate(rows):
+            recent = [x for x in recent if time - x[0] <= self.reach]
+            back = next((min(x[2] + 1, self.HOPS) for x in reversed(recent) if self.on_grid(x, (time, dur))), 0)
+            recent.append((time, dur, back))
+            score = 0.5 * min(dur, 1.0) + 0.5 * min((back + self.ahead(i, silences)) / self.HOPS, 1.0)
+            if score >= self.min_score:
+                start, end, last, n, total = open_
+                if n and self.on_grid((end, last), (time, dur)):
+                    open_ = [start, time, dur, n + 1, total + score]
+                else:
+                    if n:
+                        out += self.block(key, (0, [], *open_))
+                    open_ = [time, time, dur, 1, score]
+            held = (us, recent, *open_)
+        if held and not later:  # no silence came within reach of the last one: its block is whole
+            return out + (self.block(key, held) if held[5] else []), None, None
+        return out, held, None
+
+
+def stream_break_chain(
+    stream: DataFrame, key: str = "rec", ts: str = "ts", unit: float = 15.0, late: str = "1 minute", most: int = 8, min_score: float = 0.6, min_fill: float = 0.6, fewest: int = 3
+) -> DataFrame:
+    """Blocks of chained silences (time, dur), as D2 and D3 find them, once no later silence can change them.
+
+    A score grows with four hops at most, so a silence's score is known when the watermark is four hops past it. State holds
+    the silences of that time, the open block's sums and how long the chains behind are, never a whole session. Times of one key are distinct, and
+    ts is `time` as an event time.
+    """
+    columns = [F.col("time").cast("double").alias("time"), F.col("dur").cast("double").alias("dur")]
+    return _in_order(stream, _Chain(key, unit, most, min_score, min_fill, fewest), key, ts, late, columns, "start double, end double, junctions long, score double")
 
 
 def stream_take_new(stream: DataFrame, path: str, checkpoint: str):
