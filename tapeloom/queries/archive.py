@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 from ..sources import archive as a
+from ..sources import transport
 from .common import EV, events, r, table
 
 
@@ -13,11 +14,8 @@ def _hex(column, digits: int):
     return F.lpad(F.hex(column), digits, "0")
 
 
-def _streams(spark, sf):
-    """A file for each user: a packet for each event, with its id as the PID and its time as PCR and PTS.
-
-    Every other event's stream id is FD, and two of three files of five packets or more begin mid-packet.
-    """
+def _packets(spark, sf):
+    """Events with a packet each as hex, with the event's id as the PID and its time as PCR and PTS; every other one's stream id is FD."""
     ev = events(spark, sf).withColumn("pid", F.pmod("event_id", F.lit(8000))).withColumn("ticks", F.floor(F.col("t") * 1000))
     base = F.col("ticks")
     b4 = F.shiftright(base, 1)
@@ -27,8 +25,12 @@ def _streams(spark, sf):
     unit = F.when(F.col("value") > 250, 0x40).otherwise(0)
     parts = [F.lit("47"), _hex(unit.bitwiseOR(F.shiftright("pid", 8)), 2), _hex(F.col("pid").bitwiseAND(255), 2), F.lit("30"), F.lit("07"), F.lit("10"), _hex(p(b4), 8), _hex(last, 4), F.when(F.col("event_id") % 2 == 0, "000001FD000080800A").otherwise("000001E0000080800A"), *[_hex(x, 2) for x in pts]]
     text = F.rpad(F.concat(*parts), 376, "0")
-    rows = ev.withColumn("packet", text)
-    joined = rows.groupBy("rec").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("event_id", "packet"))), lambda x: x["packet"])).alias("h"))
+    return ev.withColumn("packet", text)
+
+
+def _streams(spark, sf):
+    """A file for each user: a packet for each event. Two of three files of five packets or more begin mid-packet."""
+    joined = _packets(spark, sf).groupBy("rec").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("event_id", "packet"))), lambda x: x["packet"])).alias("h"))
     ahead = F.when(F.length("h") >= 5 * 376, F.pmod("rec", F.lit(3)) * 50).otherwise(0).cast("int")
     return joined.select("rec", F.unhex(F.concat(F.repeat(F.lit("0B"), ahead), "h")).alias("content"))
 
@@ -38,6 +40,23 @@ def s1_packets(spark, sf):
     return found.select("rec", "seq", "pos", "pid", "unit_start", "pcr", F.coalesce("pts", F.lit(-1)).alias("pts"))
 
 
+#: Events of a recording of s1_ranges, and bytes of a range: a recording takes several.
+RECORDED, RANGE = 4_000, 100_000
+
+
+def s1_ranges(spark, sf):
+    """Recordings of so many events on end, written as files of packets and read back by ranges; one PID of 8 is decoded."""
+    from ..functions.storage import shared_folder
+
+    path = shared_folder(spark, "recordings")
+    rows = _packets(spark, sf).withColumn("store", F.floor(F.col("event_id") / RECORDED))
+    # each packet's last byte is 0: the text sink ends its rows with it
+    bytes_ = rows.select("store", "event_id", F.unhex(F.substring("packet", 1, 374)).cast("string").alias("value"))
+    bytes_.repartition("store").sortWithinPartitions("store", "event_id").drop("event_id").write.partitionBy("store").option("lineSep", "\0").text(path)
+    found = transport.read_packets(spark, path, columns=["rec", "seq", "pos", "pid", "pcr", "pts"], pids=range(0, 8000, 8), range_bytes=RANGE)
+    return found.select(F.regexp_extract("rec", r"store=(\d+)", 1).cast("long").alias("store"), "seq", "pos", "pid", "pcr", F.coalesce("pts", F.lit(-1)).alias("pts"))
+
+
 def s2_mark_list(spark, sf):
     """Marks of a list with headers and noise between, written by Spark and read back as files."""
     from ..functions.storage import shared_folder
@@ -125,11 +144,13 @@ def s9_sections(spark, sf):
     return found.select("rec", "seq", "table_id", F.octet_length("section").alias("size"), F.conv(F.hex(F.substring("section", 4, 4)), 16, 10).cast("long").alias("id"))
 
 
-QUERIES = [s1_packets, s2_mark_list, s3_cue_sheet, s4_ttml, s5_write_marks, s6_new_files, s7_retention, s8_append, s8_merge, s9_sections]
+QUERIES = [s1_packets, s1_ranges, s2_mark_list, s3_cue_sheet, s4_ttml, s5_write_marks, s6_new_files, s7_retention, s8_append, s8_merge, s9_sections]
 
 ORACLE = {
     "s1_packets": f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY event_id) - 1 AS seq, floor(t * 1000)::BIGINT AS k FROM ev)
         SELECT rec, seq, seq * 188 AS pos, event_id % 8000 AS pid, value > 250 AS unit_start, k * 300 + event_id % 300 AS pcr, CASE WHEN value > 250 THEN k ELSE -1 END AS pts FROM p""",
+    "s1_ranges": f"""WITH {EV}, p AS (SELECT *, event_id // 4000 AS store, row_number() OVER (PARTITION BY event_id // 4000 ORDER BY event_id) - 1 AS seq, floor(t * 1000)::BIGINT AS k FROM ev)
+        SELECT store, seq, seq * 188 AS pos, event_id % 8000 AS pid, k * 300 + event_id % 300 AS pcr, CASE WHEN value > 250 THEN k ELSE -1 END AS pts FROM p WHERE event_id % 8000 % 8 = 0""",
     "s2_mark_list": "SELECT event_id AS frame FROM events WHERE event_id % 10 > 1",
     "s3_cue_sheet": f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY event_id) AS i FROM ev)
         SELECT DISTINCT rec, round(CASE WHEN event_id % 4 > 0 THEN floor(value) % 70 * 60 + event_id % 60 + (event_id % 75) / 75 ELSE 0 END, 6) AS start FROM p WHERE i < 40 AND (event_id % 4 > 0 OR event_id % 3 = 0)""",

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, keys, ordered, so_far
-
-SYNC = "47"
+from . import transport
 
 
 def _byte(raw: Column, at: Column | int) -> Column:
@@ -20,80 +20,33 @@ def _byte(raw: Column, at: Column | int) -> Column:
     return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("long")
 
 
-def _framed(files: DataFrame, stride: int | None) -> DataFrame:
-    """``rec, content, base, stride`` of files whose packets are found; base is the first packet's sync byte."""
-    raw, sizes = F.col("content"), [stride] if stride else [188, 192]
-    total = F.octet_length(raw)
-
-    def sync(at: Column) -> Column:
-        return F.hex(F.substring(raw, at + 1, F.lit(1))) == SYNC
-
-    def run(at: Column, size: int, n: Column | int = 5) -> Column:
-        return F.forall(F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1), lambda k: sync(at + k * size))
-
-    def first(size: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.least(F.lit(size * 8), total) - 1, F.lit(0)))
-        return F.get(F.filter(starts, lambda i: sync(i) & run(i, size)), 0)
-
-    def held(at: Column, size: int) -> Column:
-        ends = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: sync(at + k * size)), False)
-        return F.when(ends == 0, 64).otherwise(ends - 1)
-
-    def later(at: Column) -> Column:
-        # bytes of the arrival time may read as sync: of the runs 0, 3 and 4 bytes on the longest is the packets', of equals the last
-        tried = F.filter(F.array(F.lit(0), F.lit(3), F.lit(4)), lambda d: run(at + d, 192))
-        return at + F.array_max(F.transform(tried, lambda d: F.struct(held(at + d, 192).alias("held"), d.alias("d"))))["d"]
-
-    def short(size: int) -> Column:
-        n = F.floor(total / size).cast("int")
-        return F.when(n.between(1, 4) & run(F.lit(size - 188), size, F.greatest(n, F.lit(1))), size - 188)
-
-    rows = files.select("rec", "content", *[first(n).alias(f"first{n}") for n in sizes])
-    found = {n: F.when(F.col(f"first{n}").isNotNull(), later(F.col(f"first{n}")) if n == 192 else F.col(f"first{n}")) for n in sizes}
-    tries = [*found.items(), *[(n, short(n)) for n in sizes], *([(stride, F.lit(stride - 188))] if stride else [])]
-    places = [F.when(at.isNotNull(), F.struct(at.cast("int").alias("base"), F.lit(n).alias("stride"))) for n, at in tries]
-    rows = rows.select("rec", "content", F.explode(F.array(F.coalesce(*places))).alias("at")).filter("at IS NOT NULL")
-    return rows.select("rec", "content", "at.base", "at.stride")
-
-
 def packets_from_bytes(files: DataFrame, stride: int | None = None) -> DataFrame:
     """A row for each transport packet of (rec, content): seq, pos, pid, unit_start, pcr (27 MHz), pts (90 kHz), payload.
 
-    The stride is 188 or 192 (four bytes of arrival time ahead). Packets begin at the first offset under
-    eight strides with the sync byte in five on end; bytes ahead are skipped. A file of fewer packets must
-    begin with one and have the byte in all. Where nothing fits, a given stride counts from the start of the file,
-    and without one the file has no rows. pos is where a packet's stride begins (under 0 if a first arrival
-    time is cut off). Packets without the sync byte are dropped.
+    For bytes that are in a frame already; files of any size are read by `transport.read_packets`. The first packet and the
+    stride are found as `transport.framing` says; where nothing fits and no stride is given, a row gives none. pos is where a packet's
+    stride begins (under 0 if a first arrival time is cut off). Packets without the sync byte are dropped.
     """
-    raw = F.col("content")
-    rows = _framed(files, stride)
-    count = F.floor((F.octet_length(raw) - F.col("base") - 188) / F.col("stride")).cast("int") + 1
-    rows = rows.withColumn("n", count).filter("n > 0")
-    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = F.col("base") + F.col("seq") * F.col("stride")
-    rows = rows.select("rec", F.col("seq").cast("long").alias("seq"), (at - (F.col("stride") - 188)).cast("long").alias("pos"), F.substring(raw, at + 1, F.lit(188)).alias("p"))
-    p = F.col("p")
-    rows = rows.filter(F.hex(F.substring(p, 1, 1)) == SYNC).withColumn("b1", _byte(p, 1)).withColumn("b3", _byte(p, 3)).withColumn("al", _byte(p, 4))
-    has_field, has_payload = F.col("b3").bitwiseAND(0x20) > 0, F.col("b3").bitwiseAND(0x10) > 0
-    skip = 4 + F.when(has_field, 1 + F.col("al")).otherwise(0)
-    b = lambda i: _byte(p, i)
-    ext = F.shiftleft(b(10).bitwiseAND(1), 8) + b(11)
-    base = F.shiftleft(b(6), 25) + F.shiftleft(b(7), 17) + F.shiftleft(b(8), 9) + F.shiftleft(b(9), 1) + F.shiftright(b(10), 7)
-    pcr = F.when(has_field & (F.col("al") >= 7) & (b(5).bitwiseAND(0x10) > 0), base * 300 + ext)
-    rows = rows.withColumn("pid", F.shiftleft(F.col("b1").bitwiseAND(0x1F), 8) + b(2)).withColumn("unit_start", F.col("b1").bitwiseAND(0x40) > 0).withColumn("pcr", pcr)
-    rows = rows.withColumn("payload", F.when(has_payload & (skip < 188), F.substring(p, skip.cast("int") + 1, F.lit(188))))
-    q = F.col("payload")
-    c = lambda i: _byte(q, i)
-    video = F.hex(F.substring(q, 1, 3)) == "000001"
-    video = video & (c(3).between(0xE0, 0xEF) | (c(3) == 0xFD)) & (c(7).bitwiseAND(0x80) > 0)
-    pts = F.shiftleft(c(9).bitwiseAND(0x0E), 29) + F.shiftleft(c(10), 22) + F.shiftleft(c(11).bitwiseAND(0xFE), 14) + F.shiftleft(c(12), 7) + F.shiftright(c(13), 1)
-    return rows.select("rec", "seq", "pos", "pid", "unit_start", "pcr", F.when(F.col("unit_start") & video, pts).alias("pts"), "payload")
-
-
-def read_ts_packets(spark: SparkSession, path: str, stride: int | None = None) -> DataFrame:
-    """Packets of all files at a path; files over 2 GB must come split, as binaryFile holds a file in a row."""
-    files = spark.read.format("binaryFile").load(path)
-    return packets_from_bytes(files.select(F.col("path").alias("rec"), "content"), stride)
+    columns = ["rec", *transport.TYPES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            kind = rows.schema.field("rec").type
+            for rec, content in zip(rows.column("rec"), rows.column("content"), strict=True):
+                data = np.frombuffer(content.as_buffer() or b"", np.uint8)
+                framed = transport.framing(data, len(data), stride)
+                n = (len(data) - framed[0] - transport.PACKET) // framed[1] + 1 if framed else 0
+                for k in range(0, n, transport.BLOCK_BYTES // 188):
+                    at = framed[0] + k * framed[1]
+                    yield transport.batch(rec.as_py(), data, at, at, *framed, min(transport.BLOCK_BYTES // 188, n - k), columns, None, kind)
+
+    kind = files.schema["rec"].dataType.simpleString()
+    return files.select("rec", "content").mapInArrow(run, f"rec {kind}, {transport.SCHEMA}")
+
+
+def read_ts_packets(spark: SparkSession, path: str, stride: int | None = None, columns: Sequence[str] | None = None, pids: Sequence[int] | None = None) -> DataFrame:
+    """Packets of all files at a path, read by ranges of bytes (see transport.read_packets)."""
+    return transport.read_packets(spark, path, stride, columns, pids)
 
 
 def read_mark_list(spark: SparkSession, path: str) -> DataFrame:
