@@ -23,8 +23,10 @@ from .common import give_back, small_batches
 BLOCK_CHARS = 600_000
 #: A task's memo of encoded words has two generations of so many words; words in use move to the younger one.
 MEMO_WORDS = 80_000
-#: Words of more bytes take several contractions in a step, the others one.
+#: Words of more bytes take many contractions in a step, the others one.
 LONG_BYTES = 400
+#: Memory of a worker's DuckDB, which writes no files; a word of over half a million bytes gets as much more as it needs.
+MEMORY, MEMORY_A_BYTE = 200_000_000, 400
 #: Words of one query: so many bytes of states at most (LEFTMOST keeps each word's states until its fixpoint).
 QUERY_BYTES = 40_000_000
 
@@ -42,30 +44,33 @@ WITH RECURSIVE state(word, toks) AS (
 )
 SELECT word, arg_min(toks, len(toks)) AS toks FROM state GROUP BY word ORDER BY word
 """
-#: The same contractions, several in a step: all places of the least pair from the left, without overlap, up to the
-#: first whose new neighbours make a pair of lower rank, as the leftmost rule would turn to that pair next.
-SEVERAL = """
+#: The same contractions for long words, many in a step. {reach} is the length of the longest token within the words. A pair may go
+#: ahead of its turn where no pair up to {reach} places off ranks lower: what is contracted before its turn ranks lower too, and would have
+#: to grow over all those places, into a longer token than there is, to touch it. Pairs of equal rank go from the left: of adjacent
+#: ones every other, in a row that no lower pair is near; and none up to {reach} places behind one whose new neighbours rank lower.
+LOCAL = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM fresh
     UNION
     SELECT word, list(tok ORDER BY pos) FROM (
-        SELECT word, pos, CASE WHEN taken THEN best ELSE tok END AS tok, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-            SELECT *, chosen AND pos <= coalesce(min(pos) FILTER (chosen AND lower) OVER (PARTITION BY word), pos) AS taken FROM (
-                SELECT c.*, least(coalesce(a.tok, c.best), coalesce(b.tok, c.best)) < c.best AS lower FROM (
-                    SELECT *, lead(tok, 2) OVER w AS after, CASE WHEN lag(chosen, 2, false) OVER w THEN best ELSE lag(tok) OVER w END AS ahead FROM (
-                        SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, chain ORDER BY pos) % 2 = 1 AS chosen FROM (
-                            SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS chain FROM (
-                                SELECT *, coalesce(rank = best, false) AS hit FROM (
-                                    SELECT p.*, m.tok AS rank, min(m.tok) OVER (PARTITION BY p.word) AS best
-                                    FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:] || [-1]) AS nxt, generate_subscripts(toks, 1) AS pos FROM state) p
-                                    LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
-                                ) WHERE best IS NOT NULL
-                            )
-                        )
-                    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
-                ) c
-                LEFT JOIN merges a ON c.chosen AND a.l = c.ahead AND a.r = c.best
-                LEFT JOIN merges b ON c.chosen AND b.l = c.best AND b.r = c.after
+        SELECT word, pos, CASE WHEN taken THEN rank ELSE tok END AS tok, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
+            SELECT *, chosen AND coalesce(bool_and(clear OR NOT chosen) OVER (PARTITION BY word, rank, chain ORDER BY pos), true) AS taken FROM (
+                SELECT *, count(*) FILTER (chosen AND lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) = 0 AS clear FROM (
+                    SELECT c.*, least(coalesce(a.tok, c.rank), coalesce(b.tok, c.rank)) < c.rank AS lower FROM (
+                        SELECT *, lead(tok, 2) OVER w AS after, CASE WHEN lag(chosen, 2, false) OVER w THEN rank ELSE lag(tok) OVER w END AS ahead FROM (
+                            SELECT *, hit AND bool_and(hit) OVER g AND row_number() OVER g % 2 = 1 AS chosen FROM (
+                                SELECT *, pos - row_number() OVER (PARTITION BY word, rank ORDER BY pos) AS chain, coalesce(rank = best, false) AS hit FROM (
+                                    SELECT *, min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS best, max(rank) OVER (PARTITION BY word) AS worst FROM (
+                                        SELECT p.*, m.tok AS rank FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:] || [-1]) AS nxt, generate_subscripts(toks, 1) AS pos FROM state) p
+                                        LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
+                                    )
+                                ) WHERE worst IS NOT NULL
+                            ) WINDOW g AS (PARTITION BY word, rank, chain ORDER BY pos)
+                        ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+                    ) c
+                    LEFT JOIN merges a ON c.chosen AND a.l = c.ahead AND a.r = c.rank
+                    LEFT JOIN merges b ON c.chosen AND b.l = c.rank AND b.r = c.after
+                )
             )
         )
     ) WHERE NOT gone GROUP BY word
@@ -124,7 +129,8 @@ class Engine:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         self.length[list(ranks.values())] = list(map(len, ranks))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.by_length = sorted(ranks, key=len, reverse=True)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
         left, right, whole = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -161,9 +167,22 @@ class Engine:
                 self.memo[w] = np.int32(whole).tobytes()
             else:
                 (short if len(raw) <= LONG_BYTES else long_).append((w, raw))
-        for part, query, held in ((short, LEFTMOST, lambda n: 2 * n * n), (long_, SEVERAL, lambda n: 100 * n)):
-            for lo, hi in _blocks([held(len(raw)) for _, raw in part], QUERY_BYTES):
-                self.memo.update(zip((w for w, _ in part[lo:hi]), self._contract([raw for _, raw in part[lo:hi]], query), strict=True))
+        for lo, hi in _blocks([2 * len(raw) ** 2 for _, raw in short], QUERY_BYTES):
+            self.memo.update(zip((w for w, _ in short[lo:hi]), self._contract([raw for _, raw in short[lo:hi]], LEFTMOST), strict=True))
+        for reach, part in self._by_reach(long_):
+            for lo, hi in _blocks([100 * len(raw) for _, raw in part], QUERY_BYTES):
+                most = max(MEMORY, MEMORY_A_BYTE * max(len(raw) for _, raw in part[lo:hi]))
+                self.db.execute(f"SET memory_limit = '{most}B'")
+                self.memo.update(zip((w for w, _ in part[lo:hi]), self._contract([raw for _, raw in part[lo:hi]], LOCAL.format(reach=reach)), strict=True))
+                self.db.execute(f"SET memory_limit = '{MEMORY}B'")
+
+    def _by_reach(self, words: list[tuple[str, bytes]]) -> list[tuple[int, list[tuple[str, bytes]]]]:
+        """Words by the length of the longest token within them, rounded up to a power of two."""
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for w, raw in words:
+            longest = next((len(t) for t in self.by_length if len(t) <= 8 or t in raw), 8)
+            groups.setdefault(1 << max(longest - 1, 1).bit_length(), []).append((w, raw))
+        return sorted(groups.items())
 
     def words(self, text: str) -> list[str]:
         try:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,23 +82,27 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """``fp, cells, bands`` beside the id and the locator for each row of (doc_id, loc_file, loc_row, text_key, text)."""
+    """``fp, cells, bands`` beside the other columns for each row of docs; only its text goes through Python."""
 
+    @F.arrow_udf("fp binary, cells long, bands array<long>")
     @trimmed
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["text"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            fps, sizes, banded = [], [], []
             for lo, hi in hashing.blocks(texts):
                 part = texts[lo:hi]
                 word, offset = hashing.words(part)
                 text, cell = hashing.shingle_cells(word, offset, width)
                 keys = band_keys(dart_signatures(text, cell, len(part), bands * rows), bands, rows)
                 cells = np.bincount(text, minlength=len(part))
-                own = pdf.iloc[lo:hi][["doc_id", "loc_file", "loc_row", "text_key"]].reset_index(drop=True)
-                yield own.assign(fp=hashing.fingerprints(part, word, offset), cells=cells, bands=[list(b) if n else [] for b, n in zip(keys, cells, strict=True)])
+                fps += hashing.fingerprints(part, word, offset)
+                sizes += cells.tolist()
+                banded += [b if n else [] for b, n in zip(keys, cells, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64()))], ["fp", "cells", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, loc_file long, loc_row long, text_key long, fp binary, cells long, bands array<long>")
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, run("text").alias("s")).select(*rest, "s.*")
 
 
 def cell_sets(texts: DataFrame, width: int) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from .common import small_batches, trimmed
 #: Order of the kinds among spans that start at one place; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 RANK = {k: i for i, k in enumerate(KINDS)}
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 #: Words that announce an account number, identifier or credential, and which parser tells its boundary.
@@ -176,19 +177,19 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Spans of personal data for every row: ``doc_id, spans array<struct<kind, start, end>>``.
 
     A null text counts as empty and has no spans; repeated rows and null ids give a row each; an
-    empty table gives none. Other columns are neither read nor returned. Memory is one Arrow batch.
+    empty table gives none. Other columns are neither read nor returned. Only texts go through Python, so ids of any type stay as they are.
+    Memory is one Arrow batch.
     """
 
+    @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     @trimmed
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cues = automaton()
-        for pdf in batches:
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t or "", cues)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
+        for batch in batches:
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t or "", cues)] for t in batch.to_pylist()]
+            yield pa.array(found, SPANS)
 
-    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("spans"))
 
 
 def span_digest(found: DataFrame) -> DataFrame:
@@ -206,19 +207,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Other columns are neither read nor returned.
     """
 
+    @F.arrow_udf("string")
     @trimmed
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cues = automaton()
-        for pdf in batches:
+        for batch in batches:
             texts = []
-            for t in pdf["text"]:
+            for t in batch.to_pylist():
                 parts, end = [], 0
                 for k, s, e in find_spans(t or "", cues):
                     if s >= end:
                         parts += [t[end:s], f"<{k}>"]
                     end = max(end, e)
                 texts.append("".join([*parts, t[end:]]) if t is not None else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
+            yield pa.array(texts, pa.string())
 
-    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInPandas(run, source.schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("text"))

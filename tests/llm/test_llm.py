@@ -228,7 +228,7 @@ def test_bpe_equals_tiktoken(spark, small, odd, empty, codec):
 
 
 def test_bpe_of_long_words_equals_tiktoken():
-    """Words beyond LONG_BYTES take several contractions in a step; each must be one that the leftmost rule makes."""
+    """Words beyond LONG_BYTES take many contractions in a step; each must be one that the leftmost rule makes."""
     import public_tokenizers
     import tiktoken
 
