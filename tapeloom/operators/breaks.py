@@ -11,6 +11,8 @@ from ..functions.timecode import on_grid
 from . import intervals as iv
 
 UNIT = 15.0
+#: Seconds from either end of a recording that still are its edge.
+EDGE = 1.5
 
 
 def grid_slack(a: str = "dur", b: str = "b_dur", unit: float = UNIT):
@@ -120,7 +122,7 @@ def nearest_within(df: DataFrame, marks: DataFrame, reach: float, key: Key = "re
     return df.join(best.select(*k, *row, t, F.col("m.at").alias("nearest")), [*k, *row, t], "left")
 
 
-def blocks_from_absence(candidates: DataFrame, absences: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, snap: float = 3.0, strong: float = 0.6, change: float = 0.08, near: float = 0.5, edge: float = 1.5) -> DataFrame:
+def blocks_from_absence(candidates: DataFrame, absences: DataFrame, changes: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, snap: float = 3.0, strong: float = 0.6, change: float = 0.08, near: float = 0.5, edge: float = EDGE) -> DataFrame:
     """Absences of a mark as blocks whose edges are drawn to junctions.
 
     The start goes to the nearest strong junction within twice `snap`, one with a picture change
@@ -201,10 +203,11 @@ def detect_breaks(marks: DataFrame, silences: DataFrame, scores: DataFrame, chan
     return refine_boundaries(one.unionByName(two).unionByName(three), changes, bounds, k, **(refine or {}))
 
 
-def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT) -> DataFrame:
+def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Key = "rec", unit: float = UNIT, edge: float = EDGE) -> DataFrame:
     """Seconds of programme cut and of break left, blocks wholly in programme, breaks missed, odd lengths.
 
-    truth rows with `grey` count neither way.
+    truth rows with `grey` count neither way. A block that comes within `edge` of either end of the recording was cut off there,
+    so that its length tells nothing.
     """
     k = keys(key)
     real, grey = truth.filter("NOT grey").select(*k, "start", "end"), truth.filter("grey").select(*k, "start", "end")
@@ -215,7 +218,7 @@ def score_breaks(blocks: DataFrame, truth: DataFrame, bounds: DataFrame, key: Ke
     lone = iv.overlap_anti(mine, truth.select(*k, "start", "end"), k).groupBy(*k).agg(F.count(F.lit(1)).alias("false_blocks"))
     missed = iv.overlap_anti(real, mine, k).groupBy(*k).agg(F.count(F.lit(1)).alias("missed"))
     length = F.col("end") - F.col("start")
-    inner = mine.join(bounds.select(*k, "duration"), k).filter((F.col("start") > 0) & (F.col("end") < F.col("duration")) & (length >= 2 * unit))
+    inner = mine.join(bounds.select(*k, "duration"), k).filter((F.col("start") > edge) & (F.col("end") < F.col("duration") - edge) & (length >= 2 * unit))
     odd = inner.filter(F.abs(length - F.rint(length / unit) * unit) > 0.25).groupBy(*k).agg(F.count(F.lit(1)).alias("odd"))
     out = bounds.select(*k)
     for part in (over, under, lone, missed, odd):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, anchored, as_of, before, from_here, islands, keys, middle, ordered, overlap_join, so_far, whole
+from ..functions.storage import materialise
 from ..functions.timecode import HZ, WRAP
 from .gaps import systematic
 
@@ -107,12 +106,57 @@ def paced_schedule(df: DataFrame, step: float | Column, key: Key = "rec", at: st
     return df.withColumn("paced", paced)
 
 
-def choose_step(df: DataFrame, steps: Sequence[float], budget: float, key: Key = "rec", at: str = "at", packet: str = "packet") -> DataFrame:
-    """Per key the largest of `steps` whose schedule moves no row by more than the budget (NULL if none does)."""
+def choose_step(df: DataFrame, fastest: int, nominal: int, budget: int, key: Key = "rec", at: str = "at", packet: str = "packet") -> DataFrame:
+    """Per key the largest whole step from `fastest` to `nominal` whose schedule moves no row by more than the budget.
+
+    Where none does, the fastest; a key of fewer than two rows takes the nominal step. at and packet are whole numbers, and
+    packets differ. A row is moved furthest by one later row, so a step fits if for all pairs it is at most (rise of at + budget)
+    over the rise of packet. From the nominal step on, each round finds a key's worst pair at its step in one window and
+    takes the largest step that this pair allows, which is never too small; the keys whose step fits are done, the others go on.
+    """
+    k = keys(key)
+    rows = materialise(df.select(*k, F.col(at).cast("long").alias("__at"), F.col(packet).cast("long").alias("__p")))
+    steps = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
+    open_ = materialise(steps.select(*k, F.lit(nominal).cast("long").alias("step"), (F.col("__n") > 1).alias("__go")))
+    done = open_.filter("NOT __go").select(*k, "step")
+    open_ = open_.filter("__go").select(*k, "step")
+    ahead = Window.partitionBy(*k).orderBy("__p").rowsBetween(1, Window.unboundedFollowing)
+    slack = lambda s: F.col("__at") - F.col("__p") * F.col(s)
+    while not open_.isEmpty():
+        met = rows.join(open_, k).withColumn("__worst", F.min(F.struct(slack("step").alias("v"), F.col("__p").alias("p"), F.col("__at").alias("at"))).over(ahead))
+        pair = F.struct((slack("step") - F.col("__worst.v")).alias("moved"), (F.col("__worst.at") - F.col("__at") + budget).alias("rise"), (F.col("__worst.p") - F.col("__p")).alias("run"))
+        worst = met.filter("__worst IS NOT NULL").groupBy(*k).agg(F.first("step").alias("step"), F.max(pair).alias("w"))
+        fits = F.col("w.moved") <= budget
+        # whole division rounds towards 0, the step towards the smaller; steps under the fastest all end as it
+        most = F.when(F.col("w.rise") < 0, fastest).otherwise(F.greatest(F.expr("w.rise div w.run"), F.lit(fastest)))
+        worst = materialise(worst.select(*k, F.when(fits, F.col("step")).otherwise(most).cast("long").alias("step"), (fits | (most <= fastest)).alias("__fits")))
+        done = done.unionByName(worst.filter("__fits").select(*k, "step"))
+        open_ = worst.filter("NOT __fits").select(*k, "step")
+    return done
+
+
+def packet_times(packets: DataFrame, schedule: DataFrame, pause: int = 13_500, key: Key = "rec", packet: str = "packet", paced: str = "paced", step: str = "step") -> DataFrame:
+    """Packets with ``when``, their arrival under a schedule (key, packet, paced, step) of whole ticks.
+
+    Between two rows of the schedule a packet stands a step before the next, and the room that the run does not need is dealt out at
+    the ends of stretches of about `pause` ticks. Ahead of the first row packets stand a step apart, and past the last one too; a
+    key without a schedule has no times. One as-of join each way finds the rows around a packet.
+    """
     k = keys(key)
-    tried = df.withColumn("step", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
-    moved = paced_schedule(tried, F.col("step"), [*k, "step"], at, packet).groupBy(*k, "step").agg(F.max(F.col(at) - F.col("paced")).alias("move"))
-    return moved.groupBy(*k).agg(F.max(F.when(F.col("move") <= budget, F.col("step"))).alias("step"))
+    s = schedule.select(*k, F.col(packet).cast("long").alias("__at"), F.col(packet).cast("long").alias("__p"), F.col(paced).cast("long").alias("__when"), F.col(step).cast("long").alias("__step"))
+    i = F.col(packet).cast("long")
+    rows = as_of(packets, s, k, packet, "__at", ["__p", "__when", "__step"], forward=True)
+    rows = rows.withColumnsRenamed({"__p": "__np", "__when": "__nw", "__step": "__ns"})
+    # a packet that carries a row of the schedule has the row before it behind
+    rows = as_of(rows, s, k, packet, "__at", ["__p", "__when", "__step"], strict=True)
+    rows = rows.withColumn("__back", F.col("__np") - i).withColumn("__count", F.col("__np") - F.col("__p")).withColumn("__slots", F.expr("(__nw - __when) div __ns"))
+    rows = rows.withColumn("__spare", F.greatest(F.col("__slots") - F.col("__count"), F.lit(0)))
+    plain = F.col("__nw") - F.col("__back") * F.col("__ns")
+    stretch = F.greatest(F.expr(f"(__count * {pause}) div (__slots * __ns)"), F.lit(1))
+    rows = rows.withColumn("__stretch", F.when(F.col("__spare") > 0, stretch))
+    dealt = F.col("__nw") - (F.col("__back") + F.expr("((__back div __stretch) * __stretch * __spare) div __count")) * F.col("__ns")
+    when = F.when(F.col("__np").isNull(), F.col("__when") + (i - F.col("__p")) * F.col("__step")).when(F.col("__p").isNull() | (F.col("__spare") == 0), plain).otherwise(dealt)
+    return rows.select(*packets.columns, when.alias("when"))
 
 
 def byte_to_time(df: DataFrame, points: DataFrame, key: Key = "rec", pos: str = "pos", reach: float = 2.0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import whole
 from ..operators import breaks as b
 from ..operators import intervals as iv
 from .common import EV, events, r
@@ -110,8 +111,12 @@ def _truth(spark, sf):
 
 
 def d10_score(spark, sf):
-    mine = iv.merge_intervals(_blocks(spark, sf)).select("rec", "start", "end")
-    return b.score_breaks(mine, _truth(spark, sf), _bounds(spark, sf), unit=UNIT).select("rec", r("over"), r("under"), "false_blocks", "missed", "odd")
+    """Every other recording's first block begins, and every third one's last block ends, less than an edge from the recording's own end."""
+    mine = iv.merge_intervals(_blocks(spark, sf)).select("rec", "start", "end").join(_bounds(spark, sf), "rec")
+    start = F.when((F.col("rec") % 2 == 0) & (F.col("start") == F.min("start").over(whole("rec"))), 1000.0).otherwise(F.col("start"))
+    end = F.when((F.col("rec") % 3 == 0) & (F.col("end") == F.max("end").over(whole("rec"))), F.greatest(F.col("duration") - 1500.0, F.col("start"))).otherwise(F.col("end"))
+    mine = mine.select("rec", start.alias("start"), end.alias("end"))
+    return b.score_breaks(mine, _truth(spark, sf), _bounds(spark, sf), unit=UNIT, edge=2000.0).select("rec", r("over"), r("under"), "false_blocks", "missed", "odd")
 
 
 def d11_coverage(spark, sf):
@@ -185,13 +190,14 @@ def _minus(name: str, a: str, c: str) -> str:
         {name} AS (SELECT rec, sum(n - x0) AS kept FROM (SELECT rec, x0, lead(x0) OVER w AS n, sum(k) OVER w AS k, sum(h) OVER w AS h FROM {name}_st WINDOW w AS (PARTITION BY rec ORDER BY x0)) WHERE k > 0 AND h = 0 AND n IS NOT NULL GROUP BY rec)"""
 
 
-_MINE = """mi AS (SELECT rec, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
-        SELECT rec, s, e, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM blk WHERE e > s)) GROUP BY rec, g)"""
+_MINE = """m0 AS (SELECT rec, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
+        SELECT rec, s, e, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM blk WHERE e > s)) GROUP BY rec, g),
+    mi AS (SELECT rec, CASE WHEN rec % 2 = 0 AND s = min(s) OVER (PARTITION BY rec) THEN 1000.0 ELSE s END AS s, CASE WHEN rec % 3 = 0 AND e = max(e) OVER (PARTITION BY rec) THEN greatest(d - 1500.0, s) ELSE e END AS e FROM m0 JOIN bd USING (rec))"""
 ORACLE["d10_score"] = f"""WITH RECURSIVE {_BLK}, {_BD}, {_MINE}, tr AS (SELECT rec, t AS s, t + 30000 AS e, event_id % 4 = 0 AS grey FROM ev WHERE event_type = 'purchase'),
         rl AS (SELECT * FROM tr WHERE NOT grey), gr AS (SELECT * FROM tr WHERE grey), rg AS (SELECT rec, s, e FROM tr), mg AS (SELECT rec, s, e FROM mi UNION ALL SELECT rec, s, e FROM gr), {_minus('ov', 'mi', 'rg')}, {_minus('un', 'rl', 'mg')},
         fb AS (SELECT rec, count(*) AS n FROM mi WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.rec = mi.rec AND tr.s < mi.e AND mi.s < tr.e) GROUP BY rec),
         ms AS (SELECT rec, count(*) AS n FROM rl WHERE NOT EXISTS (SELECT 1 FROM mi WHERE mi.rec = rl.rec AND rl.s < mi.e AND mi.s < rl.e) GROUP BY rec),
-        od AS (SELECT mi.rec, count(*) AS n FROM mi JOIN bd USING (rec) WHERE s > 0 AND e < d AND e - s >= 40000 AND abs(e - s - round_even((e - s) / 20000.0, 0) * 20000.0) > 0.25 GROUP BY mi.rec)
+        od AS (SELECT mi.rec, count(*) AS n FROM mi JOIN bd USING (rec) WHERE s > 2000 AND e < d - 2000 AND e - s >= 40000 AND abs(e - s - round_even((e - s) / 20000.0, 0) * 20000.0) > 0.25 GROUP BY mi.rec)
         SELECT bd.rec, round(coalesce(ov.kept, 0), 6) AS over, round(coalesce(un.kept, 0), 6) AS under, coalesce(fb.n, 0) AS false_blocks, coalesce(ms.n, 0) AS missed, coalesce(od.n, 0) AS odd
         FROM bd LEFT JOIN ov USING (rec) LEFT JOIN un USING (rec) LEFT JOIN fb USING (rec) LEFT JOIN ms USING (rec) LEFT JOIN od USING (rec)"""
 

@@ -86,8 +86,25 @@ def t10_paced(spark, sf):
     return c.paced_schedule(_anchors(spark, sf), 25.0).select("rec", "packet", r("paced", 3))
 
 
+#: Steps of t10_choose_step and how far they may move an anchor; its anchors are late by up to 20 000 ticks.
+STEPS, BUDGET = (100, 290), 8000
+
+
+def _late_anchors(spark, sf):
+    return events(spark, sf).select("rec", "event_type", F.col("event_id").alias("packet"), F.floor(F.col("t") + 40 * F.col("event_id") + 40 * F.col("value")).alias("at"))
+
+
 def t10_choose_step(spark, sf):
-    return c.choose_step(_anchors(spark, sf), [0.5, 25.0, 100.0, 150.0, 200.0, 250.0, 400.0], 200.0)
+    """Recordings of fewer than two purchases take the nominal step; of the others some fit at it, some at the fastest alone."""
+    return c.choose_step(_late_anchors(spark, sf).filter("event_type = 'purchase'"), *STEPS, BUDGET).select("rec", "step")
+
+
+def t10_times(spark, sf):
+    """Arrival times of all packets, under the schedule of those that carry a clock reference."""
+    rows = _late_anchors(spark, sf)
+    anchors = rows.filter("event_type = 'purchase'")
+    schedule = c.paced_schedule(anchors.join(c.choose_step(anchors, *STEPS, BUDGET), "rec"), F.col("step"))
+    return c.packet_times(rows.select("rec", "packet"), schedule, pause=30_000).filter("when IS NOT NULL").select("rec", "packet", "when")
 
 
 def t11_byte_to_time(spark, sf):
@@ -140,7 +157,7 @@ def t15_same_name(spark, sf):
     return c.same_name_runs(events(spark, sf).select("rec", F.col("event_id").alias("n"), F.col("event_type").alias("clip")))
 
 
-QUERIES = [t1_timecode, t2_rebase, t3_unwrap, t4_unwrap_mark, t5_restarts, t6_pieces, t7_restamp, t8_seams, t9_interpolate, t10_paced, t10_choose_step, t11_byte_to_time, t12_grid, t13_to_output, t13_to_source, t13_ranges, t14_shift, t15_continuous, t15_same_name]
+QUERIES = [t1_timecode, t2_rebase, t3_unwrap, t4_unwrap_mark, t5_restarts, t6_pieces, t7_restamp, t8_seams, t9_interpolate, t10_paced, t10_choose_step, t10_times, t11_byte_to_time, t12_grid, t13_to_output, t13_to_source, t13_ranges, t14_shift, t15_continuous, t15_same_name]
 
 _PC = EV + ", pc AS (SELECT rec, event_id AS x0, floor(value)::BIGINT * 900000 - 100000000 AS shift, floor(t * 90000)::BIGINT AS from_tick FROM ev WHERE event_type = 'error')"
 _KM = EV + """, kp AS (SELECT rec, t AS s, t + 60000 AS e FROM ev WHERE event_type = 'purchase'),
@@ -148,6 +165,9 @@ _KM = EV + """, kp AS (SELECT rec, t AS s, t + 60000 AS e FROM ev WHERE event_ty
         SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM kp)) GROUP BY rec, g),
     ko AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY rec ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, lead(s) OVER (PARTITION BY rec ORDER BY s) IS NULL AS final FROM km)"""
 _AN = EV + ", an AS (SELECT rec, event_id AS packet, round(t + 40.0 * event_id, 3) AS x0 FROM ev)"
+_STEP = EV + """, al AS (SELECT rec, event_type, event_id AS packet, floor(t + 40 * event_id + 40 * value)::BIGINT AS x0 FROM ev), an AS (SELECT * FROM al WHERE event_type = 'purchase'),
+    mx AS (SELECT a.rec, min(floor((b.x0 - a.x0 + 8000) / (b.packet - a.packet))) AS s FROM an a JOIN an b ON a.rec = b.rec AND a.packet < b.packet GROUP BY a.rec),
+    st AS (SELECT rec, greatest(least(coalesce(s, 290), 290), 100)::BIGINT AS step FROM (SELECT DISTINCT rec FROM an) LEFT JOIN mx USING (rec))"""
 _PACE = "min(x0 - packet * {s}) OVER (PARTITION BY rec{g} ORDER BY packet ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + packet * {s}"
 
 ORACLE = {
@@ -175,8 +195,12 @@ ORACLE = {
         s AS (SELECT e.rec, e.i, x.i AS i0, x.c AS c0, coalesce(y.i, x.i) AS i1, coalesce(y.c, x.c) AS c1 FROM e JOIN a x ON x.rec = e.rec AND x.n = e.n LEFT JOIN a y ON y.rec = e.rec AND y.n = e.n + 1)
         SELECT rec, i, c0 + CASE WHEN i1 = i0 THEN 0 ELSE ((i - i0) * (c1 - c0) - ((i - i0) * (c1 - c0)) % (i1 - i0)) // (i1 - i0) END AS clock FROM s""",
     "t10_paced": f"WITH {_AN} SELECT rec, packet, round({_PACE.format(s='25.0', g='')}, 3) AS paced FROM an",
-    "t10_choose_step": f"""WITH {_AN}, tr AS (SELECT *, unnest([0.5, 25, 100, 150, 200, 250, 400])::DOUBLE AS step FROM an), mv AS (SELECT rec, step, max(x0 - p) AS move FROM (SELECT *, {_PACE.format(s='step', g=', step')} AS p FROM tr) GROUP BY rec, step)
-        SELECT rec, max(step) FILTER (move <= 200) AS step FROM mv GROUP BY rec""",
+    "t10_choose_step": f"WITH {_STEP} SELECT rec, step FROM st",
+    "t10_times": f"""WITH {_STEP}, sc AS (SELECT rec, packet, step, (min(x0 - packet * step) OVER (PARTITION BY rec ORDER BY packet ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + packet * step)::BIGINT AS pc FROM an JOIN st USING (rec)),
+        j AS (SELECT al.rec, al.packet AS i, b.packet AS p, b.pc AS began, n.packet AS np, n.pc AS nw, coalesce(b.step, n.step) AS step, n.packet - al.packet AS back, n.packet - b.packet AS cnt, (n.pc - b.pc) // coalesce(b.step, n.step) AS slots
+            FROM al ASOF LEFT JOIN sc b ON b.rec = al.rec AND al.packet > b.packet ASOF LEFT JOIN sc n ON n.rec = al.rec AND al.packet <= n.packet),
+        x AS (SELECT *, greatest(slots - cnt, 0) AS spare, greatest(cnt * 30000 // (slots * step), 1) AS str FROM j)
+        SELECT rec, i AS packet, CASE WHEN np IS NULL THEN began + (i - p) * step WHEN p IS NULL OR spare = 0 THEN nw - back * step ELSE nw - (back + back // str * str * spare // cnt) * step END AS "when" FROM x WHERE np IS NOT NULL OR p IS NOT NULL""",
     "t11_byte_to_time": f"""WITH {EV}, p AS (SELECT rec, event_id AS pos, t, lead(event_id) OVER w AS np, lead(t) OVER w AS nt FROM ev WHERE event_type = 'view' WINDOW w AS (PARTITION BY rec ORDER BY event_id)),
         f AS (SELECT rec, arg_min(t, pos) AS first FROM p GROUP BY rec), j AS (SELECT ev.rec, event_id AS pos, p.pos AS pp, p.t, np, nt, first FROM ev JOIN f USING (rec) ASOF LEFT JOIN p ON p.rec = ev.rec AND ev.event_id >= p.pos)
         SELECT rec, pos, round(CASE WHEN pp IS NULL THEN first WHEN nt - t > 0 AND nt - t <= 500000 THEN t + (nt - t) * (pos - pp) / (np - pp) ELSE t END, 6) AS t FROM j""",

@@ -421,3 +421,10 @@ def test_files_are_read_as_packets_and_sheets(spark, tmp_path):
     (tmp_path / "cue").mkdir()
     (tmp_path / "cue" / "x.cue").write_bytes('TITLE "\xe9"\nFILE "x" BINARY\n TRACK 01 AUDIO\n  INDEX 01 00:02:00\n TRACK 02 AUDIO\n  INDEX 00 01:00:00\n'.encode("latin-1"))
     assert [r["start"] for r in archive.read_cue_sheet(spark, f"{tmp_path}/cue").orderBy("start").collect()] == [2.0, 60.0]
+
+
+def test_blocks_at_an_edge_have_no_odd_length(spark):
+    bounds = spark.createDataFrame([("a", 1000.0), ("b", 1000.0), ("c", 1000.0)], "rec string, duration double")
+    truth = spark.createDataFrame([("a", 500.0, 560.0, False)], "rec string, start double, end double, grey boolean")
+    blocks = spark.createDataFrame([("a", 1.0, 48.0), ("b", 1.6, 48.6), ("c", 951.0, 998.6), ("c", 900.0, 947.0), ("b", 600.0, 660.2)], "rec string, start double, end double")
+    assert got(breaks.score_breaks(blocks, truth, bounds).select("rec", "odd"), "rec") == [("a", 0), ("b", 1), ("c", 1)]
