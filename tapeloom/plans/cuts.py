@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,13 +205,66 @@ def division_problems(keeps: DataFrame, key: Key = "rec", parts: int | None = No
     return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select(*k, "reason")
 
 
+class _Divider:
+    """The cuts of one recording, found as its kept ranges and clean places go by in order of output time.
+
+    Held are the last cut, the last place and the one behind it, and two ranges: nothing that grows with the recording.
+    """
+
+    def __init__(self, step: float, total: float, count: int, frame: float, head: float, down: bool) -> None:
+        self.step, self.total, self.count, self.frame, self.head, self.down = step, total, count, frame, head, down
+        self.last, self.prev, self.turn, self.cuts = total - frame, 0.0, 1, []
+        self.below = self.above = None
+        self.ranges: list[tuple[float, float, float]] = []
+
+    def target(self) -> float:
+        return min(self.prev + self.step, self.last) if self.down else self.turn * self.step
+
+    def take(self, at: float, place: bool, other: float | None, end: float | None) -> None:
+        """A place with the one behind it, or a range's output start with its source start and end."""
+        while self.turn <= self.count and at > self.target() + 1e-9:
+            self.decide()
+        if place:
+            self.below, self.above = (at if at >= 0 else None), other
+        else:
+            self.ranges = [*self.ranges[-1:], (at, other, end)]
+
+    def finish(self) -> list[tuple[float, bool]]:
+        while self.turn <= self.count:
+            self.decide()
+        return self.cuts
+
+    def decide(self) -> None:
+        """Cut at the place near enough to the target, or else on the frame grid within the range there; or not at all."""
+        t, lo = self.target(), self.prev + self.frame / 2
+        if self.down:
+            near = self.below if self.below is not None and self.below > lo and self.below >= t - self.step / 2 else None
+        else:
+            fit = [c for c in (self.below, self.above) if c is not None and lo < c < self.last and abs(c - t) <= self.step / 2]
+            near = min(fit, key=lambda c: (abs(c - t), c), default=None)
+        out, start, end = next(r for r in reversed(self.ranges) if r[0] <= t or r is self.ranges[0])
+        s = start + t - out
+        steps = (s - self.head) / self.frame
+        grid = self.head + (floor(steps + 1e-6) if self.down else floor(abs(steps) + 0.5) * (1 if steps >= 0 else -1)) * self.frame
+        exact = out if grid < start else out + end - start if grid > end - 1e-9 else t + grid - s
+        join = grid < start and out > 0 or grid > end - 1e-9
+        o = exact if near is None else near
+        good = near is not None or lo < o < self.last + self.frame / 2
+        if good and not (self.down and self.prev + self.step >= self.total - 1e-9):
+            self.cuts.append((o, near is not None or join))
+            self.prev = o
+            self.turn += 1
+        else:
+            self.turn = self.count + 1 if self.down else self.turn + 1
+
+
 def divide_ranges(keeps: DataFrame, points: DataFrame, key: Key = "rec", parts: int | None = None, every: float | None = None, size: float | None = None, rate: str = "rate", frame: float = 1 / 30, head: float = 0.0, on_points: bool = True, most: int = 999) -> DataFrame:
     """Cuts (n, out, src, on_point) that divide kept ranges, laid end to end, by parts, seconds or bytes.
 
     A cut goes to the nearest clean place, a point or a join, within half a part; by size to the last
     one at or before the target. Without one it goes to the frame grid from `head`. Cuts rise by
-    half a frame at least. Each cut is measured from the one before it, so that one recording's keeps and
-    clean places meet in one row: their number follows from its length. For size, keeps carry the rate of
+    half a frame at least. Each cut is measured from the one before it: ranges and places of a recording pass in order through
+    one task, sorted by Spark, which holds the last of each (see _Divider) and never all of them. For size, keeps carry the rate of
     bytes a second. Parameters out of range raise ValueError; recordings that cannot be divided have no
     cuts, and division_problems tells them and why.
     """
@@ -215,44 +272,53 @@ def divide_ranges(keeps: DataFrame, points: DataFrame, key: Key = "rec", parts:
         raise ValueError("divide into 2 to 999 parts, or by seconds of one or more, or by bytes")
     k = keys(key)
     offs = keep_offsets(keeps, k)
+    rows = offs.groupBy(*k).agg(F.max(F.col("out_start") + F.col("end") - F.col("start")).alias("total"))
     if size is not None:
-        offs = offs.join(keeps.groupBy(*k).agg(F.max(rate).alias("__rate")), k)
-    inner = points.select(*k, F.col("t").alias("b_start"), (F.col("t") + 1e-9).alias("b_end"))
-    on = overlap_join(offs, inner, k, 3600.0).filter((F.col("b_start") > F.col("start") + frame / 2) & (F.col("b_start") < F.col("end") - frame / 2))
-    places = on.select(*k, (F.col("out_start") + F.col("b_start") - F.col("start")).alias("c")).unionByName(offs.filter("out_start > 0").select(*k, F.col("out_start").alias("c")))
-    places = keep_apart(places, k, "c", F.col("c") + frame / 2).groupBy(*k).agg(F.sort_array(F.collect_list("c")).alias("clean"))
-    rows = offs.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("out_start", "start", "end"))).alias("line"), F.max(F.col("out_start") + F.col("end") - F.col("start")).alias("total"), *([F.max("__rate").alias("__rate")] if size is not None else []))
-    rows = rows.join(places, k, "left").withColumn("clean", F.coalesce("clean", F.array().cast("array<double>")))
+        rows = rows.join(keeps.groupBy(*k).agg(F.max(rate).alias("__rate")), k)
     rows = rows.join(division_problems(keeps, k, parts, every, size, rate, frame, most).select(*k), k, "left_anti")
     step = F.col("total") / parts if parts else F.lit(float(every)) if every else F.lit(float(size)) / F.col("__rate")
-    rows = rows.withColumn("step", step).withColumn("last", F.col("total") - frame)
-    count = F.lit(parts - 1) if parts else F.floor(F.col("last") / F.col("step")).cast("int") if every else (F.ceil(F.col("total") / F.col("step")) * 2).cast("int")
-    rows = rows.withColumn("turns", F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda n: n <= count))
+    count = F.lit(parts - 1) if parts else F.floor((F.col("total") - frame) / step) if every else F.ceil(F.col("total") / step) * 2
+    ranges = offs.join(rows.select(*k, "total", step.alias("step"), count.cast("long").alias("count")), k)
+    line = ranges.select(*k, F.col("out_start").alias("at"), F.lit(False).alias("place"), F.col("start").alias("other"), "end", "total", "step", "count")
+    if on_points:
+        inner = points.select(*k, F.col("t").alias("b_start"), (F.col("t") + 1e-9).alias("b_end"))
+        on = overlap_join(offs, inner, k, 3600.0).filter((F.col("b_start") > F.col("start") + frame / 2) & (F.col("b_start") < F.col("end") - frame / 2))
+        places = on.select(*k, (F.col("out_start") + F.col("b_start") - F.col("start")).alias("c")).unionByName(offs.filter("out_start > 0").select(*k, F.col("out_start").alias("c")))
+        places = keep_apart(places, k, "c", F.col("c") + frame / 2)
+        ahead = offs.select(*k).distinct().select(*k, F.lit(-1.0).alias("c"))  # so that the first place is known as the one behind
+        places = places.unionByName(ahead).withColumn("other", F.lead("c").over(ordered(k, "c")))
+        line = line.unionByName(places.select(*k, F.col("c").alias("at"), F.lit(True).alias("place"), "other"), allowMissingColumns=True)
+    # of a recording, its first range comes first and tells its length
+    line = line.withColumn("first", F.col("place") | (F.col("at") > 0)).repartition(*k).sortWithinPartitions(*k, "first", "at", F.desc("place"), "other")
     down = size is not None
 
-    def place(state: Column, n: Column) -> Column:
-        prev = state["prev"]
-        t = F.least(prev + F.col("step"), F.col("last")) if down else n * F.col("step")
-        lo = prev + frame / 2
-        ok = (lambda c: (c > lo) & (c <= t + 1e-9) & (c >= t - F.col("step") / 2)) if down else (lambda c: (c > lo) & (c < F.col("last")) & (F.abs(c - t) <= F.col("step") / 2))
-        near = F.array_min(F.transform(F.filter("clean", ok), lambda c: F.struct(F.abs(c - t).alias("off"), c.alias("o")))) if on_points else F.lit(None).cast("struct<off double, o double>")
-        piece = F.element_at(F.filter("line", lambda x: x["out_start"] <= t), -1)
-        s = piece["start"] + t - piece["out_start"]
-        steps = (s - head) / frame
-        grid = head + (F.floor(steps + 1e-6) if down else F.round(steps)) * frame
-        end_o = piece["out_start"] + piece["end"] - piece["start"]
-        exact = F.when(grid < piece["start"], piece["out_start"]).when(grid > piece["end"] - 1e-9, end_o).otherwise(t + grid - s)
-        join = ((grid < piece["start"]) & (piece["out_start"] > 0)) | (grid > piece["end"] - 1e-9)
-        o = F.coalesce(near["o"], exact)
-        good = near.isNotNull() | ((o > lo) & (o < F.col("last") + frame / 2))
-        more = good & ((prev + F.col("step") < F.col("total") - 1e-9) if down else F.lit(True)) & ~state["done"]
-        cut = F.struct(o.alias("o"), (near.isNotNull() | join).alias("on_point"))
-        return F.struct(F.when(more, o).otherwise(prev).alias("prev"), F.when(more, F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"]).alias("cuts"), (state["done"] | (~more if down else F.lit(False))).alias("done"))
-
-    zero = F.struct(F.lit(0.0).alias("prev"), F.array().cast("array<struct<o:double,on_point:boolean>>").alias("cuts"), F.lit(False).alias("done"))
-    cuts = rows.select(*k, "line", F.posexplode(F.aggregate("turns", zero, place)["cuts"]).alias("n", "c"))
-    piece = F.element_at(F.filter("line", lambda x: x["out_start"] <= F.col("c.o")), -1)
-    return cuts.select(*k, (F.col("n") + 1).alias("n"), F.col("c.o").alias("out"), (piece["start"] + F.col("c.o") - piece["out_start"]).alias("src"), F.col("c.on_point").alias("on_point"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now = None, None
+
+        def cuts(kinds: list[pa.DataType]) -> pa.RecordBatch:
+            found = now.finish() if now else []
+            columns = [pa.array([v] * len(found), t) for v, t in zip(own or [None] * len(kinds), kinds, strict=True)]
+            columns += [pa.array(range(1, len(found) + 1), pa.int32()), pa.array([o for o, _ in found], pa.float64()), pa.array([j for _, j in found], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, [*k, "n", "out", "on_point"])
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in k]
+            for *mine, at, place, other, end, total, step, count in zip(*(batch.column(c).to_pylist() for c in [*k, "at", "place", "other", "end", "total", "step", "count"]), strict=True):
+                if mine != own:
+                    yield cuts(kinds)
+                    own, now = mine, None
+                    if total is not None:
+                        now = _Divider(step, total, count, frame, head, down)
+                if now:
+                    now.take(at, place, other, end)
+        if kinds:
+            yield cuts(kinds)
+
+    named = ", ".join(f"{c} {line.schema[c].dataType.simpleString()}" for c in k)
+    found = line.drop("first").mapInArrow(run, f"{named}, n int, out double, on_point boolean")
+    where = as_of(found, offs.select(*k, F.col("out_start").alias("__o"), F.col("start").alias("__s")), k, "out", "__o", ["__o", "__s"])
+    return where.select(*k, "n", "out", (F.col("__s") + F.col("out") - F.col("__o")).alias("src"), "on_point")
 
 
 def stream_weight(recordings: DataFrame, tracks: DataFrame, key: Key = "rec", sound_share: float = 1.2) -> DataFrame:
