@@ -53,20 +53,21 @@ def middle(df: DataFrame, key: Key, value: str, lower: bool = False) -> DataFram
     return ranked.filter("__i = __w").select(*keys(key), F.col(value).alias("median"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: Key, t: str = "t", at: str = "at", take: Sequence[str] = (), forward: bool = False, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: Key, t: str = "t", at: str = "at", take: Sequence[str] = (), forward: bool = False, strict: bool = False, width: float | None = None) -> DataFrame:
     """Each left row with the columns `take` of the last right row at or before it (first at or after it if forward).
 
     Both sides are united and sorted once per key; `strict` leaves out equal times. Of right rows
-    at one time the last by `take` is used going back, the first going forward.
+    at one time the last by `take` is used going back, the first going forward. With a `width` (of time) a key's rows are scanned
+    in blocks (see scans.running), so that one key's rows are no task's alone; keys and times are not null then.
     """
+    from .scans import latest, running
+
     k = keys(key)
     right_first = strict == forward  # going back, or strictly forward, right rows of an equal time sort first
     lrow = left.select(*k, F.col(t).alias("__t"), F.lit(int(right_first)).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("__right"))
     rrow = right.select(*k, F.col(at).alias("__t"), F.lit(int(not right_first)).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"), F.struct(*take).alias("__right"))
     both = lrow.unionByName(rrow)
-    order = ["__t", "__side", "__right"]
-    found = F.first("__right", ignorenulls=True).over(from_here(k, *order)) if forward else F.last("__right", ignorenulls=True).over(so_far(k, *order))
-    return both.withColumn("__found", found).filter("__left IS NOT NULL").select("__left.*", *[F.col("__found")[c].alias(c) for c in take])
+    return running(both, k, ["__t", "__side", "__right"], width, back=forward, __found=latest(F.col("__right"))).filter("__left IS NOT NULL").select("__left.*", *[F.col("__found")[c].alias(c) for c in take])
 
 
 def anchored(df: DataFrame, points: DataFrame, key: Key, t: str, seams: DataFrame | None = None, slack: float = 0.0) -> DataFrame:

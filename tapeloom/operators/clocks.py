@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, anchored, as_of, before, from_here, islands, keys, middle, ordered, overlap_join, so_far, whole
+from ..functions.scans import previous, running, total
 from ..functions.storage import materialise
 from ..functions.timecode import HZ, WRAP
 from .gaps import systematic
@@ -18,14 +19,16 @@ def rebase_time(df: DataFrame, ticks: str, base: float, key: Key = "rec", start:
     return df.withColumn("t", t - zero)
 
 
-def unwrap_clock(df: DataFrame, key: Key = "rec", order: str = "seq", clock: str = "clock", wrap: int = WRAP) -> DataFrame:
-    """The clock with a wrap added after each fall of more than half of one; `back` flags the smaller falls."""
-    k = keys(key)
-    step = F.col(clock) - F.lag(clock).over(ordered(k, order))
-    rows = df.withColumn("__step", step).withColumn("__wrap", (F.col("__step") < -wrap / 2).cast("long"))
-    turns = F.sum(F.coalesce("__wrap", F.lit(0))).over(so_far(k, order))
-    back = F.coalesce((F.col("__step") < 0) & (F.col("__wrap") == 0), F.lit(False))
-    return rows.select(*df.columns, (F.col(clock) + turns * wrap).alias("unwrapped"), back.alias("back"))
+def unwrap_clock(df: DataFrame, key: Key = "rec", order: str = "seq", clock: str = "clock", wrap: int = WRAP, width: float | None = None) -> DataFrame:
+    """The clock with a wrap added after each fall of more than half of one; `back` flags the smaller falls.
+
+    With a `width` (of order), a recording's rows are scanned in blocks by many tasks (see scans.running).
+    """
+    rows = running(df, key, [order], width, __was=previous(F.col(clock)))
+    step = F.col(clock) - F.col("__was")
+    rows = rows.withColumn("__wrap", F.coalesce((step < -wrap / 2).cast("long"), F.lit(0).cast("long"))).withColumn("back", F.coalesce((step < 0) & (step >= -wrap / 2), F.lit(False)))
+    rows = running(rows, key, [order], width, __turns=total(F.col("__wrap")))
+    return rows.select(*df.columns, (F.col(clock) + F.col("__turns") * wrap).alias("unwrapped"), "back")
 
 
 def clock_restarts(points: DataFrame, key: Key = "rec", pos: str = "pos", t: str = "t", fall: float = 0.25, leap: float = 2**32 / HZ) -> DataFrame:

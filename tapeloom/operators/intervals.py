@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, anchored, as_of, before, islands, keys, ordered, overlap_join, overlaps_any, so_far
+from ..functions.frames import Key, anchored, as_of, keys, ordered, overlap_join, overlaps_any, so_far
+from ..functions.scans import highest, islands_in, running
 
 #: The default bucket of interval joins, in seconds; about the length of the longer intervals.
 BUCKET = 3600.0
 
 
-def merge_intervals(df: DataFrame, key: Key = "rec", start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or touching intervals; empty and inverted ones are dropped."""
+def merge_intervals(df: DataFrame, key: Key = "rec", start: str = "start", end: str = "end", width: float | None = None) -> DataFrame:
+    """Unions of overlapping or touching intervals; empty and inverted ones are dropped.
+
+    With a `width` (of start), a recording's rows are scanned in blocks (see scans.running).
+    """
     k = keys(key)
     real = df.filter(F.col(end) > F.col(start)).select(*k, F.col(start).alias("start"), F.col(end).alias("end"))
-    reach = F.max("end").over(before(k, "start", "end"))
-    marked = islands(real.withColumn("__reach", reach), F.col("start") > F.col("__reach"), k, "start", "end")
+    rows = running(real, k, ["start", "end"], width, __reach=highest(F.col("end"), here=False))
+    marked = islands_in(rows, F.col("start") > F.col("__reach"), k, ["start", "end"], width)
     return marked.groupBy(*k, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 

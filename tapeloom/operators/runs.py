@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, before, islands, keys, middle, ordered, so_far, whole
+from ..functions.frames import Key, keys, middle, ordered, whole
 from ..functions.greedy import keep_apart
+from ..functions.scans import highest, islands_in, latest, previous, running, total
 from .gaps import median_gap
 from .graph import components
 
 
-def flat_runs(df: DataFrame, key: Key = "rec", t: str = "t", state: str = "state", min_count: int = 2, min_seconds: float = 0.0, order: tuple[str, ...] = (), length: str | None = None) -> DataFrame:
+def flat_runs(df: DataFrame, key: Key = "rec", t: str = "t", state: str = "state", min_count: int = 2, min_seconds: float = 0.0, order: tuple[str, ...] = (), length: str | None = None, width: float | None = None) -> DataFrame:
     """Maximal runs of one non-null state: start, end (the next row's time), last row's time, rows.
 
     A run that reaches the last row ends there plus the gap before it, or plus its own `length`
-    where that gap is over four times the length.
+    where that gap is over four times the length. With a `width` (of t), rows are scanned in blocks (see scans.running).
     """
-    k = keys(key)
-    w = ordered(k, t, *order)
-    rows = df.withColumn("__next", F.lead(t).over(w)).withColumn("__gap", F.col(t) - F.lag(t).over(w))
+    k, by = keys(key), [t, *order]
+    rows = running(df, k, by, width, back=True, __next=previous(F.col(t)))
+    rows = running(rows, k, by, width, __before=previous(F.struct(F.col(t).alias("t"), F.col(state).alias("s"))))
+    rows = rows.withColumn("__gap", F.col(t) - F.col("__before.t"))
     own = F.col(length) if length else F.lit(None).cast("double")
     tail = F.col(t) + F.when(own.isNotNull() & (F.col("__gap") > 4 * own), own).otherwise(F.coalesce("__gap", own, F.lit(0.0)))
-    rows = islands(rows.withColumn("__stop", F.coalesce("__next", tail)), ~F.col(state).eqNullSafe(F.lag(state).over(w)), k, t, *order)
+    rows = islands_in(rows.withColumn("__stop", F.coalesce("__next", tail)), F.col("__before").isNull() | ~F.col(state).eqNullSafe(F.col("__before.s")), k, by, width)
     runs = rows.filter(F.col(state).isNotNull()).groupBy(*k, "island", state).agg(F.min(t).alias("start"), F.max("__stop").alias("end"), F.max(t).alias("last"), F.count(F.lit(1)).alias("pictures"))
     return runs.filter((F.col("pictures") >= max(min_count, 1)) & (F.col("end") - F.col("start") + 1e-9 >= min_seconds)).drop("island")
 
@@ -63,10 +65,9 @@ def loud_bounds(frames: DataFrame, threshold_db: float = -50.0, samples: str = "
     return frames.withColumn("loud_first", F.col("t") + first / F.col(rate)).withColumn("loud_last", F.col("t") + (last + 1) / F.col(rate))
 
 
-def monotone_only(df: DataFrame, key: Key = "rec", t: str = "t", *order: str) -> DataFrame:
-    """Rows later than all rows before them in the given order."""
-    reach = F.max(t).over(before(key, *order))
-    return df.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col(t) > F.col("__r"))).drop("__r")
+def monotone_only(df: DataFrame, key: Key = "rec", t: str = "t", *order: str, width: float | None = None) -> DataFrame:
+    """Rows later than all rows before them in the given order; with a `width` of it, scanned in blocks (see scans.running)."""
+    return running(df, key, order, width, __r=highest(F.col(t), here=False)).filter(F.col("__r").isNull() | (F.col(t) > F.col("__r"))).drop("__r")
 
 
 def debounce(df: DataFrame, key: Key = "rec", t: str = "t", gap: float = 2.0, fewest: int = 3) -> DataFrame:
@@ -93,21 +94,23 @@ def byte_interval(df: DataFrame, key: Key = "rec", t: str = "t", size: str = "si
     return facts.select(*keys(key), F.when(F.col("b") <= budget, 0.0).otherwise(F.col("d") * F.col("a") / budget).alias("interval"))
 
 
-def hysteresis_states(df: DataFrame, present: Column, absent: Column, min_present: float, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with the state they leave: 'P' seen or 'A' gone, whether it changed, and their island's start."""
-    k = keys(key)
-    w = ordered(k, t, *order)
-    rows = df.withColumn("__up", F.col(score) >= present)
-    rows = islands(rows, F.col("__up") != F.lag("__up").over(w), k, t, *order)
-    rows = rows.withColumn("since", F.min(t).over(whole([*k, "island"])))
+def hysteresis_states(df: DataFrame, present: Column, absent: Column, min_present: float, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
+    """Rows with the state they leave: 'P' seen or 'A' gone, whether it changed, and their island's start.
+
+    With a `width` (of t), rows are scanned in blocks (see scans.running).
+    """
+    k, by = keys(key), [t, *order]
+    rows = running(df.withColumn("__up", F.col(score) >= present), k, by, width, __was=previous(F.struct("__up")))
+    new = F.coalesce(F.col("__up") != F.col("__was.__up"), F.lit(True))
+    rows = running(rows.withColumn("__new", new), k, by, width, island=total(F.col("__new").cast("long")), since=latest(F.when(F.col("__new"), F.col(t))))
     held = F.col("__up") & (F.col(t) - F.col("since") >= min_present)
-    event = F.when(F.row_number().over(w) == 1, F.when(F.col("__up"), "P").otherwise("A")).when(F.col(score) < absent, "A").when(held, "P")
-    rows = rows.withColumn("__e", event).withColumn("state", F.last("__e", ignorenulls=True).over(so_far(k, t, *order)))
-    was = F.lag("state").over(w)
-    return rows.withColumn("was", was).withColumn("changed", ~F.col("state").eqNullSafe(was))
+    event = F.when(F.col("__was").isNull(), F.when(F.col("__up"), "P").otherwise("A")).when(F.col(score) < absent, "A").when(held, "P")
+    rows = running(rows.withColumn("__e", event), k, by, width, state=latest(F.col("__e")))
+    rows = running(rows, k, by, width, was=previous(F.col("state")))
+    return rows.withColumn("changed", ~F.col("state").eqNullSafe(F.col("was")))
 
 
-def hysteresis_intervals(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, window: float = 5.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = (), end: str | None = None) -> DataFrame:
+def hysteresis_intervals(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, window: float = 5.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = (), end: str | None = None, width: float | None = None) -> DataFrame:
     """Absences (start, end, edge) of a score, with hysteresis.
 
     One begins when the score falls below `absent`, set back to where it fell below `present` but by
@@ -116,23 +119,22 @@ def hysteresis_intervals(df: DataFrame, present: Column, absent: Column, min_pre
     absence runs to the last row, or to the recording's end where a column `end` tells it and it is later, as an edge.
     """
     k = keys(key)
-    rows = hysteresis_states(df, present, absent, min_present, k, t, score, order)
+    rows = hysteresis_states(df, present, absent, min_present, k, t, score, order, width)
     until = F.max(end).cast("double") if end else F.lit(None).cast("double")
     final = rows.groupBy(*k).agg(F.max(F.struct(t, *order, "__up", "since")).alias("z"), until.alias("until")).select(*k, "until", F.col(f"z.{t}").alias("last"), F.col("z.__up").alias("last_up"), F.col("z.since").alias("last_since"))
     head = F.col("was").isNull()
     began = F.when(head, F.col(t)).otherwise(F.greatest(F.col("since"), F.col(t) - window))
     marks = rows.filter("changed").select(*k, t, "state", F.col("since").alias("back"), began.alias("start"), head.alias("head"))
-    w = ordered(k, t)
-    pairs = marks.withColumn("ended", F.lead("back").over(w)).filter("state = 'A'").join(final, k)
+    pairs = running(marks, k, [t], width, back=True, ended=previous(F.col("back"))).filter("state = 'A'").join(final, k)
     tail = F.when(F.col("last_up") & (F.col("last_since") < F.col("last")), F.col("last_since"))
     stop = F.coalesce("ended", tail, F.greatest("last", "until"))
     edge = F.col("head") | (F.col("ended").isNull() & tail.isNull())
     return pairs.select(*k, "start", stop.alias("end"), edge.alias("edge"))
 
 
-def transitions(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = ()) -> DataFrame:
+def transitions(df: DataFrame, present: Column, absent: Column, min_present: float = 1.0, key: Key = "rec", t: str = "t", score: str = "score", order: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
     """Changes of state per key."""
-    rows = hysteresis_states(df, present, absent, min_present, key, t, score, order)
+    rows = hysteresis_states(df, present, absent, min_present, key, t, score, order, width)
     return rows.groupBy(*keys(key)).agg(F.sum((F.col("changed") & F.col("was").isNotNull()).cast("long")).alias("transitions"))
 
 
