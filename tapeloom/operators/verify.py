@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +79,48 @@ def kept_fits(out: DataFrame, kept: DataFrame, key: Key = "rec", slack: float =
 
 def best_lag(a: DataFrame, b: DataFrame, key: Key = "rec", pos: str = "bucket", value: str = "level", search: int = 20) -> DataFrame:
     """V7: where a sits in b: the lag of the largest product of both centred series (of equals the least), and their
-    correlation over the places that meet there, with those places' own means and norms."""
+    correlation over the places that meet there, with those places' own means and norms.
+
+    Lags are up to `search` either way, and only those at which a lies whole within b count; a key without one gives no row. Places
+    are whole numbers, one row each, and may be missing. A series is cut into blocks of places, each of which a task correlates with b
+    around it by FFT; the blocks' products are summed for each lag, and the correlation at the best lag is one join more.
+    """
     k = keys(key)
-    centred = lambda df, n: df.join(df.groupBy(*k).agg(F.avg(value).alias("__m")), k).select(*k, F.col(pos).alias("__p"), (F.col(value) - F.col("__m")).alias(n))
+    block = max(4096, 2 * search)
+
+    def centred(df: DataFrame, name: str) -> DataFrame:
+        facts = df.groupBy(*k).agg(F.avg(value).alias("__m"), F.min(pos).alias(f"__lo_{name}"), F.max(pos).alias(f"__hi_{name}"))
+        return df.join(facts, k).select(*k, F.col(pos).cast("long").alias("__p"), (F.col(value) - F.col("__m")).cast("double").alias(name), f"__lo_{name}", f"__hi_{name}")
+
     x, y = centred(a, "x"), centred(b, "y")
-    tried = x.withColumn("lag", F.explode(F.sequence(F.lit(-search), F.lit(search)))).withColumn("__p", F.col("__p") + F.col("lag"))
+    ranges = x.select(*k, "__lo_x", "__hi_x").distinct().join(y.select(*k, "__lo_y", "__hi_y").distinct(), k)
+    number = lambda p: F.floor(p / block)
+    xs = x.select(*k, "__p", "x", number(F.col("__p")).alias("__b"))
+    ys = y.select(*[F.col(c).alias(c) for c in k], F.col("__p").alias("__p"), "y", F.explode(F.sequence(number(F.col("__p") - search), number(F.col("__p") + search))).alias("__b"))
+
+    def products(group: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(other):
+            return pd.DataFrame({c: [] for c in [*k, "lag", "dot"]})
+        lo = int(group[-1]) * block
+        size = 1 << (2 * block + 2 * search - 1).bit_length()
+        left, right = np.zeros(size), np.zeros(size)
+        left[own["__p"].to_numpy() - lo] = own["x"].to_numpy()
+        right[other["__p"].to_numpy() - lo + search] = other["y"].to_numpy()
+        dots = np.fft.irfft(np.conj(np.fft.rfft(left)) * np.fft.rfft(right), size)[: 2 * search + 1]
+        return pd.DataFrame({**dict(zip(k, group[:-1], strict=True)), "lag": np.arange(-search, search + 1), "dot": dots})
+
+    named = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in k)
+    dots = xs.groupBy(*k, "__b").cogroup(ys.groupBy(*k, "__b")).applyInPandas(products, f"{named}, lag long, dot double")
+    whole_in = (F.col("__lo_x") + F.col("lag") >= F.col("__lo_y")) & (F.col("__hi_x") + F.col("lag") <= F.col("__hi_y"))
+    tried = dots.groupBy(*k, "lag").agg(F.sum("dot").alias("dot")).join(ranges, k).filter(whole_in)
+    best = tried.groupBy(*k).agg(F.min(F.struct((-F.round("dot", 6)).alias("c"), F.abs("lag").alias("d"), "lag"))["lag"].alias("lag"))
+    met = x.join(best, k).select(*k, "lag", "x", (F.col("__p") + F.col("lag")).alias("__p")).join(y.select(*k, "__p", "y"), [*k, "__p"])
     sums = [F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in ("xy", "xx", "yy")]
-    rows = tried.join(y, [*k, "__p"]).groupBy(*k, "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), *sums)
+    rows = met.groupBy(*k, "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), *sums)
     dot = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     norm = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
     corr = F.when(norm > 1e-12, dot / F.sqrt(F.when(norm > 1e-12, norm))).otherwise(0.0)
-    best = rows.groupBy(*k).agg(F.min(F.struct((-F.round("sxy", 6)).alias("c"), F.abs("lag").alias("d"), "lag", corr.alias("corr"))).alias("m"))
-    return best.select(*k, F.col("m.lag").alias("lag"), F.col("m.corr").alias("corr"))
+    return best.join(rows.select(*k, "lag", corr.alias("corr")), [*k, "lag"], "left").select(*k, "lag", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 
 def marker_alignment(expected: DataFrame, got: DataFrame, keeps: DataFrame, key: Key = "rec", guard: float = 0.05, reach: float = 0.05, bucket: float = 60.0) -> DataFrame:
@@ -110,35 +142,34 @@ def marker_alignment(expected: DataFrame, got: DataFrame, keeps: DataFrame, key:
     return rows.groupBy(*k).agg(F.count(F.lit(1)).alias("markers"), F.sum(F.col("off").isNull().cast("long")).alias("missing"), F.when(F.count("off") > 0, worst["o"]).alias("worst"))
 
 
-def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Key = "rec", spread: float = 0.001, bucket: float = 3600.0, look_back: float = 30.0) -> DataFrame:
+def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Key = "rec", spread: float = 0.001, bucket: float = 3600.0, look_back: float = 30.0, most: int = 4) -> DataFrame:
     """V9: per kept range: rows inside, those that arrive unchanged in order, and whether one offset moves them all.
 
-    keeps carry `range`; out rows carry the range they came from. Rows before the first that matches
-    the range's first row are look-back rows: four at most, each of the size of a source row in the
-    `look_back` seconds ahead of the range. Further rows than the range holds do not pass; a range that
-    holds none is there only if rows came out for it.
+    keeps carry `range`; out rows carry the range they came from. Ahead of a range's own rows may stand look-back rows: `most` at
+    most, each of the size of a source row in the `look_back` seconds ahead of the range. Every number of them is tried:
+    the fewest at which all rows agree, in hash and size, and all rows ahead are of known sizes is taken, else that at which most rows
+    agree. Further rows than the range holds do not pass; a range that holds none is there only if rows came out for it.
     """
     k = keys(key)
-    r = keeps.select(*k, "range", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    by = [*k, "range"]
+    r = keeps.select(*by, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     own = src.select(*k, "t", "hash", "size", F.col("t").alias("start"), (F.col("t") + 1e-9).alias("end"))
-    inside = overlap_join(own, r, k, bucket).select(*k, "range", "t", "hash", "size")
-    place = lambda df: df.withColumn("i", F.row_number().over(ordered([*k, "range"], "t")))
-    a = place(inside)
-    first = a.filter("i = 1").select(*k, "range", F.col("hash").alias("h1"))
-    b = out.join(first, [*k, "range"])
-    start = b.filter("hash = h1").groupBy(*k, "range").agg(F.min("t").alias("t1"))
-    b = place(b.join(start, [*k, "range"]).filter("t >= t1")).select(*k, "range", "i", F.col("t").alias("ot"), F.col("hash").alias("oh"), F.col("size").alias("os"))
-    met = a.join(b, [*k, "range", "i"], "left").withColumn("ok", F.coalesce((F.col("oh") == F.col("hash")) & (F.col("os") == F.col("size")), F.lit(False))).withColumn("move", F.when(F.col("ok"), F.col("ot") - F.col("t")))
-    facts = met.groupBy(*k, "range").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("ok").cast("long")).alias("arrived"), (F.max("move") - F.min("move")).alias("drift"))
-    before_it = keeps.select(*k, "range", (F.col("start") - look_back).alias("b_start"), F.col("start").alias("b_end"))
-    sizes = overlap_join(own, before_it, k, bucket).select(*k, "range", "size", F.lit(True).alias("known")).distinct()
-    early = out.select(*k, "range", "t", "size").join(start, [*k, "range"], "left").withColumn("early", F.coalesce(F.col("t") < F.col("t1"), F.lit(False)))
-    early = early.join(sizes, [*k, "range", "size"], "left")
-    counts = early.groupBy(*k, "range").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("early").cast("long")).alias("ahead"), F.sum((F.col("early") & F.col("known").isNull()).cast("long")).alias("strange"))
-    rows = facts.join(counts, [*k, "range"], "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "arrived", "total", "ahead", "strange")})
-    whole = (F.col("ahead") <= 4) & (F.col("strange") == 0) & (F.col("total") == F.col("rows") + F.col("ahead"))
-    passed = (F.col("rows") == F.col("arrived")) & (F.coalesce("drift", F.lit(0.0)) < spread) & whole
-    return rows.withColumn("passed", passed).drop("total", "ahead", "strange")
+    inside = overlap_join(own, r, k, bucket).select(*by, "t", "hash", "size")
+    a = inside.withColumn("i", F.row_number().over(ordered(by, "t"))).withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("j", F.col("i") + F.col("ahead"))
+    before_it = keeps.select(*by, (F.col("start") - look_back).alias("b_start"), F.col("start").alias("b_end"))
+    sizes = overlap_join(own, before_it, k, bucket).select(*by, "size", F.lit(True).alias("known")).distinct()
+    came = out.join(sizes, [*by, "size"], "left").withColumn("j", F.row_number().over(ordered(by, "t")))
+    b = came.select(*by, "j", F.col("t").alias("ot"), F.col("hash").alias("oh"), F.col("size").alias("os"))
+    same = F.coalesce((F.col("oh") == F.col("hash")) & (F.col("os") == F.col("size")), F.lit(False))
+    met = a.join(b, [*by, "j"], "left").withColumn("ok", same).withColumn("move", F.when(F.col("ok"), F.col("ot") - F.col("t")))
+    tried = met.groupBy(*by, "ahead").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("ok").cast("long")).alias("arrived"), (F.max("move") - F.min("move")).alias("drift"))
+    # the first row of an unknown size bounds how many may stand ahead
+    counts = came.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.min(F.when(F.col("known").isNull(), F.col("j"))).alias("strange"))
+    tried = tried.join(counts, by, "left").withColumn("told", (F.col("rows") == F.col("arrived")) & (F.col("strange").isNull() | (F.col("strange") > F.col("ahead"))))
+    best = tried.groupBy(*by).agg(F.max(F.struct("told", "arrived", (-F.col("ahead")).alias("less"), "rows", "drift")).alias("m")).select(*by, "m.*")
+    rows = best.join(counts.select(*by, "total"), by, "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "arrived", "total", "less")})
+    passed = F.coalesce("told", F.lit(False)) & (F.coalesce("drift", F.lit(0.0)) < spread) & (F.col("total") == F.col("rows") - F.col("less"))
+    return rows.withColumn("passed", passed).select(*by, "rows", "arrived", "drift", "passed")
 
 
 def fade_envelope_check(levels: DataFrame, seams: DataFrame, key: Key = "rec", quiet: float = -40.0, burst: float = -12.0, near: float = 0.06, outside: float = 1.0, bucket: float = 60.0) -> DataFrame:

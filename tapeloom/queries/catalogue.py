@@ -229,7 +229,7 @@ def v7_best_lag(spark, sf):
     ev = events(spark, sf).groupBy("rec", F.floor(F.col("t") / 86400).alias("bucket")).agg(F.max("value").alias("level"))
     # a middle part of each series is looked for in the whole one, moved and a little changed
     moved = ev.select("rec", (F.col("bucket") + F.pmod("rec", F.lit(5)) - 2).alias("bucket"), (F.col("level") * (1 + F.pmod("bucket", F.lit(3)) / 10)).alias("level"))
-    return v.best_lag(ev.filter("bucket BETWEEN 8 AND 20"), moved, search=4).select("rec", F.col("lag").cast("long").alias("lag"), r("corr"))
+    return v.best_lag(ev.filter("bucket BETWEEN 4 AND 26"), moved, search=4).select("rec", F.col("lag").cast("long").alias("lag"), r("corr"))
 
 
 def _wide(spark, sf):
@@ -245,11 +245,15 @@ def v8_markers(spark, sf):
 
 
 def v9_carried(spark, sf):
-    ev = events(spark, sf).filter("event_type = 'click'").select("rec", "event_id", "t", F.col("event_id").alias("hash"), F.floor("value").alias("size"))
+    """Ranges with rows moved unevenly, with look-back rows equal to the range's first row, and with strange rows ahead of them."""
+    ev = events(spark, sf).filter("event_type = 'click'").select("rec", "event_id", "t", F.col("event_id").alias("hash"), F.floor(F.col("value") / 20).alias("size"))
     keeps = _wide(spark, sf).withColumn("range", F.col("start"))
     own = keeps.select("rec", "range", F.col("start").alias("s"), F.col("end").alias("e"))
-    out = ev.join(own, "rec").filter("t >= s AND t < e").select("rec", "range", (F.col("t") - F.col("s") + F.when(F.col("event_id") % 9 == 0, 1.0).otherwise(0.0)).alias("t"), "hash", "size")
-    return v.carried_rows_check(ev, out, keeps, bucket=100000.0).select("rec", r("range"), "rows", "arrived", r("drift"), "passed")
+    out = ev.join(own, "rec").filter("t >= s AND t < e").select("rec", "range", (F.col("t") - F.col("s") + F.when((F.col("event_id") % 9 == 0) & (F.col("rec") % 2 == 0), 1.0).otherwise(0.0)).alias("t"), "hash", "size")
+    first = out.groupBy("rec", "range").agg(F.min(F.struct("t", "hash", "size")).alias("f"))
+    kind = F.floor("range") % 4
+    again = first.filter(kind > 0).select("rec", "range", (F.col("f.t") - 0.5).alias("t"), F.when(kind == 3, -1).otherwise(F.col("f.hash")).alias("hash"), F.when(kind == 2, F.col("f.size") + 1000).otherwise(F.col("f.size")).alias("size"))
+    return v.carried_rows_check(ev, out.unionByName(again), keeps, bucket=100000.0, look_back=200000.0).select("rec", r("range"), "rows", "arrived", r("drift"), "passed")
 
 
 def v10_quietest(spark, sf):
@@ -360,18 +364,25 @@ ORACLE = {
     "v5_track_length": """WITH x AS (SELECT l_orderkey, l_quantity / 10 AS len, l_discount * 40 AS st FROM lineitem), y AS (SELECT l_orderkey, CASE WHEN len > 3.0 THEN 'long' WHEN len < 1.5 THEN 'short' WHEN st > 3.0 THEN 'late' END AS off FROM x)
         SELECT l_orderkey, off, count(*) AS n FROM y WHERE off IS NOT NULL GROUP BY l_orderkey, off""",
     "v6_kept_fits": f"WITH {EV} SELECT rec, sum(value) BETWEEN -0.5 AND sum(value) - rec % 5 * 200 + 300 + 0.5 AND (rec % 4 = 0 OR rec % 6 = 0 OR min(value) <= max(value) / 2000 + 0.5) AS fits FROM ev GROUP BY rec",
-    "v7_best_lag": f"""WITH {EV}, l AS (SELECT rec, floor(t / 86400)::BIGINT AS b, max(value) AS v FROM ev GROUP BY rec, b), x AS (SELECT rec, b, v, v - avg(v) OVER (PARTITION BY rec) AS c FROM l WHERE b BETWEEN 8 AND 20),
+    "v7_best_lag": f"""WITH {EV}, l AS (SELECT rec, floor(t / 86400)::BIGINT AS b, max(value) AS v FROM ev GROUP BY rec, b), x AS (SELECT rec, b, v, v - avg(v) OVER (PARTITION BY rec) AS c FROM l WHERE b BETWEEN 4 AND 26),
         y AS (SELECT rec, b, v, v - avg(v) OVER (PARTITION BY rec) AS c FROM (SELECT rec, b + rec % 5 - 2 AS b, v * (1 + b % 3 / 10) AS v FROM l)),
-        q AS (SELECT x.rec, (y.b - x.b)::BIGINT AS lag, sum(x.c * y.c) AS dot, corr(x.v, y.v) AS cr FROM x JOIN y ON y.rec = x.rec AND y.b - x.b BETWEEN -4 AND 4 GROUP BY x.rec, lag)
-        SELECT rec, arg_min(lag, (-round(dot, 6), abs(lag), lag)) AS lag, round(arg_min(CASE WHEN isnan(cr) OR cr IS NULL THEN 0 ELSE cr END, (-round(dot, 6), abs(lag), lag)), 6) AS corr FROM q GROUP BY rec""",
+        q AS (SELECT x.rec, (y.b - x.b)::BIGINT AS lag, sum(x.c * y.c) AS dot, corr(x.v, y.v) AS cr FROM x JOIN y ON y.rec = x.rec AND y.b - x.b BETWEEN -4 AND 4 GROUP BY x.rec, lag),
+        e AS (SELECT q.* FROM q JOIN (SELECT rec, min(b) AS xa, max(b) AS xb FROM x GROUP BY rec) USING (rec) JOIN (SELECT rec, min(b) AS ya, max(b) AS yb FROM y GROUP BY rec) USING (rec) WHERE xa + lag >= ya AND xb + lag <= yb)
+        SELECT rec, arg_min(lag, (-round(dot, 6), abs(lag), lag)) AS lag, round(arg_min(CASE WHEN isnan(cr) OR cr IS NULL THEN 0 ELSE cr END, (-round(dot, 6), abs(lag), lag)), 6) AS corr FROM e GROUP BY rec""",
     "v8_markers": f"""WITH {_KW}, mp AS (SELECT ev.rec, event_id, t, s, e, o + t - s AS out FROM ev ASOF JOIN ko ON ko.rec = ev.rec AND ev.t >= ko.s WHERE event_type = 'view' AND (t < e OR (final AND t = e))),
         g AS (SELECT rec, out + event_id % 3 * 4.0 AS t FROM mp WHERE event_id % 5 > 0), w AS (SELECT * FROM mp WHERE t < e - 500 AND s + 500 < t + 1e-9),
         n AS (SELECT rec, out, (SELECT arg_min(g.t - w.out, (abs(g.t - w.out), g.t)) FROM g WHERE g.rec = w.rec) AS d FROM w), f AS (SELECT rec, CASE WHEN abs(d) <= 6 THEN d END AS d FROM n)
         SELECT rec, count(*) AS markers, count(*) FILTER (d IS NULL) AS missing, round(arg_max(d, (abs(d), d)), 6) AS worst FROM f GROUP BY rec""",
-    "v9_carried": f"""WITH {_KW}, i AS (SELECT ev.rec, s AS range, event_id, t, CASE WHEN event_id % 9 = 0 THEN t - s + 1.0 ELSE t - s END AS ot FROM ev JOIN km ON km.rec = ev.rec AND t >= s AND t < e WHERE event_type = 'click'),
-        a AS (SELECT *, row_number() OVER (PARTITION BY rec, range ORDER BY t) AS i FROM i), f AS (SELECT rec, range, ot AS t1 FROM a WHERE i = 1), b AS (SELECT a.rec, a.range, ot, event_id AS h, row_number() OVER (PARTITION BY a.rec, a.range ORDER BY ot) AS i FROM a JOIN f USING (rec, range) WHERE ot >= t1),
-        m AS (SELECT a.rec, a.range, coalesce(b.h = a.event_id, false) AS ok, CASE WHEN b.h = a.event_id THEN b.ot - a.t END AS mv FROM a LEFT JOIN b USING (rec, range, i)), x AS (SELECT rec, range, count(*) AS rows, count(*) FILTER (ok) AS arrived, max(mv) - min(mv) AS drift FROM m GROUP BY rec, range)
-        SELECT rec, round(range, 6) AS range, rows, arrived, round(drift, 6) AS drift, rows = arrived AND coalesce(drift, 0) < 0.001 AS passed FROM x""",
+    "v9_carried": f"""WITH {_KW}, ck AS (SELECT rec, event_id AS h, t, floor(value / 20)::BIGINT AS z FROM ev WHERE event_type = 'click'), i AS (SELECT ck.rec, s AS range, h, z, t, CASE WHEN h % 9 = 0 AND ck.rec % 2 = 0 THEN t - s + 1.0 ELSE t - s END AS ot FROM ck JOIN km ON km.rec = ck.rec AND t >= s AND t < e),
+        fi AS (SELECT rec, range, arg_min(h, (ot, h)) AS h, arg_min(z, (ot, h)) AS z, min(ot) AS ot, floor(range)::BIGINT % 4 AS kind FROM i GROUP BY rec, range),
+        o AS (SELECT rec, range, h, z, ot FROM i UNION ALL SELECT rec, range, CASE WHEN kind = 3 THEN -1 ELSE h END, CASE WHEN kind = 2 THEN z + 1000 ELSE z END, ot - 0.5 FROM fi WHERE kind > 0),
+        b AS (SELECT *, row_number() OVER (PARTITION BY rec, range ORDER BY ot) AS j, EXISTS (SELECT 1 FROM ck WHERE ck.rec = o.rec AND ck.t < o.range AND ck.t >= o.range - 200000 AND ck.z = o.z) AS known FROM o),
+        a AS (SELECT *, row_number() OVER (PARTITION BY rec, range ORDER BY t) AS n FROM i),
+        c AS (SELECT rec, range, count(*) AS total, min(j) FILTER (NOT known) AS strange FROM b GROUP BY rec, range),
+        m AS (SELECT a.rec, a.range, x, coalesce(b.h = a.h AND b.z = a.z, false) AS ok, b.ot - a.t AS mv FROM a CROSS JOIN range(0, 5) r(x) LEFT JOIN b ON b.rec = a.rec AND b.range = a.range AND b.j = a.n + x),
+        g AS (SELECT rec, range, x, count(*) AS rows, count(*) FILTER (ok) AS arrived, max(mv) FILTER (ok) - min(mv) FILTER (ok) AS drift FROM m GROUP BY rec, range, x),
+        w AS (SELECT g.*, total, rows = arrived AND (strange IS NULL OR strange > x) AS told FROM g JOIN c USING (rec, range)), y AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY rec, range ORDER BY told DESC, arrived DESC, x) = 1)
+        SELECT rec, round(range, 6) AS range, rows, arrived, round(drift, 6) AS drift, told AND coalesce(drift, 0) < 0.001 AND total = rows + x AS passed FROM y""",
     "v10_fade": f"""WITH {EV}, s AS (SELECT rec, t AS seam FROM ev WHERE event_type = 'purchase'), j AS (SELECT s.rec, seam, t, -value / 10 AS db, abs(t - seam) AS d FROM s JOIN ev ON ev.rec = s.rec AND ev.t BETWEEN seam - 60000 AND seam + 60000),
         x AS (SELECT rec, seam, arg_min(db, (d, t, db)) AS at_seam, max(db) FILTER (d <= 20000) AS loudest, max(abs(db + 20)) FILTER (d > 30000) AS away FROM j GROUP BY rec, seam)
         SELECT rec, round(seam, 6) AS seam, round(at_seam, 6) AS at_seam, round(loudest, 6) AS loudest, round(away, 6) AS away, at_seam <= -30 AND coalesce(loudest, -30) <= -5 AND coalesce(away, 0) <= 18 AS passed FROM x""",
