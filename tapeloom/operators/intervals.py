@@ -181,13 +181,43 @@ def unwritten(seams: DataFrame, points: DataFrame, frame: float, key: Key = "rec
     return rows.select(*k, "start", F.coalesce("__point", "time").alias("end")).filter(F.col("end") - F.col("start") > eps)
 
 
-def mend_seams(seams: DataFrame, stretch_ends: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000) -> tuple[DataFrame, DataFrame]:
-    """(seams, points). A seam's `ends` moves back to the end of its stretch's last picture when that is more
-    than a quarter frame earlier; points from there up to the seam, which no picture follows, are dropped."""
+def mend_seams(seams: DataFrame, tails: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000, walked: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(seams, points), mended by what the stretch ahead of each seam ends with.
+
+    seams: seam, at (its byte), time, ends. tails, by seam: shown_end, where the last picture of the stretch ends; broken_from, the byte of
+    breakage; key_at and key_lead, byte and own lead of its last key picture; any may be null. points: t, pos, lead_start.
+    A seam's `ends` moves back to shown_end where that is more than a quarter frame earlier. Of points that were `walked`, not
+    read from a map, those of the stretch go that stand a quarter frame ahead of `ends` or later, that lie past the breakage, or that are
+    its last key picture with a lead over a quarter frame earlier than the key's own. Points past the last seam, and without a byte, stay.
+    """
+    k, short = keys(key), frame / 4
+    joined = seams.join(tails.select(*k, "seam", "shown_end", "broken_from", "key_at", "key_lead"), [*k, "seam"], "left")
+    early = F.col("ends") - F.col("shown_end") > short
+    mended = joined.withColumn("ends", F.when(early, F.col("shown_end")).otherwise(F.col("ends")))
+    out = mended.select(*seams.columns)
+    if not walked:
+        return out, points
+    begins = F.coalesce(F.lag("at").over(ordered(k, "at")), F.lit(0))
+    stretch = F.struct((F.col("ends") - short).alias("stop"), "broken_from", F.when(F.col("key_at") >= begins, F.col("key_at")).alias("key_at"), "key_lead")
+    told = mended.withColumn("tail", stretch).select(*k, F.col("at").alias("__at"), "tail")
+    rows = as_of(points, told, k, "pos", "__at", ["tail"], forward=True, strict=True)
+    leads = (F.col("pos") == F.col("tail.key_at")) & (F.col("lead_start") < F.col("tail.key_lead") - short)
+    gone = (F.col("pos") >= 0) & ((F.col("t") >= F.col("tail.stop")) | (F.col("pos") >= F.col("tail.broken_from")) | leads)
+    return out, rows.filter(~F.coalesce(gone, F.lit(False))).select(*points.columns)
+
+
+def replace_stretches(seams: DataFrame, points: DataFrame, firsts: DataFrame, fresh: DataFrame, key: Key = "rec", slack: float = 1.0) -> DataFrame:
+    """Points, those of a stretch replaced by `fresh` ones where its first claimed time is over `slack` seconds off.
+
+    A stretch runs from a seam's byte `at` to the next one's. firsts: seam and `first`, the time of the key picture at the
+    stretch's first byte; a stretch without it, or without fresh points (seam and points' columns), keeps its own. A stretch that claims none is replaced.
+    Points ahead of the first seam and without a byte stay.
+    """
     k = keys(key)
-    joined = seams.join(stretch_ends.select(*k, "seam", "shown_end"), [*k, "seam"], "left")
-    early = F.col("shown_end") < F.col("ends") - frame / 4
-    mended = joined.select(*k, "seam", "time", F.when(early, F.col("shown_end")).otherwise(F.col("ends")).alias("ends"))
-    dead = mended.select(*k, F.col("ends").alias("start"), F.col("time").alias("end"))
-    tiny = points.select(*points.columns, F.col("t").alias("start"), (F.col("t") + 1e-9).alias("end"))
-    return mended, overlap_anti(tiny, dead, k).drop("start", "end")
+    own = as_of(points, seams.select(*k, F.col("at").alias("__at"), F.col("seam").alias("__seam")), k, "pos", "__at", ["__seam"])
+    own = own.withColumn("__seam", F.when(F.col("pos") >= 0, F.col("__seam")))
+    claimed = own.filter("__seam IS NOT NULL").groupBy(*k, F.col("__seam").alias("seam")).agg(F.min("t").alias("claimed"))
+    off = firsts.filter("first IS NOT NULL").join(claimed, [*k, "seam"], "left").filter(F.col("claimed").isNull() | (F.abs(F.col("claimed") - F.col("first")) > slack))
+    off = off.join(fresh.select(*k, "seam").distinct(), [*k, "seam"], "left_semi").select(*k, "seam")
+    kept = own.join(off.withColumnRenamed("seam", "__seam"), [*k, "__seam"], "left_anti").select(*points.columns)
+    return kept.unionByName(fresh.join(off, [*k, "seam"], "left_semi").select(*points.columns))

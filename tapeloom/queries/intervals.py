@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import as_of
 from ..operators import intervals as iv
 from .common import EV, IV, SPAN, events, merged, r, spans
 
@@ -99,15 +100,33 @@ def i11_unwritten(spark, sf):
     return iv.unwritten(seams, _kind(ev, "view"), frame=8000.0).select("rec", r("start"), r("end"))
 
 
-def i12_mend(spark, sf):
+def _stretches(spark, sf):
+    """Seams at errors, which end the stretches ahead of them, and points at views; ids are bytes."""
     ev = events(spark, sf)
-    seams = _kind(ev, "error").select("rec", F.col("event_id").alias("seam"), F.col("t").alias("time"), (F.col("t") - 5).alias("ends"))
-    shown = _kind(ev, "error").select("rec", F.col("event_id").alias("seam"), (F.col("t") - F.col("value") * SPAN).alias("shown_end"))
-    mended, points = iv.mend_seams(seams, shown, _kind(ev, "view").select("rec", "event_id", "t"), frame=10.0)
-    return mended.select("rec", F.lit("seam").alias("what"), F.col("seam").alias("id"), r("ends")).unionByName(points.select("rec", F.lit("point").alias("what"), F.col("event_id").alias("id"), r("t").alias("ends")))
+    seams = _kind(ev, "error").select("rec", F.col("event_id").alias("seam"), F.col("event_id").alias("at"), F.col("t").alias("time"), (F.col("t") - 5).alias("ends"))
+    points = _kind(ev, "view").select("rec", F.when(F.col("event_id") % 13 == 0, -1).otherwise(F.col("event_id")).alias("pos"), "t", (F.col("t") - F.col("value") * 5).alias("lead_start"), "event_id")
+    return ev, seams, points
+
+
+def i12_mend(spark, sf):
+    """Walked points: some past the last picture's end, some past breakage, some last keys with a foreign lead."""
+    ev, seams, points = _stretches(spark, sf)
+    last = as_of(_kind(ev, "error").select("rec", "event_id", "t", "value"), points.filter("pos >= 0").select("rec", F.col("pos").alias("key_at"), F.col("t").alias("kt")).withColumn("at", F.col("key_at")), "rec", "event_id", "at", ["key_at", "kt"], strict=True)
+    tails = last.select("rec", F.col("event_id").alias("seam"), F.when(F.col("event_id") % 4 > 0, F.col("t") - F.col("value") * SPAN).alias("shown_end"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") - 400).alias("broken_from"), "key_at", (F.col("kt") - 150.0).alias("key_lead"))
+    mended, kept = iv.mend_seams(seams, tails, points, frame=10.0)
+    return mended.select("rec", F.lit("seam").alias("what"), F.col("seam").alias("id"), r("ends")).unionByName(kept.select("rec", F.lit("point").alias("what"), F.col("event_id").alias("id"), r("t").alias("ends")))
+
+
+def i12_replace(spark, sf):
+    """Points of stretches whose first claimed time is off, by clicks; a third of the stretches have no time of their own, some no clicks."""
+    ev, seams, points = _stretches(spark, sf)
+    following = as_of(seams.select("rec", "seam"), points.filter("pos >= 0").select("rec", F.col("t").alias("first"), F.col("pos").alias("at")), "rec", "seam", "at", ["first"], forward=True)
+    firsts = following.select("rec", "seam", F.when(F.col("seam") % 3 > 0, F.col("first") + F.when(F.col("seam") % 3 == 1, 1.5).otherwise(0.5)).alias("first"))
+    clicks = as_of(_kind(ev, "click").select("rec", F.col("event_id").alias("pos"), "t", F.col("t").alias("lead_start"), "event_id"), seams.select("rec", F.col("at"), "seam"), "rec", "pos", "at", ["seam"])
+    return iv.replace_stretches(seams, points, firsts, clicks.filter("seam IS NOT NULL")).select("rec", "event_id", "pos", r("t"))
 
 
-QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i9_clip, i9_place, i10_clock, i11_seams, i11_unwritten, i12_mend]
+QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i9_clip, i9_place, i10_clock, i11_seams, i11_unwritten, i12_mend, i12_replace]
 
 _KEEPS = "SELECT rec, s, e FROM iv WHERE event_type IN ('view', 'click', 'signup')"
 _DEPTH = f"""st AS (
@@ -167,7 +186,15 @@ ORACLE = {
         pc AS (SELECT rec, x0, coalesce(lead(ends) OVER w, lead(x0) OVER w, e) AS stop, row_number() OVER w > 1 AS past FROM mk WINDOW w AS (PARTITION BY rec, s, e ORDER BY x0)),
         f AS (SELECT *, (SELECT min(t) FROM p WHERE p.rec = pc.rec AND p.t >= pc.x0) AS fp FROM pc)
         SELECT rec, round(CASE WHEN past THEN fp ELSE x0 END, 6) AS start, round(stop, 6) AS "end" FROM f WHERE fp < stop""",
-    "i12_mend": f"""WITH {EV}, s AS (SELECT rec, event_id, t, CASE WHEN t - value * {SPAN} < t - 5 - 2.5 THEN t - value * {SPAN} ELSE t - 5 END AS ends FROM ev WHERE event_type = 'error')
+    "i12_mend": f"""WITH {EV}, p AS (SELECT rec, event_id, CASE WHEN event_id % 13 = 0 THEN -1 ELSE event_id END AS pos, t, t - value * 5 AS ls FROM ev WHERE event_type = 'view'), e AS (SELECT *, coalesce(lag(event_id) OVER (PARTITION BY rec ORDER BY event_id), 0) AS lo FROM ev WHERE event_type = 'error'),
+        s AS (SELECT e.rec, e.event_id, lo, CASE WHEN e.event_id % 4 > 0 AND e.t - 5 - (e.t - e.value * {SPAN}) > 2.5 THEN e.t - e.value * {SPAN} ELSE e.t - 5 END AS ends, CASE WHEN e.event_id % 5 = 0 THEN e.event_id - 400 END AS broken,
+            max(p.pos) AS ka, max(p.t) - 150 AS kl FROM e LEFT JOIN p ON p.rec = e.rec AND p.pos >= 0 AND p.pos < e.event_id GROUP BY ALL)
         SELECT rec, 'seam' AS what, event_id AS id, round(ends, 6) AS ends FROM s UNION ALL
-        SELECT rec, 'point', event_id, round(t, 6) FROM ev v WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM s WHERE s.rec = v.rec AND v.t < s.t AND s.ends < v.t + 1e-9)""",
+        SELECT rec, 'point', event_id, round(t, 6) FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.rec = p.rec AND p.pos >= 0 AND p.pos >= s.lo AND p.pos < s.event_id AND (p.t >= s.ends - 2.5 OR p.pos >= s.broken OR (s.ka >= s.lo AND p.pos = s.ka AND p.ls < s.kl - 2.5)))""",
+    "i12_replace": f"""WITH {EV}, p AS (SELECT rec, event_id, CASE WHEN event_id % 13 = 0 THEN -1 ELSE event_id END AS pos, t FROM ev WHERE event_type = 'view'), e AS (SELECT rec, event_id AS seam, coalesce(lead(event_id) OVER (PARTITION BY rec ORDER BY event_id), 1000000000) AS hi FROM ev WHERE event_type = 'error'),
+        c AS (SELECT rec, event_id, event_id AS pos, t FROM ev WHERE event_type = 'click'),
+        o AS (SELECT * FROM e WHERE seam % 3 > 0 AND (SELECT arg_min(t, pos) FROM p WHERE p.rec = e.rec AND pos >= seam) IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.rec = e.rec AND c.pos >= seam AND c.pos < hi)
+            AND coalesce(abs((SELECT min(t) FROM p WHERE p.rec = e.rec AND pos >= seam AND pos < hi) - (SELECT arg_min(t, pos) FROM p WHERE p.rec = e.rec AND pos >= seam) - CASE WHEN seam % 3 = 1 THEN 1.5 ELSE 0.5 END) > 1, true))
+        SELECT rec, event_id, pos, round(t, 6) AS t FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rec = p.rec AND pos >= seam AND pos < hi) UNION ALL
+        SELECT rec, event_id, pos, round(t, 6) FROM c WHERE EXISTS (SELECT 1 FROM o WHERE o.rec = c.rec AND pos >= seam AND pos < hi)""",
 }
