@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, keys
+from .intervals import clock_per_written
 
 #: Bytes that the discs hold.
 DISCS = (("BD-R/RE 25GB", 25025314816), ("BD-R/RE DL 50GB", 50050629632), ("BD-R XL 100GB", 100103356416), ("BD-R XL 128GB", 128001769472))
@@ -41,14 +42,20 @@ def _own_rate(tracks: DataFrame) -> Column:
     return audio_rate(c("codec"), c("rate"), c("channels"), c("sample_rate"), c("bits"), c("clock") if "clock" in tracks.columns else None)
 
 
-def rates(recordings: DataFrame, tracks: DataFrame, key: Key = "rec") -> DataFrame:
+def rates(recordings: DataFrame, tracks: DataFrame, key: Key = "rec", holes: DataFrame | None = None) -> DataFrame:
     """Video and audio bits a second of each recording; without a measured picture rate, nine tenths of the file's.
 
-    tracks: codec, rate, channels, sample_rate, bits and, where known, clock (ticks a second).
+    tracks: codec, rate, channels, sample_rate, bits and, where known, clock (ticks a second). Bytes are measured over the whole
+    clock, but only written seconds are kept: with holes (start, end), the stretches of the clock that nothing was written in, and
+    recordings' `duration`, picture rates are of a written second (I10). Sound has its own clock.
     """
     k = keys(key)
+    if holes is not None:
+        recordings = recordings.join(clock_per_written(holes, recordings, k), k, "left")
     sound = tracks.groupBy(*k).agg(F.sum(_own_rate(tracks)).alias("audio"))
     video = F.when(F.col("video_rate") > 0, F.col("video_rate")).otherwise(F.col("file_rate") * 0.9)
+    if holes is not None:
+        video = video * F.coalesce("ratio", F.lit(1.0))
     return recordings.join(sound, k, "left").select(*k, video.alias("video"), F.coalesce("audio", F.lit(0.0)).alias("audio"), (F.col("codec") == "mpeg2video").alias("can_shrink"))
 
 

@@ -104,24 +104,32 @@ def grid_before(t: Column, anchor: Column, frame: Column, early: float = 0.0) ->
     return anchor + F.floor((t + early - anchor) / frame + 1e-9) * frame
 
 
-def snap_intervals(cuts: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000, early: float = 512 / 90000, seams: DataFrame | None = None) -> DataFrame:
+def snap_intervals(cuts: DataFrame, points: DataFrame, key: Key = "rec", frame: float = 1001 / 30000, early: float = 512 / 90000, seams: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """I8: start up to the next picture (within `early` of one counts as on it), end down to the current one; then merged.
 
     The picture grid runs from the nearest point at or before the bound; without one the bound stays. With seams
     (time) it runs from the nearest point since the last seam, and a bound ahead of every point of its stretch
-    goes to the first point on; one at 0 or below stays, and intervals that come out empty are dropped.
+    goes to the first point on; one at 0 or below stays, and intervals that come out empty are dropped. With bounds
+    (duration) a bound at or past the recording's end stays too, and none goes beyond it; where no duration is told there is no end.
     """
     k = keys(key)
     slack = 0.0 if seams is None else frame / 100
     fd = F.lit(float(frame))
-    rows = anchored(cuts.select(*k, "start", "end"), points, k, "start", seams, slack).withColumnsRenamed({"anchor": "sa", "following": "sf"})
+    rows = cuts.select(*k, "start", "end")
+    rows = rows.withColumn("__until", F.lit(None).cast("double")) if bounds is None else rows.join(bounds.select(*k, F.col("duration").cast("double").alias("__until")), k, "left")
+    rows = anchored(rows, points, k, "start", seams, slack).withColumnsRenamed({"anchor": "sa", "following": "sf"})
     rows = anchored(rows, points, k, "end", seams, slack).withColumnsRenamed({"anchor": "ea", "following": "ef"})
     steps = F.ceil((F.col("start") - early - slack - F.col("sa")) / fd - 1e-9)
     up = F.col("sa") + (steps if seams is None else F.greatest(steps, F.lit(0))) * fd
     down = grid_before(F.col("end"), F.col("ea"), fd, slack)
     if seams is not None:
         up, down = F.when(F.col("start") > 0, F.coalesce(up, "sf")), F.when(F.col("end") > 0, F.coalesce(F.greatest(down, F.col("ea")), "ef"))
-    snapped = rows.select(*k, F.coalesce(up, F.col("start")).alias("start"), F.coalesce(down, F.col("end")).alias("end"))
+
+    def held(side: str, moved: Column) -> Column:
+        inside = F.col("__until").isNull() | (F.col(side) < F.col("__until"))
+        return F.when(inside, F.least(F.coalesce(moved, F.col(side)), "__until")).otherwise(F.col(side)).alias(side)
+
+    snapped = rows.select(*k, held("start", up), held("end", down))
     return merge_intervals(snapped if seams is None else snapped.filter("end > start"), k)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +98,21 @@ def best_lag(a: DataFrame, b: DataFrame, key: Key = "rec", pos: str = "bucket",
     xs = x.select(*k, "__p", "x", number(F.col("__p")).alias("__b"))
     ys = y.select(*[F.col(c).alias(c) for c in k], F.col("__p").alias("__p"), "y", F.explode(F.sequence(number(F.col("__p") - search), number(F.col("__p") + search))).alias("__b"))
 
-    def products(group: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(other):
-            return pd.DataFrame({c: [] for c in [*k, "lag", "dot"]})
-        lo = int(group[-1]) * block
+    kinds = a.select(*k).schema
+    named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+
+    def products(group: tuple[pa.Scalar, ...], own: pa.Table, other: pa.Table) -> pa.Table:
+        lo, n = group[-1].as_py() * block, 2 * search + 1
         size = 1 << (2 * block + 2 * search - 1).bit_length()
         left, right = np.zeros(size), np.zeros(size)
-        left[own["__p"].to_numpy() - lo] = own["x"].to_numpy()
-        right[other["__p"].to_numpy() - lo + search] = other["y"].to_numpy()
-        dots = np.fft.irfft(np.conj(np.fft.rfft(left)) * np.fft.rfft(right), size)[: 2 * search + 1]
-        return pd.DataFrame({**dict(zip(k, group[:-1], strict=True)), "lag": np.arange(-search, search + 1), "dot": dots})
-
-    named = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in k)
-    dots = xs.groupBy(*k, "__b").cogroup(ys.groupBy(*k, "__b")).applyInPandas(products, f"{named}, lag long, dot double")
+        left[own.column("__p").to_numpy() - lo] = own.column("x").to_numpy()
+        right[other.column("__p").to_numpy() - lo + search] = other.column("y").to_numpy()
+        n = n if len(own) and len(other) else 0
+        dots = np.fft.irfft(np.conj(np.fft.rfft(left)) * np.fft.rfft(right), size)[:n] if n else []
+        keyed = [pa.array([g.as_py()] * n, g.type) for g in group[:-1]]
+        return pa.Table.from_arrays([*keyed, pa.array(range(-search, n - search), pa.int64()), pa.array(dots, pa.float64())], [*k, "lag", "dot"])
+
+    dots = xs.groupBy(*k, "__b").cogroup(ys.groupBy(*k, "__b")).applyInArrow(products, f"{named}, lag long, dot double")
     whole_in = (F.col("__lo_x") + F.col("lag") >= F.col("__lo_y")) & (F.col("__hi_x") + F.col("lag") <= F.col("__hi_y"))
     tried = dots.groupBy(*k, "lag").agg(F.sum("dot").alias("dot")).join(ranges, k).filter(whole_in)
     best = tried.groupBy(*k).agg(F.min(F.struct((-F.round("dot", 6)).alias("c"), F.abs("lag").alias("d"), "lag"))["lag"].alias("lag"))

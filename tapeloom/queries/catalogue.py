@@ -42,6 +42,14 @@ def c1_rates(spark, sf):
     return cap.rates(recs, _tracks(spark, sf)).select("rec", r("video"), r("audio"), "can_shrink")
 
 
+def c1_holes(spark, sf):
+    """Rates of recordings of a thousand seconds, of which each line of an order leaves some unwritten; some have no length."""
+    o = table(spark, sf, "orders")
+    recs = o.select(F.col("o_orderkey").alias("rec"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("video_rate"), (F.col("o_totalprice") * 2).alias("file_rate"), F.lit("h264").alias("codec"), F.when(F.col("o_orderkey") % 9 == 0, 0.0).otherwise(1000.0).alias("duration"))
+    holes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rec"), (F.col("l_linenumber") * 150.0 - 200).alias("start"), (F.col("l_linenumber") * 150.0 - 200 + F.col("l_quantity") * 5).alias("end"))
+    return cap.rates(recs, _tracks(spark, sf), holes=holes).select("rec", r("video"), r("audio"))
+
+
 def c1_as_written(spark, sf):
     return cap.rates_as_written(_tracks(spark, sf)).select("rec", r("audio"))
 
@@ -267,7 +275,7 @@ def v10_fade(spark, sf):
     return v.fade_envelope_check(levels, seams, quiet=-30.0, burst=-5.0, near=20000.0, outside=18.0, bucket=130000.0).select("rec", r("seam"), r("at_seam"), r("loudest"), r("away"), "passed")
 
 
-QUERIES = [c1_rates, c1_as_written, c1_as_written_ts, c2_estimate_disc, c2_estimate_file, c3_fit, c3_disc_holds, m1_series_title, m2_shared_title, m3_channel, m4_began, m5_latest_sections, m6_summary, m6_events_at, m6_own_schedule, m7_sound_names, m8_conform, m8_tracks, m9_actions, m10_container, m11_selection, m12_marks, v1_align, v2_report, v3_psnr, v4_after_damage, v5_track_length, v6_kept_fits, v7_best_lag, v8_markers, v9_carried, v10_fade, v10_quietest]
+QUERIES = [c1_rates, c1_holes, c1_as_written, c1_as_written_ts, c2_estimate_disc, c2_estimate_file, c3_fit, c3_disc_holds, m1_series_title, m2_shared_title, m3_channel, m4_began, m5_latest_sections, m6_summary, m6_events_at, m6_own_schedule, m7_sound_names, m8_conform, m8_tracks, m9_actions, m10_container, m11_selection, m12_marks, v1_align, v2_report, v3_psnr, v4_after_damage, v5_track_length, v6_kept_fits, v7_best_lag, v8_markers, v9_carried, v10_fade, v10_quietest]
 
 def _per(codec: str) -> str:
     return f"CASE {codec} WHEN 'aac' THEN 96000 WHEN 'aac_latm' THEN 96000 WHEN 'ac3' THEN 96000 WHEN 'mp2' THEN 128000 WHEN 'flac' THEN 400000 WHEN 'dts' THEN 256000 ELSE 0 END"
@@ -315,6 +323,10 @@ _KW = EV + """, wd AS (SELECT rec, t AS s, t + 80000 AS e FROM ev WHERE event_ty
 ORACLE = {
     "c1_rates": f"""WITH {_TR} SELECT o_orderkey AS rec, round(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 0 THEN o_totalprice ELSE o_totalprice * 2 * 0.9 END, 6) AS video, round(coalesce(a, 0), 6) AS audio, o_custkey % 2 = 0 AS can_shrink
         FROM orders LEFT JOIN (SELECT rec, sum(own) AS a FROM tr GROUP BY rec) x ON x.rec = o_orderkey""",
+    "c1_holes": f"""WITH {_TR}, h AS (SELECT l_orderkey AS rec, greatest(l_linenumber * 150 - 200, 0)::DOUBLE AS s, least(l_linenumber * 150 - 200 + l_quantity * 5, 1000)::DOUBLE AS e FROM lineitem),
+        g AS (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h WHERE e > s), l AS (SELECT rec, sum(greatest(e - greatest(s, coalesce(reach, s)), 0)) AS lost FROM g GROUP BY rec)
+        SELECT o_orderkey AS rec, round(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 0 THEN o_totalprice ELSE o_totalprice * 2 * 0.9 END * CASE WHEN o_orderkey % 9 > 0 AND lost < 1000 THEN 1000 / (1000 - lost) ELSE 1 END, 6) AS video, round(coalesce(a, 0), 6) AS audio
+        FROM orders LEFT JOIN (SELECT rec, sum(own) AS a FROM tr GROUP BY rec) x ON x.rec = o_orderkey LEFT JOIN l ON l.rec = o_orderkey""",
     "c1_as_written": _written(False),
     "c1_as_written_ts": _written(True),
     "c3_disc_holds": """WITH p AS (SELECT p_partkey, floor(p_retailprice * 1000000)::BIGINT AS c, p_size % 2 = 0 AS image FROM part)

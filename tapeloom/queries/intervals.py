@@ -67,6 +67,14 @@ def i8_snap(spark, sf):
     return iv.snap_intervals(_kind(spans(ev), "purchase"), _kind(ev, "view"), frame=1000.0, early=5.0).select("rec", r("start", 3), r("end", 3))
 
 
+def i8_bounded(spark, sf):
+    """Intervals on the grid since the last seam, where a recording ends ahead of its last events."""
+    ev = events(spark, sf)
+    bounds = ev.groupBy("rec").agg((F.max("t") * F.when(F.col("rec") % 3 > 0, 0.6)).alias("duration"))
+    found = iv.snap_intervals(_kind(spans(ev), "purchase"), _kind(ev, "view"), frame=1000.0, early=5.0, seams=_kind(ev, "error").select("rec", F.col("t").alias("time")), bounds=bounds)
+    return found.select("rec", r("start", 3), r("end", 3))
+
+
 def i9_clip(spark, sf):
     s = spans(events(spark, sf))
     windows = _kind(s, "purchase").select("rec", "start", "end", (-F.col("start")).alias("shift"))
@@ -126,7 +134,7 @@ def i12_replace(spark, sf):
     return iv.replace_stretches(seams, points, firsts, clicks.filter("seam IS NOT NULL")).select("rec", "event_id", "pos", r("t"))
 
 
-QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i9_clip, i9_place, i10_clock, i11_seams, i11_unwritten, i12_mend, i12_replace]
+QUERIES = [i1_merge, i2_complement, i3_subtract, i4_covered, i5_semi, i5_anti, i6_kept, i7_unplayed, i8_snap, i8_bounded, i9_clip, i9_place, i10_clock, i11_seams, i11_unwritten, i12_mend, i12_replace]
 
 _KEEPS = "SELECT rec, s, e FROM iv WHERE event_type IN ('view', 'click', 'signup')"
 _DEPTH = f"""st AS (
@@ -170,6 +178,13 @@ ORACLE = {
         n AS (SELECT c.*, (SELECT max(t) FROM p WHERE p.rec = c.rec AND t <= c.s) AS sa, (SELECT max(t) FROM p WHERE p.rec = c.rec AND t <= c.e) AS ea FROM c),
         sn AS (SELECT rec, coalesce(sa + ceil((s - 5 - sa) / 1000 - 1e-9) * 1000, s) AS s, coalesce(ea + floor((e - ea) / 1000 + 1e-9) * 1000, e) AS e FROM n),
         {merged('m', 'sn')} SELECT rec, round(s, 3) AS start, round(e, 3) AS "end" FROM m""",
+    "i8_bounded": f"""WITH {IV}, p AS (SELECT rec, t FROM ev WHERE event_type = 'view'), sm AS (SELECT rec, t FROM ev WHERE event_type = 'error'), c AS (SELECT rec, s, e FROM iv WHERE event_type = 'purchase'),
+        b AS (SELECT rec, CASE WHEN rec % 3 > 0 THEN max(t) * 0.6 END AS d FROM ev GROUP BY rec), x AS (SELECT rec, s AS x0, true AS up FROM c UNION SELECT rec, e, false FROM c),
+        y AS (SELECT x.*, d, (SELECT max(t) FROM p WHERE p.rec = x.rec AND t <= x0 + 10) AS a, (SELECT max(t) FROM sm WHERE sm.rec = x.rec AND t <= x0 + 10) AS since, (SELECT min(t) FROM p WHERE p.rec = x.rec AND t >= x0 - 10) AS nxt FROM x JOIN b USING (rec)),
+        z AS (SELECT rec, x0, up, CASE WHEN x0 <= 0 OR x0 >= coalesce(d, 1e300) THEN x0 ELSE least(CASE WHEN a IS NULL OR a < coalesce(since, -1e300) - 10 THEN coalesce(nxt, x0)
+            WHEN up THEN a + greatest(ceil((x0 - a - 5 - 10) / 1000 - 1e-9), 0) * 1000 ELSE a + greatest(floor((x0 - a + 10) / 1000 + 1e-9), 0) * 1000 END, coalesce(d, 1e300)) END AS o FROM y),
+        sn AS (SELECT c.rec, u.o AS s, v.o AS e FROM c JOIN z u ON u.rec = c.rec AND u.x0 = c.s AND u.up JOIN z v ON v.rec = c.rec AND v.x0 = c.e AND NOT v.up WHERE v.o > u.o),
+        {merged('m', 'sn')} SELECT rec, round(s, 3) AS start, round(e, 3) AS "end" FROM m""",
     "i9_clip": f"""WITH {IV} SELECT a.rec, a.event_id, round(greatest(a.s, o.s) - o.s, 6) AS start, round(least(a.e, o.e) - o.s, 6) AS "end"
         FROM iv a JOIN iv o ON {_OVER} WHERE a.event_type = 'view' AND o.event_type = 'purchase'""",
     "i9_place": f"""WITH {EV}, c AS (SELECT rec, event_id, t, t + (value - 200) / 5 AS own FROM ev)
