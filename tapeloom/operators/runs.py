@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -230,19 +232,50 @@ def largest_cluster(points: DataFrame, key: Key = "rec", reach: int = 3) -> Data
     return sized.join(best, [*k, "label"]).select(*k, "x", "y", "n")
 
 
+#: Pictures of a chunk in which rolling means are taken; a chunk also holds the pictures just ahead of it that its first means need.
+CHUNK = 512
+
+
+def rolling_means(df: DataFrame, ring: int, key: Key = "rec", t: str = "t", vec: str = "vec", chunk: int = CHUNK) -> DataFrame:
+    """(key, t, mean) of each row: the means of its vector's elements over up to `ring` rows up to it.
+
+    Pictures are numbered, and chunks of them go to tasks of their own with the ring - 1 pictures ahead; whole vectors are summed there, so
+    that no sample becomes a row. Vectors of a key are of one length.
+    """
+    k, n = keys(key), max(chunk, ring)
+    rows = df.select(*k, t, F.col(vec).cast("array<double>").alias("vec")).withColumn("__n", F.row_number().over(ordered(k, t)) - 1)
+    own = F.floor(F.col("__n") / n)
+    halo = F.when(F.col("__n") % n > n - ring, F.array(own, own + 1)).otherwise(F.array(own))
+    parts = rows.select(*k, t, "vec", "__n", F.explode(halo).alias("__chunk"))
+
+    def means(group: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.sort_by("__n")
+        number = part.column("__n").to_numpy()
+        flat = part.column("vec").combine_chunks()
+        flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+        vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
+        total = vectors.copy()
+        for back in range(1, min(ring, len(number))):
+            total[back:] += vectors[:-back]
+        mean = total / np.minimum(np.arange(1, len(number) + 1), ring)[:, None]
+        keep = np.flatnonzero(number // n == group[-1].as_py())
+        ends = np.arange(len(keep) + 1, dtype=np.int32) * mean.shape[1]
+        return part.select([*k, t]).take(pa.array(keep)).append_column("mean", pa.ListArray.from_arrays(pa.array(ends), pa.array(mean[keep].ravel())))
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*k, t])
+    return parts.groupBy(*k, "__chunk").applyInArrow(means, f"{kinds}, mean array<double>")
+
+
 def template_score(df: DataFrame, templates: DataFrame, w: int, h: int, ring: int, key: Key = "rec", t: str = "t", vec: str = "vec") -> DataFrame:
     """Cosine of each row's rolling mean (of up to `ring` rows) with the template on its mask, after highpass.
 
     templates: key, template (highpassed), mask (indices). 0 where either norm is 0.
     """
     k = keys(key)
-    cells = df.select(*k, t, F.posexplode(vec).alias("i", "v"))
-    rolling = F.avg(F.col("v").cast("double")).over(ordered([*k, "i"], t).rowsBetween(-(ring - 1), 0))
-    means = cells.withColumn("m", rolling).groupBy(*k, t).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
-    rows = means.join(templates, k).withColumn("hp", highpass(F.col("mean"), w, h))
-    total = lambda f: F.aggregate("mask", F.lit(0.0), lambda s, i: s + f(i))
+    rows = rolling_means(df, ring, k, t, vec).join(templates, k).withColumn("hp", highpass(F.col("mean"), w, h))
+    total_ = lambda f: F.aggregate("mask", F.lit(0.0), lambda s, i: s + f(i))
     a, b = lambda i: F.get("hp", i), lambda i: F.get("template", i)
-    rows = rows.select(*k, t, total(lambda i: a(i) * b(i)).alias("ab"), total(lambda i: a(i) * a(i)).alias("aa"), total(lambda i: b(i) * b(i)).alias("bb"))
+    rows = rows.select(*k, t, total_(lambda i: a(i) * b(i)).alias("ab"), total_(lambda i: a(i) * a(i)).alias("aa"), total_(lambda i: b(i) * b(i)).alias("bb"))
     return rows.select(*k, t, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("score"))
 
 

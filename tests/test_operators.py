@@ -428,3 +428,16 @@ def test_blocks_at_an_edge_have_no_odd_length(spark):
     truth = spark.createDataFrame([("a", 500.0, 560.0, False)], "rec string, start double, end double, grey boolean")
     blocks = spark.createDataFrame([("a", 1.0, 48.0), ("b", 1.6, 48.6), ("c", 951.0, 998.6), ("c", 900.0, 947.0), ("b", 600.0, 660.2)], "rec string, start double, end double")
     assert got(breaks.score_breaks(blocks, truth, bounds).select("rec", "odd"), "rec") == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_rolling_means_in_chunks_equal_plain_ones(spark):
+    rng = random.Random(8)
+    vectors = {k: [[rng.random() for _ in range(6)] for _ in range(n)] for k, n in (("a", 1), ("b", 40), ("c", 37))}
+    df = spark.createDataFrame([(k, float(i), v) for k, vs in vectors.items() for i, v in enumerate(vs)], "rec string, t double, vec array<double>")
+    for ring, chunk in ((1, 5), (4, 5), (9, 8), (64, 7)):
+        found = {(r["rec"], r["t"]): r["mean"] for r in runs.rolling_means(df, ring, chunk=chunk).collect()}
+        assert len(found) == 78
+        for k, vs in vectors.items():
+            for i in range(len(vs)):
+                part = vs[max(0, i - ring + 1) : i + 1]
+                assert found[k, float(i)] == pytest.approx([sum(c) / len(part) for c in zip(*part, strict=True)])
