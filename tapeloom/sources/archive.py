@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,28 +141,20 @@ def _crc_table() -> np.ndarray:
 _CRC32 = _crc_table()
 
 
-def _section_crc(data: pd.Series) -> pd.Series:
-    """Checksums of all sections at once, a byte of each in a step; the longest go first, so that a step's rows are the front."""
-    raw = [b or b"" for b in data]
-    length = np.array([len(b) for b in raw], np.int64)
-    out = np.full(len(raw), 0xFFFFFFFF, np.uint32)
-    order = np.argsort(-length, kind="stable")
-    for lo in range(0, len(order), 1024):
-        rows = order[lo : lo + 1024]
-        columns = np.zeros((int(length[rows[0]]), len(rows)), np.uint8)
-        for i, r in enumerate(rows):
-            columns[: length[r], i] = np.frombuffer(raw[r], np.uint8)
-        live = np.searchsorted(-length[rows], -np.arange(1, len(columns) + 1), side="right")
-        c = out[rows]
-        for byte, n in zip(columns, live, strict=True):
-            c[:n] = c[:n] << 8 ^ _CRC32[c[:n] >> 24 ^ byte[:n]]
-        out[rows] = c
-    return pd.Series(out.astype(np.int64)).astype("Int64").mask(data.isna().to_numpy())
+def _number(raw: Column, at: Column | int, n: int) -> Column:
+    """The unsigned number in n bytes from a place (from 0) of a binary column on."""
+    i = F.lit(at) if isinstance(at, int) else at
+    return F.conv(F.hex(F.substring(raw, i + 1, F.lit(n))), 16, 10).cast("long")
 
 
 def crc32_mpeg2(section: str | Column) -> Column:
-    """The checksum of a table section: 0 over a whole section with its own checksum."""
-    return F.pandas_udf(_section_crc, "long")(section)
+    """The checksum of a table section: 0 over a whole section with its own checksum; a table's lookup for each byte, in columns."""
+    digits = F.hex(F.col(section) if isinstance(section, str) else section)
+    table = F.array(*[F.lit(int(v)) for v in _CRC32])
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    fold = lambda c, i: F.shiftleft(c, 8).bitwiseAND(0xFFFFFFFF).bitwiseXOR(F.get(table, F.shiftright(c, 24).bitwiseXOR(byte(i)).cast("int")))
+    n = F.length(digits) / 2
+    return F.when(n == 0, 0xFFFFFFFF).otherwise(F.aggregate(F.sequence(F.lit(0), n.cast("int") - 1), F.lit(0xFFFFFFFF), fold))
 
 
 def sections_from_packets(packets: DataFrame, pid: int, key: Key = "rec", checked: tuple[int, int] = (0x00, 0x6F)) -> DataFrame:
@@ -182,18 +173,24 @@ def sections_from_packets(packets: DataFrame, pid: int, key: Key = "rec", checke
     units = parts.groupBy(*k, "unit").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "part", "data"))).alias("ps"))
     # bytes travel as Latin-1 characters, which one call can join
     units = units.withColumn("data", F.encode(F.array_join(F.transform("ps", lambda x: F.decode(x["data"], "ISO-8859-1")), ""), "ISO-8859-1"))
-    # lengths are walked natively: each step notes a section's place and goes on behind it
-    length = lambda at: F.shiftleft(_byte(F.col("data"), at + 1).bitwiseAND(0x0F), 8) + _byte(F.col("data"), at + 2) + 3
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,len:bigint>>").alias("found"))
+    # lengths are walked in columns: each step notes a section's place and goes on behind it; past the last one, steps only count
+    size = F.octet_length("data").cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,table_id:bigint,len:bigint>>").alias("found"))
 
     def walk(s: Column, _: Column) -> Column:
-        size = F.when((s["at"] + 3 <= F.octet_length("data")) & (_byte(F.col("data"), s["at"].cast("int")) != 0xFF), length(s["at"].cast("int")))
-        ok = size.isNotNull() & (s["at"] + size <= F.octet_length("data"))
-        return F.when(ok, F.struct((s["at"] + size).alias("at"), F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), size.alias("len")))).alias("found"))).otherwise(s)
+        header = _number(F.col("data"), s["at"].cast("int"), 3)
+
+        def noted(h: Column) -> Column:
+            own, n = F.shiftright(h, 16), h.bitwiseAND(0x0FFF) + 3
+            held = F.struct((s["at"] + n).alias("at"), F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), own.alias("table_id"), n.alias("len")))).alias("found"))
+            return F.when((own != 0xFF) & (s["at"] + n <= size), held).otherwise(F.struct(size.alias("at"), s["found"].alias("found")))
+
+        # the header is read once a step, by a transform of an array of one
+        return F.when(s["at"] + 3 > size, s).otherwise(F.get(F.transform(F.array(header), noted), 0))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.octet_length("data") / 3).cast("int")))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 3).cast("int")))
     cut = units.select(*k, "seq", "data", F.explode(F.aggregate(steps, zero, walk)["found"]).alias("f"))
-    out = cut.select(*k, "seq", _byte(F.col("data"), F.col("f.at").cast("int")).alias("table_id"), F.substring("data", F.col("f.at").cast("int") + 1, F.col("f.len").cast("int")).alias("section"))
+    out = cut.select(*k, "seq", "f.table_id", F.substring("data", F.col("f.at").cast("int") + 1, F.col("f.len").cast("int")).alias("section"))
     guarded = F.when(F.col("table_id").between(*checked), F.col("section"))
-    return out.withColumn("__crc", crc32_mpeg2(guarded)).filter("__crc IS NULL OR __crc = 0").drop("__crc")
+    return out.filter(F.coalesce(crc32_mpeg2(guarded), F.lit(0).cast("long")) == 0)
 
