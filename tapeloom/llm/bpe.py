@@ -46,31 +46,31 @@ SELECT word, arg_min(toks, len(toks)) AS toks FROM state GROUP BY word ORDER BY
 """
 #: The same contractions for long words, many in a step. {reach} is the length of the longest token within the words. A pair may go
 #: ahead of its turn where no pair up to {reach} places off ranks lower: what is contracted before its turn ranks lower too, and would have
-#: to grow over all those places, into a longer token than there is, to touch it. Pairs of equal rank go from the left: of adjacent
-#: ones every other, in a row that no lower pair is near; and none up to {reach} places behind one whose new neighbours rank lower.
+#: to grow over all those places, into a longer token than there is, to touch it. Pairs of equal rank go from the left: a cluster of them, with
+#: gaps of {reach} places at most, up to the first that lower pairs are near or whose new neighbours would rank lower; of adjacent ones every other.
 LOCAL = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM fresh
     UNION
     SELECT word, list(tok ORDER BY pos) FROM (
         SELECT word, pos, CASE WHEN taken THEN rank ELSE tok END AS tok, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-            SELECT *, chosen AND coalesce(bool_and(clear OR NOT chosen) OVER (PARTITION BY word, rank, chain ORDER BY pos), true) AS taken FROM (
-                SELECT *, count(*) FILTER (chosen AND lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) = 0 AS clear FROM (
-                    SELECT c.*, least(coalesce(a.tok, c.rank), coalesce(b.tok, c.rank)) < c.rank AS lower FROM (
-                        SELECT *, lead(tok, 2) OVER w AS after, CASE WHEN lag(chosen, 2, false) OVER w THEN rank ELSE lag(tok) OVER w END AS ahead FROM (
-                            SELECT *, hit AND bool_and(hit) OVER g AND row_number() OVER g % 2 = 1 AS chosen FROM (
-                                SELECT *, pos - row_number() OVER (PARTITION BY word, rank ORDER BY pos) AS chain, coalesce(rank = best, false) AS hit FROM (
+            SELECT *, chosen AND coalesce(bool_and(plain) OVER (PARTITION BY word, rank, cluster ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS taken FROM (
+                SELECT c.*, hit AND clean AND NOT (chosen AND least(coalesce(a.tok, c.rank), coalesce(b.tok, c.rank)) < c.rank) AS plain FROM (
+                    SELECT *, lead(tok, 2) OVER w AS after, CASE WHEN lag(chosen, 2, false) OVER w THEN rank ELSE lag(tok) OVER w END AS ahead FROM (
+                        SELECT *, hit AND clean AND odd AS chosen FROM (
+                            SELECT *, bool_and(hit) OVER g AS clean, row_number() OVER g % 2 = 1 AS odd, sum(CASE WHEN gap <= {reach} THEN 0 ELSE 1 END) OVER (PARTITION BY word, rank ORDER BY pos) AS cluster FROM (
+                                SELECT *, pos - row_number() OVER e AS chain, pos - lag(pos) OVER e AS gap, coalesce(rank = best, false) AS hit FROM (
                                     SELECT *, min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS best, max(rank) OVER (PARTITION BY word) AS worst FROM (
                                         SELECT p.*, m.tok AS rank FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:] || [-1]) AS nxt, generate_subscripts(toks, 1) AS pos FROM state) p
                                         LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
                                     )
-                                ) WHERE worst IS NOT NULL
+                                ) WHERE worst IS NOT NULL WINDOW e AS (PARTITION BY word, rank ORDER BY pos)
                             ) WINDOW g AS (PARTITION BY word, rank, chain ORDER BY pos)
-                        ) WINDOW w AS (PARTITION BY word ORDER BY pos)
-                    ) c
-                    LEFT JOIN merges a ON c.chosen AND a.l = c.ahead AND a.r = c.rank
-                    LEFT JOIN merges b ON c.chosen AND b.l = c.rank AND b.r = c.after
-                )
+                        )
+                    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+                ) c
+                LEFT JOIN merges a ON c.chosen AND a.l = c.ahead AND a.r = c.rank
+                LEFT JOIN merges b ON c.chosen AND b.l = c.rank AND b.r = c.after
             )
         )
     ) WHERE NOT gone GROUP BY word

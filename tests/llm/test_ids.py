@@ -80,3 +80,27 @@ def test_long_words_take_few_rounds(spark):
         for _ in range(12):
             word = "".join(rng.choice(alphabet) for _ in range(rng.randrange(401, 900)))
             assert engine.encode([word]).to_pylist() == [own.encode_ordinary(word)]
+
+
+def test_long_words_of_any_vocabulary_equal_a_plain_loop():
+    """Ranks in any order, so that contractions open pairs of lower rank; and words in which equal pairs stand close."""
+    import random
+
+    def plain(ranks, raw):
+        toks = [bytes([b]) for b in raw]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(toks, toks[1:], strict=False)) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[t] for t in toks]
+            i = best[1]
+            toks[i : i + 2] = [toks[i] + toks[i + 1]]
+
+    for seed in range(20):
+        rng = random.Random(seed)
+        letters = rng.choice(["ab", "abc", "a", "abcd"])
+        tokens = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(2, rng.choice([4, 7])))).encode() for _ in range(rng.randrange(3, 40))})
+        ids = list(range(256, 256 + len(tokens)))
+        rng.shuffle(ids)
+        ranks = {bytes([b]): b for b in range(256)} | dict(zip(tokens, ids, strict=True))
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(401, 480))) for _ in range(2)] + [(letters * 500)[:450]]
+        assert bpe.Engine(ranks, r"\p{L}+").encode(words).to_pylist() == [plain(ranks, w.encode()) for w in words], seed
