@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Key = str | Sequence[str]
@@ -17,6 +17,15 @@ def keys(key: Key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def shuffled_unions(spark: SparkSession) -> None:
+    """Let the session shuffle what follows a union, even where both its sides are partitioned by the key already.
+
+    Spark 4.1 takes such a union as partitioned too, but adaptive execution may merge the small partitions of each side differently, and
+    then a key's rows of the two sides are in different tasks. The setting is read when a query is planned, so it stays set.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ordered(key: Key, *order):
     return Window.partitionBy(*keys(key)).orderBy(*order)
 
@@ -62,6 +71,7 @@ def as_of(left: DataFrame, right: DataFrame, key: Key, t: str = "t", at: str = "
     """
     from .scans import latest, running
 
+    shuffled_unions(left.sparkSession)
     k = keys(key)
     right_first = strict == forward  # going back, or strictly forward, right rows of an equal time sort first
     lrow = left.select(*k, F.col(t).alias("__t"), F.lit(int(right_first)).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("__right"))
@@ -111,6 +121,7 @@ def overlaps_any(left: DataFrame, right: DataFrame, key: Key, ls: str = "start",
     Among the right rows that begin before a left row ends, the furthest end tells: one overlaps exactly
     if that lies past the left row's start.
     """
+    shuffled_unions(left.sparkSession)
     k = keys(key)
     lrow = left.select(*k, F.col(le).cast("double").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("double").alias("__end"), F.struct(*left.columns).alias("__left"))
     rrow = right.select(*k, F.col(rs).cast("double").alias("__t"), F.lit(1).alias("__side"), F.col(re_).cast("double").alias("__end"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, as_of, before, keys, ordered, overlap_join, so_far, whole
+from ..functions.frames import Key, as_of, before, keys, ordered, overlap_join, shuffled_unions, so_far, whole
 from ..functions.greedy import keep_apart
 from ..operators.clocks import keep_offsets, source_to_output
 
@@ -270,6 +270,7 @@ def divide_ranges(keeps: DataFrame, points: DataFrame, key: Key = "rec", parts:
     """
     if sum(x is not None for x in (parts, every, size)) != 1 or (parts is not None and not 2 <= parts <= most) or (every is not None and every < 1):
         raise ValueError("divide into 2 to 999 parts, or by seconds of one or more, or by bytes")
+    shuffled_unions(keeps.sparkSession)
     k = keys(key)
     offs = keep_offsets(keeps, k)
     rows = offs.groupBy(*k).agg(F.max(F.col("out_start") + F.col("end") - F.col("start")).alias("total"))
