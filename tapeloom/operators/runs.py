@@ -149,8 +149,8 @@ def split_absences(df: DataFrame, long: float = 20.0, edge_long: float = 1.0, br
 
 def level_byte(level: Column) -> Column:
     """A level as 80 dB of a byte; silence is 0."""
-    db = F.round((20 * F.log10(F.when(level > 0, level)) + 80) / 80 * 255)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(255.0), db)), F.lit(0.0)).cast("int")
+    db = F.round((20 * F.log10(level) + 80) / 80 * 255)
+    return F.when(level > 0, F.greatest(F.lit(0.0), F.least(F.lit(255.0), db))).otherwise(0.0).cast("int")  # least and greatest pass over NULLs
 
 
 def level_outline(df: DataFrame, key: Key = "rec", t: str = "t", level: str = "level", step: float = 0.05, fill: bool = False) -> DataFrame:
