@@ -93,10 +93,10 @@ def interpolate_between_anchors(df: DataFrame, anchors: DataFrame, key: Key = "r
     first = seg.filter("n = 1").select(*k, F.col("s").alias("f"))
     rows = as_of(df, seg.select(*k, F.col("i").alias("at"), "s"), k, i, "at", ["s"]).join(first, k)
     s = F.coalesce("s", "f")
-    num, den = (F.col(i) - s["i0"]) * (s["c1"] - s["c0"]), s["i1"] - s["i0"]
-    safe = F.when(den == 0, 1).otherwise(den)
-    whole_part = F.try_divide(num - num % safe, safe).cast("long")
-    return rows.select(*df.columns, (s["c0"] + F.when(den == 0, 0).otherwise(whole_part)).alias("clock"))
+    rows = rows.withColumn("__num", (F.col(i) - s["i0"]) * (s["c1"] - s["c0"])).withColumn("__den", s["i1"] - s["i0"])
+    # whole division: a quotient of doubles loses ticks beyond 2^53
+    whole_part = F.when(F.col("__den") == 0, 0).otherwise(F.expr("__num div nullif(__den, 0)"))
+    return rows.select(*df.columns, (s["c0"] + whole_part).alias("clock"))
 
 
 def paced_schedule(df: DataFrame, step: float | Column, key: Key = "rec", at: str = "at", packet: str = "packet") -> DataFrame:
