@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import groupby
@@ -85,30 +86,99 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         self.due.clear()
-        waiting = sorted(self.rows.get())
+        out, later, held, due = self.step(key, list(self.rows.get()), self.held.get() if self.held.exists() else None, mark)
+        self.rows.put(later) if later else self.rows.clear()
+        self.held.update(held) if held is not None else self.held.clear()
+        if due is not None:
+            self._wake(due)
+        return iter(out)
+
+    def step(self, key: tuple, waiting: list[tuple], held: tuple | None, mark: int) -> tuple[list[Row], list[tuple], tuple | None, int | None]:
+        """What a key gives once the watermark is at `mark`; the rows that wait on, what is held, and when (us) to go on with the key."""
+        waiting = sorted(waiting)
         ready = [r for r in waiting if r[0] + self.lag <= mark]
         later = waiting[len(ready) :]
-        held = self.held.get() if self.held.exists() else None
         out, held, until = self.passed(key, ready, later, held)
         if later:
-            self.rows.put(later)
-            self._wake(later[0][0] + self.lag)
-        else:
-            self.rows.clear()
-        if held is not None and not later:
-            until = held[0] + self.idle if until is None else until
-            if until <= mark:
-                held = None
-            else:
-                self._wake(until)
-        self.held.update(held) if held is not None else self.held.clear()
+            return out, later, held, later[0][0] + self.lag
+        if held is None:
+            return out, later, None, None
+        until = held[0] + self.idle if until is None else until
+        return (out, later, None, None) if until <= mark else (out, later, held, until)
+
+
+#: Groups that the keys of a stream are dealt to.
+BUCKETS = 1024
+#: Rows of a bucket that go to the state store as one value.
+CHUNK = 4096
+
+
+class Bucketed(Ordered):
+    """A processor for all keys of a bucket: their states lie in the bucket's lists, so that one call to the state store serves many keys.
+
+    Rows and what is held lead with the key; what is held has the time (us) at which to go on with the key behind it. Both are stored in
+    chunks, as a value costs the state store far more than the rows in it. A fired timer goes on with the keys that are due and leaves the others as they are.
+    """
+
+    rows_schema = held_schema = "chunk binary"
+
+    def __init__(self, inner: Ordered) -> None:
+        super().__init__(0)
+        self.inner, self.lag = inner, inner.lag
+
+    @staticmethod
+    def _chunks(rows: list[tuple]) -> list[tuple]:
+        return [(pickle.dumps(rows[i : i + CHUNK]),) for i in range(0, len(rows), CHUNK)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows, self.held, self.due = handle.getListState("rows", self.rows_schema), handle.getListState("held", self.held_schema), handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [r for r in (tuple(r)[2:] for r in rows) if r[1] > mark]  # the bucket and the event time lead
+        if fresh:
+            self.rows.appendList(self._chunks(fresh))
+            self._wake(min(r[1] for r in fresh) + self.lag)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        waiting: dict[object, list[tuple]] = {}
+        for (chunk,) in self.rows.get():
+            for row in pickle.loads(chunk):
+                waiting.setdefault(row[0], []).append(row[1:])
+        held = {row[0]: (row[1:-1], row[-1]) for (chunk,) in self.held.get() for row in pickle.loads(chunk)}
+        out, rows, kept, wakes = [], [], [], []
+        for own in [*waiting, *(own for own in held if own not in waiting)]:
+            mine, (what, due) = waiting.get(own, []), held.get(own, (None, None))
+            due = min(r[0] for r in mine) + self.lag if mine else due
+            if due <= mark:
+                found, mine, what, due = self.inner.step((own,), mine, what, mark)
+                out += found
+            rows += [(own, *r) for r in mine]
+            if what is not None:
+                kept.append((own, *what, due))
+            if due is not None:
+                wakes.append(due)
+        self.rows.put(self._chunks(rows)) if rows else self.rows.clear()
+        self.held.put(self._chunks(kept)) if kept else self.held.clear()
+        if wakes:
+            self._wake(min(wakes))
         return iter(out)
 
 
-def _in_order(stream: DataFrame, processor: Ordered, key: str, ts: str, late: str, columns: list[Column | str], out: str) -> DataFrame:
-    """The processor's rows; a row of the stream leads with the key and its event time, which carries the watermark."""
-    rows = stream.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("us"), *columns)
-    return rows.groupBy(key).transformWithState(processor, f"{key} {stream.schema[key].dataType.simpleString()}, {out}", "append", "eventTime")
+def _in_order(stream: DataFrame, processor: Ordered, key: str, ts: str, late: str, columns: list[Column | str], out: str, buckets: int | None = None) -> DataFrame:
+    """The processor's rows. Its keys are dealt to `buckets` groups (BUCKETS, if not told), each with one state of all its keys; with 0, each key has a state of its own.
+
+    A row of the stream leads with what it is grouped by and its event time, which carries the watermark.
+    """
+    kind, buckets = stream.schema[key].dataType.simpleString(), BUCKETS if buckets is None else buckets
+    own = [F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket"), ts, key] if buckets else [key, ts]
+    rows = stream.withWatermark(ts, late).select(*own, F.unix_micros(ts).alias("us"), *columns)
+    groups = rows.groupBy("__bucket" if buckets else key)
+    return groups.transformWithState(Bucketed(processor) if buckets else processor, f"{key} {kind}, {out}", "append", "eventTime")
 
 
 class _Runs(Ordered):
