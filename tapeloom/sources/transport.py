@@ -20,6 +20,8 @@ RUN, HELD, SEARCHED = 5, 64, 8
 HEAD = TIMED * (SEARCHED + HELD + 1)
 #: Bytes of a range, and of what is decoded at once.
 RANGE_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+#: Where there are more short ranges than FEW, a task takes some on end, up to so many bytes; a range counts as OPEN_BYTES at least.
+FEW, TASK_BYTES, OPEN_BYTES = 200, 16 << 20, 64 << 10
 
 TYPES = {"seq": pa.int64(), "pos": pa.int64(), "pid": pa.int64(), "unit_start": pa.bool_(), "pcr": pa.int64(), "pts": pa.int64(), "payload": pa.binary()}
 SCHEMA = "seq long, pos long, pid long, unit_start boolean, pcr long, pts long, payload binary"
@@ -141,6 +143,13 @@ class Range(InputPartition):
         self.path, self.total, self.lo, self.hi = path, total, lo, hi
 
 
+class Ranges(InputPartition):
+    """Ranges on end that a task reads one after another."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
+
+
 class TransportReader(DataSourceReader):
     """Reads packets whose sync byte lies in a range."""
 
@@ -160,9 +169,22 @@ class TransportReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Range(path, size, lo, min(lo + self.range_bytes, size)) for path, size in _files(self.path) for lo in range(0, size, self.range_bytes)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        ranges = [Range(path, size, lo, min(lo + self.range_bytes, size)) for path, size in _files(self.path) for lo in range(0, size, self.range_bytes)]
+        costs = [max(one.hi - one.lo, OPEN_BYTES) for one in ranges]
+        most, tasks, room = min(sum(costs) // FEW, TASK_BYTES) if len(ranges) > FEW else 0, [], 0
+        for one, cost in zip(ranges, costs, strict=True):
+            if not tasks or cost > room:
+                tasks.append(Ranges([]))
+                room = most
+            tasks[-1].ranges.append(one)
+            room -= cost
+        return tasks
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._range(one)
+
+    def _range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, path = _store(partition.path)
         with store.open_input_file(path) as file:
             at = lambda lo, n: np.frombuffer(file.read_at(max(0, min(n, partition.total - lo)), lo), np.uint8)
@@ -204,7 +226,7 @@ class TransportSource(DataSource):
 
 
 def read_packets(spark: SparkSession, path: str, stride: int | None = None, columns: Sequence[str] | None = None, pids: Sequence[int] | None = None, range_bytes: int = RANGE_BYTES):
-    """A row for each transport packet of all files at a path, each read in ranges of bytes by as many tasks.
+    """A row for each transport packet of all files at a path, each read in ranges of bytes by as many tasks; of over FEW short ranges several share one.
 
     A file of any size may be read; no row holds one, and a task holds a block of packets. Every range takes the framing from
     the file's head (see framing) and its own first packet from its place; where bytes were lost, so that packets there no longer stand on

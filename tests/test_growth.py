@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from test_streams import Handle, Mark, play, shuffled, states_left
 
+from tapeloom.sources import transport
 from tapeloom.streaming import streams as st
 
 
@@ -46,3 +47,12 @@ def test_keys_of_a_bucket_give_what_each_gives_alone(name):
     found, handle, calls = play_bucket(st.Bucketed(make()), waves, 40, 10**6)
     assert sorted(map(repr, found)) == sorted(map(repr, want)) and len(want) > 60
     assert states_left({0: handle}) == [] and calls < 200  # not some for each of 60 keys and 6 waves
+
+
+def test_short_ranges_share_tasks(tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}.ts").write_bytes(b"\x47" * (1000 + n))
+    tasks = transport.TransportReader({"path": str(tmp_path), "range_bytes": "400"}, ["pid"]).partitions()
+    ranges = [(r.path, r.lo, r.hi) for task in tasks for r in task.ranges]
+    assert len(tasks) <= 250 and len(ranges) == len(set(ranges)) == 999
+    assert sum(hi - lo for _, lo, hi in ranges) == sum(1000 + n for n in range(300))
