@@ -11,15 +11,23 @@ from .breaks import ORACLE as BREAKS
 from .common import EPOCH_US, EV, r, table
 
 
-#: Rows of a wave for each of its files.
-FILE_ROWS = 500_000
+#: Rows of a wave for each of its files, and bytes of what rows of no fixed size hold.
+FILE_ROWS, FILE_BYTES = 500_000, 128 << 20
+
+
+def _files_of_wave(df: DataFrame, waves: int) -> int:
+    """The files that a wave of df is written to, by its rows and by the bytes of their texts and contents."""
+    loose = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(sum((F.coalesce(c.cast("long"), F.lit(0)) for c in loose), F.lit(0).cast("long")))
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return 1 + max(rows // waves // FILE_ROWS, held // waves // FILE_BYTES)
 
 
 def _feed(spark: SparkSession, sf: str, df: DataFrame, order: str, waves: int = 4) -> DataFrame:
     """df as a stream whose files arrive in waves of the given order, each wave a micro-batch of as many files as its rows need."""
     path = shared_folder(spark, "feed")
     at = F.col(order).cast("double")
-    files = 1 + df.count() // waves // FILE_ROWS
+    files = _files_of_wave(df, waves)
     cuts = df.select(at.alias("o")).approxQuantile("o", [i / waves for i in range(1, waves)], 0.001)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         wave = df.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))

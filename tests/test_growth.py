@@ -4,8 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from test_streams import Handle, Mark, play, shuffled, states_left
 
+from tapeloom.queries import streams as queries
 from tapeloom.sources import transport
 from tapeloom.streaming import streams as st
 
@@ -56,3 +58,9 @@ def test_short_ranges_share_tasks(tmp_path):
     ranges = [(r.path, r.lo, r.hi) for task in tasks for r in task.ranges]
     assert len(tasks) <= 250 and len(ranges) == len(set(ranges)) == 999
     assert sum(hi - lo for _, lo, hi in ranges) == sum(1000 + n for n in range(300))
+
+
+def test_waves_of_large_contents_are_many_files(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_BYTES", 10_000)
+    rows = spark.range(100).select("id", F.encode(F.repeat(F.lit("x"), 1000), "UTF-8").alias("content"), F.lit(None).cast("string").alias("none"))
+    assert queries._files_of_wave(rows, 2) == 6 and queries._files_of_wave(rows.select("id"), 2) == 1 and queries._files_of_wave(rows.limit(0), 2) == 1
