@@ -15,6 +15,7 @@ def keep_apart(df: DataFrame, key: Key, at: str, until: Column, *order: str) ->
     Every row points to the next one that it would let in. A row at or past all earlier `until` is kept
     whatever came before and begins an island; within islands the kept rows are those reached along the
     pointers, whose length doubles each round. No key's rows come together in one row or one task's memory.
+    The states' files are small for their rows, so the joins ask for merging: by size of file Spark would broadcast millions of rows.
     """
     k = keys(key)
     rows = df.withColumn("__rn", F.row_number().over(ordered(k, at, *order))).withColumn("__until", F.coalesce(until.cast("double"), F.col(at).cast("double")))
@@ -27,8 +28,8 @@ def keep_apart(df: DataFrame, key: Key, at: str, until: Column, *order: str) ->
     inner = F.when((F.col("__there") == F.col("__island")) | (F.col("__next") <= F.col("__rn")), later)
     state = materialise(links.select(*k, "__rn", inner.alias("__next"), F.col("__free").alias("__kept")))
     while not state.filter("__next IS NOT NULL").isEmpty():
-        ahead = state.select(*k, F.col("__rn").alias("__next"), F.col("__next").alias("__far"))
+        ahead = state.select(*k, F.col("__rn").alias("__next"), F.col("__next").alias("__far")).hint("merge")
         jumped = state.join(ahead, [*k, "__next"], "left").select(*k, "__rn", F.col("__far").alias("__next"), "__kept")
         let_in = state.filter("__kept AND __next IS NOT NULL").select(*k, F.col("__next").alias("__rn"), F.lit(None).cast("int").alias("__next"), F.lit(True).alias("__kept"))
         state = materialise(jumped.unionByName(let_in).groupBy(*k, "__rn").agg(F.max("__next").alias("__next"), F.max("__kept").alias("__kept")))
-    return rows.join(state.filter("__kept").select(*k, "__rn"), [*k, "__rn"], "left_semi").select(*df.columns)
+    return rows.join(state.filter("__kept").select(*k, "__rn").hint("merge"), [*k, "__rn"], "left_semi").select(*df.columns)

@@ -44,7 +44,7 @@ def chain_lengths(hops: DataFrame, key: Key = "rec") -> DataFrame:
     k = keys(key)
     state = materialise(hops.select(*k, "a", "b", F.lit(1).cast("long").alias("n")))
     while True:
-        there = state.select(*k, F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
+        there = state.select(*k, F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m")).hint("merge")  # small in the file, not in memory
         state = materialise(state.join(there, [*k, "b"], "left").select(*k, "a", F.col("c").alias("b"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
         if state.filter("b IS NOT NULL").isEmpty():
             return state.select(*k, "a", "n")

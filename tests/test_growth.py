@@ -7,6 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_streams import Handle, Mark, play, shuffled, states_left
 
+from tapeloom.functions import greedy
+from tapeloom.operators import breaks, graph
 from tapeloom.queries import streams as queries
 from tapeloom.sources import transport
 from tapeloom.streaming import streams as st
@@ -64,3 +66,23 @@ def test_waves_of_large_contents_are_many_files(spark, monkeypatch):
     monkeypatch.setattr(queries, "FILE_BYTES", 10_000)
     rows = spark.range(100).select("id", F.encode(F.repeat(F.lit("x"), 1000), "UTF-8").alias("content"), F.lit(None).cast("string").alias("none"))
     assert queries._files_of_wave(rows, 2) == 6 and queries._files_of_wave(rows.select("id"), 2) == 1 and queries._files_of_wave(rows.limit(0), 2) == 1
+
+
+ROUNDS = {
+    "apart": (greedy, lambda rows: greedy.keep_apart(rows.select("rec", "t"), "rec", "t", F.col("t") + 3), 12),
+    "chains": (breaks, lambda rows: breaks.chain_lengths(rows.select("rec", F.col("t").alias("a"), F.when(F.col("t") < 9, F.col("t") + 1).alias("b"))), 30),
+    "components": (graph, lambda rows: graph.components(rows.select(F.col("n").alias("node")), rows.filter("n < 29").select(F.col("n").alias("a"), (F.col("n") + 1).alias("b"))), 30),
+}
+
+
+@pytest.mark.parametrize("name", ROUNDS)
+def test_stored_states_are_not_broadcast_by_size_of_file(name, spark, monkeypatch, capsys):
+    module, run, want = ROUNDS[name]
+    stored = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df: (df.explain(), stored(df))[1])
+    rows = spark.range(30).select((F.col("id") % 3).alias("rec"), F.floor(F.col("id") / 3).alias("t"), F.col("id").alias("n"))
+    found = run(rows)
+    found.explain()
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
+    assert found.count() == want
