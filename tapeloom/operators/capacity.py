@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import Key, keys
-from .intervals import clock_per_written
+from .intervals import with_clock
 
 #: Bytes that the discs hold.
 DISCS = (("BD-R/RE 25GB", 25025314816), ("BD-R/RE DL 50GB", 50050629632), ("BD-R XL 100GB", 100103356416), ("BD-R XL 128GB", 128001769472))
@@ -51,11 +51,12 @@ def rates(recordings: DataFrame, tracks: DataFrame, key: Key = "rec", holes: Dat
     """
     k = keys(key)
     if holes is not None:
-        recordings = recordings.join(clock_per_written(holes, recordings, k), k, "left")
-    sound = tracks.groupBy(*k).agg(F.sum(_own_rate(tracks)).alias("audio"))
+        recordings = with_clock(recordings, holes, k)
+    # shuffled before they are summed: sums ahead of the shuffle would hold a whole piece of a file's recordings at once
+    sound = tracks.select(*k, _own_rate(tracks).alias("own")).repartition(*k).groupBy(*k).agg(F.sum("own").alias("audio")).hint("merge")  # about as many rows as recordings
     video = F.when(F.col("video_rate") > 0, F.col("video_rate")).otherwise(F.col("file_rate") * 0.9)
     if holes is not None:
-        video = video * F.coalesce("ratio", F.lit(1.0))
+        video = video * F.col("ratio")
     return recordings.join(sound, k, "left").select(*k, video.alias("video"), F.coalesce("audio", F.lit(0.0)).alias("audio"), (F.col("codec") == "mpeg2video").alias("can_shrink"))
 
 

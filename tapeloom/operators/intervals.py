@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import Key, anchored, as_of, keys, ordered, overlap_join, overlaps_any, so_far
+from ..functions.frames import Key, anchored, as_of, before, keys, ordered, overlap_join, overlaps_any, shuffled_unions, so_far
 from ..functions.scans import highest, islands_in, running
 
 #: The default bucket of interval joins, in seconds; about the length of the longer intervals.
@@ -148,14 +148,34 @@ def place_cues(cues: DataFrame, own: str = "own", arrival: str = "arrival", behi
     return cues.withColumn("placed", F.when(off | F.col(own).isNull(), F.col(arrival)).otherwise(F.col(own)))
 
 
+def with_clock(bounds: DataFrame, holes: DataFrame, key: Key = "rec") -> DataFrame:
+    """Bounds with ``ratio``, duration over the part of it outside of holes, which count within [0, duration]; 1 where all or none is written.
+
+    Both sides are united and sorted once per key, and windows over that order tell a row of bounds what its
+    holes take, so that a task holds one sort for all steps, which rows of bounds leave in the order of the key.
+    """
+    shuffled_unions(bounds.sparkSession)
+    k = keys(key)
+    rest = [c for c in bounds.columns if c not in k]
+    known = holes.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in k))
+    both = known.select(*k, F.greatest(F.col("start"), F.lit(0.0)).alias("__start"), F.col("end").cast("double").alias("__end"))
+    both = both.unionByName(bounds.select(*k, F.struct(*rest).alias("__row")), allowMissingColumns=True)
+    by = ordered(k, "__start", "__end")
+    entire = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = both.withColumn("__to", F.when(F.col("__row").isNull(), F.least("__end", F.max("__row.duration").over(entire))))
+    rows = rows.withColumn("__reach", F.max(F.when(F.col("__to") > F.col("__start"), F.col("__to"))).over(before(k, "__start", "__end")))
+    new = F.col("__to") - F.greatest("__start", "__reach")
+    rows = rows.withColumn("__lost", F.sum(F.when(new > 0, new)).over(entire)).filter("__row IS NOT NULL")
+    duration = F.col("__row.duration")
+    written = duration - F.coalesce("__lost", F.lit(0.0))
+    ratio = F.when((duration > 0) & (written > 0), duration / written).otherwise(F.lit(1.0))
+    return rows.select(*[F.col(c) if c in k else F.col("__row")[c].alias(c) for c in bounds.columns], ratio.alias("ratio"))
+
+
 def clock_per_written(holes: DataFrame, bounds: DataFrame, key: Key = "rec") -> DataFrame:
-    """Duration over the part of it outside of holes, which count within [0, duration]; 1 where all or none is written."""
+    """The ratio of with_clock for each row of bounds."""
     k = keys(key)
-    inside = holes.join(bounds.select(*k, "duration"), k).select(*k, F.greatest(F.col("start"), F.lit(0.0)).alias("start"), F.least("end", "duration").alias("end"))
-    lost = kept_seconds(merge_intervals(inside, k), k)
-    written = F.col("duration") - F.coalesce("kept", F.lit(0.0))
-    ratio = F.when((F.col("duration") > 0) & (written > 0), F.col("duration") / written).otherwise(F.lit(1.0))
-    return bounds.join(lost, k, "left").select(*k, ratio.alias("ratio"))
+    return with_clock(bounds.select(*k, "duration"), holes, k).select(*k, "ratio")
 
 
 def split_at_seams(ranges: DataFrame, seams: DataFrame, points: DataFrame, key: Key = "rec", bucket: float = BUCKET) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_streams import Handle, Mark, play, shuffled, states_left
 
 from tapeloom.functions import greedy
-from tapeloom.operators import breaks, graph
+from tapeloom.operators import breaks, capacity, graph, intervals
 from tapeloom.queries import streams as queries
 from tapeloom.sources import transport
 from tapeloom.streaming import streams as st
@@ -86,3 +86,22 @@ def test_stored_states_are_not_broadcast_by_size_of_file(name, spark, monkeypatc
     plans = capsys.readouterr().out
     assert "SortMergeJoin" in plans and "Broadcast" not in plans
     assert found.count() == want
+
+
+def test_written_clocks_hold_one_sort(spark, capsys):
+    holes = spark.range(30).select((F.col("id") % 3).alias("rec"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.5).alias("end"))
+    bounds = spark.range(4).select(F.col("id").alias("rec"), F.lit(40.0).alias("duration"))
+    found = intervals.clock_per_written(holes, bounds)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count(" Sort [") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, found.collect())) == [(0, 1.6), (1, 1.6), (2, 1.6), (3, 1.0)]
+
+
+def test_rates_of_a_repeated_recording_are_given_once_a_row(spark):
+    recs = spark.createDataFrame([(1, 9.0, 20.0, "h264", 10.0), (1, 9.0, 20.0, "h264", 10.0), (None, 9.0, 20.0, "h264", 10.0), (2, 9.0, 20.0, "h264", None)], "rec long, video_rate double, file_rate double, codec string, duration double")
+    tracks = spark.createDataFrame([(1, "aac", 5000.0, 2, 48000, 16)], "rec long, codec string, rate double, channels int, sample_rate int, bits int")
+    holes = spark.createDataFrame([(1, -5.0, 1.0), (1, 8.0, 30.0), (1, 9.0, 8.0), (1, 0.5, 1.0), (1, None, 0.25), (None, 0.0, 5.0), (2, 1.0, 2.0), (7, 1.0, 2.0)], "rec long, start double, end double")
+    found = capacity.rates(recs, tracks, holes=holes)
+    want = [(1, 9.0 * 10 / 7, 5000.0), (1, 9.0 * 10 / 7, 5000.0), (2, 9.0, 0.0), (None, 9.0, 0.0)]
+    assert sorted(map(repr, map(tuple, found.select("rec", "video", "audio").collect()))) == sorted(map(repr, want))
